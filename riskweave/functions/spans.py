@@ -2,7 +2,10 @@
 
 A rule's matches and their code-point offsets come from one replacing pass of the regex engine: each match is
 wrapped in a marker character and the text is split at the markers, so gaps and matches alternate and a running
-length gives the offsets. No Python and no shuffle; a text is never cut.
+length gives the offsets. No Python in the data path and no shuffle; a text is never cut.
+
+The expressions are deep, so they are composed as SQL text and parsed once; texts and span columns are therefore
+given by name (or as a SQL expression).
 """
 
 from __future__ import annotations
@@ -14,27 +17,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from riskweave.fixed import span_patterns as fixed
-from riskweave.functions.text import contains_any, flagged, is_in, lookup
+from riskweave.functions.text import flagged, is_in
 
 _MARK = "\u0001"
 _MARK_STAND_IN = "\u0002"  # a control character of the same regex classes
 _BLOCK = 64  # items folded at a time by scan()
 
-SPAN_TYPE = "struct<type:string,start:int,end:int,text:string,confidence:double>"
 _WORK_TYPE = "struct<start:int,rule:int,end:int,type:string,text:string,confidence:double>"
 
 
-@dataclass(frozen=True)
-class SpanRule:
-    """One pattern of a rule set. ``keep`` filters matches; ``type_of`` derives the type from the match."""
+def quoted(value: str) -> str:
+    """SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    type: str
-    pattern: str
-    ignore_case: bool = False
-    confidence: float = 1.0
-    keep: Callable[[Column], Column] | None = None
-    type_of: Callable[[Column], Column] | None = None
-    guard: str | None = None  # plain pattern every match must hold; cheap, tried first
+
+def _empty(element_type: str) -> str:
+    return f"cast(array() as array<{element_type}>)"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -42,112 +40,110 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def scan(
-    items: Column,
-    carry: Column,
-    advance: Callable[[Column, Column], Column],
-    emit: Callable[[Column, Column], Column],
-    element_type: str,
-    tail: Callable[[Column], Column] | None = None,
-) -> Column:
-    """Left-to-right pass that carries a struct and emits arrays: ``advance(carry, item)`` is the next carry,
-    ``emit(carry, item)`` what the item adds to the result, ``tail(carry)`` what the end adds.
+def _let(name: str, value: str, body: str) -> str:
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-    Results are gathered block by block and flattened once, so a row with many items costs about linear time
-    (appending to one growing array would be quadratic).
-    """
 
-    def over_block(state: Column, block: Column) -> Column:
-        inner = F.aggregate(
-            block,
-            F.struct(state["carry"].alias("carry"), _empty(element_type).alias("out")),
-            lambda s, x: F.struct(
-                advance(s["carry"], x).alias("carry"), F.concat(s["out"], emit(s["carry"], x)).alias("out")
-            ),
-        )
-        return let(
-            inner,
-            lambda r: F.struct(
-                r["carry"].alias("carry"), F.concat(state["chunks"], F.array(r["out"])).alias("chunks")
-            ),
-        )
+def _scan(items: str, carry: str, advance: str, emit: str, element_type: str, tail: str | None = None) -> str:
+    """Left-to-right pass over an array that carries a struct and emits arrays, as SQL.
 
-    def run(all_items: Column) -> Column:
-        blocks = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(all_items) - 1) / F.lit(_BLOCK)).cast("int")),
-            lambda b: F.slice(all_items, b * _BLOCK + 1, F.lit(_BLOCK)),
-        )
-        start = F.struct(carry.alias("carry"), F.array().cast(f"array<array<{element_type}>>").alias("chunks"))
-        finish = (
-            (lambda s: F.flatten(F.concat(s["chunks"], F.array(tail(s["carry"])))))
-            if tail
-            else (lambda s: F.flatten(s["chunks"]))
-        )
-        return F.when(F.size(all_items) > 0, F.aggregate(blocks, start, over_block, finish)).otherwise(
-            _empty(element_type)
-        )
+    ``advance`` is the next carry and ``emit`` what an item adds, both over the item ``x`` and the carry ``{c}``;
+    ``tail`` is what the end adds. Results are gathered block by block and flattened once, so a row with very many
+    items costs about linear time (appending to one growing array would be quadratic).
+    """
+    step = (
+        f"named_struct('carry', {advance.replace('{c}', 's.carry')}, "
+        f"'out', concat(s.out, {emit.replace('{c}', 's.carry')}))"
+    )
+    inner = f"aggregate(block, named_struct('carry', state.carry, 'out', {_empty(element_type)}), (s, x) -> {step})"
+    over_block = _let("r", inner, "named_struct('carry', r.carry, 'chunks', concat(state.chunks, array(r.out)))")
+    chunks = f"concat(fin.chunks, array({tail.replace('{c}', 'fin.carry')}))" if tail else "fin.chunks"
+    blocks = (
+        f"transform(sequence(0, cast((size(everything) - 1) div {_BLOCK} as int)), "
+        f"b -> slice(everything, b * {_BLOCK} + 1, {_BLOCK}))"
+    )
+    whole = (
+        f"aggregate({blocks}, named_struct('carry', {carry}, 'chunks', cast(array() as array<array<{element_type}>>)), "
+        f"(state, block) -> {over_block}, fin -> flatten({chunks}))"
+    )
+    return _let("everything", items, f"if(size(everything) > 0, {whole}, {_empty(element_type)})")
 
-    return let(items, run)
 
+# -- rules ------------------------------------------------------------------------------------------------------
 
-def digits_of(text: Column) -> Column:
-    return F.regexp_replace(text, r"[^0-9]", "")
 
+@dataclass(frozen=True)
+class SpanRule:
+    """One pattern of a rule set.
 
-def luhn_valid(text: Column) -> Column:
-    """Luhn check over the digits of the text: from the right, every second digit is doubled (minus 9 above 9)."""
+    ``keep`` (SQL over the matched text ``{t}``) filters matches; ``type_of`` (the same) derives the type; ``guard``
+    is a plain pattern that every match must hold, tried first because it is cheap.
+    """
 
-    def check(digits: Column) -> Column:
-        def weighted(i: Column) -> Column:
-            digit = F.substring(digits, F.length(digits) - i + 1, F.lit(1)).cast("int")
-            return F.when(i % 2 == 0, digit * 2 - F.when(digit > 4, 9).otherwise(0)).otherwise(digit)
+    type: str
+    pattern: str
+    ignore_case: bool = False
+    confidence: float = 1.0
+    keep: str | None = None
+    type_of: str | None = None
+    guard: str | None = None
 
-        checksum = F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda acc, i: acc + weighted(i))
-        return F.when(F.length(digits) > 0, checksum % 10 == 0).otherwise(F.lit(True))
 
-    return let(digits_of(text), check)
+def digits_of(text: Column) -> Column:
+    return F.regexp_replace(text, r"[^0-9]", "")
 
 
-def _is_plain_name(text: Column) -> Column:
-    return ~is_in(text, fixed.FULL_NAME_STOP_LIST) & (F.size(F.split(F.trim(text), r"(?U)\s+")) <= 3)
+_DIGITS = "regexp_replace({t}, '[^0-9]', '')"
+# From the right, every second digit is doubled (minus 9 above 9); the sum must end in 0.
+_LUHN = _let(
+    "d",
+    _DIGITS,
+    "if(length(d) = 0, true, aggregate(transform(sequence(1, length(d)), i -> cast(substring(d, length(d) - i + 1, 1) as int) "
+    "* if(i % 2 = 0, 2, 1)), 0, (acc, v) -> acc + if(v > 9, v - 9, v)) % 10 = 0)",
+)
 
 
-def _looks_secret(text: Column) -> Column:
-    return (F.length(text) >= 16) & text.rlike("[A-Za-z]") & text.rlike("[0-9]")
+def luhn_valid(text: str) -> Column:
+    """Luhn check over the digits of a text column."""
+    return F.expr(_LUHN.replace("{t}", text))
 
 
-def _legal_type(text: Column) -> Column:
-    upper = F.upper(text)
-    return (
-        F.when(upper.startswith("NDA"), "NDA")
-        .when(upper.startswith("MATTER"), "MATTER")
-        .when(upper.startswith("CASE"), "CASE")
-        .otherwise("LEGAL")
-    )
+def _contains_none(text: str, phrases: Sequence[str]) -> str:
+    return "not (" + " or ".join(f"contains(lower({text}), {quoted(p.lower())})" for p in phrases) + ")"
 
 
 def _rules_full() -> list[SpanRule]:
+    names = ", ".join(quoted(n) for n in fixed.FULL_NAME_STOP_LIST)
+    legal = (
+        "case when startswith(upper({t}), 'NDA') then 'NDA' when startswith(upper({t}), 'MATTER') then 'MATTER' "
+        "when startswith(upper({t}), 'CASE') then 'CASE' else 'LEGAL' end"
+    )
+    four_digits = r"\p{Nd}{4}"
     return [
         SpanRule("EMAIL", fixed.EMAIL, True, guard="@"),
-        SpanRule("PHONE", fixed.FULL_PHONE, True, keep=lambda t: F.length(digits_of(t)) >= 7, guard=r"\p{Nd}{4}"),
-        SpanRule("PAN", fixed.FULL_PAN, True, keep=lambda t: (F.length(digits_of(t)) >= 13) & luhn_valid(t), guard=r"\p{Nd}{4}"),
+        SpanRule("PHONE", fixed.FULL_PHONE, True, keep=f"length({_DIGITS}) >= 7", guard=four_digits),
+        SpanRule("PAN", fixed.FULL_PAN, True, keep=f"length({_DIGITS}) >= 13 and {_LUHN}", guard=four_digits),
+        SpanRule(
+            "SSN", fixed.FULL_SSN, guard=four_digits,
+            keep=f"length({_DIGITS}) = 9 and not startswith({_DIGITS}, '000')",
+        ),
         SpanRule(
-            "SSN", fixed.FULL_SSN, False, guard=r"\p{Nd}{4}",
-            keep=lambda t: (F.length(digits_of(t)) == 9) & ~digits_of(t).startswith("000"),
+            "NAME", fixed.FULL_NAME, confidence=fixed.FULL_NAME_CONFIDENCE,
+            keep="{t} not in (" + names + ") and size(split({t}, " + quoted(r"(?U)\s+") + ")) <= 3",
         ),
-        SpanRule("NAME", fixed.FULL_NAME, False, fixed.FULL_NAME_CONFIDENCE, keep=_is_plain_name),
         SpanRule("ADDR", fixed.FULL_ADDR, True, fixed.FULL_ADDR_CONFIDENCE, guard=r"\p{Nd}"),
         SpanRule("DBURI", fixed.FULL_DBURI, True, guard=r"(?iu)://|jdbc:|server="),
-        SpanRule("SECRET", fixed.FULL_SECRET, True, fixed.FULL_SECRET_CONFIDENCE, keep=_looks_secret, guard="[A-Za-z0-9+/_=\u017f\u212a-]{16}"),
-        SpanRule("LEGAL", fixed.FULL_LEGAL, True, type_of=_legal_type),
+        SpanRule(
+            "SECRET", fixed.FULL_SECRET, True, fixed.FULL_SECRET_CONFIDENCE,
+            keep="length({t}) >= 16 and {t} rlike '[A-Za-z]' and {t} rlike '[0-9]'",
+            guard="[A-Za-z0-9+/_=ſK-]{16}",
+        ),
+        SpanRule("LEGAL", fixed.FULL_LEGAL, True, type_of=legal),
     ]
 
 
 def _rules_converter(strict_names: bool = False) -> list[SpanRule]:
-    checks = {
-        "PAN": luhn_valid,
-        "NAME": lambda t: ~contains_any(F.lower(t), [p.lower() for p in fixed.CONVERTER_NAME_STOP_PHRASES]),
-    }
+    checks = {"PAN": _LUHN, "NAME": _contains_none("{t}", fixed.CONVERTER_NAME_STOP_PHRASES)}
     return [
         SpanRule(kind, pattern, not (strict_names and kind == "NAME"), keep=checks.get(kind))
         for kind, pattern in fixed.CONVERTER
@@ -155,8 +151,8 @@ def _rules_converter(strict_names: bool = False) -> list[SpanRule]:
 
 
 def _rules_generator() -> list[SpanRule]:
-    checks = {"PAN": luhn_valid, "NAME": lambda t: ~contains_any(F.lower(t), fixed.GENERATOR_NAME_STOP_PHRASES)}
-    types = {"NDA": lambda t: F.when(F.upper(t).contains("NDA"), "NDA").otherwise("MATTER")}
+    checks = {"PAN": _LUHN, "NAME": _contains_none("{t}", fixed.GENERATOR_NAME_STOP_PHRASES)}
+    types = {"NDA": "if(contains(upper({t}), 'NDA'), 'NDA', 'MATTER')"}
     return [
         SpanRule(kind, pattern, ignore, keep=checks.get(kind), type_of=types.get(kind))
         for kind, pattern, ignore in fixed.GENERATOR
@@ -184,151 +180,109 @@ def ruleset(name: str) -> list[SpanRule]:
     raise ValueError(f"unknown rule set {name!r}")
 
 
-def _empty(element_type: str) -> Column:
-    return F.array().cast(f"array<{element_type}>")
-
-
-def _work_span(start: Column, rule: Column, end: Column, kind: Column, text: Column, confidence: Column) -> Column:
-    return F.struct(
-        start.cast("int").alias("start"),
-        rule.cast("int").alias("rule"),
-        end.cast("int").alias("end"),
-        kind.alias("type"),
-        text.alias("text"),
-        confidence.cast("double").alias("confidence"),
-    )
-
-
-def rule_matches(text: Column, rule: SpanRule, number: int) -> Column:
-    """All kept matches of one rule with offsets, as work spans (empty array if none)."""
-    pattern = flagged(rule.pattern, rule.ignore_case)
-    marked = F.regexp_replace(F.translate(text, _MARK, _MARK_STAND_IN), pattern, f"{_MARK}$0{_MARK}")
-    pieces = F.split(marked, _MARK, -1)  # gap, match, gap, match, ..., gap
+def rule_matches(text: str, rule: SpanRule, number: int) -> str:
+    """SQL of all kept matches of one rule, as work spans (empty array if none)."""
+    pattern = quoted(flagged(rule.pattern, rule.ignore_case))
+    marked = f"regexp_replace(translate({text}, '{_MARK}', '{_MARK_STAND_IN}'), {pattern}, '{_MARK}$0{_MARK}')"
+    pieces = f"split({marked}, '{_MARK}', -1)"  # gap, match, gap, match, ..., gap
     found_type = "struct<start:int,end:int,text:string>"
-    found = scan(
+    found = _scan(
         pieces,
-        F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside")),
-        lambda c, piece: F.struct((c["at"] + F.length(piece)).alias("at"), (~c["inside"]).alias("inside")),
-        lambda c, piece: F.when(
-            c["inside"],
-            F.array(
-                F.struct(c["at"].alias("start"), (c["at"] + F.length(piece)).alias("end"), piece.alias("text"))
-            ),
-        ).otherwise(_empty(found_type)),
+        "named_struct('at', 0, 'inside', false)",
+        "named_struct('at', {c}.at + length(x), 'inside', not {c}.inside)",
+        "if({c}.inside, array(named_struct('start', {c}.at, 'end', {c}.at + length(x), 'text', x)), " + _empty(found_type) + ")",
         found_type,
     )
-    if rule.keep is not None:
-        found = F.filter(found, lambda m: rule.keep(m["text"]))
-    kind = rule.type_of or (lambda t: F.lit(rule.type))
-    spans = F.transform(
-        found,
-        lambda m: _work_span(m["start"], F.lit(number), m["end"], kind(m["text"]), m["text"], F.lit(rule.confidence)),
-    ).cast(f"array<{_WORK_TYPE}>")
-    present = text.rlike(pattern)
+    if rule.keep:
+        found = f"filter({found}, m -> {rule.keep.replace('{t}', 'm.text')})"
+    kind = (rule.type_of or quoted(rule.type)).replace("{t}", "m.text")
+    spans = (
+        f"transform({found}, m -> cast(named_struct('start', m.start, 'rule', {number}, 'end', m.end, "
+        f"'type', {kind}, 'text', m.text, 'confidence', {rule.confidence}D) as {_WORK_TYPE}))"
+    )
+    present = f"{text} rlike {pattern}"
     if rule.guard:
-        present = text.rlike(rule.guard) & present
-    return F.when(present, spans).otherwise(_empty(_WORK_TYPE))
+        present = f"{text} rlike {quoted(rule.guard)} and {present}"
+    return f"if({present}, {spans}, {_empty(_WORK_TYPE)})"
 
 
-def raw_matches(text: Column, rules: Sequence[SpanRule]) -> Column:
-    """Matches of every rule, by start and then rule order (the order a stable sort by start gives)."""
-    return F.array_sort(F.concat(*[rule_matches(text, r, i) for i, r in enumerate(rules)]))
+def raw_matches(text: str, rules: Sequence[SpanRule]) -> str:
+    """SQL of the matches of every rule by start, then rule order (what a stable sort by start gives)."""
+    return "array_sort(concat(" + ", ".join(rule_matches(text, r, i) for i, r in enumerate(rules)) + "))"
 
 
-def keep_most_confident(spans: Column) -> Column:
-    """A span that overlaps a kept one replaces the first such span if it is more confident, or as confident and
-    longer; otherwise it is dropped.
+# -- overlap rules ----------------------------------------------------------------------------------------------
 
-    Spans that touch the same stretch of text form an island; only the current island is searched.
-    """
-    nothing = _empty(_WORK_TYPE)
-
-    def advance(carry: Column, span: Column) -> Column:
-        live = carry["live"]
-
-        def fought(rival: Column) -> Column:
-            better = (span["confidence"] > rival["confidence"]) | (
-                (span["confidence"] == rival["confidence"])
-                & (span["end"] - span["start"] > rival["end"] - rival["start"])
-            )
-            others = F.filter(live, lambda k: ~((k["start"] == rival["start"]) & (k["rule"] == rival["rule"])))
-            return (
-                F.when(rival.isNull(), F.concat(live, F.array(span)))
-                .when(better, F.concat(others, F.array(span)))
-                .otherwise(live)
-            )
-
-        overlapping = F.filter(live, lambda k: (span["start"] < k["end"]) & (span["end"] > k["start"]))
-        new_island = span["start"] >= carry["reach"]
-        return F.struct(
-            F.when(new_island, F.array(span)).otherwise(let(F.get(overlapping, F.lit(0)), fought)).alias("live"),
-            F.greatest(carry["reach"], span["end"]).alias("reach"),
-        )
 
-    kept = scan(
+def _keep_most_confident(spans: str) -> str:
+    """A span that overlaps a kept one replaces the first such span if it is more confident, or as confident and
+    longer; otherwise it is dropped. Spans that touch form an island; only the current island is searched."""
+    rival = "get(filter({c}.live, k -> x.start < k.end and x.end > k.start), 0)"
+    better = (
+        "x.confidence > rival.confidence or "
+        "(x.confidence = rival.confidence and x.end - x.start > rival.end - rival.start)"
+    )
+    others = "filter({c}.live, k -> not (k.start = rival.start and k.rule = rival.rule))"
+    fought = (
+        f"case when rival is null then concat({{c}}.live, array(x)) "
+        f"when {better} then concat({others}, array(x)) else {{c}}.live end"
+    )
+    live = f"if(x.start >= {{c}}.reach, array(x), {_let('rival', rival, fought)})"
+    return "array_sort(" + _scan(
         spans,
-        F.struct(nothing.alias("live"), F.lit(0).alias("reach")),
-        advance,
-        lambda carry, span: F.when(span["start"] >= carry["reach"], carry["live"]).otherwise(nothing),
+        f"named_struct('live', {_empty(_WORK_TYPE)}, 'reach', 0)",
+        f"named_struct('live', {live}, 'reach', greatest({{c}}.reach, x.end))",
+        f"if(x.start >= {{c}}.reach, {{c}}.live, {_empty(_WORK_TYPE)})",
         _WORK_TYPE,
-        lambda carry: carry["live"],
-    )
-    return F.array_sort(kept)
+        "{c}.live",
+    ) + ")"
 
 
-def keep_longest(spans: Column) -> Column:
-    """Against the last kept span only: the longer one stays, on equal length the type of higher priority."""
-    nobody = F.lit(None).cast(_WORK_TYPE)
-
-    def advance(carry: Column, span: Column) -> Column:
-        last = carry["last"]
-        length, last_length = span["end"] - span["start"], last["end"] - last["start"]
-        rank = lambda s: lookup(s["type"], fixed.TYPE_PRIORITY, 0)
-        loses = (length < last_length) | ((length == last_length) & (rank(span) <= rank(last)))
-        stays = last.isNotNull() & (span["start"] < last["end"]) & loses
-        return F.struct(F.when(stays, last).otherwise(span).alias("last"))
-
-    def emit(carry: Column, span: Column) -> Column:
-        closed = carry["last"].isNotNull() & (span["start"] >= carry["last"]["end"])
-        return F.when(closed, F.array(carry["last"])).otherwise(_empty(_WORK_TYPE))
-
-    return scan(
-        spans, F.struct(nobody.alias("last")), advance, emit, _WORK_TYPE, lambda carry: F.array(carry["last"])
-    )
-
+def _priority(kind: str) -> str:
+    cases = " ".join(f"when {quoted(k)} then {v}" for k, v in fixed.TYPE_PRIORITY.items())
+    return f"case {kind} {cases} else 0 end"
 
-def keep_first_per_range(spans: Column) -> Column:
-    """One span per (start, end): the first by rule order."""
-    # Sorted by (start, rule): equal ranges share a start, so only spans of the current start are looked at.
-    nothing = _empty(_WORK_TYPE)
 
-    def is_new_start(carry: Column, span: Column) -> Column:
-        return F.coalesce(F.get(carry["here"], F.lit(0))["start"] != span["start"], F.lit(True))
+def _keep_longest(spans: str) -> str:
+    """Against the last kept span only: the longer one stays, on equal length the type of higher priority."""
+    lengths = "x.end - x.start {op} {c}.last.end - {c}.last.start"
+    loses = (
+        f"({lengths.replace('{op}', '<')} or ({lengths.replace('{op}', '=')} "
+        f"and {_priority('x.type')} <= {_priority('{c}.last.type')}))"
+    )
+    return _scan(
+        spans,
+        f"named_struct('last', cast(null as {_WORK_TYPE}))",
+        f"named_struct('last', if({{c}}.last is not null and x.start < {{c}}.last.end and {loses}, {{c}}.last, x))",
+        f"if({{c}}.last is not null and x.start >= {{c}}.last.end, array({{c}}.last), {_empty(_WORK_TYPE)})",
+        _WORK_TYPE,
+        "array({c}.last)",
+    )
 
-    def advance(carry: Column, span: Column) -> Column:
-        seen = F.exists(carry["here"], lambda k: k["end"] == span["end"])
-        return F.struct(
-            F.when(is_new_start(carry, span), F.array(span))
-            .when(seen, carry["here"])
-            .otherwise(F.concat(carry["here"], F.array(span)))
-            .alias("here")
-        )
 
-    return scan(
+def _keep_first_per_range(spans: str) -> str:
+    """One span per (start, end), the first by rule order: equal ranges share a start, so only spans of the
+    current start are looked at."""
+    fresh = "(size({c}.here) = 0 or get({c}.here, 0).start <> x.start)"
+    here = (
+        f"case when {fresh} then array(x) when exists({{c}}.here, k -> k.end = x.end) then {{c}}.here "
+        "else concat({c}.here, array(x)) end"
+    )
+    return _scan(
         spans,
-        F.struct(nothing.alias("here")),
-        advance,
-        lambda carry, span: F.when(is_new_start(carry, span), carry["here"]).otherwise(nothing),
+        f"named_struct('here', {_empty(_WORK_TYPE)})",
+        f"named_struct('here', {here})",
+        f"if({fresh}, {{c}}.here, {_empty(_WORK_TYPE)})",
         _WORK_TYPE,
-        lambda carry: carry["here"],
+        "{c}.here",
     )
 
 
-OVERLAP_RULES: dict[str, Callable[[Column], Column]] = {
+OVERLAP_RULES: dict[str, Callable[[str], str]] = {
     "none": lambda spans: spans,
-    "confidence": keep_most_confident,
-    "longest": keep_longest,
-    "distinct": keep_first_per_range,
+    "confidence": _keep_most_confident,
+    "longest": _keep_longest,
+    "distinct": _keep_first_per_range,
 }
 DEFAULT_OVERLAP = {
     "full": "confidence", "converter": "longest", "converter_strict_names": "longest", "semantic": "none",
@@ -336,39 +290,38 @@ DEFAULT_OVERLAP = {
 }
 
 
-def public_spans(work: Column) -> Column:
+def _public(work: str) -> str:
     """Work spans in the published shape."""
-    return F.transform(
-        work,
-        lambda s: F.struct(
-            s["type"].alias("type"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            s["text"].alias("text"),
-            s["confidence"].alias("confidence"),
-        ),
-    )
+    fields = ", ".join(f"'{f}', w.{f}" for f in ("type", "start", "end", "text", "confidence"))
+    return f"transform({work}, w -> named_struct({fields}))"
 
 
-def work_spans(spans: Column) -> Column:
-    """Published spans, in any order, back to sorted work spans; array order stands for rule order."""
-    return F.array_sort(
-        F.transform(
-            spans,
-            lambda s, i: _work_span(
-                s["start"], i, s["end"], s["type"],
-                F.coalesce(s["text"], F.lit("")), F.coalesce(s["confidence"], F.lit(1.0)),
-            ),
-        )
-    )
+def _work(spans: str) -> str:
+    """Published spans, in any order, as sorted work spans; array order stands for rule order."""
+    return (
+        f"array_sort(transform({spans}, (p, i) -> cast(named_struct('start', p.start, 'rule', i, 'end', p.end, "
+        f"'type', p.type, 'text', coalesce(p.text, ''), 'confidence', coalesce(p.confidence, 1.0D)) as {_WORK_TYPE})))"
+    )
 
 
-def detect(text: Column, rules: Sequence[SpanRule] | str, overlap: str | None = None) -> Column:
-    """Spans of one text by a named or own rule set."""
+def detect(text: str, rules: Sequence[SpanRule] | str, overlap: str | None = None) -> Column:
+    """Spans of a text column by a named or own rule set."""
     if isinstance(rules, str):
         overlap = overlap or DEFAULT_OVERLAP[rules]
         rules = ruleset(rules)
-    return public_spans(OVERLAP_RULES[overlap or "none"](raw_matches(text, rules)))
+    return F.expr(_public(OVERLAP_RULES[overlap or "none"](raw_matches(text, rules))))
+
+
+def resolve(spans: str, overlap: str) -> Column:
+    """An overlap rule applied to a span column."""
+    return F.expr(_public(OVERLAP_RULES[overlap](_work(spans))))
+
+
+def token_ranges(text: str, pattern: str) -> Column:
+    """(start, end) of every match of a pattern, as tokens."""
+    return F.expr(
+        f"transform({rule_matches(text, SpanRule('TOKEN', pattern), 0)}, w -> named_struct('start', w.start, 'end', w.end))"
+    )
 
 
 # -- questions about spans --------------------------------------------------------------------------------------
@@ -382,7 +335,7 @@ def has_type(spans: Column, types: Sequence[str]) -> Column:
     return F.exists(spans, lambda s: is_in(s["type"], types))
 
 
-def overlap_pairs(spans: Column) -> Column:
+def overlap_pairs(spans: str) -> Column:
     """Overlapping pairs (first, second), found by one sweep over the spans sorted by start.
 
     Only spans still open at the current start are compared, so work follows the number of overlaps and not the
@@ -391,35 +344,34 @@ def overlap_pairs(spans: Column) -> Column:
     pair_type = (
         "struct<first_type:string,first_start:int,first_end:int,second_type:string,second_start:int,second_end:int>"
     )
-    still_open = lambda carry, span: F.filter(carry["open"], lambda o: o["end"] > span["start"])
-
-    def emit(carry: Column, span: Column) -> Column:
-        met = F.filter(still_open(carry, span), lambda o: span["end"] > o["start"])
-        return F.transform(
-            met,
-            lambda o: F.struct(
-                o["type"].alias("first_type"), o["start"].alias("first_start"), o["end"].alias("first_end"),
-                span["type"].alias("second_type"), span["start"].alias("second_start"), span["end"].alias("second_end"),
-            ),
-        )
-
-    return scan(
-        work_spans(spans),
-        F.struct(_empty(_WORK_TYPE).alias("open")),
-        lambda carry, span: F.struct(F.concat(still_open(carry, span), F.array(span)).alias("open")),
-        emit,
-        pair_type,
+    still_open = "filter({c}.open, o -> o.end > x.start)"
+    pair = (
+        "named_struct('first_type', o.type, 'first_start', o.start, 'first_end', o.end, "
+        "'second_type', x.type, 'second_start', x.start, 'second_end', x.end)"
+    )
+    return F.expr(
+        _scan(
+            _work(spans),
+            f"named_struct('open', {_empty(_WORK_TYPE)})",
+            f"named_struct('open', concat({still_open}, array(x)))",
+            f"transform(filter({still_open}, o -> x.end > o.start), o -> {pair})",
+            pair_type,
+        )
     )
 
 
 def valid_bounds(spans: Column, text: Column, offset: Column | int = 0) -> Column:
     """Spans inside the text, moved by an offset (where the text starts in a larger one)."""
     shift = offset if isinstance(offset, Column) else F.lit(offset)
-    inside = F.filter(spans, lambda s: (s["start"] >= 0) & (s["end"] <= F.length(text)) & (s["start"] < s["end"]))
-    return F.transform(
-        inside,
-        lambda s: s.withField("start", (s["start"] + shift).cast("int")).withField("end", (s["end"] + shift).cast("int")),
-    )
+    frame = F.struct(F.length(text).alias("n"), shift.cast("int").alias("by"))
+
+    def moved(f: Column) -> Column:
+        inside = F.filter(spans, lambda s: (s["start"] >= 0) & (s["end"] <= f["n"]) & (s["start"] < s["end"]))
+        return F.transform(
+            inside, lambda s: s.withField("start", s["start"] + f["by"]).withField("end", s["end"] + f["by"])
+        )
+
+    return let(frame, moved)
 
 
 def boundary_violations(spans: Column, text: Column) -> Column:
@@ -439,42 +391,30 @@ def bio_vocabulary(name: str) -> dict[str, int]:
     return tags
 
 
-def char_tags(spans: Column, length: Column) -> Column:
-    """One B-/I-/O tag per character: runs of O, then each span; later spans overwrite earlier ones.
-
-    Built run by run from spans that do not overlap (what the overlap rules return); cost follows text length.
-    """
-    outside = lambda n: F.array_repeat(F.lit("O"), n)
-    fits = lambda carry, span: (span["start"] >= carry["at"]) & (span["start"] < length)
-    last = lambda span: F.least(span["end"], length)
-
-    def emit(carry: Column, span: Column) -> Column:
-        inner = F.concat(
-            F.array(F.concat(F.lit("B-"), span["type"])),
-            F.array_repeat(F.concat(F.lit("I-"), span["type"]), last(span) - span["start"] - 1),
-        )
-        run = F.concat(outside(span["start"] - carry["at"]), inner)
-        return F.when(fits(carry, span), run).otherwise(F.array().cast("array<string>"))
-
-    return F.when(F.size(spans) == 0, outside(length)).otherwise(
-        scan(
-            work_spans(spans),
-            F.struct(F.lit(0).alias("at")),
-            lambda carry, span: F.struct(F.when(fits(carry, span), last(span)).otherwise(carry["at"]).alias("at")),
-            emit,
-            "string",
-            lambda carry: outside(length - carry["at"]),
-        )
+def char_tags(spans: str, text: str) -> Column:
+    """One B-/I-/O tag per character, built run by run from spans that do not overlap (as overlap rules return)."""
+    last = f"least(x.end, length({text}))"
+    fits = f"(x.start >= {{c}}.at and x.start < length({text}))"
+    run = (
+        "concat(array_repeat('O', x.start - {c}.at), array(concat('B-', x.type)), "
+        f"array_repeat(concat('I-', x.type), {last} - x.start - 1))"
+    )
+    tagged = _scan(
+        _work(spans),
+        "named_struct('at', 0)",
+        f"named_struct('at', if({fits}, {last}, {{c}}.at))",
+        f"if({fits}, {run}, cast(array() as array<string>))",
+        "string",
+        f"array_repeat('O', length({text}) - {{c}}.at)",
     )
+    return F.expr(f"if(size({spans}) = 0, array_repeat('O', length({text})), {tagged})")
 
 
 def token_tags(tokens: Column, spans: Column) -> Column:
     """Tags of tokens with (start, end) character ranges: B- on the token holding the first character of a span,
-    I- on the rest up to the token holding its last character."""
+    I- on the rest up to the token holding its last character; a later span overwrites."""
 
-    def tag(token: Column) -> Column:
-        hit = F.filter(spans, lambda s: (s["start"] < token["end"]) & (s["end"] > token["start"]))
-        last = F.get(hit, F.size(hit) - 1)  # a later span overwrites
+    def tag(last: Column, token: Column) -> Column:
         begins = (last["start"] >= token["start"]) & (last["start"] < token["end"])
         return (
             F.when(last.isNull(), F.lit("O"))
@@ -482,11 +422,16 @@ def token_tags(tokens: Column, spans: Column) -> Column:
             .otherwise(F.concat(F.lit("I-"), last["type"]))
         )
 
-    return F.transform(tokens, tag)
+    def of_token(token: Column) -> Column:
+        hit = F.filter(spans, lambda s: (s["start"] < token["end"]) & (s["end"] > token["start"]))
+        return let(F.try_element_at(hit, F.lit(-1)), lambda last: tag(last, token))
+
+    return F.when(F.size(spans) == 0, F.transform(tokens, lambda t: F.lit("O"))).otherwise(
+        F.transform(tokens, of_token)
+    )
 
 
 def tag_ids(tags: Column, vocabulary: str) -> Column:
     """Ids of tags; a tag the vocabulary lacks becomes 0."""
     table = F.create_map(*[F.lit(x) for kv in bio_vocabulary(vocabulary).items() for x in kv])
     return F.transform(tags, lambda t: F.coalesce(F.element_at(table, t), F.lit(0)))
-

@@ -14,28 +14,31 @@ from riskweave.functions.text import col_of
 
 def detect_spans(
     df: DataFrame,
-    text: Column | str = "body",
+    text: str = "body",
     ruleset: str | Sequence[S.SpanRule] = "full",
     overlap: str | None = None,
     out: str = "spans",
 ) -> DataFrame:
     """Adds the spans of a text column by a named or own rule set."""
-    return df.withColumn(out, S.detect(col_of(text), ruleset, overlap))
+    return df.withColumn(out, S.detect(text, ruleset, overlap))
 
 
 def resolve_overlaps(df: DataFrame, rule: str, spans: str = "spans") -> DataFrame:
     """Applies an overlap rule ('confidence', 'longest', 'distinct') to an existing span column."""
-    return df.withColumn(spans, S.public_spans(S.OVERLAP_RULES[rule](S.work_spans(F.col(spans)))))
+    return df.withColumn(spans, S.resolve(spans, rule))
 
 
 def spans_table(df: DataFrame, keys: Sequence[str] = ("msg_id",), spans: str = "spans") -> DataFrame:
-    """One row per span."""
-    return df.select(*keys, F.inline(spans))
+    """One row per span.
+
+    The outer form: the inner one makes Catalyst repeat the whole detection in a filter below the projection.
+    """
+    return df.select(*keys, F.inline_outer(spans)).filter("type is not null")
 
 
 def overlap_pairs(df: DataFrame, keys: Sequence[str] = ("msg_id",), spans: str = "spans") -> DataFrame:
     """One row per overlapping pair of spans of a message."""
-    return df.select(*keys, F.inline(S.overlap_pairs(F.col(spans))))
+    return df.select(*keys, F.inline_outer(S.overlap_pairs(spans))).filter("first_type is not null")
 
 
 def validate_span_bounds(
@@ -56,8 +59,8 @@ def span_boundary_check(df: DataFrame, text: Column | str, spans: str = "spans")
     )
 
 
-def bio_char_tags(df: DataFrame, text: Column | str = "body", spans: str = "spans", out: str = "tags") -> DataFrame:
-    return df.withColumn(out, S.char_tags(F.col(spans), F.length(col_of(text))))
+def bio_char_tags(df: DataFrame, text: str = "body", spans: str = "spans", out: str = "tags") -> DataFrame:
+    return df.withColumn(out, S.char_tags(spans, text))
 
 
 def bio_token_tags(

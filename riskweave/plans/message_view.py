@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.fixed import corpus, labels
 from riskweave.functions.hashing import string_array
+from riskweave.functions.spans import quoted
 from riskweave.functions.text import guess_mime, synth_subject
 
 NOTES = [
@@ -66,66 +67,60 @@ def scan(spark: SparkSession, sf_dir: str, table: str, spread: bool = True) -> D
     return df
 
 
-def _nth(values: Sequence[str], index: Column) -> Column:
-    return F.get(string_array(values), index.cast("int"))
+def _words(values: Sequence[str]) -> str:
+    return "array(" + ", ".join(quoted(v) for v in values) + ")" if values else "cast(array() as array<string>)"
 
 
-def _div(column: Column, by: int) -> Column:
-    return F.floor(column / by)
+def _nth(values: Sequence[str], index: str) -> str:
+    return f"element_at({_words(values)}, cast({index} as int) + 1)"
 
 
 def messages(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
-    d = F.col("doc_id")
-    document = scan(spark, sf_dir, "documents", spread)
-    note = _nth(NOTES, d % len(NOTES))
-    recipients = F.concat(
+    note = _nth(NOTES, f"doc_id % {len(NOTES)}")
+    file_name = _nth(FILES, f"(doc_id + i) % {len(FILES)}")
+    prepared = scan(spark, sf_dir, "documents", spread).withColumns(
+        {
+            "files": F.expr(f"transform(slice(array(0, 1), 1, cast(doc_id % 3 as int)), i -> struct(i, {file_name} as name))"),
+            "subject": synth_subject(F.col("text")),
+        }
+    )
+    return prepared.withColumn(
+        "attachments",
         F.transform(
-            F.slice(F.array(F.lit(0), F.lit(1), F.lit(2)), F.lit(1), (d % 4).cast("int")),
-            lambda k: F.concat(F.lit("u"), k.cast("string"), F.lit("@"), _nth(DOMAINS, (_div(d, 4) + k * 3) % len(DOMAINS))),
+            "files",
+            lambda f: F.struct(
+                f["name"].alias("name"),
+                (F.col("n_chars") * 1000).alias("size"),
+                guess_mime(f["name"]).alias("mime"),
+                F.get(string_array(SUMMARIES), ((F.col("doc_id") + f["i"]) % len(SUMMARIES)).cast("int")).alias("content_summary"),
+                F.get(
+                    F.expr(f"array({', '.join(_words(v) for v in INDICATORS)})"),
+                    ((F.col("doc_id") + f["i"]) % len(INDICATORS)).cast("int"),
+                ).alias("sensitivity_indicators"),
+            ),
         ),
-        F.when(d % 10 == 9, string_array(["#general"])).otherwise(F.array().cast("array<string>")),
-    )
-    indicator_lists = F.array(*[string_array(v) for v in INDICATORS])
-
-    def attachment(i: Column) -> Column:
-        name = _nth(FILES, (d + i) % len(FILES))
-        return F.struct(
-            name.alias("name"),
-            (F.col("n_chars") * 1000).alias("size"),
-            guess_mime(name).alias("mime"),
-            _nth(SUMMARIES, (d + i) % len(SUMMARIES)).alias("content_summary"),
-            F.get(indicator_lists, ((d + i) % len(INDICATORS)).cast("int")).alias("sensitivity_indicators"),
-        )
-
-    attachments = F.transform(F.slice(F.array(F.lit(0), F.lit(1)), F.lit(1), (d % 3).cast("int")), attachment)
-    return document.select(
-        d.alias("msg_id"),
-        F.col("source").alias("channel"),
-        F.struct(
-            _nth(ROLES, d % len(ROLES)).alias("role"),
-            _nth(DEPTS, d % len(DEPTS)).alias("dept"),
-            _nth(SENIORITIES, d % len(SENIORITIES)).alias("seniority"),
-            F.concat(F.lit("u"), (d % 97).cast("string"), F.lit("@company.com")).alias("email"),
-        ).alias("user"),
-        recipients.alias("recipients"),
-        F.struct(
-            F.substring(F.md5(F.concat(F.lit("thread_"), _div(d, 3).cast("string"))), 1, 16).alias("id_hash"),
-            (d % 30).cast("int").alias("age_days"),
-            (d % 5).cast("int").alias("prior_msgs"),
-        ).alias("thread"),
-        synth_subject(F.col("text")).alias("subject"),
-        F.when(note == "", F.col("text")).otherwise(F.concat_ws("\n", F.col("text"), note)).alias("body"),
-        attachments.alias("attachments"),
-        F.when(d % 2 == 1, F.array(F.concat(F.lit("https://share.example.com/d/"), d.cast("string"))))
-        .otherwise(F.array().cast("array<string>"))
-        .alias("links"),
-        F.when(d % 13 != 0, _nth(AGENTS, d % len(AGENTS))).alias("agent"),
-        F.when(d % 10 < 7, "train").when(d % 10 < 9, "val").otherwise("test").alias("split"),
-        _nth(PROVIDERS, d % len(MODELS)).alias("provider"),
-        _nth(MODELS, d % len(MODELS)).alias("model"),
-        _nth(SCENARIOS, _div(d, 7) % len(SCENARIOS)).alias("scenario"),
-        _nth(RISK_LEVELS, d % len(RISK_LEVELS)).alias("risk_level"),
-        F.when(d % 5 == 0, "authorized").otherwise("other").alias("risk_type"),
+    ).selectExpr(
+        "doc_id as msg_id",
+        "source as channel",
+        f"""named_struct('role', {_nth(ROLES, f'doc_id % {len(ROLES)}')}, 'dept', {_nth(DEPTS, f'doc_id % {len(DEPTS)}')},
+            'seniority', {_nth(SENIORITIES, f'doc_id % {len(SENIORITIES)}')},
+            'email', concat('u', doc_id % 97, '@company.com')) as user""",
+        f"""concat(transform(slice(array(0, 1, 2), 1, cast(doc_id % 4 as int)),
+              k -> concat('u', k, '@', {_nth(DOMAINS, f'(doc_id div 4 + k * 3) % {len(DOMAINS)}')})),
+            if(doc_id % 10 = 9, array('#general'), cast(array() as array<string>))) as recipients""",
+        """named_struct('id_hash', substring(md5(concat('thread_', doc_id div 3)), 1, 16),
+            'age_days', cast(doc_id % 30 as int), 'prior_msgs', cast(doc_id % 5 as int)) as thread""",
+        "subject",
+        f"if({note} = '', text, concat_ws('\n', text, {note})) as body",
+        "attachments",
+        "if(doc_id % 2 = 1, array(concat('https://share.example.com/d/', doc_id)), cast(array() as array<string>)) as links",
+        f"if(doc_id % 13 <> 0, {_nth(AGENTS, f'doc_id % {len(AGENTS)}')}, null) as agent",
+        "case when doc_id % 10 < 7 then 'train' when doc_id % 10 < 9 then 'val' else 'test' end as split",
+        f"{_nth(PROVIDERS, f'doc_id % {len(MODELS)}')} as provider",
+        f"{_nth(MODELS, f'doc_id % {len(MODELS)}')} as model",
+        f"{_nth(SCENARIOS, f'doc_id div 7 % {len(SCENARIOS)}')} as scenario",
+        f"{_nth(RISK_LEVELS, f'doc_id % {len(RISK_LEVELS)}')} as risk_level",
+        "if(doc_id % 5 = 0, 'authorized', 'other') as risk_type",
     )
 
 

@@ -31,7 +31,7 @@ def _keep(ruleset: str, kind: str, pattern: str) -> str | None:
     if kind == "NAME" and ruleset == "generator":
         return "NOT " + sql_contains_any("lower(m.text)", fixed.GENERATOR_NAME_STOP_PHRASES)
     if "(?=" in pattern:  # look-ahead to the end of the line, as a test on what follows
-        rest = "regexp_extract(substr(body, m.start + len(m.text) + 1), '^.*')"
+        rest = "regexp_extract(substr(body, CAST(m.start AS BIGINT) + len(m.text) + 1), '^.*')"
         return " AND ".join(f"regexp_matches({rest}, '{c}')" for c in ("[A-Z]", "[a-z]", "[0-9]"))
     return None
 
@@ -73,40 +73,40 @@ def _without_look_ahead(pattern: str) -> str:
     return pattern.split("(?=")[0]
 
 
-def raw_spans_cte(ruleset: str, name: str = "raw_spans", source: str = "msg", text: str = "body") -> str:
-    """CTE (msg_id, body, spans): all matches by start and rule order, before any overlap rule."""
-    lists = []
+def raw_spans_cte(ruleset: str, name: str = "raw", source: str = "msg", text: str = "body") -> str:
+    """CTE (msg_id, s): all matches as rows, before any overlap rule. Offsets are running lengths."""
+    parts = []
     for number, (kind, pattern, ignore, confidence) in enumerate(_rules(ruleset)):
         regex = sql_regex(_without_look_ahead(pattern), ignore)
-        matched, gaps = f"regexp_extract_all(folded, {regex})", f"string_split_regex(folded, {regex})"
-        start = (
-            f"list_sum(list_transform(list_slice({gaps}, 1, k), lambda x: len(x))) + "
-            f"coalesce(list_sum(list_transform(list_slice({matched}, 1, k - 1), lambda x: len(x))), 0)"
+        test = _keep(ruleset, kind, pattern) or "true"
+        parts.append(
+            f"""
+SELECT msg_id, {{'start': CAST(m.start AS INT), 'rule': {number}, 'end': CAST(m.start + len(m.text) AS INT),
+  'type': {_type(ruleset, kind)}, 'text': m.text, 'confidence': CAST({confidence} AS DOUBLE)}} AS s
+FROM (
+  SELECT msg_id, body, {{'start': reach - len(hit), 'text': substr(body, CAST(reach - len(hit) AS BIGINT) + 1, len(hit))}} AS m
+  FROM (
+    SELECT msg_id, body, hit, sum(len(gap) + len(hit)) OVER (PARTITION BY msg_id ORDER BY k) AS reach
+    FROM (
+      SELECT msg_id, body, unnest(hits) AS hit, unnest(list_slice(gaps, 1, len(hits))) AS gap, unnest(range(len(hits))) AS k
+      FROM (
+        SELECT msg_id, body, regexp_extract_all(folded, {regex}) AS hits, string_split_regex(folded, {regex}) AS gaps
+        FROM {name}_text WHERE regexp_matches(folded, {regex})))))
+WHERE {test}"""
         )
-        found = (
-            f"list_transform(range(1, len({matched}) + 1), lambda k: {{'start': CAST({start} AS INT), "
-            f"'text': substr(body, CAST({start} AS INT) + 1, len(({matched})[k]))}})"
-        )
-        test = _keep(ruleset, kind, pattern)
-        if test:
-            found = f"list_filter({found}, lambda m: {test})"
-        lists.append(
-            f"list_transform({found}, lambda m: {{'start': m.start, 'rule': {number}, 'end': CAST(m.start + len(m.text) AS INT), "
-            f"'type': {_type(ruleset, kind)}, 'text': m.text, 'confidence': CAST({confidence} AS DOUBLE)}})"
-        )
-    return f"""{name} AS (
-  SELECT msg_id, body, list_sort({' || '.join(lists)}) AS spans
-  FROM (SELECT msg_id, {text} AS body, {sql_folded(text)} AS folded FROM {source}))"""
+    return (
+        f"{name}_text AS (SELECT msg_id, {text} AS body, {sql_folded(text)} AS folded FROM {source}),\n"
+        f"{name} AS (" + " UNION ALL ".join(parts) + ")"
+    )
 
 
 _EMPTY = (
-    "CAST([] AS STRUCT(\"start\" INT, \"rule\" INT, \"end\" INT, \"type\" VARCHAR, \"text\" VARCHAR, confidence DOUBLE)[])"
+    'CAST([] AS STRUCT("start" INT, "rule" INT, "end" INT, "type" VARCHAR, "text" VARCHAR, confidence DOUBLE)[])'
 )
 
 
-def resolved_cte(overlap: str, name: str = "spans", source: str = "raw_spans") -> str:
-    """CTE with an overlap rule applied by a left fold."""
-    single = "list_transform(spans, lambda s: [s])"
+def resolved_cte(overlap: str, name: str = "flat", source: str = "raw") -> str:
+    """CTE (msg_id, s) with an overlap rule applied: a left fold inside each stretch of touching spans."""
     if overlap == "confidence":
         rival = "list_filter(acc, lambda k: x[1].start < k.end AND x[1].end > k.start)[1]"
         better = (
@@ -128,11 +128,24 @@ def resolved_cte(overlap: str, name: str = "spans", source: str = "raw_spans") -
     elif overlap == "distinct":
         body = "CASE WHEN len(list_filter(acc, lambda k: k.start = x[1].start AND k.end = x[1].end)) > 0 THEN acc ELSE acc || x END"
     else:
-        return f"{name} AS (SELECT * FROM {source})"
-    return (
-        f"{name} AS (SELECT msg_id, body, list_sort(list_reduce({single}, lambda acc, x: {body}, {_EMPTY})) AS spans FROM {source})"
-    )
+        return f"{name} AS (SELECT msg_id, s FROM {source})"
+    return f"""
+{name}_edges AS (
+  SELECT msg_id, s, coalesce(s.start >= max(s.end) OVER (PARTITION BY msg_id ORDER BY s.start, s.rule
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM {source}),
+{name}_islands AS (
+  SELECT msg_id, list([s] ORDER BY s.start, s.rule) AS members FROM (
+    SELECT msg_id, s, sum(CAST(fresh AS INT)) OVER (PARTITION BY msg_id ORDER BY s.start, s.rule) AS island FROM {name}_edges)
+  GROUP BY msg_id, island),
+{name} AS (
+  SELECT msg_id, unnest(CASE WHEN len(members) = 1 THEN members[1] ELSE list_reduce(members, lambda acc, x: {body}, {_EMPTY}) END) AS s
+  FROM {name}_islands)"""
 
 
 def spans_ctes(ruleset: str, overlap: str, source: str = "msg", text: str = "body") -> list[str]:
-    return [raw_spans_cte(ruleset, source=source, text=text), resolved_cte(overlap)]
+    """CTEs ending in flat (msg_id, s) and spans (msg_id, spans): one row per message, also without spans."""
+    grouped = (
+        f"spans AS (SELECT m.msg_id, coalesce(g.spans, {_EMPTY}) AS spans FROM {source} m LEFT JOIN "
+        "(SELECT msg_id, list(s ORDER BY s.start, s.rule) AS spans FROM flat GROUP BY msg_id) g USING (msg_id))"
+    )
+    return [raw_spans_cte(ruleset, source=source, text=text), resolved_cte(overlap), grouped]
