@@ -318,7 +318,7 @@ def quality_full(subject: Column, body: Column, recipients: Column, user: Column
         + _addresses_complete(recipients).cast("int")
         + F.coalesce(user["role"].isNotNull(), F.lit(False)).cast("int")
     )
-    span_part = F.when(n_spans == 0, 0.3).when(n_spans <= 5, 1.0).otherwise(0.7)
+    span_part = let(n_spans, lambda n: F.when(n == 0, 0.3).when(n <= 5, 1.0).otherwise(0.7))
     score = (
         F.when(F.length(body).between(50, 2000), 0.2).otherwise(0.0)
         + F.when((body != "") & realistic, 0.2).otherwise(0.0)

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from riskweave.plans import context_queries, detection_queries, label_queries  # noqa: F401
+from riskweave.plans import (  # noqa: F401
+    context_queries,
+    corpus_queries,
+    detection_queries,
+    label_queries,
+)
 from riskweave.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
