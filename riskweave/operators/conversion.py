@@ -67,22 +67,15 @@ def normalize_records(df: DataFrame, line: str = "line") -> DataFrame:
 def unify_keys(df: DataFrame, column: str) -> DataFrame:
     """Every map gets all keys found anywhere, missing ones as ''.
 
-    The key set is one row of distinct field names (schema-sized), attached as a scalar.
+    The key set (as large as the schema, not the data) is a scalar subquery.
     """
-    keys = df.select(F.explode(F.map_keys(column)).alias("k")).agg(F.array_sort(F.collect_set("k")).alias("_keys"))
-    return (
-        df.crossJoin(F.broadcast(keys))
-        .withColumn(
-            column,
-            F.map_from_entries(
-                F.transform(
-                    "_keys",
-                    lambda k: F.struct(k.alias("key"), F.coalesce(F.element_at(F.col(column), k), F.lit("")).alias("value")),
-                )
-            ),
+    keys = df.select(F.explode(F.map_keys(column)).alias("k")).agg(F.array_sort(F.collect_set("k")))
+    full = lambda ks: F.map_from_entries(
+        F.transform(
+            ks, lambda k: F.struct(k.alias("key"), F.coalesce(F.element_at(F.col(column), k), F.lit("")).alias("value"))
         )
-        .drop("_keys")
     )
+    return df.withColumn("_keys", keys.scalar()).withColumn(column, full(F.col("_keys"))).drop("_keys")
 
 
 def _attachment(name: Column, size: Column, mime: Column, summary: Column, indicators: Column) -> Column:

@@ -6,7 +6,9 @@ from riskweave.plans import (  # noqa: F401
     context_queries,
     corpus_queries,
     detection_queries,
+    evaluation_queries,
     label_queries,
+    statistics_queries,
 )
 from riskweave.plans.registry import ORACLES, QUERIES
 

@@ -302,11 +302,11 @@ def stable_id_query(spark, sf_dir):
 
 @query(
     "profile_structure",
-    "SELECT key, count(*) AS present, 'BIGINT' AS kinds, min(CAST(json_extract(props, '$.' || key) AS BIGINT)) AS smallest "
+    "SELECT key, count(*) AS present, 'BIGINT' AS kinds, min(json_extract_string(props, '$.' || key)) AS sample "
     "FROM (SELECT props, unnest(json_keys(props)) AS key FROM events) GROUP BY key",
 )
 def profile_structure(spark, sf_dir):
     from riskweave.operators.statistics import profile_structure as profile
 
     done = profile(scan(spark, sf_dir, "events", spread=False), "props")
-    return done.select("key", "present", F.array_join("kinds", ",").alias("kinds"), F.col("sample").cast("bigint").alias("smallest"))
+    return done.select("key", "present", F.array_join("kinds", ",").alias("kinds"), "sample")
