@@ -242,13 +242,18 @@ def decision_stability(df: DataFrame, score, shifts=SHIFTS) -> DataFrame:
     ``score(column)`` gives the four heads of a text. A negative shift cuts characters from the start, a positive one
     from the end; shorter results than 11 characters do not count.
     """
-    decisions = lambda s: F.array(*[s[h] > 0.5 for h in HEADS])
     cut = lambda k: F.substring(F.col("body"), -k + 1, 2**31 - 1) if k < 0 else F.left("body", F.length("body") - k)
-    base = df.select("body", decisions(score(F.col("body"))).alias("base"))
-    flags = [
-        F.when(F.length("body") - abs(k) > MIN_SHIFTED_LENGTH, decisions(score(cut(k))) == F.col("base")) for k in shifts
-    ]
-    flat = base.select(F.explode(F.array(*flags)).alias("same")).filter("same is not null")
+    texts = F.array(F.col("body"), *[F.when(F.length("body") - abs(k) > MIN_SHIFTED_LENGTH, cut(k)) for k in shifts])
+
+    def decided(text: Column) -> Column:
+        scores = score(text)
+        return F.when(text.isNotNull(), F.array(*[scores[h] > 0.5 for h in HEADS]))
+
+    # One lambda over the five texts keeps the generated code small.
+    every = df.select(F.transform(texts, decided).alias("d"))
+    flat = every.select(F.posexplode_outer("d").alias("i", "one"), F.get("d", F.lit(0)).alias("base")).filter(
+        "i > 0 and one is not null"
+    ).select((F.col("one") == F.col("base")).alias("same"))
     return flat.agg(
         F.count(F.lit(1)).alias("comparisons"),
         F.coalesce(F.avg(F.col("same").cast("double")), F.lit(0.0)).alias("decision_stability"),
