@@ -7,6 +7,7 @@ from riskweave.plans import (  # noqa: F401
     corpus_queries,
     detection_queries,
     evaluation_queries,
+    generation_queries,
     label_queries,
     statistics_queries,
 )
