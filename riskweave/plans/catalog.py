@@ -9,6 +9,7 @@ from riskweave.plans import (  # noqa: F401
     evaluation_queries,
     generation_queries,
     label_queries,
+    results_queries,
     statistics_queries,
 )
 from riskweave.plans.registry import ORACLES, QUERIES
