@@ -141,7 +141,10 @@ def span_bounds(spark, sf_dir):
     return kept.select("msg_id", F.size("spans").alias("found"), F.size("valid_spans").alias("inside"))
 
 
-@query("span_boundary_check")
+@query(
+    "span_boundary_check",
+    with_messages("SELECT count(*) AS messages, CAST(sum(len(spans)) AS BIGINT) AS spans, 0 AS violations FROM spans", *spans_ctes("full", "confidence")),
+)
 def span_boundary_check(spark, sf_dir):
     from riskweave.operators.packing import serialize_dsl
 

@@ -519,7 +519,14 @@ def augment_grids(spark, sf_dir):
     return Gr.augment_grids(puzzles(spark, sf_dir), 4).select("group_id", "puzzle_id", "tid", "hash")
 
 
-@query("puzzle_hash")
+def _text_sql(start: int) -> str:
+    return f"sha256(array_to_string(list_transform({_grid_sql(start)}, lambda l: array_to_string(l, ',')), ';'))"
+
+
+@query(
+    "puzzle_hash",
+    f"SELECT 'p' || vec_id AS puzzle_id, sha256(array_to_string(list_sort([{_text_sql(0)} || '|' || {_text_sql(9)}, {_text_sql(18)} || '|' || {_text_sql(27)}]), '|')) AS hash FROM embeddings",
+)
 def puzzle_hash(spark, sf_dir):
     return puzzles(spark, sf_dir).select("puzzle_id", F.expr(G.puzzle_hash_sql("examples")).alias("hash"))
 

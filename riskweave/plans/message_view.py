@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.fixed import corpus, labels
-from riskweave.functions.hashing import string_array
 from riskweave.functions.spans import quoted
-from riskweave.functions.text import guess_mime, synth_subject
+from riskweave.functions.text import synth_subject
 
 NOTES = [
     "",
@@ -78,28 +77,16 @@ def _nth(values: Sequence[str], index: str) -> str:
 def messages(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
     note = _nth(NOTES, f"doc_id % {len(NOTES)}")
     file_name = _nth(FILES, f"(doc_id + i) % {len(FILES)}")
-    prepared = scan(spark, sf_dir, "documents", spread).withColumns(
-        {
-            "files": F.expr(f"transform(slice(array(0, 1), 1, cast(doc_id % 3 as int)), i -> struct(i, {file_name} as name))"),
-            "subject": synth_subject(F.col("text")),
-        }
-    )
-    return prepared.withColumn(
-        "attachments",
-        F.transform(
-            "files",
-            lambda f: F.struct(
-                f["name"].alias("name"),
-                (F.col("n_chars") * 1000).alias("size"),
-                guess_mime(f["name"]).alias("mime"),
-                F.get(string_array(SUMMARIES), ((F.col("doc_id") + f["i"]) % len(SUMMARIES)).cast("int")).alias("content_summary"),
-                F.get(
-                    F.expr(f"array({', '.join(_words(v) for v in INDICATORS)})"),
-                    ((F.col("doc_id") + f["i"]) % len(INDICATORS)).cast("int"),
-                ).alias("sensitivity_indicators"),
-            ),
-        ),
-    ).selectExpr(
+    extension = "if(contains(f.name, '.'), lower(substring_index(f.name, '.', -1)), '')"
+    mime = " ".join(f"when {quoted(k)} then {quoted(v)}" for k, v in corpus.MIME_BY_EXTENSION.items())
+    indicators = "array(" + ", ".join(_words(v) for v in INDICATORS) + ")"
+    attachments = f"""transform(
+        transform(slice(array(0, 1), 1, cast(doc_id % 3 as int)), i -> named_struct('i', i, 'name', {file_name})),
+        f -> named_struct('name', f.name, 'size', n_chars * 1000, 'mime', case {extension} {mime} else {quoted(corpus.DEFAULT_MIME)} end,
+          'content_summary', {_nth(SUMMARIES, f'(doc_id + f.i) % {len(SUMMARIES)}')},
+          'sensitivity_indicators', element_at({indicators}, cast((doc_id + f.i) % {len(INDICATORS)} as int) + 1)))"""
+    document = scan(spark, sf_dir, "documents", spread).withColumn("subject", synth_subject(F.col("text")))
+    return document.selectExpr(
         "doc_id as msg_id",
         "source as channel",
         f"""named_struct('role', {_nth(ROLES, f'doc_id % {len(ROLES)}')}, 'dept', {_nth(DEPTS, f'doc_id % {len(DEPTS)}')},
@@ -112,7 +99,7 @@ def messages(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame
             'age_days', cast(doc_id % 30 as int), 'prior_msgs', cast(doc_id % 5 as int)) as thread""",
         "subject",
         f"if({note} = '', text, concat_ws('\n', text, {note})) as body",
-        "attachments",
+        f"{attachments} as attachments",
         "if(doc_id % 2 = 1, array(concat('https://share.example.com/d/', doc_id)), cast(array() as array<string>)) as links",
         f"if(doc_id % 13 <> 0, {_nth(AGENTS, f'doc_id % {len(AGENTS)}')}, null) as agent",
         "case when doc_id % 10 < 7 then 'train' when doc_id % 10 < 9 then 'val' else 'test' end as split",

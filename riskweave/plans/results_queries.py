@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from riskweave.operators import conversion as C
 from riskweave.operators import results as Rs
-from riskweave.plans.message_view import messages, scan, with_messages
+from riskweave.plans.corpus_queries import _CLEANED_TURN
+from riskweave.plans.message_view import messages, scan, sql_subject, sql_text, with_messages
 from riskweave.plans.registry import query
 from riskweave.plans.statistics_queries import batch_log
 from riskweave.sources import sinks
@@ -65,22 +66,23 @@ def _generated(spark, sf_dir):
     return d.select("doc_id", text.alias("text"))
 
 
-_HAS_BRACE = "regexp_matches(text, '[{}]|```')"
+_JSON_SQL = "CAST(json_object('channel', source, 'user', json_object('role', 'HR'), 'subject', 's', 'body', text) AS VARCHAR)"
+
+
+_FENCED_SQL = sql_text(r"(?s)\A(\{.*?\})\s*```")
+_NESTED_SQL = sql_text(Rs._NESTED)
 
 
 @query(
     "parse_generated_json",
-    f"SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN 'email' ELSE source END AS channel, doc_id % 4 = 2 AS parsing_failed, "
-    "CASE WHEN doc_id % 4 = 2 THEN CASE WHEN len(plain) > 500 THEN substr(plain, 1, 500) || '...' ELSE plain END ELSE text END AS body "
-    f"FROM (SELECT *, regexp_replace(text, '[{{}}]', '', 'g') AS plain FROM documents) WHERE doc_id % 4 <> 3 AND NOT (doc_id % 4 < 2 AND {_HAS_BRACE})",
+    f"""SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN 'email' ELSE json_extract_string(c, '$.channel') END AS channel, doc_id % 4 = 2 AS parsing_failed,
+  CASE WHEN doc_id % 4 = 2 THEN CASE WHEN len(plain) > 500 THEN substr(plain, 1, 500) || '...' ELSE plain END ELSE json_extract_string(c, '$.body') END AS body
+FROM (SELECT doc_id, plain, CASE doc_id % 4 WHEN 0 THEN regexp_extract(j, {_FENCED_SQL}, 1) WHEN 1 THEN regexp_extract(j, {_NESTED_SQL}) ELSE '' END AS c
+  FROM (SELECT doc_id, regexp_replace(text, '[{{}}]', '', 'g') AS plain, {_JSON_SQL} || CASE WHEN doc_id % 4 = 0 THEN chr(10) || '```' ELSE '' END AS j FROM documents))
+WHERE doc_id % 4 = 2 OR (doc_id % 4 < 2 AND json_valid(c))""",
 )
 def parse_generated_json(spark, sf_dir):
-    from riskweave.plans.message_view import scan as scan_table
-
-    done = Rs.parse_generated_json(_generated(spark, sf_dir)).select("doc_id", "channel", "parsing_failed", "body")
-    # Texts with braces or fences of their own follow the nested-brace pattern and are left to the unit tests.
-    plain = scan_table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"[{}]|```") | (F.col("doc_id") % 4 == 2)).select("doc_id")
-    return done.join(plain, "doc_id", "left_semi")
+    return Rs.parse_generated_json(_generated(spark, sf_dir)).select("doc_id", "channel", "parsing_failed", "body")
 
 
 @query(
@@ -96,7 +98,11 @@ def parse_many_json(spark, sf_dir):
     return many.select("conv_id", F.try_variant_get("object", "$.turn", "bigint").alias("turn"), F.try_variant_get("object", "$.role", "string").alias("role"))
 
 
-@query("convert_response")
+@query(
+    "convert_response",
+    f"""SELECT conv_id, turn, 'email' AS channel, CASE WHEN conv_id % 3 = 1 THEN '' ELSE {sql_subject('cleaned')} END AS subject, md5(CASE WHEN conv_id % 3 = 1 THEN text ELSE cleaned END) AS body_md5
+FROM (SELECT *, {_CLEANED_TURN} AS cleaned FROM conversations) WHERE conv_id % 3 > 0""",
+)
 def convert_response(spark, sf_dir):
     c = scan(spark, sf_dir, "conversations", spread=False)
     shape = F.col("conv_id") % 3
