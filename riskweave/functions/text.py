@@ -138,6 +138,12 @@ def guess_mime(name: Column) -> Column:
 # -- calibration scalars ----------------------------------------------------------------------------------------
 
 
+def safe_corr(a: Column, b: Column) -> Column:
+    """Pearson correlation as an aggregate; null where a side does not vary (where ``corr`` divides by zero)."""
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when((F.max(a) > F.min(a)) & (F.max(b) > F.min(b)) & (spread > 0), F.covar_pop(a, b) / spread)
+
+
 def logit(p: Column, clip: float) -> Column:
     bounded = F.greatest(F.lit(clip), F.least(F.lit(1 - clip), p))
     return F.ln(bounded / (1 - bounded))

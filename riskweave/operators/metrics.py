@@ -12,6 +12,7 @@ from riskweave.fixed.labels import HEADS
 from riskweave.fixed.span_patterns import IGNORE_ID
 from riskweave.functions import labels as L
 from riskweave.functions.spans import bio_vocabulary
+from riskweave.functions.text import safe_corr
 from riskweave.operators.positions import grouped_running
 
 
@@ -299,7 +300,7 @@ def calibration_report(df: DataFrame, risk: str = "risk", expected: str = "expec
     measures = [
         F.count(F.lit(1)).alias("n"), F.avg(error).alias("mae"),
         band(e > 0.7).alias("mae_high"), band(e.between(0.3, 0.7)).alias("mae_medium"), band(e < 0.3).alias("mae_low"),
-        F.corr(risk, expected).alias("correlation"),
+        safe_corr(F.col(risk), e).alias("correlation"),
         (F.max(risk) - F.min(risk)).alias("risk_range"), F.stddev_pop(risk).alias("risk_std"),
     ]
     if {"decision", "expected_decision"} <= set(df.columns):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskweave.fixed import labels as fixed
 from riskweave.fixed.labels import HEADS
-from riskweave.functions.text import contains_any, count_contained
+from riskweave.functions.text import contains_any, count_contained, safe_corr
 
 
 def _map_of(df: DataFrame, keys: Sequence[str], name: str, count: str, out: str) -> DataFrame:
@@ -166,14 +166,13 @@ def compare_labelers(pairs: DataFrame) -> DataFrame:
     a, b = F.col("rule_value"), F.col("other_value")
     stats = pairs.groupBy("head").agg(
         F.count(F.lit(1)).alias("n"),
-        F.corr(a, b).alias("_r"),
+        safe_corr(a, b).alias("_r"),
         F.avg(a).alias("rule_mean"), F.stddev_pop(a).alias("rule_std"), (F.max(a) - F.min(a)).alias("rule_range"),
         F.avg(b).alias("other_mean"), F.stddev_pop(b).alias("other_std"), (F.max(b) - F.min(b)).alias("other_range"),
     )
-    varied = (F.col("rule_range") > 0) & (F.col("other_range") > 0)  # r is undefined for a constant side
     return stats.select(
         "head", "n",
-        F.when(varied, F.col("_r")).otherwise(0.0).alias("correlation"),
+        F.coalesce("_r", F.lit(0.0)).alias("correlation"),
         (F.col("other_mean") - F.col("rule_mean")).alias("mean_difference"),
         (F.col("other_std") - F.col("rule_std")).alias("std_difference"),
         (F.col("other_range") - F.col("rule_range")).alias("range_difference"),

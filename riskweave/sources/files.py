@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave import schema
+from riskweave.functions.markup import characters
 from riskweave.operators.positions import grouped_running
 
 _CORRUPT = "_corrupt_record"
@@ -16,11 +17,30 @@ def split_of_file(name: Column) -> Column:
     return F.when(name.contains("train"), "train").when(name.contains("val"), "val").when(name.contains("test"), "test").otherwise(name)
 
 
+def _parsed(lines: DataFrame, struct, keep_bad: bool) -> DataFrame:
+    """Text rows as typed rows. Text that is blank is dropped; text that is malformed or no object is dropped, or kept
+    with the text in _corrupt_record."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    rest = [c for c in lines.columns if c != "value"]
+    typed = lines.filter(F.trim("value") != "").select(
+        *rest, F.from_json("value", struct, options).alias("_row"), F.ltrim("value").startswith("{").alias("_object"), "value"
+    )
+    bad = ~F.col("_object") | F.col(f"_row.{_CORRUPT}").isNotNull()
+    names = [f.name for f in struct.fields if f.name != _CORRUPT]
+    if keep_bad:
+        return typed.select(*rest, *[F.col(f"_row.{n}").alias(n) for n in names], F.when(bad, F.col("value")).alias(_CORRUPT))
+    return typed.filter(~bad).select(*rest, *[F.col(f"_row.{n}").alias(n) for n in names])
+
+
+def parse_messages(lines: DataFrame, keep_bad: bool = False) -> DataFrame:
+    """Text lines (batch or stream) as messages."""
+    return _parsed(lines, schema.message_schema(_CORRUPT), keep_bad)
+
+
 def read_messages(spark: SparkSession, path: str, keep_bad: bool = False) -> DataFrame:
     """JSON lines as messages. Malformed lines and lines that are not objects are dropped, or kept for counting with
     their text in _corrupt_record."""
-    df = spark.read.schema(schema.message_schema(_CORRUPT)).option("columnNameOfCorruptRecord", _CORRUPT).json(path)
-    return df if keep_bad else df.filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+    return parse_messages(spark.read.text(path), keep_bad)
 
 
 def read_report(df: DataFrame) -> DataFrame:
@@ -30,9 +50,8 @@ def read_report(df: DataFrame) -> DataFrame:
 
 def read_split_dir(spark: SparkSession, folder: str, pattern: str = "*_examples_augmented.jsonl") -> DataFrame:
     """Messages of all matching files with their split and file name."""
-    reader = spark.read.schema(schema.message_schema(_CORRUPT)).option("columnNameOfCorruptRecord", _CORRUPT)
-    rows = reader.option("pathGlobFilter", pattern).json(folder).withColumn("file_name", F.col("_metadata.file_name"))
-    return rows.filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT).withColumn("split", split_of_file(F.col("file_name")))
+    lines = spark.read.option("pathGlobFilter", pattern).text(folder).select("value", F.col("_metadata.file_name").alias("file_name"))
+    return parse_messages(lines).withColumn("split", split_of_file(F.col("file_name")))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -67,27 +86,25 @@ def read_batch_results_alt(spark: SparkSession, path: str) -> DataFrame:
     return unwrap_second(read_lines(spark, path).drop("block"))
 
 
+def _documents(spark: SparkSession, folder: str, pattern: str, ddl: str) -> DataFrame:
+    """One JSON document per file; broken files are skipped."""
+    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder)
+    return _parsed(whole, with_corrupt_column(ddl), keep_bad=False)
+
+
 def read_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    """One session per run folder, newest first; broken files are skipped."""
-    kept = with_corrupt_column(schema.SESSION_DDL)
-    reader = spark.read.schema(kept).option("columnNameOfCorruptRecord", _CORRUPT).option("multiLine", True)
-    rows = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "session.json").json(folder)
-    good = rows.filter(F.col(_CORRUPT).isNull() & F.col("session_id").isNotNull())
-    return good.drop(_CORRUPT).orderBy(F.desc("start_time"))
+    """One session per run folder, newest first."""
+    return _documents(spark, folder, "session.json", schema.SESSION_DDL).filter("session_id is not null").orderBy(F.desc("start_time"))
 
 
 def read_batch_log(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
-    """One document per session holding a map batch id -> record; one row per batch."""
+    """One document per session holding maps batch id -> record; one row per batch."""
     record = "struct<" + ",".join(f"{n}:{t}" for n, t in _fields(schema.BATCH_DDL) if n != "batch_id") + ">"
-    ddl = f"active_batches map<string,{record}>, completed_batches map<string,{record}>"
-    reader = spark.read.schema(with_corrupt_column(ddl)).option("columnNameOfCorruptRecord", _CORRUPT).option("multiLine", True)
-    rows = reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(folder)
-    both = F.map_concat(
-        F.coalesce("active_batches", F.create_map().cast(f"map<string,{record}>")),
-        F.coalesce("completed_batches", F.create_map().cast(f"map<string,{record}>")),
-    )
-    flat = rows.filter(F.col(_CORRUPT).isNull()).select(F.explode(both).alias("batch_id", "b"))
-    return flat.select("batch_id", "b.*")
+    batches = f"map<string,{record}>"
+    rows = _documents(spark, folder, pattern, f"active_batches {batches}, completed_batches {batches}")
+    nothing = F.create_map().cast(batches)
+    both = F.map_concat(F.coalesce("active_batches", nothing), F.coalesce("completed_batches", nothing))
+    return rows.select(F.explode(both).alias("batch_id", "b")).select("batch_id", "b.*")
 
 
 def read_puzzle_json(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,7 +128,7 @@ def read_puzzle_csv(spark: SparkSession, path: str, min_difficulty: int | None =
     rows = spark.read.schema(schema.BOARD_DDL).option("header", True).csv(path)
     if min_difficulty is not None:
         rows = rows.filter(F.col("rating") >= min_difficulty)
-    digits = lambda c: F.transform(F.split(F.regexp_replace(c, r"\.", "0"), "(?!^)"), lambda d: d.cast("int"))
+    digits = lambda c: F.transform(characters(F.replace(c, F.lit("."), F.lit("0"))), lambda d: d.cast("int"))
     right = (F.length("q") == cells) & (F.length("a") == cells)
     checked = F.when(right, F.col("q")).otherwise(F.raise_error(F.concat(F.lit("board without 81 cells: "), F.col("q"))))
     return rows.withColumn("q", checked).withColumns({"q": digits(F.col("q")), "a": digits(F.col("a"))})

@@ -11,19 +11,15 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskweave.operators import labeling
-from riskweave.schema import FINAL_BATCH_STATES, message_schema
+from riskweave.schema import FINAL_BATCH_STATES
+from riskweave.sources.files import parse_messages
 
 DAY_MS = 24 * 3600 * 1000
 
 
 def stream_messages(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
     """New JSON-lines files as messages; malformed lines drop out."""
-    corrupt = "_corrupt_record"
-    rows = (
-        spark.readStream.schema(message_schema(corrupt)).option("columnNameOfCorruptRecord", corrupt)
-        .option("maxFilesPerTrigger", files_per_trigger).json(folder)
-    )
-    return rows.filter(F.col(corrupt).isNull()).drop(corrupt)
+    return parse_messages(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder))
 
 
 def stream_label(messages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -57,29 +53,29 @@ _STATE = "status string, updated_ms bigint, created_ms bigint"
 
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Latest status of one batch; a final status ends it; no final status within the timeout expires it."""
+    """Latest status of one batch; a final status takes no more records; without one in time the batch expires.
+
+    State is one status and two times, and goes away a day after the batch began.
+    """
     if state.hasTimedOut:
         status, updated, _ = state.get
         state.remove()
-        yield pd.DataFrame({"batch_id": [key[0]], "status": ["expired"], "updated_at": [pd.Timestamp(updated, unit="ms")]})
+        if status not in FINAL_BATCH_STATES:
+            yield pd.DataFrame({"batch_id": [key[0]], "status": ["expired"], "updated_at": [pd.Timestamp(updated, unit="ms")]})
         return
     status, updated, created = state.get if state.exists else ("", -1, -1)
-    if status in FINAL_BATCH_STATES:
-        for _ in frames:  # a final state takes no more records
-            pass
-        return
     before = (status, updated)
     for frame in frames:
+        if status in FINAL_BATCH_STATES:
+            continue
         ms = frame["ts"].astype("datetime64[ms]").astype("int64")
         created = int(ms.min()) if created < 0 else min(created, int(ms.min()))
         final = frame[frame["status"].isin(FINAL_BATCH_STATES)]
         latest = (final if len(final) else frame).assign(ms=ms).sort_values("ms").iloc[-1]
-        if latest["status"] in FINAL_BATCH_STATES or (status not in FINAL_BATCH_STATES and int(latest["ms"]) >= updated):
+        if latest["status"] in FINAL_BATCH_STATES or int(latest["ms"]) >= updated:
             status, updated = latest["status"], int(latest["ms"])
     state.update((status, updated, created))
-    deadline = created + DAY_MS
-    watermark = state.getCurrentWatermarkMs()
-    state.setTimeoutTimestamp(max(deadline, watermark + 1))
+    state.setTimeoutTimestamp(max(created + DAY_MS, state.getCurrentWatermarkMs() + 1))  # each call clears the old one
     if (status, updated) != before:
         yield pd.DataFrame({"batch_id": [key[0]], "status": [status], "updated_at": [pd.Timestamp(updated, unit="ms")]})
 

@@ -1,0 +1,418 @@
+"""Labels, positions, metrics, generation and grids on hand-made rows or against brute force."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from riskweave.functions import grids as G
+from riskweave.functions import labels as L
+from riskweave.functions.hashing import uniform
+from riskweave.functions.spans import bio_vocabulary
+from riskweave.operators import augmentation as A
+from riskweave.operators import calibration as Cal
+from riskweave.operators import conversion as C
+from riskweave.operators import detection as D
+from riskweave.operators import filters as K
+from riskweave.operators import grids as Gr
+from riskweave.operators import labeling as B
+from riskweave.operators import metrics as M
+from riskweave.operators import packing as P
+from riskweave.operators import results as Rs
+from riskweave.operators import splits as Sp
+from riskweave.operators import statistics as St
+from riskweave.operators import synthesis as Sy
+from riskweave.operators.positions import grouped_running, ordered_index
+from riskweave.plans.message_view import messages
+
+
+# -- positions --------------------------------------------------------------------------------------------------
+
+
+def test_ordered_index_is_dense_and_sorted(spark):
+    df = spark.range(1000).withColumn("k", F.col("id") * 7919 % 1000).repartition(6)
+    rows = ordered_index(df, [F.col("k"), F.col("id")], "idx", carry_total="n").collect()
+    assert sorted(r["idx"] for r in rows) == list(range(1000)) and all(r["idx"] == r["k"] for r in rows)
+    assert {r["n"] for r in rows} == {1000}
+
+
+def test_grouped_running_with_a_hot_group(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id")).alias("g"), (F.col("id") % 5).alias("v")).repartition(7)
+    rows = grouped_running(df, ["g"], [F.col("id")], sums={"s": "v"}, rank="r").collect()
+    state = {}
+    for r in sorted(rows, key=lambda r: r["id"]):
+        n, s = state.get(r["g"], (0, 0))
+        state[r["g"]] = (n + 1, s + r["v"])
+        assert (r["r"], r["s"]) == state[r["g"]]
+
+
+def test_draws_do_not_depend_on_partitions(spark):
+    df = spark.range(200)
+    one = {r[0]: r[1] for r in df.repartition(1).select("id", uniform(42, F.col("id"))).collect()}
+    many = {r[0]: r[1] for r in df.repartition(8).select("id", uniform(42, F.col("id"))).collect()}
+    assert one == many and all(0 <= v < 1 for v in one.values()) and abs(np.mean(list(one.values())) - 0.5) < 0.08
+
+
+# -- labels -----------------------------------------------------------------------------------------------------
+
+
+def test_decision_ladder(spark):
+    rows = [(0.95, 0.8, 0.1, 0.0), (0.95, 0.1, 0.0, 0.0), (0.1, 0.51, 0.0, 0.9), (0.21, 0.0, 0.0, 0.0), (0.2, 0.2, 0.2, 0.2), (0.91, 0.1, 0.0, 0.7)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, scores struct<sensitivity:double,exposure:double,context:double,obfuscation:double>")
+    done = B.decide(df).orderBy("i").collect()
+    assert [r["decision"] for r in done] == ["BLOCK", "WARN", "WARN", "ALLOW_WITH_MONITORING", "ALLOW", "WARN"]
+    assert [r["primary_concern"] for r in done] == ["Sensitivity", "Sensitivity", "Obfuscation", "Sensitivity", "Sensitivity", "Sensitivity"]
+    assert [r["early_decision"] for r in done] == ["BLOCK", None, None, None, None, "BLOCK"]
+
+
+def test_pattern_labels_noise_is_repeatable_and_bounded(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    plain = {r[0]: r[1] for r in B.label_pattern(m).select("msg_id", "labels.sensitivity").collect()}
+    a = {r[0]: r[1] for r in B.label_pattern(m, noise=0.05).select("msg_id", "labels.sensitivity").collect()}
+    b = {r[0]: r[1] for r in B.label_pattern(m.repartition(3), noise=0.05).select("msg_id", "labels.sensitivity").collect()}
+    assert a == b and a != plain
+    assert all(0 <= v <= 1 and abs(v - plain[k]) <= 0.05 + 1e-9 for k, v in a.items())
+
+
+def test_address_look_ahead_rule(spark):
+    cases = {"a@x.com": 0, "a@x.xyz": 1, "a@x.com b@y.xyz": 2, "a@x.xyz b@y.org": 0, "": 0}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    from riskweave.functions.text import count_matches
+
+    found = {r[0]: r[1] for r in df.select("t", count_matches(F.col("t"), r"@(?!.*\.(com|org|edu|gov)$)", True)).collect()}
+    assert found == cases
+
+
+def test_filters(spark):
+    base = "struct<role:string,dept:string,seniority:string,email:string>"
+    att = "array<struct<name:string,size:bigint,mime:string,content_summary:string,sensitivity_indicators:array<string>>>"
+    good = [("a.pdf", 5, "m", "s", ["nda_content"])]
+    df = spark.createDataFrame(
+        [(1, ("LEGAL", "x", "y", "z"), "the matter at hand", good), (2, ("HR", "x", "y", "z"), "the matter", good), (3, ("LEGAL", "x", "y", "z"), "the matter", [("", 5, "m", "s", ["q"])]), (4, ("LEGAL", "x", "y", "z"), "nda", [])],
+        f"msg_id int, user {base}, body string, attachments {att}",
+    )
+    assert [r[0] for r in K.filter_domain_examples(df, "legal").orderBy("msg_id").collect()] == [1, 4]
+    texts = ["our project team", "pursuant to the project", "project card 4111111111111111", "project with a dot", "nothing"]
+    t = spark.createDataFrame([(x,) for x in texts], "body string")
+    assert [r[0] for r in K.filter_casual(t).collect()] == [texts[0], texts[2], texts[3]]
+    assert [r[0] for r in K.filter_clean(t).collect()] == texts[:2]
+
+
+# -- raw records ------------------------------------------------------------------------------------------------
+
+LINES = [
+    '{"subject":"s","body":"b","recipients":["a@x.org",null,5],"attachments":"one.pdf","links":{"home":"u","n":3},"user":"none"}',
+    '{"body":"b2","attachments":[{"name":"f.csv","size":"2048","mime_type":"m"},"g.txt",7,null],"links":["l1",{"url":"u","label":"t"},{"url":"v"}],"thread":{"id_hash":"h","age_days":2,"prior_msgs":1}}',
+    "[1,2]", '"text"', "{broken", "   ", '{"subject":"","body":"","links":null,"attachments":null}',
+]
+
+
+def test_normalize_records(spark):
+    rows = C.normalize_records(spark.createDataFrame([(x,) for x in LINES], "line string")).collect()
+    assert len(rows) == 3
+    assert rows[0]["recipients"] == ["a@x.org", "5"] and rows[0]["attachments"] == ["one.pdf"] and rows[0]["user"] == {}
+    assert rows[1]["thread"]["prior_msgs"] == 1 and len(rows[1]["attachments"]) == 3 and rows[2]["links"] == []
+    report = C.conversion_report(spark.createDataFrame([(x,) for x in LINES], "line string")).first()
+    assert (report["total_processed"], report["non_dict"], report["empty_content"], report["converted"]) == (6, 3, 1, 2)
+
+
+def test_links_and_attachments_in_every_shape(spark):
+    df = spark.createDataFrame([(x,) for x in LINES[:2] + LINES[-1:]], "line string").select(
+        F.get_json_object("line", "$.links").alias("links"), F.get_json_object("line", "$.attachments").alias("attachments")
+    )
+    links = [r[0] for r in C.normalize_links(df).select("links").collect()]
+    assert links == [["u|home", "3"], ["l1", "u|t", "v"], []]
+    raw = spark.createDataFrame([('"one.pdf"',), ('[{"name":"f.csv","size":"2048"},"g.txt",7,{"name":"n","size":"n/a"}]',), ("null",)], "attachments string")
+    files = [[(a["name"], a["size"], a["mime"]) for a in r[0]] for r in C.normalize_attachments(raw).collect()]
+    assert files[0] == [("one.pdf", 0, "application/pdf")] and files[2] == []
+    assert files[1] == [("f.csv", 2048, "text/csv"), ("g.txt", 0, "text/plain"), ("7", 0, "application/octet-stream"), ("n", 0, "application/octet-stream")]
+
+
+# -- responses --------------------------------------------------------------------------------------------------
+
+
+def test_parse_generated_json(spark):
+    texts = ['x ```json\n{"body": "b", "user": {"role": "HR"}}\n``` y', 'see {"body": "c", "user": {"role": "X"}} end', "plain " * 200, "{bad: [}"]
+    rows = Rs.parse_generated_json(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert [r["body"][:5] for r in rows] == ["b", "c", "plain"] and [r["parsing_failed"] for r in rows] == [False, False, True]
+    assert len(rows[2]["body"]) == 503 and rows[2]["user"] == {"role": "batch_recovered_fallback"}
+    many = Rs.parse_many_json(spark.createDataFrame([('{"a":1}\nnoise\n{"a":2}',), ('x {"a":3} y {"a":{"b":4}}',), ('[{"a":5},{"a":6}]',), ("none",)], "text string"))
+    assert many.count() == 6
+
+
+def test_label_prompt_limits(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    rows = Rs.build_label_prompts(m).select("body", "prompt", F.size("attachments").alias("n")).collect()
+    for r in rows:
+        assert ("..." in r["prompt"]) or len(r["body"]) <= 1000
+        assert r["prompt"].count('"type":') == min(r["n"], 3)
+        assert len(r["prompt"]) < 6000
+
+
+def test_map_results_keeps_order_and_gaps(spark):
+    requests = spark.createDataFrame([(i,) for i in range(4)], "request_index bigint")
+    results = spark.createDataFrame([("request-2", "c"), ("request-0", "a"), ("request-0", "b"), ("other", "z")], "custom_id string, content string")
+    rows = Rs.map_results_to_requests(requests, results).orderBy("request_index").collect()
+    assert [r["content"] for r in rows] == ["b", None, "c", None]
+
+
+# -- metrics ----------------------------------------------------------------------------------------------------
+
+
+def _score_table(spark):
+    rng = random.Random(3)
+    rows = [(i, h, round(rng.random(), 1 if h == "a" else 3), int(rng.random() < 0.3)) for h in "ab" for i in range(400)]
+    rows += [(i, "one", 0.5, 1) for i in range(10)]
+    return rows, spark.createDataFrame(rows, "msg_id int, head string, score double, truth int").repartition(5)
+
+
+def test_ranking_metrics_against_brute_force(spark):
+    rows, df = _score_table(spark)
+    got = {r["head"]: r for r in M.ranking_metrics(df).collect()}
+    assert (got["one"]["auroc"], got["one"]["auprc"], got["one"]["fpr_at_recall"]) == (0.5, 0.0, 0.0)
+    for h in "ab":
+        pos = [s for _, x, s, t in rows if x == h and t]
+        neg = [s for _, x, s, t in rows if x == h and not t]
+        area = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+        assert got[h]["auroc"] == pytest.approx(area)
+        ap, last, best = 0.0, 0.0, None
+        for t in sorted({*pos, *neg}, reverse=True):
+            tp, fp = sum(p >= t for p in pos), sum(n >= t for n in neg)
+            ap += (tp / len(pos) - last) * tp / (tp + fp)
+            last = tp / len(pos)
+            candidate = (abs(last - 0.95), t, fp / len(neg))
+            best = candidate if best is None or candidate[:2] < best[:2] else best
+        assert got[h]["auprc"] == pytest.approx(ap) and got[h]["fpr_at_recall"] == pytest.approx(best[2])
+
+
+def test_ece_leaves_zero_out(spark):
+    df = spark.createDataFrame([(1, "h", 0.0, 1), (2, "h", 0.3, 0), (3, "h", 1.0, 1), (4, "h", 0.5, 1)], "msg_id int, head string, score double, truth int")
+    assert M.expected_calibration_error(df).first()["ece"] == pytest.approx((0.3 + 0 + 0.5) / 4)
+    assert M.calibration_curve(df).count() == 4
+
+
+def python_entities(tags):
+    names = {v: k for k, v in bio_vocabulary("training").items()}
+    out, open_ = [], None
+    for i, t in enumerate(tags):
+        tag = names.get(t, "O")
+        if tag.startswith("B-"):
+            out += [open_] if open_ else []
+            open_ = (tag[2:], i, i)
+        elif tag.startswith("I-") and open_:
+            if tag[2:] == open_[0]:
+                open_ = (open_[0], open_[1], i)
+            else:
+                out.append(open_)
+                open_ = (tag[2:], i, i)
+        else:
+            out += [open_] if open_ else []
+            open_ = None
+    return set(out + ([open_] if open_ else []))
+
+
+def test_token_and_entity_metrics_against_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(200):
+        n = rng.randint(0, 15)
+        truth = [rng.choice([0, 0, 0, 1, 2, 3, 4, 17, 18]) for _ in range(n)]
+        pred = [t if rng.random() < 0.7 else rng.choice([0, 1, 2, 3, 4]) for t in truth]
+        truth = [-100 if rng.random() < 0.05 else t for t in truth]
+        rows.append((i, pred, truth))
+    df = spark.createDataFrame(rows, "msg_id int, pred array<int>, truth array<int>").repartition(4)
+    tp = predicted = actual = 0
+    for _, pred, truth in rows:
+        kept = [(p, t) for p, t in zip(pred, truth) if t != -100]
+        a, b = python_entities([p for p, _ in kept]), python_entities([t for _, t in kept])
+        tp, predicted, actual = tp + len(a & b), predicted + len(a), actual + len(b)
+    e = M.entity_f1(df).first()
+    assert (e["tp"], e["predicted"], e["actual"]) == (tp, predicted, actual)
+    assert e["entity_f1"] == pytest.approx(2 * tp / (predicted + actual))
+    pairs = [(p, t) for _, pred, truth in rows for p, t in zip(pred, truth) if t != -100]
+    f1s, weighted = [], 0.0
+    for tag in range(21):
+        hit = sum(p == t == tag for p, t in pairs)
+        np_, nt = sum(p == tag for p, _ in pairs), sum(t == tag for _, t in pairs)
+        f1 = 2 * hit / (np_ + nt) if np_ + nt else 0.0
+        weighted += f1 * nt / len(pairs)
+        if tag:
+            f1s.append(f1)
+    m = M.token_metrics(df).first()
+    assert m["span_f1_macro"] == pytest.approx(np.mean(f1s)) and m["token_f1"] == pytest.approx(weighted)
+    assert m["span_accuracy"] == pytest.approx(sum(p == t for p, t in pairs) / len(pairs))
+    pii = [(p, t) for p, t in pairs if t > 0]
+    assert m["pii_recall"] == pytest.approx(sum(p == t for p, t in pii) / len(pii))
+
+
+def test_fit_temperature_recovers_a_known_target(spark):
+    rng = random.Random(1)
+    rows = [(i, tuple(rng.random() for _ in range(4))) for i in range(400)]
+    df = spark.createDataFrame(rows, "msg_id int, scores struct<sensitivity:double,exposure:double,context:double,obfuscation:double>")
+    temperatures = {"sensitivity": 0.7, "exposure": 1.2, "context": 2.0, "obfuscation": 1.0}
+    biases = {"sensitivity": 0.5, "exposure": -0.5, "context": 0.2, "obfuscation": 0.0}
+    target = Cal.apply_temperature(df, temperatures, biases).withColumn("expected", L.risk_score(F.col("calibrated")))
+    fit = Cal.fit_temperature(target)
+    start = Cal.apply_temperature(target, {h: 1.5 for h in temperatures}, {h: 0.0 for h in temperatures}, out="c0")
+    before = start.agg(F.avg((L.risk_score(F.col("c0")) - F.col("expected")) ** 2)).first()[0]
+    assert fit.loss < before / 100 and all(0.1 <= t <= 5 for t in fit.temperatures.values())
+
+
+def test_compare_labelers_constant_side_and_position(spark):
+    a = spark.createDataFrame([(i, "h", i / 10) for i in range(10)] + [(i, "k", 0.5) for i in range(10)], "msg_id int, head string, value double")
+    b = spark.createDataFrame([(i + 3, "h", 1 - i / 10) for i in range(8)] + [(i, "k", i / 10) for i in range(10)], "msg_id int, head string, value double")
+    by_key = {r["head"]: r for r in St.compare_labelers(St.align_labels(a, b)).collect()}
+    assert by_key["h"]["correlation"] == pytest.approx(-1) and by_key["h"]["n"] == 7 and by_key["k"]["correlation"] == 0
+    by_position = {r["head"]: r["n"] for r in St.compare_labelers(St.align_by_position(a, b)).collect()}
+    assert by_position == {"h": 8, "k": 10}
+
+
+# -- splits and plans -------------------------------------------------------------------------------------------
+
+
+def test_splits_are_disjoint_and_complete(spark):
+    df = spark.range(103).withColumnRenamed("id", "msg_id")
+    counts = {r[0]: r[1] for r in Sp.split_by_ratio(df).groupBy("split").count().collect()}
+    assert counts == {"train": 72, "val": 15, "test": 16}
+    assert Sp.capped_sizes(10000) == {"train": 2000, "val": 400, "test": 400} and sum(Sp.capped_sizes(100).values()) == 100
+    strat = Sp.split_stratified(df.withColumn("d", F.col("msg_id") % 9).withColumn("s", F.col("msg_id") % 2), ["s"], "d")
+    assert strat.count() == 103 and Sp.domain_leakage(strat, "d").count() == 0
+    sample = sorted(r["position"] for r in Sp.evenly_spaced_sample(df, 20).collect())
+    assert sample == [int(x) for x in np.linspace(0, 102, 20).astype(int)]
+
+
+def test_weighted_plan_shares(spark):
+    plan = Sp.weighted_plan(spark.range(4000), "id")
+    share = {r[0]: r[1] / 4000 for r in plan.groupBy("agent_type").count().collect()}
+    assert abs(share["clean_business"] - 0.5) < 0.03 and abs(share["casual"] - 0.25) < 0.03
+    assert plan.filter("size(target_spans) > 2 or conversation_turns > 4").count() == 0
+    scenarios = spark.createDataFrame([("casual", "no_risk", ["x", "y"])], "agent_type string, risk_level string, scenarios array<string>")
+    with_text = Sp.weighted_plan(spark.range(400), "id", scenarios=scenarios)
+    assert with_text.count() == 400 and with_text.filter("scenario_context in ('x', 'y')").count() > 20
+
+
+# -- generation -------------------------------------------------------------------------------------------------
+
+
+def test_synthetic_messages_are_consistent(spark):
+    df = Sy.synthesize_messages(spark.range(400), "id").cache()
+    assert df.count() == 400
+    again = D.detect_spans(df.drop("spans", "labels"), "body", "synth").withColumn("again", F.col("spans")).select("msg_id", "again")
+    assert df.join(again, "msg_id").filter("spans <> again").count() == 0
+    share = df.filter("obfuscated").count() / 400
+    assert 0.08 < share < 0.23
+    cards = spark.range(300).select(Sy.drawn_card(1, F.col("id")).alias("c"))
+    from riskweave.functions.spans import luhn_valid
+
+    assert cards.filter(~luhn_valid("c")).count() == 0 and cards.filter("length(c) <> 19").count() == 0
+
+
+def test_augment_leaves_originals(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    rows = A.augment(m, 2)
+    assert rows.count() == 3 * m.count()
+    originals = rows.filter("variant_id = 0").select("msg_id", F.md5("body").alias("h"))
+    assert originals.join(m.select("msg_id", F.md5("body").alias("g")), "msg_id").filter("h <> g").count() == 0
+
+
+def test_semantic_obfuscate(spark):
+    df = spark.createDataFrame([(i, t, lv, v) for i, (t, lv, v) in enumerate([("email", "low", "a.b@c.org"), ("ssn", "medium", "123-45-6789"), ("credit_card", "high", "4111")])], "msg_id int, data_type string, sophistication string, value string")
+    rows = A.semantic_obfuscate(df).orderBy("msg_id").collect()
+    assert rows[0]["obfuscated"] in ("a dot b at c dot org", "a.  b@   c.  or   g") and rows[0]["detection_difficulty"] == "easy"
+    assert all(r["obfuscated"] in r["sentence"] for r in rows)
+
+
+def test_packing_lengths(spark, sf_dir):
+    m = D.detect_spans(B.label_pattern(messages(spark, sf_dir)), "body", "full")
+    rows = P.pack_examples(m, max_length=256).select("packed.*", "markup.text").collect()
+    for r in rows:
+        real = min(256, len(r["text"]))
+        assert len(r["input_ids"]) == len(r["bio_labels"]) == 256 and sum(r["attention_mask"]) == real
+        assert r["bio_labels"].count(-100) == 256 - real and len(r["doc_labels"]) == 4
+        assert r["input_ids"][:8] == [ord(c) - 28 for c in r["text"][:8]]
+
+
+# -- grids ------------------------------------------------------------------------------------------------------
+
+NUMPY = [
+    lambda a: a, lambda a: np.rot90(a, 1), lambda a: np.rot90(a, 2), lambda a: np.rot90(a, 3),
+    np.fliplr, np.flipud, lambda a: a.T, lambda a: np.fliplr(np.rot90(a, 1)),
+]
+
+
+def test_symmetries_against_numpy(spark):
+    grids = [[[1]], [[1, 2, 3], [4, 5, 6]], [[1, 2], [3, 4], [5, 6]]]
+    df = spark.createDataFrame([(i, g) for i, g in enumerate(grids)], "i int, g array<array<int>>").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    both = df.withColumn("image", G.dihedral("g", "t"))
+    for r in both.withColumn("back", G.inverse_dihedral("image", "t")).collect():
+        assert r["image"] == NUMPY[r["t"]](np.array(r["g"])).tolist() and r["back"] == r["g"]
+
+
+def test_augmented_grids_are_distinct_and_reversible(spark):
+    ex = lambda g: [("train", g, g)]
+    df = spark.createDataFrame([("a", ex([[1, 2], [3, 0]])), ("b", ex([[0]]))], "puzzle_id string, examples array<struct<kind:string,input:array<array<int>>,output:array<array<int>>>>")
+    out = Gr.augment_grids(df, 5)
+    assert {r[0]: r[1] for r in out.groupBy("group_id").count().collect()} == {"a": 6, "b": 1}  # a single 0 has no other image
+    assert out.select("group_id", "hash").distinct().count() == 7
+    back = Gr.inverse_augment(out.withColumn("grid", F.expr("examples[0].input")), "puzzle_id", "grid", "back")
+    assert {str(r["back"]) for r in back.filter("group_id = 'a'").collect()} == {"[[1, 2], [3, 0]]"}
+
+
+def test_sequences_and_crop(spark):
+    full = [[(r + c) % 10 for c in range(30)] for r in range(30)]
+    grids = [[[5]], [[1, 2, 3], [4, 5, 6]], full]
+    df = spark.createDataFrame([(i, g, g) for i, g in enumerate(grids)], "example_id int, input array<array<int>>, output array<array<int>>")
+    for r in Gr.grid_to_sequence(df).collect():
+        field, g = np.array(r["inputs"]).reshape(30, 30), np.array(r["input"])
+        h, w = g.shape
+        a, b = r["pad_row"], r["pad_column"]
+        assert (field[a : a + h, b : b + w] == g + 2).all() and (field == 1).sum() == (h if b + w < 30 else 0) + (w if a + h < 30 else 0)
+    corner = Gr.grid_to_sequence(df, translate=False).withColumn("back", G.crop("inputs"))
+    assert all(r["back"] == r["input"] for r in corner.collect())
+
+
+def test_shuffled_boards_stay_valid(spark):
+    solved = [[(3 * (r % 3) + r // 3 + c) % 9 + 1 for c in range(9)] for r in range(9)]
+    flat = [v for line in solved for v in line]
+    blank = [v if i % 2 else 0 for i, v in enumerate(flat)]
+    df = spark.createDataFrame([(1, blank, flat)], "board_id int, q array<int>, a array<int>")
+    rows = Gr.shuffle_board(df, 6).collect()
+    assert len(rows) == 7 and len({tuple(r["labels"]) for r in rows}) == 7
+    for r in rows:
+        a, q = np.array(r["labels"]).reshape(9, 9) - 1, np.array(r["inputs"]).reshape(9, 9) - 1
+        assert ((q == 0) | (q == a)).all() and (q == 0).sum() == 41
+        boxes = [a[i : i + 3, j : j + 3].ravel() for i in (0, 3, 6) for j in (0, 3, 6)]
+        assert all(sorted(x) == list(range(1, 10)) for x in [*a, *a.T, *boxes])
+
+
+def test_maze_symmetries(spark):
+    df = spark.createDataFrame([("# SG", "#oSG")], "q string, a string")
+    rows = {r["tid"]: r["inputs"] for r in Gr.augment_maze(df).collect()}
+    assert rows == {t: NUMPY[t](np.array([[1, 2], [3, 4]])).ravel().tolist() for t in range(8)}
+
+
+def test_epoch_batches_against_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(Gr, "_CHUNK", 7)  # several stretches
+    rows = [(i // 3, i, i * 5 % 7 + 1) for i in range(150)]
+    df = spark.createDataFrame(rows, "group_id int, puzzle_id int, n_examples int")
+    got = Gr.epoch_sample(df, 10, epochs=2).collect()
+    for epoch in (1, 2):
+        mine = sorted((r for r in got if r["epoch"] == epoch), key=lambda r: r["position"])
+        assert len({r["group_id"] for r in mine}) == len(mine)
+        batch, fill = 0, 0
+        for position, r in enumerate(mine, 1):
+            assert r["position"] == position and r["batch_no"] == batch and r["taken"] == min(r["n_examples"], 10 - fill)
+            fill += r["taken"]
+            if fill == 10:
+                batch, fill = batch + 1, 0
+        assert fill == 0  # the partial batch is gone
+        assert len(mine) >= 50 - 10
+
+
+def test_votes_with_ties(spark):
+    votes = [("p", "i", "x", 0.2), ("p", "i", "x", 0.4), ("p", "i", "y", 0.9), ("p", "i", "y", 0.1), ("p", "j", "z", 0.5), ("r", "k", "w", 0.5)]
+    answers = [("p", "i", "x"), ("p", "j", "z"), ("r", "k", "never")]
+    v = spark.createDataFrame(votes, "puzzle_id string, input_hash string, pred_hash string, q double")
+    a = spark.createDataFrame(answers, "puzzle_id string, input_hash string, label_hash string")
+    assert {r["k"]: r["percent"] for r in Gr.vote_predictions(v, a, (1, 2)).collect()} == {1: 0.0, 2: 50.0}
