@@ -51,8 +51,9 @@ def ranking_curve(scores: DataFrame) -> DataFrame:
     Running sums go over range partitions, so one head with very many distinct scores uses many tasks.
     """
     tied = _tied(scores)
-    totals = tied.groupBy("head").agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     running = grouped_running(tied, ["head"], [F.desc("score")], sums={"tp": "pos", "fp": "neg"})
+    # From the written copy, so the scores are not computed a second time.
+    totals = running.groupBy("head").agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     return running.join(totals, "head")  # totals: one row per head
 
 
