@@ -352,9 +352,10 @@ def pan_balance(spark, sf_dir):
     "pipeline_funnel",
     with_messages(
         """
-SELECT * FROM rates UNION ALL SELECT 'mean', round(avg(conversion_rate), 6), round(avg(quality_pass_rate), 6), round(avg(augmentation_ratio), 6) FROM rates
+SELECT split, round(conversion_rate, 6) AS conversion_rate, round(quality_pass_rate, 6) AS quality_pass_rate, round(augmentation_ratio, 6) AS augmentation_ratio
+FROM (SELECT * FROM rates UNION ALL SELECT 'mean', avg(conversion_rate), avg(quality_pass_rate), avg(augmentation_ratio) FROM rates)
 """,
-        "rates AS (SELECT split, round(converted / augmented, 6) AS conversion_rate, round(passed / converted, 6) AS quality_pass_rate, round(augmented / generated, 6) AS augmentation_ratio FROM ("
+        "rates AS (SELECT split, converted / augmented AS conversion_rate, passed / converted AS quality_pass_rate, augmented / generated AS augmentation_ratio FROM ("
         "SELECT split, count(*) AS generated, count(*) + sum(msg_id % 4) AS augmented, count(*) FILTER (len(body) > 300) AS converted, "
         "count(*) FILTER (len(body) BETWEEN 301 AND 2000 AND len(recipients) > 0) AS passed FROM msg GROUP BY split))",
     ),
