@@ -153,5 +153,9 @@ def pending_requests(requests: DataFrame, results: DataFrame, key: str) -> DataF
 
 
 def subsample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """n rows without replacement: those with the smallest digests (a sampling operator, so n is the feature)."""
-    return df.orderBy(digest(seed, "subsample", F.col(key)), key).limit(n)
+    """n rows without replacement: those with the smallest digests (a sampling operator, so n is the feature).
+
+    By position rather than by limit, so a large n stays spread over tasks.
+    """
+    placed = _with_position(df, key, [digest(seed, "subsample", F.col(key))])
+    return placed.filter(F.col("_idx") < n).drop("_idx", "_n")
