@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskweave.llm.decontamination import find_contamination
+from riskweave.llm.secret_scan import KINDS, joined_spans, scan_secrets
 from riskweave.llm.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +29,14 @@ def query(name: str, sql: str | None = None):
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return find_contamination(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@query("op8_secret_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(joined_spans(KINDS[:3]), 256).alias("base_sha256"),
+        joined_spans(KINDS).alias("spans"),
+    )
