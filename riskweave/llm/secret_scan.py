@@ -224,17 +224,16 @@ def _cut(octave: Column, cuts: dict[int, int]) -> Column:
 
 def joined_spans(kinds: tuple[str, ...]) -> Column:
     """kind:start:end of the named span columns, by start, then in the order of the kinds, comma-joined."""
-    ranked = [
-        F.transform(
-            F.col(kind),
-            lambda s, rank=rank: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop")),
+
+    def ranked(kind: str, rank: int) -> Column:
+        return F.transform(
+            kind, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop"))
         )
-        for rank, kind in enumerate(kinds)
-    ]
+
     names = F.array(*[F.lit(k) for k in kinds])
     return F.array_join(
         F.transform(
-            F.array_sort(F.concat(*ranked)),
+            F.array_sort(F.concat(*[ranked(kind, rank) for rank, kind in enumerate(kinds)])),
             lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["stop"].cast("string")),
         ),
         ",",
