@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm.decontamination import find_contamination
+from riskweave.llm.license_scan import scan_licenses
 from riskweave.llm.secret_scan import KINDS, joined_spans, scan_secrets
 from riskweave.llm.tables import read_table
 
@@ -40,3 +41,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined_spans(KINDS[:3]), 256).alias("base_sha256"),
         joined_spans(KINDS).alias("spans"),
     )
+
+
+@query("op10_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -29,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.llm.tables import let
 from riskweave.session import reliable_checkpoint
 
 # The base patterns.
@@ -60,16 +61,11 @@ ENCODINGS = (
 )
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it in ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
 def match_spans(text: Column, matches: Column, pattern: str) -> Column:
     """Array of (start, stop, found) of the matches; ``matches`` are all matches of ``pattern`` in ``text``."""
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
     none = F.array().cast("array<struct<start:int,stop:int,found:string>>")
-    placed = _let(
+    placed = let(
         gaps,
         lambda gap: F.aggregate(
             F.arrays_zip(matches.alias("found"), F.slice(gap, 1, F.size(matches)).alias("gap")),
@@ -142,14 +138,14 @@ def _tested(span: Column) -> Column:
     rate = F.least(changes / pairs, F.lit(1 - 1e-9))
     kl = rate * F.log(rate / TEXT_RATE) + (1 - rate) * F.log((1 - rate) / (1 - TEXT_RATE))
     log_p = F.when(rate > TEXT_RATE, -pairs * kl / F.log(F.lit(10.0))).otherwise(F.lit(0.0))
-    return _let(
+    return let(
         alphabet,
         lambda a: F.struct(
             span["start"].alias("start"), span["stop"].alias("stop"), name.alias("encoding"),
             F.floor(F.log2(F.length(run).cast("double"))).cast("int").alias("octave"),
             F.least(F.floor(-log_p * 10), F.lit(_BINS)).cast("int").alias("bin"),
             F.when(a == "", F.lit(False))
-            .otherwise(_let(codes(a), lambda c: _battery(c, F.length(a).cast("double"))) >= ALPHA).alias("random"),
+            .otherwise(let(codes(a), lambda c: _battery(c, F.length(a).cast("double"))) >= ALPHA).alias("random"),
         ),
     )
 

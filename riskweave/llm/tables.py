@@ -8,7 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PIECE_BYTES = 4 << 20  # text that one vectorised step works on; a single longer text makes a piece of its own
 
@@ -30,6 +31,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body``."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """The rows of the batches, in order, in pieces of about ``PIECE_BYTES`` of text."""
     for batch in batches:
