@@ -11,6 +11,7 @@ from riskweave.llm.decontamination import find_contamination
 from riskweave.llm.license_scan import scan_licenses
 from riskweave.llm.secret_scan import KINDS, joined_spans, scan_secrets
 from riskweave.llm.tables import read_table
+from riskweave.llm.toxicity import score, train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +33,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return score(docs, train(docs, read_table(spark, sf_dir, "labels"), CATEGORIES))
+
+
 @query("op8_secret_scan")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(read_table(spark, sf_dir, "documents", "doc_id", "text"))
