@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskweave.llm import langid
 from riskweave.llm.decontamination import find_contamination
 from riskweave.llm.license_scan import scan_licenses
 from riskweave.llm.secret_scan import KINDS, joined_spans, scan_secrets
@@ -42,6 +43,26 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, read_table(spark, sf_dir, "labels"), CATEGORIES))
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    vocabulary = langid.load_vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    model = langid.train(docs.filter(~F.coalesce(F.expr(HELD_OUT), F.lit(False))), vocabulary)
+    return langid.predict(docs, model).select(
+        "doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
 @query("op8_secret_scan")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(read_table(spark, sf_dir, "documents", "doc_id", "text"))
