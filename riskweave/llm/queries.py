@@ -13,6 +13,7 @@ from riskweave.llm.license_scan import scan_licenses
 from riskweave.llm.secret_scan import KINDS, joined_spans, scan_secrets
 from riskweave.llm.tables import read_table
 from riskweave.llm.toxicity import score, train
+from riskweave.llm.vector_search import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +35,27 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+         vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op2_exact_top_k", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "id % 50 = 0")
+
+
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
 
