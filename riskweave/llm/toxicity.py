@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from riskweave.llm.tables import pieces
 from riskweave.llm.words import MARKS, split_words
 
-SAMPLE = 20_000
-WORDS = 3_000
+SAMPLE = 8_000
+WORDS = 2_000
 MIN_DOCS = 5
 FEATURES = 1_000
 LEAST_G = 25.0
