@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskweave.llm import langid
 from riskweave.llm.decontamination import find_contamination
 from riskweave.llm.license_scan import scan_licenses
+from riskweave.llm.mixing import calibrate
 from riskweave.llm.secret_scan import KINDS, joined_spans, scan_secrets
 from riskweave.llm.tables import read_table
 from riskweave.llm.toxicity import score, train
@@ -85,6 +86,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_source_mixing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibrate(read_table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text"))
+
+
 @query("op8_secret_scan")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(read_table(spark, sf_dir, "documents", "doc_id", "text"))
