@@ -13,6 +13,7 @@ from riskweave.llm.license_scan import scan_licenses
 from riskweave.llm.mixing import calibrate
 from riskweave.llm.secret_scan import KINDS, joined_spans, scan_secrets
 from riskweave.llm.tables import read_table
+from riskweave.llm.token_files import round_trip
 from riskweave.llm.toxicity import score, train
 from riskweave.llm.vector_search import top_k
 
@@ -86,6 +87,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_token_files")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read_table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
+
+
 @query("op7_source_mixing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate(read_table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text"))
