@@ -12,6 +12,7 @@ from riskweave.llm.decontamination import find_contamination
 from riskweave.llm.license_scan import scan_licenses
 from riskweave.llm.mixing import calibrate
 from riskweave.llm.secret_scan import KINDS, joined_spans, scan_secrets
+from riskweave.llm.simhash_dedup import near_duplicate_groups
 from riskweave.llm.tables import read_table
 from riskweave.llm.token_files import round_trip
 from riskweave.llm.toxicity import score, train
@@ -67,6 +68,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, read_table(spark, sf_dir, "labels"), CATEGORIES))
 
 
+@query("op4_simhash_near_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_duplicate_groups(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer file."""
     import public_tokenizers

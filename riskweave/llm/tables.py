@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PIECE_BYTES = 4 << 20  # text that one vectorised step works on; a single longer text makes a piece of its own
+PIECE_BYTES = 1 << 20  # text that one vectorised step works on; a single longer text makes a piece of its own
 
 
 _HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -31,7 +31,8 @@ from riskweave.session import reliable_checkpoint
 
 QUERY_BLOCK = 8_192
 SEEDS = 4_096
-STEP = 2_048
+STEP = 512  # vectors, and queries, that a step compares: its pairs bound the memory
+AT_ONCE = 128
 CUTS = (4, 8, 16, 32)
 SLACK = 1e-6
 
@@ -88,8 +89,17 @@ class TopK:
             self.score[q], self.id[q] = s[best], i[best]
 
 
-def search_block(rotation, queries, query_ids, floor, ids, vectors, k, step: int = STEP) -> TopK:
+def search_block(rotation, queries, query_ids, floor, ids, vectors, k) -> TopK:
     """k best of every query among ``vectors`` (sorted by descending length). floor: scores known to be reached."""
+    best = TopK(len(queries), k)
+    for s in range(0, len(queries), AT_ONCE):
+        some = slice(s, s + AT_ONCE)
+        found = _search_some(rotation, queries[some], query_ids[some], floor[some], ids, vectors, k)
+        best.score[some], best.id[some] = found.score, found.id
+    return best
+
+
+def _search_some(rotation, queries, query_ids, floor, ids, vectors, k, step: int = STEP) -> TopK:
     best = TopK(len(queries), k)
     dim = vectors.shape[1]
     cuts = [c for c in CUTS if c < dim]

@@ -80,7 +80,7 @@ def split_words(column: pa.Array, blanks: np.ndarray = BLANKS, lower: bool = Fal
     last[tails] = word[tails]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     bounds = np.searchsorted(start, offsets)
-    size = 1 << max(20, int(n).bit_length())  # few sizes, so the cached powers are reused
+    size = (n // (1 << 20) + 1) << 20  # few sizes, so the cached powers are reused
     up, down = _powers(size)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_bytes_to_numbers(seed)[data] * up[:n], out=sums[1:])
