@@ -13,6 +13,7 @@ from riskweave.llm.license_scan import scan_licenses
 from riskweave.llm.mixing import calibrate
 from riskweave.llm.secret_scan import KINDS, joined_spans, scan_secrets
 from riskweave.llm.simhash_dedup import near_duplicate_groups
+from riskweave.llm.substring_dedup import remove_repeats
 from riskweave.llm.tables import read_table
 from riskweave.llm.token_files import round_trip
 from riskweave.llm.toxicity import score, train
@@ -115,6 +116,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op9_substring_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query("op10_license_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.components import components
 from riskweave.llm.tables import pieces
-from riskweave.llm.words import split_words
+from riskweave.llm.words import join_words, split_words
 from riskweave.session import reliable_checkpoint
 
 RADIUS = 2
@@ -70,18 +70,9 @@ def text_fingerprints(column: pa.Array, shingle: int = 3) -> np.ndarray:
     words = split_words(column, lower=True)
     n = len(words.bounds) - 1
     out = np.zeros(n, np.uint64)
-    # the words of all rows, one space apart: a shingle is then one slice
-    size = words.end - words.start
-    begin = np.concatenate([[0], np.cumsum(size + 1)])[:-1] if len(size) else np.zeros(0, np.int64)
-    joined = np.full(int((size + 1).sum()), 0x20, np.uint8)
-    inside = np.repeat(words.start - begin, size)
-    to = np.arange(size.sum()) + np.repeat(begin - np.concatenate([[0], np.cumsum(size)])[:-1], size) if len(size) else []
-    if len(size):
-        joined[to] = words.data[to + inside]
-    text = joined.tobytes()
+    text, begin, end, _ = join_words(words)  # a shingle is then one slice
     digest = xxhash.xxh64_intdigest
-    begins, ends = begin.tolist(), (begin + size).tolist()
-    bounds = words.bounds.tolist()
+    begins, ends, bounds = begin.tolist(), end.tolist(), words.bounds.tolist()
     hashes, counts = [], np.zeros(n, np.int64)
     for row in range(n):
         a, b = bounds[row], bounds[row + 1]

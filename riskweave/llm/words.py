@@ -104,3 +104,17 @@ def shingle_starts(bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     rows = np.repeat(np.arange(len(counts)), counts)
     inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     return bounds[:-1][rows] + inside, rows
+
+
+def join_words(words: Words, keep: np.ndarray | None = None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The (kept) words of all rows one space apart: text, begin and end of each word, and the rows' word bounds."""
+    start, end, bounds = words.start, words.end, words.bounds
+    if keep is not None:
+        bounds = np.concatenate([[0], np.cumsum(keep)])[bounds]
+        start, end = start[keep], end[keep]
+    size = end - start
+    begin = np.cumsum(size + 1) - size - 1
+    joined = np.full(int((size + 1).sum()), 0x20, np.uint8)
+    to = np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+    joined[to] = words.data[to + np.repeat(start - begin, size)]
+    return joined.tobytes(), begin, begin + size, bounds
