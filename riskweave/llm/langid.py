@@ -5,7 +5,7 @@ path is a parameter). The probability of a word is the sum over all its segmenta
 algorithm; a text's is the product over its words, and Bayes' rule with equal priors picks the language.
 
 * Training: expectation-maximisation (forward-backward over all segmentations) on the words of a bounded sample, the
-  ``SAMPLE`` documents per language with the smallest hash of the text. Spark counts the words of the sample; the
+  ``SAMPLE`` distinct texts per language with the smallest hash. Spark counts the words of the sample; the
   ``WORDS`` most frequent ones per language come to the driver. Added to every piece: ``PRIOR`` of a count, so that
   no word is impossible; a character outside the vocabulary counts as an unknown piece of fixed probability.
 * Scoring: one scan, no shuffle. Words repeat, so a task finds the distinct words of a piece of texts first and runs
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.tables import pieces
+from riskweave.llm.tables import pieces, text_sample
 
 SAMPLE = 1_500
 WORDS = 60_000
@@ -199,7 +199,7 @@ def train(docs: DataFrame, vocabulary: list[str], lang: str = "lang", text: str
     languages = [r.lang for r in known.select("lang").distinct().collect()]  # one row per language
     words: dict[str, dict[str, int]] = {}
     for language in languages:
-        sample = known.filter(F.col("lang") == language).orderBy(F.xxhash64("text")).limit(SAMPLE)
+        sample = text_sample(known.filter(F.col("lang") == language), SAMPLE, 0)
 
         def counted(batches):
             for batch in batches:
@@ -207,7 +207,7 @@ def train(docs: DataFrame, vocabulary: list[str], lang: str = "lang", text: str
                 got, n = np.unique(np.array(found, dtype=object), return_counts=True) if found else ([], [])
                 yield pa.RecordBatch.from_pydict({"w": pa.array(got, pa.string()), "n": pa.array(n, pa.int64())})
 
-        counts = sample.select("text").repartition(8).mapInArrow(counted, "w string, n long")
+        counts = sample.mapInArrow(counted, "w string, n long")
         counts = counts.groupBy("w").agg(F.sum("n").alias("n"))
         words[language] = {r.w: r.n for r in counts.orderBy(F.desc("n"), "w").limit(WORDS).collect()}
     return fit(words, vocabulary)

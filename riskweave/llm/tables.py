@@ -31,6 +31,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
+def text_sample(docs: DataFrame, n: int, seed: int, text: str = "text") -> DataFrame:
+    """The n distinct texts with the smallest hash: only hashes are sorted, and no more than n texts leave a scan."""
+    hashed = docs.select(F.col(text).alias("text")).filter("text is not null").withColumn("_h", F.xxhash64(F.lit(seed), "text"))
+    last = hashed.select("_h").distinct().orderBy("_h").limit(n).agg(F.max("_h")).first()[0]
+    return hashed.filter(F.col("_h") <= F.lit(last)).dropDuplicates(["_h"]).select("text")
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it in ``body``."""
     return F.transform(F.array(value), lambda v: body(v))[0]
