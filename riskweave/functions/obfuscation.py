@@ -6,11 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from riskweave.fixed import span_patterns as fixed
+from riskweave.functions.normal_forms import composed_length, decomposed_length
 from riskweave.functions.text import any_of, contains_any, matches, named_flags
 
-# Letters that decompose into a base letter and one mark (Latin-1 and Latin Extended-A, by Unicode range).
-_DECOMPOSING = r"[À-ÅÇ-ÏÑ-ÖÙ-Ýà-åç-ïñ-öù-ýÿĀ-ďĒ-ĥĨ-İĴ-ķĹ-ľŃ-ňŌ-őŔ-ťŨ-žƠơƯưǍ-ǜ]"
-
 
 def obfuscation_flags(text: Column) -> dict[str, Column]:
     """The seven flags of one text, by name."""
@@ -18,10 +16,8 @@ def obfuscation_flags(text: Column) -> dict[str, Column]:
     flags = {"base64": contains_any(lower, ["base64", "encoded"])}
     for name, pattern in fixed.OBFUSCATION_FLAG_PATTERNS.items():
         flags[name] = matches(text, pattern, True)
-    # NFD is longer than NFC by one character per decomposing letter.
-    grown = F.length(text) - F.length(F.regexp_replace(text, _DECOMPOSING, ""))
     flags["unicode_tricks"] = contains_any(text, list(fixed.ZERO_WIDTH_CHARACTERS)) | (
-        F.length(text) + grown > F.length(text) * F.lit(fixed.NFD_GROWTH_LIMIT)
+        decomposed_length(text) > composed_length(text) * F.lit(fixed.NFD_GROWTH_LIMIT)
     )
     return flags
 

@@ -200,10 +200,8 @@ def rule_matches(text: str, rule: SpanRule, number: int) -> str:
         f"transform({found}, m -> cast(named_struct('start', m.start, 'rule', {number}, 'end', m.end, "
         f"'type', {kind}, 'text', m.text, 'confidence', {rule.confidence}D) as {_WORK_TYPE}))"
     )
-    present = f"{text} rlike {pattern}"
-    if rule.guard:
-        present = f"{text} rlike {quoted(rule.guard)} and {present}"
-    return f"if({present}, {spans}, {_empty(_WORK_TYPE)})"
+    # without a match the one pass leaves a single gap and no span
+    return f"if({text} rlike {quoted(rule.guard)}, {spans}, {_empty(_WORK_TYPE)})" if rule.guard else spans
 
 
 def raw_matches(text: str, rules: Sequence[SpanRule]) -> str:

@@ -119,9 +119,13 @@ def augment(df: DataFrame, ratio: int = 3, probabilities: dict[str, float] | Non
     return varied.withColumn("body", chosen("obfuscation", obfuscated_body(F.col("body"), *keys), F.col("body")))
 
 
-def violation_scenarios(df: DataFrame, limit: int = corpus.VIOLATION_LIMIT, seed: int = 42) -> DataFrame:
-    """The first authorised messages sent to the same mailboxes at personal domains (a limit is the feature)."""
-    authorised = df.filter(F.col("risk_type") == "authorized").orderBy("msg_id").limit(limit)
+def _first(df: DataFrame, limit: int | None) -> DataFrame:
+    return df if limit is None else df.orderBy("msg_id").limit(limit)
+
+
+def violation_scenarios(df: DataFrame, limit: int | None = None, seed: int = 42) -> DataFrame:
+    """Authorised messages (the first ``limit``, if given) sent to the same mailboxes at personal domains."""
+    authorised = _first(df.filter(F.col("risk_type") == "authorized"), limit)
     box = lambda r: F.when(r.contains("@"), F.substring_index(r, "@", 1)).otherwise("user")
     at = lambda i: pick(corpus.VARIANT_PERSONAL_DOMAINS, seed, "violation", F.col("msg_id"), i)
     return authorised.withColumns(
@@ -133,9 +137,9 @@ def violation_scenarios(df: DataFrame, limit: int = corpus.VIOLATION_LIMIT, seed
     )
 
 
-def obfuscated_scenarios(df: DataFrame, limit: int = corpus.OBFUSCATED_LIMIT, seed: int = 42) -> DataFrame:
-    first = df.orderBy("msg_id").limit(limit)
-    return first.withColumns(
+def obfuscated_scenarios(df: DataFrame, limit: int | None = None, seed: int = 42) -> DataFrame:
+    """Messages (the first ``limit``, if given) with obfuscated bodies."""
+    return _first(df, limit).withColumns(
         {"body": obfuscated_body(F.col("body"), seed, "scenario", F.col("msg_id")), "risk_type": F.lit("obfuscated")}
     )
 

@@ -28,15 +28,14 @@ def latest_batches(log: DataFrame, keys=("session_id", "split", "model")) -> Dat
 
 
 def batch_state(batches: DataFrame, now: Column, timeout: int = DAY, stuck: int = HOUR) -> DataFrame:
-    """Adds state: final states stay; older than the timeout is expired; unchanged for over an hour is stuck."""
+    """Adds state: final states stay; older than the timeout is expired; older than an hour is stuck."""
     age = F.unix_timestamp(now) - F.unix_timestamp("created_at")
-    idle = F.unix_timestamp(now) - F.unix_timestamp("updated_at")
     return batches.withColumns(
         {
             "age_seconds": age,
             "state": F.when(F.col("status").isin(*FINAL_BATCH_STATES), F.col("status"))
             .when(age > timeout, "expired")
-            .when(idle > stuck, "stuck")
+            .when(age > stuck, "stuck")
             .otherwise(F.col("status")),
         }
     )

@@ -133,71 +133,6 @@ def augment_maze(mazes: DataFrame, augment: bool = True) -> DataFrame:
 
 # -- batches ----------------------------------------------------------------------------------------------------
 
-_CHUNK = 50_000  # puzzles per sequential stretch
-
-
-def epoch_sample(puzzles: DataFrame, batch_size: int, epochs: int = 1, seed: int = 42) -> DataFrame:
-    """Per epoch: groups in shuffled order, one drawn puzzle per group, packed into batches of exactly batch_size.
-
-    A puzzle that overflows its batch is cut there and the next group opens a new batch, so where a batch ends depends
-    on everything before it. The fill level at the entry of a stretch has only batch_size values, so each stretch of
-    the order reports its exit fill for every entry fill; the few stretches are chained on the driver (stretches x
-    batch_size numbers) and then assign their batches in parallel. The last partial batch is dropped.
-
-    Returns (epoch, batch_no, position, group_id, puzzle_id, taken, n_examples).
-    """
-    epoch = puzzles.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
-    drawn = epoch.groupBy("epoch", "group_id").agg(
-        F.min_by(F.struct("puzzle_id", "n_examples"), digest(seed, F.col("epoch"), "puzzle", F.col("puzzle_id"))).alias("p")
-    )
-    chosen = drawn.select("epoch", "group_id", "p.*", digest(seed, F.col("epoch"), "group", F.col("group_id")).alias("_k"))
-    ordered = grouped_running(chosen, ["epoch"], [F.col("_k"), F.col("group_id")], rank="position").drop("_k")
-    chunked = ordered.withColumn("chunk", F.floor((F.col("position") - 1) / _CHUNK))
-
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        fill, done = np.arange(batch_size), np.zeros(batch_size, dtype=np.int64)
-        for size in pdf.sort_values("position")["n_examples"].to_numpy():
-            fill = fill + size
-            full = fill >= batch_size
-            done += full
-            fill[full] = 0
-        return pd.DataFrame({"epoch": [pdf["epoch"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "fill": [fill.tolist()], "done": [done.tolist()]})
-
-    stretches = chunked.select("epoch", "chunk", "position", "n_examples").groupBy("epoch", "chunk").applyInPandas(
-        exits, "epoch int, chunk bigint, fill array<bigint>, done array<bigint>"
-    )
-    entries, totals = [], {}
-    state: dict[int, tuple[int, int]] = {}
-    for row in stretches.orderBy("epoch", "chunk").collect():
-        fill, batches = state.get(row["epoch"], (0, 0))
-        entries.append((row["epoch"], row["chunk"], fill, batches))
-        state[row["epoch"]] = (row["fill"][fill], batches + row["done"][fill])
-        totals[row["epoch"]] = state[row["epoch"]][1]
-    starts = puzzles.sparkSession.createDataFrame(
-        [(*e, totals[e[0]]) for e in entries], "epoch int, chunk bigint, entry_fill bigint, batches_before bigint, full_batches bigint"
-    )
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        fill, batch = int(pdf["entry_fill"].iloc[0]), int(pdf["batches_before"].iloc[0])
-        numbers, taken = [], []
-        for size in pdf["n_examples"].to_numpy():
-            numbers.append(batch)
-            taken.append(min(int(size), batch_size - fill))
-            fill += int(size)
-            if fill >= batch_size:
-                fill, batch = 0, batch + 1
-        return pdf.assign(batch_no=numbers, taken=taken)[
-            ["epoch", "batch_no", "position", "group_id", "puzzle_id", "taken", "n_examples", "full_batches"]
-        ]
-
-    placed = chunked.join(F.broadcast(starts), ["epoch", "chunk"])  # one row per stretch
-    kinds = dict(placed.dtypes)
-    schema = f"epoch int, batch_no bigint, position bigint, group_id {kinds['group_id']}, puzzle_id {kinds['puzzle_id']}, taken bigint, n_examples {kinds['n_examples']}, full_batches bigint"
-    packed = placed.groupBy("epoch", "chunk").applyInPandas(assign, schema)
-    return packed.filter("batch_no < full_batches").drop("full_batches")
-
-
 def pad_batches(rows: DataFrame, batch: str, batch_size: int, seq_len: int, ignore_label: int = 0) -> DataFrame:
     """Ignored labels become -100; short batches get pad rows (inputs 0, labels -100, identifier 0)."""
     masked = rows.withColumn("labels", F.transform("labels", lambda v: F.when(v == ignore_label, IGNORE_ID).otherwise(v)))

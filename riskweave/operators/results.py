@@ -9,8 +9,6 @@ from riskweave.fixed.labels import HEADS
 from riskweave.functions.text import clean_artifacts, synth_subject
 from riskweave.operators.conversion import text_list
 
-# Size limits of prompts and fallbacks.
-PROMPT_BODY, PROMPT_FILES, FALLBACK_BODY = 1000, 3, 500
 _ENVELOPE = "custom_id string, error string, response struct<body:struct<choices:array<struct<message:struct<content:string>>>>>"
 _ENVELOPE_ALT = "custom_id string, result struct<type:string,message:struct<content:array<struct<type:string,text:string>>>>"
 
@@ -18,11 +16,15 @@ _ENVELOPE_ALT = "custom_id string, result struct<type:string,message:struct<cont
 # -- prompts ----------------------------------------------------------------------------------------------------
 
 
-def label_prompt() -> Column:
-    """Task, the message as JSON (body cut to 1000 characters, three attachments) and the answer's form."""
-    body = F.when(F.length("body") > PROMPT_BODY, F.concat(F.left("body", F.lit(PROMPT_BODY)), F.lit("..."))).otherwise(F.col("body"))
+def _shortened(text: Column, most: int | None) -> Column:
+    return text if most is None else F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text)
+
+
+def label_prompt(most_body: int | None = None, most_files: int | None = None) -> Column:
+    """Task, the message as JSON (the body and the attachments cut only if a size is given) and the answer's form."""
+    body = _shortened(F.col("body"), most_body)
     files = F.transform(
-        F.slice("attachments", 1, PROMPT_FILES), lambda a: F.struct(a["name"].alias("name"), a["size"].alias("size"), a["mime"].alias("type"))
+        "attachments" if most_files is None else F.slice("attachments", 1, most_files), lambda a: F.struct(a["name"].alias("name"), a["size"].alias("size"), a["mime"].alias("type"))
     )
     shown = F.to_json(
         F.struct(
@@ -36,8 +38,10 @@ def label_prompt() -> Column:
     )
 
 
-def build_label_prompts(df: DataFrame, out: str = "prompt") -> DataFrame:
-    return df.withColumn(out, label_prompt())
+def build_label_prompts(
+    df: DataFrame, out: str = "prompt", most_body: int | None = None, most_files: int | None = None
+) -> DataFrame:
+    return df.withColumn(out, label_prompt(most_body, most_files))
 
 
 # -- label responses --------------------------------------------------------------------------------------------
@@ -86,9 +90,9 @@ def unfence(text: Column) -> Column:
     return F.when(trimmed.startswith("```") & (inside != ""), F.trim(inside)).otherwise(trimmed)
 
 
-def _message_fields(v: Column, raw: Column) -> dict[str, Column]:
+def _message_fields(v: Column, raw: Column, most: int | None) -> dict[str, Column]:
     get = lambda name: F.try_variant_get(v, f"$.{name}", "string")
-    short = F.when(F.length(raw) > FALLBACK_BODY, F.concat(F.left(raw, F.lit(FALLBACK_BODY)), F.lit("..."))).otherwise(raw)
+    short = _shortened(raw, most)
     return {
         "channel": F.coalesce(get("channel"), F.lit("email")),
         "user": F.coalesce(F.try_variant_get(v, "$.user", "map<string,string>"), F.create_map(F.lit("role"), F.lit("batch_recovered"))),
@@ -100,15 +104,15 @@ def _message_fields(v: Column, raw: Column) -> dict[str, Column]:
     }
 
 
-def parse_generated_json(df: DataFrame, text: str = "text") -> DataFrame:
+def parse_generated_json(df: DataFrame, text: str = "text", most_body: int | None = None) -> DataFrame:
     """One message per response: a fenced object, else the first object with one level of nesting, else the text
-    itself (500 characters) marked ``parsing_failed``. An object that is found but broken drops the row."""
+    itself (cut only if ``most_body`` is given) marked ``parsing_failed``. An object that is found but broken drops the row."""
     raw = F.col(text)
     fenced = F.regexp_extract(raw, _FENCED, 1)
     candidate = F.when(fenced != "", fenced).otherwise(F.regexp_extract(raw, _NESTED, 0))
     staged = df.withColumn("_c", candidate).withColumn("_v", F.try_parse_json(F.when(F.col("_c") != "", F.col("_c"))))
     nothing = F.col("_c") == ""
-    fields = _message_fields(F.col("_v"), raw)
+    fields = _message_fields(F.col("_v"), raw, most_body)
     fallback = {
         "channel": F.lit("email"),
         "user": F.create_map(F.lit("role"), F.lit("batch_recovered_fallback")),

@@ -40,15 +40,12 @@ def split_by_size(df: DataFrame, sizes: dict[str, int], key: str = "msg_id", shu
     return placed.withColumn("split", name).drop("_idx", "_n")
 
 
-def capped_sizes(total: int) -> dict[str, int]:
-    """70 / 15 / 15 % with caps; scaled down if the sum exceeds the total."""
-    ratios = {"train": 0.7, "val": 0.15, "test": 0.15}
-    sizes = {s: min(corpus.SPLIT_CAPS[s], int(total * r)) for s, r in ratios.items()}
-    wanted = sum(sizes.values())
-    if wanted > total:
-        sizes = {s: int(n * total / wanted) for s, n in sizes.items()}
-        sizes["test"] = total - sizes["train"] - sizes["val"]
-    return sizes
+def split_sizes(total: int, caps: dict[str, int] | None = None) -> dict[str, int]:
+    """70 / 15 / 15 % with the rest in test, so every row has a split; with ``caps`` (``corpus.SPLIT_CAPS``) at most
+    so many rows each, and the others get none."""
+    sizes = {"train": int(total * 0.7), "val": int(total * 0.15)}
+    sizes["test"] = int(total * 0.15) if caps else total - sizes["train"] - sizes["val"]
+    return {s: min(n, caps[s]) for s, n in sizes.items()} if caps else sizes
 
 
 def split_stratified(df: DataFrame, strata: Sequence[str], domain: str, seed: int = 42, key: str = "msg_id") -> DataFrame:

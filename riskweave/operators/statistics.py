@@ -292,7 +292,7 @@ def profile_structure(df: DataFrame, column: str) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("present"),
             F.array_sort(F.collect_set(F.schema_of_variant("v"))).alias("kinds"),
-            F.min(F.substring(F.try_variant_get("v", "$", "string"), 1, 100)).alias("sample"),
+            F.min(F.try_variant_get("v", "$", "string")).alias("sample"),
         )
         .withColumn("label_candidate", contains_any(named, ["label", "score", "risk"]))
     )

@@ -19,7 +19,9 @@ def drawn_digits(n: int, *keys) -> Column:
 
 
 def drawn_token(n: int, *keys) -> Column:
-    """n upper-case hex characters, at most 32."""
+    """n upper-case hex characters; a digest has 32."""
+    if n > 32:
+        raise ValueError("drawn_token gives at most 32 characters")
     return F.upper(F.substring(digest(*keys, "token"), 1, n))
 
 

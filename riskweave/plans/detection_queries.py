@@ -204,7 +204,7 @@ def _sql_flags(text: str) -> dict[str, str]:
         flags[name] = sql_matches(folded, pattern, True)
     decomposing = f"len({text}) - len(regexp_replace({text}, '[À-ÅÇ-ÏÑ-ÖÙ-Ýà-åç-ïñ-öù-ýÿ]', '', 'g'))"
     flags["unicode_tricks"] = (
-        f"({sql_contains_any(text, list(fixed.ZERO_WIDTH_CHARACTERS))} OR len({text}) + {decomposing} > len({text}) * CAST(1.1 AS DOUBLE))"
+        f"({sql_contains_any(text, list(fixed.ZERO_WIDTH_CHARACTERS))} OR len({text}) + {decomposing} > len(nfc_normalize({text})) * CAST(1.1 AS DOUBLE))"
     )
     return flags
 

@@ -162,13 +162,13 @@ def entity_f1(spark, sf_dir):
 @query(
     "exact_match",
     """SELECT count(*) AS total, count(*) FILTER (p = t) AS equal_outputs, count(*) FILTER (n > 0 AND ok = n) AS exact_sequences, round(avg(ok / n) FILTER (n > 0), 6) AS mean_accuracy
-FROM (SELECT p, t, len(list_filter(t, lambda x: x <> -100)) AS n, len(list_filter(range(1, 10), lambda i: t[i] <> -100 AND t[i] = p[i])) AS ok FROM (
-  SELECT list_transform(range(1, 10), lambda i: CAST(floor(abs(CAST(embedding[i] AS DOUBLE)) * 10) % 10 AS INT)) AS p,
-    list_transform(range(1, 10), lambda i: CASE WHEN i = 9 THEN -100 ELSE CAST(floor(abs(CAST(embedding[i] AS DOUBLE)) * 10) % 10 AS INT) * CASE WHEN vec_id % 3 = 0 THEN 1 ELSE i % 2 END END) AS t FROM embeddings))""",
+FROM (SELECT p, t, len(list_filter(t, lambda x: x <> -100)) AS n, len(list_filter(range(1, len(t) + 1), lambda i: t[i] <> -100 AND t[i] = p[i])) AS ok FROM (
+  SELECT list_transform(range(1, len(embedding) + 1), lambda i: CAST(floor(abs(CAST(embedding[i] AS DOUBLE)) * 10) % 10 AS INT)) AS p,
+    list_transform(range(1, len(embedding) + 1), lambda i: CASE WHEN i = 9 THEN -100 ELSE CAST(floor(abs(CAST(embedding[i] AS DOUBLE)) * 10) % 10 AS INT) * CASE WHEN vec_id % 3 = 0 THEN 1 ELSE i % 2 END END) AS t FROM embeddings))""",
 )
 def exact_match(spark, sf_dir):
     value = lambda x: (F.floor(F.abs(x.cast("double")) * 10) % 10).cast("int")
-    first = F.slice("embedding", 1, 9)
+    first = F.col("embedding")
     pred = F.transform(first, value)
     truth = F.transform(
         first, lambda x, i: F.when(i == 8, -100).otherwise(value(x) * F.when(F.col("vec_id") % 3 == 0, 1).otherwise((i + 1) % 2))

@@ -48,13 +48,13 @@ def split_by_ratio(spark, sf_dir):
 
 @query(
     "split_by_size",
-    f"""WITH s AS (SELECT count(*) AS n FROM documents), c AS (SELECT least(2000, CAST(floor(n * 0.7) AS INT)) AS a, least(400, CAST(floor(n * 0.15) AS INT)) AS b FROM s)
-SELECT doc_id AS msg_id, CASE WHEN idx < a THEN 'train' WHEN idx < a + b THEN 'val' WHEN idx < a + 2 * b THEN 'test' END AS split
+    f"""WITH s AS (SELECT count(*) AS n FROM documents), c AS (SELECT CAST(floor(n * 0.7) AS INT) AS a, CAST(floor(n * 0.15) AS INT) AS b FROM s)
+SELECT doc_id AS msg_id, CASE WHEN idx < a THEN 'train' WHEN idx < a + b THEN 'val' ELSE 'test' END AS split
 FROM (SELECT doc_id, row_number() OVER (ORDER BY {sql_digest('42', 'doc_id')}, doc_id) - 1 AS idx FROM documents), c""",
 )
 def split_by_size(spark, sf_dir):
     df = _documents(spark, sf_dir)
-    return Sp.split_by_size(df, Sp.capped_sizes(df.count()), shuffle_seed=42)
+    return Sp.split_by_size(df, Sp.split_sizes(df.count()), shuffle_seed=42)
 
 
 _DRAW = sql_uniform("42", "'domain'", "source")
@@ -109,11 +109,11 @@ def low_mid_high_sample(spark, sf_dir):
 
 @query(
     "topk_spans",
-    "SELECT vec_id, len(list_filter(range(1, 25), lambda i: floor(abs(CAST(embedding[i] AS DOUBLE)) * 20) % 3 > 0 OR abs(CAST(embedding[i] AS DOUBLE)) * 5 > 0.8)) AS wanted, "
-    "least(20, len(list_filter(range(1, 25), lambda i: floor(abs(CAST(embedding[i] AS DOUBLE)) * 20) % 3 > 0 OR abs(CAST(embedding[i] AS DOUBLE)) * 5 > 0.8))) AS kept FROM embeddings",
+    "SELECT vec_id, len(list_filter(range(1, len(embedding) + 1), lambda i: floor(abs(CAST(embedding[i] AS DOUBLE)) * 20) % 3 > 0 OR abs(CAST(embedding[i] AS DOUBLE)) * 5 > 0.8)) AS wanted, "
+    "least(20, len(list_filter(range(1, len(embedding) + 1), lambda i: floor(abs(CAST(embedding[i] AS DOUBLE)) * 20) % 3 > 0 OR abs(CAST(embedding[i] AS DOUBLE)) * 5 > 0.8))) AS kept FROM embeddings",
 )
 def topk_spans(spark, sf_dir):
-    x = F.slice("embedding", 1, 24)
+    x = F.col("embedding")
     magnitude = lambda v: F.abs(v.cast("double"))
     df = scan(spark, sf_dir, "embeddings", spread=False).select(
         "vec_id",
@@ -259,7 +259,7 @@ def augment(spark, sf_dir):
     "with_scenarios",
     with_messages(
         "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN v = 0 THEN 'original' ELSE 'variant' END AS kind FROM (SELECT unnest(range(4)) AS v FROM msg) "
-        "UNION ALL SELECT 'violation' FROM range(10) UNION ALL SELECT 'obfuscated' FROM range(5)) GROUP BY kind"
+        "UNION ALL SELECT 'violation' FROM msg WHERE risk_type = 'authorized' UNION ALL SELECT 'obfuscated' FROM msg) GROUP BY kind"
     ),
 )
 def with_scenarios(spark, sf_dir):
@@ -272,7 +272,7 @@ def with_scenarios(spark, sf_dir):
     "violation_scenarios",
     with_messages(
         f"SELECT msg_id, array_to_string(list_transform(range(1, len(recipients) + 1), lambda i: CASE WHEN contains(recipients[i], '@') THEN string_split(recipients[i], '@')[1] ELSE 'user' END || '@' || "
-        f"{sql_pick(corpus.VARIANT_PERSONAL_DOMAINS, '42', sql_text('violation'), 'msg_id', 'i - 1')}), ',') AS recipients, 'violation' AS risk_type FROM msg WHERE risk_type = 'authorized' ORDER BY msg_id LIMIT 10"
+        f"{sql_pick(corpus.VARIANT_PERSONAL_DOMAINS, '42', sql_text('violation'), 'msg_id', 'i - 1')}), ',') AS recipients, 'violation' AS risk_type FROM msg WHERE risk_type = 'authorized'"
     ),
 )
 def violation_scenarios(spark, sf_dir):
@@ -457,10 +457,10 @@ def pack_examples(spark, sf_dir):
 
 @query(
     "mask_tokens",
-    f"SELECT doc_id, len(list_filter(range(5, least(len(text), 200)), lambda i: {sql_uniform('42', sql_text('mask'), 'doc_id', 'i')} < 0.15)) AS n_masked FROM documents",
+    f"SELECT doc_id, len(list_filter(range(5, len(text)), lambda i: {sql_uniform('42', sql_text('mask'), 'doc_id', 'i')} < 0.15)) AS n_masked FROM documents",
 )
 def mask_tokens(spark, sf_dir):
-    ids = scan(spark, sf_dir, "documents").select("doc_id", F.transform(markup.characters(F.left("text", F.lit(200))), F.ascii).alias("ids"))
+    ids = scan(spark, sf_dir, "documents").select("doc_id", F.transform(markup.characters(F.col("text")), F.ascii).alias("ids"))
     masked = P.mask_tokens(ids, "ids", -1, key="doc_id")
     return masked.select("doc_id", F.size(F.filter("masked_ids", lambda x: x == -1)).alias("n_masked"))
 
@@ -593,14 +593,6 @@ def augment_maze(spark, sf_dir):
     return done.select("vec_id", "tid", F.array_join("inputs", "").alias("inputs"), F.array_join("labels", "").alias("labels"))
 
 
-@query("epoch_sample")
-def epoch_sample(spark, sf_dir):
-    p = scan(spark, sf_dir, "embeddings", spread=False).select(
-        F.floor(F.col("vec_id") / 3).alias("group_id"), F.col("vec_id").alias("puzzle_id"), (F.col("vec_id") % 5 + 1).alias("n_examples")
-    )
-    return Gr.epoch_sample(p, batch_size=16, epochs=2)
-
-
 @query(
     "pad_batches",
     "SELECT batch, CAST(16 AS BIGINT) AS n_rows, count(*) AS n_real FROM (SELECT vec_id // 16 AS batch FROM embeddings) GROUP BY batch",

@@ -58,12 +58,8 @@ SCENARIOS = ["data_leak", "legal_legitimate", "obfuscated_content", "casual_inte
 
 
 def scan(spark: SparkSession, sf_dir: str, table: str, spread: bool = True) -> DataFrame:
-    """A given table. A file too small to give every core a task is spread out; larger inputs keep their splits."""
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """A given table. How it is split is the session's business (spark.sql.files.*), the same at every size."""
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def _words(values: Sequence[str]) -> str:

@@ -76,7 +76,7 @@ _NESTED_SQL = sql_text(Rs._NESTED)
 @query(
     "parse_generated_json",
     f"""SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN 'email' ELSE json_extract_string(c, '$.channel') END AS channel, doc_id % 4 = 2 AS parsing_failed,
-  CASE WHEN doc_id % 4 = 2 THEN CASE WHEN len(plain) > 500 THEN substr(plain, 1, 500) || '...' ELSE plain END ELSE json_extract_string(c, '$.body') END AS body
+  CASE WHEN doc_id % 4 = 2 THEN plain ELSE json_extract_string(c, '$.body') END AS body
 FROM (SELECT doc_id, plain, CASE doc_id % 4 WHEN 0 THEN regexp_extract(j, {_FENCED_SQL}, 1) WHEN 1 THEN regexp_extract(j, {_NESTED_SQL}) ELSE '' END AS c
   FROM (SELECT doc_id, regexp_replace(text, '[{{}}]', '', 'g') AS plain, {_JSON_SQL} || CASE WHEN doc_id % 4 = 0 THEN chr(10) || '```' ELSE '' END AS j FROM documents))
 WHERE doc_id % 4 = 2 OR (doc_id % 4 < 2 AND json_valid(c))""",

@@ -420,7 +420,7 @@ def batch_stats(spark, sf_dir):
 @query(
     "batch_state",
     f"""WITH {LOG_SQL.strip()}
-SELECT batch_id, status, age AS age_seconds, CASE WHEN status IN ('completed', 'failed') THEN status WHEN age > 86400 THEN 'expired' WHEN idle > 3600 THEN 'stuck' ELSE status END AS state
+SELECT batch_id, status, age AS age_seconds, CASE WHEN status IN ('completed', 'failed') THEN status WHEN age > 86400 THEN 'expired' WHEN age > 3600 THEN 'stuck' ELSE status END AS state
 FROM (SELECT *, CAST(floor(epoch(TIMESTAMP '2024-01-31 00:30:00')) - floor(epoch(created_at)) AS BIGINT) AS age,
   CAST(floor(epoch(TIMESTAMP '2024-01-31 00:30:00')) - floor(epoch(updated_at)) AS BIGINT) AS idle FROM batch)""",
 )

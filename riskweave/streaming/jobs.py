@@ -14,7 +14,8 @@ from riskweave.operators import labeling
 from riskweave.schema import FINAL_BATCH_STATES
 from riskweave.sources.files import parse_messages
 
-DAY_MS = 24 * 3600 * 1000
+HOUR_MS = 3600 * 1000
+DAY_MS = 24 * HOUR_MS
 
 
 def stream_messages(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -53,12 +54,18 @@ _STATE = "status string, updated_ms bigint, created_ms bigint"
 
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Latest status of one batch; a final status takes no more records; without one in time the batch expires.
+    """Latest status of one batch; a final status takes no more records. Without one, a batch is stuck an hour and
+    expired a day after it began.
 
     State is one status and two times, and goes away a day after the batch began.
     """
     if state.hasTimedOut:
-        status, updated, _ = state.get
+        status, updated, created = state.get
+        if state.getCurrentWatermarkMs() < created + DAY_MS:
+            state.setTimeoutTimestamp(created + DAY_MS)
+            if status not in FINAL_BATCH_STATES:
+                yield pd.DataFrame({"batch_id": [key[0]], "status": ["stuck"], "updated_at": [pd.Timestamp(updated, unit="ms")]})
+            return
         state.remove()
         if status not in FINAL_BATCH_STATES:
             yield pd.DataFrame({"batch_id": [key[0]], "status": ["expired"], "updated_at": [pd.Timestamp(updated, unit="ms")]})
@@ -75,7 +82,9 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
         if latest["status"] in FINAL_BATCH_STATES or int(latest["ms"]) >= updated:
             status, updated = latest["status"], int(latest["ms"])
     state.update((status, updated, created))
-    state.setTimeoutTimestamp(max(created + DAY_MS, state.getCurrentWatermarkMs() + 1))  # each call clears the old one
+    reached = state.getCurrentWatermarkMs()
+    due = next((created + ms for ms in (HOUR_MS, DAY_MS) if created + ms > reached), reached + 1)
+    state.setTimeoutTimestamp(due)  # each call clears the old one
     if (status, updated) != before:
         yield pd.DataFrame({"batch_id": [key[0]], "status": [status], "updated_at": [pd.Timestamp(updated, unit="ms")]})
 

@@ -128,5 +128,5 @@ def test_stream_batch_state(spark, tmp_path):
     for r in rows:
         seen.setdefault(r["batch_id"], []).append(r["status"])
     assert seen["x"] == ["created", "completed"]  # final: the later record is ignored
-    assert seen["y"][-1] == "expired" and seen["y"][:2] == ["created", "in_progress"]
+    assert seen["y"][-1] == "expired" and set(seen["y"][1:-1]) <= {"in_progress", "stuck"}
     assert seen["z"] == ["created", "in_progress"]

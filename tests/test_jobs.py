@@ -275,7 +275,8 @@ def test_splits_are_disjoint_and_complete(spark):
     df = spark.range(103).withColumnRenamed("id", "msg_id")
     counts = {r[0]: r[1] for r in Sp.split_by_ratio(df).groupBy("split").count().collect()}
     assert counts == {"train": 72, "val": 15, "test": 16}
-    assert Sp.capped_sizes(10000) == {"train": 2000, "val": 400, "test": 400} and sum(Sp.capped_sizes(100).values()) == 100
+    assert sum(Sp.split_sizes(10007).values()) == 10007 and sum(Sp.split_sizes(3).values()) == 3
+    assert Sp.split_sizes(10000, corpus.SPLIT_CAPS) == {"train": 2000, "val": 400, "test": 400}
     strat = Sp.split_stratified(df.withColumn("d", F.col("msg_id") % 9).withColumn("s", F.col("msg_id") % 2), ["s"], "d")
     assert strat.count() == 103 and Sp.domain_leakage(strat, "d").count() == 0
     sample = sorted(r["position"] for r in Sp.evenly_spaced_sample(df, 20).collect())
@@ -392,24 +393,6 @@ def test_maze_symmetries(spark):
     assert rows == {t: NUMPY[t](np.array([[1, 2], [3, 4]])).ravel().tolist() for t in range(8)}
 
 
-def test_epoch_batches_against_a_loop(spark, monkeypatch):
-    monkeypatch.setattr(Gr, "_CHUNK", 7)  # several stretches
-    rows = [(i // 3, i, i * 5 % 7 + 1) for i in range(150)]
-    df = spark.createDataFrame(rows, "group_id int, puzzle_id int, n_examples int")
-    got = Gr.epoch_sample(df, 10, epochs=2).collect()
-    for epoch in (1, 2):
-        mine = sorted((r for r in got if r["epoch"] == epoch), key=lambda r: r["position"])
-        assert len({r["group_id"] for r in mine}) == len(mine)
-        batch, fill = 0, 0
-        for position, r in enumerate(mine, 1):
-            assert r["position"] == position and r["batch_no"] == batch and r["taken"] == min(r["n_examples"], 10 - fill)
-            fill += r["taken"]
-            if fill == 10:
-                batch, fill = batch + 1, 0
-        assert fill == 0  # the partial batch is gone
-        assert len(mine) >= 50 - 10
-
-
 def test_votes_with_ties(spark):
     votes = [("p", "i", "x", 0.2), ("p", "i", "x", 0.4), ("p", "i", "y", 0.9), ("p", "i", "y", 0.1), ("p", "j", "z", 0.5), ("r", "k", "w", 0.5)]
     answers = [("p", "i", "x"), ("p", "j", "z"), ("r", "k", "never")]

@@ -179,3 +179,26 @@ def test_obfuscation_flags(spark):
     rows = D.detect_obfuscation(spark.createDataFrame([(t,) for t in texts], "body string")).collect()
     names = [[n for n in rows[0].asDict() if n != "body" and r[n]] for r in rows]
     assert names == [[], ["decomposition"], ["number_words"], ["references"], ["multilingual"], ["unicode_tricks"], ["unicode_tricks"], ["base64"], ["euphemisms"]]
+
+
+def test_normal_form_lengths(spark):
+    import random
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from riskweave.functions.normal_forms import composed_length, decomposed_length
+
+    texts = [
+        "plain", "", "Tiếng Việt có dấu", "Ελληνικά με τόνους", "русский йод", "한국어 각 가", "Ångström Å", "क़ख़ग़",
+        "café yä", "q̃ x", "ﬁ ligature", "mixed é é 각",
+    ]
+    texts += [unicodedata.normalize("NFD", t) for t in texts]
+    random.seed(1)
+    pool = [chr(c) for c in (*range(0xC0, 0x250), *range(0x370, 0x480), *range(0x1E00, 0x1FFF), *range(0xAC00, 0xAC60)) if unicodedata.category(chr(c)) != "Cn"]
+    texts += ["".join(random.choice(pool) for _ in range(30)) for _ in range(60)]
+    texts += [unicodedata.normalize("NFD", t) for t in texts[-60:]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", composed_length(F.col("t")).alias("c"), decomposed_length(F.col("t")).alias("d")).collect():
+        assert r.d == len(unicodedata.normalize("NFD", r.t)), r.t
+        assert r.c == len(unicodedata.normalize("NFC", r.t)), r.t
