@@ -43,8 +43,10 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), lambda v: body(v))[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of the batches, in order, in pieces of about ``PIECE_BYTES`` of text."""
+def pieces(
+    batches: Iterator[pa.RecordBatch], text: str = "text", size: int = PIECE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, in order, in pieces of about ``size`` bytes of text."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -53,7 +55,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         start = 0
         while start < batch.num_rows:
             before = total[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(total, before + PIECE_BYTES, side="right")))
+            stop = max(start + 1, int(np.searchsorted(total, before + size, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
 

@@ -18,8 +18,8 @@ The texts are range-partitioned by id once; they are encoded where they land, an
 a task. Offsets over all parts need one row per part on the driver.
 
 The encoder is the tokenizers library. A byte-level BPE never merges across the blank before a word, so a task encodes
-each distinct word once (the tokenizer's own model, after its own pre-tokenizer), keeps a bounded cache and joins the
-ids. Texts with runs of blanks or blanks other than space and line feed are encoded whole. The results are
+each distinct word once (the tokenizer's own model, after its own pre-tokenizer or the same cut), keeps a bounded store
+and joins the ids. Texts with runs of blanks or blanks other than space and line feed are encoded whole. The results are
 those of ``encode(text, add_special_tokens=False)``.
 
 Defined results: a null or empty text is the end id alone; null ids come first; rows of one id follow each other in
@@ -28,23 +28,26 @@ the order of their texts; an empty table gives no files' rows.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.tables import pieces
+from riskweave.llm.tables import pieces, text_buffer
+from riskweave.llm.words import mix, split_words
 from riskweave.session import ensure_checkpoint_dir
 
 SHARD = 1 << 20
 END = 2
-CACHE = 600_000  # words a worker keeps, some 200 MB
+CACHE = 500_000  # words a worker keeps, some 150 MB
+_TOGETHER = 2_000
 _BLOCK = 512
 
 FILE_SCHEMA = (
@@ -165,47 +168,127 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in prints else 256 + others.index(b)) for b in range(256)}
 
 
-class _Units(dict):
-    """ids of a word with the blank before it; met words are kept, new ones go through the tokenizer's own parts."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.split, self.model = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
-        self.letters = _byte_letters()
-
-    def __missing__(self, unit: str) -> tuple[int, ...]:
-        word = unit.rstrip(".,;:!?")
-        if word.lstrip(" ").isalpha() and word.count(" ") < 2:  # a word, then signs: two pre-tokens at most
-            written = word.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.model(written)]
-            if len(word) < len(unit):
-                ids += [t.id for t in self.model(unit[len(word) :])]
-        else:
-            ids = [t.id for part, _ in self.split(unit) for t in self.model(part)]
-        out = tuple(ids)
-        if len(self) < CACHE:
-            self[unit] = out
-        return out
-
-
 class Encoder:
-    """ids of texts, as the library's ``encode`` gives them."""
+    """ids of texts, as the library's ``encode`` gives them; a bounded store keeps those of words met before.
+
+    New words go to the tokenizer's model together, with a byte letter between them that no merge of the vocabulary
+    holds, so no token can reach over it.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.units = _Units(self.tokenizer)
-
-    def ids_of(self, text: str) -> list[int]:
-        if not _plain(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        # "a b\nc" -> ["a", " b", "\n", "c"]: no token crosses these cuts where blanks stand alone
-        cut = text.replace("\n", "\x1e\n\x1e").replace(" ", "\x1e ").split("\x1e")
-        return list(chain.from_iterable(map(self.units.__getitem__, cut)))
+        self.place: dict[str, int] = {}  # unit: its number; unit k has flat[starts[k] : starts[k + 1]]
+        self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.letters = _byte_letters()
+        model = json.loads(self.tokenizer.to_str())["model"]
+        merged = set("".join(chain.from_iterable(model["merges"])))
+        # bytes that no UTF-8 text has
+        self.gap_letter = next(
+            x for b in range(0xF5, 0x100) if (x := self.letters[b]) not in merged and x in model["vocab"]
+        )
+        self.gap = model["vocab"][self.gap_letter]
+
+    def _together(self, written: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all written pre-tokens behind one another, and how many each has."""
+        ids = np.array([t.id for t in self.tokenizer.model.tokenize(self.gap_letter.join(written))], np.uint32)
+        gap = ids == self.gap
+        return ids[~gap], np.diff(np.concatenate([[-1], np.flatnonzero(gap), [len(ids)]])) - 1
+
+    def _learn(self, units: list[str]) -> None:
+        """Adds the ids of new units. A word, then signs, is two pre-tokens at most; others are split by the library."""
+        parts, counts, order, odd = [], [], [], []
+        for u in units:
+            word = u.rstrip(".,;:!?")
+            if (word[1:] if word[:1] == " " else word).isalpha():
+                parts.append(word)
+                if len(word) < len(u):
+                    parts.append(u[len(word) :])
+                    counts.append(2)
+                else:
+                    counts.append(1)
+                order.append(u)
+            else:
+                odd.append(u)
+        written = "\0".join(parts).encode().decode("latin-1").translate(self.letters).split(self.letters[0]) if parts else []
+        for u in odd:
+            split = self.tokenizer.pre_tokenizer.pre_tokenize_str(u)
+            written += [part for part, _ in split]
+            counts.append(len(split))
+        ids, sizes = [self.flat], []
+        for s in range(0, len(written), _TOGETHER):
+            some, n = self._together(written[s : s + _TOGETHER])
+            ids.append(some)
+            sizes.append(n)
+        if counts:
+            first = np.cumsum(counts) - counts
+            own = np.add.reduceat(np.concatenate(sizes), first)
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(own)])
+            self.flat = np.concatenate(ids)
+            self.place.update(zip(order + odd, range(len(self.place), len(self.starts) - 1), strict=True))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """ids of each text. Plain texts are cut before each blank, and each distinct word with its blank is met once."""
+        words = split_words(texts)
+        data, offsets = text_buffer(texts)
+        plain = plain_rows(data, offsets)
+        row = words.row_of_word()
+        start = words.start
+        blank = np.where(start > offsets[:-1][row], data[np.maximum(start - 1, 0)], 0).astype(np.uint64)
+        _, first, unit = np.unique(mix(words.hash + blank), return_index=True, return_inverse=True)
+        used = np.zeros(len(first), bool)
+        used[unit[plain[row]]] = True
+        text, begins, ends = data.tobytes(), (start - (blank > 0))[first][used].tolist(), words.end[first][used].tolist()
+        needed = [text[b:e].decode() for b, e in zip(begins, ends, strict=True)]
+        if len(self.place) > CACHE:  # later words are rarer: keep the first
+            self._shrink()
+        self._learn([u for u in needed if u not in self.place])
+        at = np.zeros(len(first), np.int64)
+        at[used] = np.fromiter(map(self.place.__getitem__, needed), np.int64, len(needed))
+        counts = np.where(plain[row], (self.starts[at + 1] - self.starts[at])[unit] if len(self.starts) > 1 else 0, 0)
+        stops = np.cumsum(counts)
+        ids = self.flat[np.arange(int(counts.sum())) + np.repeat(self.starts[at][unit] - (stops - counts), counts)]
+        bounds = np.concatenate([[0], stops])[words.bounds]
+        out = []
+        for i, (a, b) in enumerate(pairwise(bounds.tolist())):
+            if plain[i]:
+                out.append(ids[a:b])
+            else:
+                whole = text[offsets[i] : offsets[i + 1]].decode()
+                out.append(np.array(self.tokenizer.encode(whole, add_special_tokens=False).ids, np.uint32))
+        return out
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self.ids_of(t) for t in texts]
+    def _shrink(self) -> None:
+        kept = dict(islice(self.place.items(), CACHE // 2))
+        self.place, self.starts = kept, self.starts[: len(kept) + 1]
+        self.flat = self.flat[: self.starts[-1]]
+
+
+_OTHER_BLANKS = np.zeros(256, bool)
+_OTHER_BLANKS[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = True
+
+
+def plain_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether all white space of a row is single spaces and line feeds inside it, and no special token can occur."""
+    plain = offsets[:-1] < offsets[1:]
+    if not len(data):
+        return plain
+    blank = (data == 0x20) | (data == 0x0A)
+    bad = _OTHER_BLANKS[data]
+    bad[:-1] |= blank[:-1] & blank[1:]
+    bad[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)  # <|
+    one, two = np.append(data[1:], 0), np.append(data[2:], [0, 0])[: len(data)]
+    # blanks beyond ASCII: U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000
+    bad |= (data == 0xC2) & ((one == 0x85) | (one == 0xA0))
+    bad |= ((data == 0xE1) & (one == 0x9A) & (two == 0x80)) | ((data == 0xE3) & (one == 0x80) & (two == 0x80))
+    general = (data == 0xE2) & (one == 0x80)
+    bad |= general & ((two <= 0x8A) | (two == 0xA8) | (two == 0xA9) | (two == 0xAF))
+    bad |= (data == 0xE2) & (one == 0x81) & (two == 0x9F)
+    full = np.flatnonzero(plain)
+    plain[np.searchsorted(offsets, np.flatnonzero(bad), side="right") - 1] = False
+    plain[full] &= ~blank[offsets[:-1][full]] & ~blank[offsets[1:][full] - 1]
+    return plain
 
 
 @lru_cache(maxsize=1)
@@ -250,19 +333,19 @@ def _shards(rows: Iterator[tuple[int | None, np.ndarray]], part: int) -> Iterato
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encodes and writes all documents in ascending id order (see the module text for the format)."""
     # The end id is part of the format; the vocabulary file must be at the same place for all executors.
-    sorted_rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).orderBy("doc_id", "text")
+    sorted_rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    sorted_rows = sorted_rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def encoded(batches):
         encoder, part = encoder_of(tokenizer), None
 
         def rows():
             nonlocal part
-            for piece in pieces(batches):
+            for piece in pieces(batches, size=4 << 20):
                 if part is None:
                     part = piece.column("part")[0].as_py()
-                texts = [t or "" for t in piece.column("text").to_pylist()]
-                for doc, ids in zip(piece.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
-                    yield doc, np.array([*ids, END], dtype=np.uint32)
+                for doc, ids in zip(piece.column("doc_id").to_pylist(), encoder.encode(piece.column("text")), strict=True):
+                    yield doc, np.append(ids, np.uint32(END))
 
         for shard in _shards(rows(), 0):
             shard["part"] = part
