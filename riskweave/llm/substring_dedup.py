@@ -5,9 +5,9 @@ window whose word sequence also starts in a document with a smaller id. Windows
 
 1. Documents with the same words are one: only the one with the smallest id goes on, all others consist of repeats
    (if they have a window at all). So groups of copies cost a narrow aggregate.
-2. A repeat holds the same 20-word minimiser at the same place. Minimisers (6 % of the positions) that occur in one
-   document only are dropped by an aggregate; a suffix (window start) goes on only if its minimiser is left. This loses
-   nothing, and text without repeats ends here.
+2. A repeat holds the same minimiser (the 8-word gram with the smallest hash) at the same place. Minimisers, 5 % of the
+   positions, that occur in one content only are dropped by an aggregate; a suffix (window start) goes on only if its
+   minimiser is left. This loses nothing, and text without repeats ends here.
 3. The remaining suffixes are grouped by a variable-length prefix: first by hash buckets of their first 10 words; a
    bucket of more than ``MEMORY_ROWS`` suffixes is split by the first 30 words, one that is still too large by all 50.
    The number of buckets follows the number of suffixes.
@@ -39,8 +39,8 @@ from riskweave.llm.words import Words, join_words, shingle_hashes, shingle_start
 from riskweave.session import reliable_checkpoint
 
 WINDOW = 50
-GRAM = 20
-PREFIX = 10  # words of the first edge; the next two have GRAM words each
+GRAM = 8
+EDGES = (10, 20, 20)  # words of the edges of a path to depth 50
 MEMORY_ROWS = 500_000
 
 
@@ -59,7 +59,7 @@ def _least_places(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def minimisers(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Window starts, their rows, the place of each window's minimiser, and the hashes of all 20-word grams."""
+    """Window starts, their rows, the place of each window's minimiser, and the hashes of all grams."""
     starts, rows = shingle_starts(words.bounds, WINDOW)
     grams = shingle_hashes(words.hash, GRAM)
     if not len(starts):
@@ -76,7 +76,7 @@ def row_digests(words: Words, keep: np.ndarray | None = None) -> tuple[list[str]
     return out, np.diff(bounds)
 
 
-_PROFILE = "doc_id long, th long, n_words long, sha string, anchors array<struct<at: int, h: long>>"
+_PROFILE = "doc_id long, th long, n_words long, sha string, content long, anchors array<struct<at: int, h: long>>"
 _ANCHORS = pa.list_(pa.struct([("at", pa.int32()), ("h", pa.int64())]))
 
 
@@ -96,9 +96,10 @@ def _profiles(batches):
         yield pa.RecordBatch.from_arrays(
             [
                 piece.column("doc_id"), piece.column("th"), pa.array(counts.astype(np.int64)), pa.array(digests),
+                pa.array([int(d[:15], 16) for d in digests], pa.int64()),
                 pa.ListArray.from_arrays(pa.array(offsets), found, type=_ANCHORS),
             ],
-            names=["doc_id", "th", "n_words", "sha", "anchors"],
+            names=["doc_id", "th", "n_words", "sha", "content", "anchors"],
         )
 
 
@@ -106,17 +107,17 @@ def _suffixes(batches):
     """Symbols of the window starts whose minimiser is among ``places``."""
     for piece in pieces(batches):
         words = split_words(piece.column("text"))
-        starts, rows, place, grams = minimisers(words)
+        starts, rows, place, _ = minimisers(words)
         known = piece.column("places")
         flat = np.asarray(known.flatten(), dtype=np.int64)
         owner = np.repeat(np.arange(piece.num_rows), np.asarray(known.value_lengths().fill_null(0), dtype=np.int64))
         mine = np.isin(place, flat + words.bounds[owner])
         at, row = starts[mine], rows[mine]
-        first = shingle_hashes(words.hash, PREFIX)
+        edges = {n: shingle_hashes(words.hash, n) for n in set(EDGES)}
+        symbols = [edges[n][at + sum(EDGES[:i])].view(np.int64) for i, n in enumerate(EDGES)]
         take = pa.array(row)
         yield pa.RecordBatch.from_pydict({
-            "d1": pa.array(first[at].view(np.int64)), "d2": pa.array(grams[at + PREFIX].view(np.int64)),
-            "d3": pa.array(grams[at + PREFIX + GRAM].view(np.int64)), "doc_id": piece.column("doc_id").take(take),
+            "d1": pa.array(symbols[0]), "d2": pa.array(symbols[1]), "d3": pa.array(symbols[2]), "doc_id": piece.column("doc_id").take(take),
             "th": piece.column("th").take(take), "at": pa.array((at - words.bounds[row]).astype(np.int32)),
         })
 
@@ -165,26 +166,21 @@ def _bucket(columns: list[str], n: int):
 def repeated_starts(suffixes: DataFrame, rows: int, memory_rows: int = MEMORY_ROWS) -> DataFrame:
     """doc_id, th, at of the window starts that a smaller id has too. rows: about the number of suffixes."""
     n = max(64, -(-4 * rows // memory_rows))
-    levels = (["d1"], ["d1", "d2"])
-    rest, groups = suffixes, []
-    for level, prefix in enumerate(levels):
-        rest = rest.withColumn("bucket", _bucket(prefix, n))
-        sizes = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    rest, found = suffixes, None
+    for prefix in (["d1"], ["d1", "d2"]):
+        sizes = rest.groupBy(_bucket(prefix, n).alias("bucket")).agg(F.count(F.lit(1)).alias("size"))
         large = reliable_checkpoint(sizes.filter(F.col("size") > memory_rows).select("bucket"))
-        groups.append(rest.join(large, "bucket", "left_anti").withColumn("bucket", F.col("bucket") + F.lit(level * n)))
-        if large.isEmpty():
-            rest = None
-            break
-        rest = rest.join(large, "bucket", "left_semi").drop("bucket")
-    small = groups[0] if len(groups) == 1 else groups[0].unionByName(groups[1])
-    trees = small.repartition("bucket").sortWithinPartitions("d1", "d2", "d3", "doc_id")
-    found = trees.select("d1", "d2", "d3", "doc_id", "th", "at").mapInArrow(walk_subtrees, "doc_id long, th long, at int")
-    if rest is not None:  # nodes too large to gather: only the smallest id of each is needed
-        nodes = rest.groupBy("d1", "d2", "d3").agg(F.min("doc_id").alias("lowest"))
-        found = found.unionByName(
-            rest.join(nodes, ["d1", "d2", "d3"]).filter("doc_id > lowest").select("doc_id", "th", "at")
-        )
-    return found
+        split = not large.isEmpty()
+        small = rest.join(large, _bucket(prefix, n) == F.col("bucket"), "left_anti") if split else rest
+        trees = small.repartition(_bucket(prefix, n)).sortWithinPartitions("d1", "d2", "d3", "doc_id")
+        walked = trees.mapInArrow(walk_subtrees, "doc_id long, th long, at int")
+        found = walked if found is None else found.unionByName(walked)
+        if not split:
+            return found
+        rest = rest.join(large, _bucket(prefix, n) == F.col("bucket"), "left_semi")
+    # nodes too large to gather: only the smallest id of each is needed
+    nodes = reliable_checkpoint(rest.groupBy("d1", "d2", "d3").agg(F.min("doc_id").alias("lowest")))
+    return found.unionByName(rest.join(nodes, ["d1", "d2", "d3"]).filter("doc_id > lowest").select("doc_id", "th", "at"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", memory_rows: int = MEMORY_ROWS) -> DataFrame:
@@ -193,14 +189,18 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
     ).select("doc_id", "text", F.xxhash64("text").alias("th"))
     profile = reliable_checkpoint(source.mapInArrow(_profiles, _PROFILE))
-    firsts = profile.filter((F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull()).groupBy("sha")
-    firsts = reliable_checkpoint(firsts.agg(F.min("doc_id").alias("first")))
-
-    owners = profile.filter(F.size("anchors") > 0).join(firsts, "sha").filter("doc_id = first")
-    anchors = owners.select("doc_id", "th", F.explode("anchors").alias("x")).select("doc_id", "th", "x.at", "x.h")
-    shared = anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    places = anchors.join(shared.select("h"), "h", "left_semi").groupBy("doc_id", "th")
-    places = reliable_checkpoint(places.agg(F.collect_list("at").alias("places")))  # of one text
+    known = profile.filter((F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull())
+    firsts = reliable_checkpoint(known.groupBy("sha").agg(F.min("doc_id").alias("first")))
+
+    # A gram is shared if two different contents hold it: copies of one text don't count.
+    grams = known.select("content", F.explode("anchors.h").alias("h")).groupBy("h")
+    shared = grams.agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low < high").select("h")
+    shared = reliable_checkpoint(shared)
+    anchors = known.select("doc_id", "th", F.explode("anchors").alias("x")).select("doc_id", "th", "x.at", "x.h")
+    places = anchors.join(shared, "h", "left_semi").groupBy("doc_id", "th").agg(F.collect_list("at").alias("places"))
+    # of each content only the document with the smallest id goes on
+    owners = known.select("doc_id", "th", "sha").distinct().join(firsts, "sha").filter("doc_id = first").select("doc_id", "th")
+    places = reliable_checkpoint(places.join(owners, ["doc_id", "th"]))
     texts = reliable_checkpoint(source.join(places, ["doc_id", "th"]))
 
     rows = (places.agg(F.sum(F.size("places"))).first()[0] or 0) * (WINDOW - GRAM + 2) // 2
@@ -212,7 +212,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     left = left.dropDuplicates(["doc_id", "th"])  # repeated rows are alike
     empty = F.sha2(F.lit(""), 256)
     copy = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
-    joined = profile.drop("anchors").join(firsts, "sha", "left").join(left, ["doc_id", "th"], "left")
+    joined = profile.drop("anchors", "content").join(firsts, "sha", "left").join(left, ["doc_id", "th"], "left")
     return joined.select(
         "doc_id", "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.col("n_words") - F.coalesce("left", "n_words")).alias("n_removed"),
