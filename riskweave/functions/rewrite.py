@@ -22,12 +22,6 @@ SEPARATOR_WORDS = {
     "english": {"-": "dash", ".": "dot"}, "spanish": {"-": "guión", ".": "punto"},
     "french": {"-": "guión", ".": "punto"}, "german": {"-": "guión", ".": "punto"},
 }
-REASONS = {
-    "credit_card": {"low": "payment processing setup", "medium": "client billing coordination", "high": "confidential payment method verification"},
-    "ssn": {"low": "employee record update", "medium": "benefits enrollment coordination", "high": "confidential identity verification process"},
-    "password": {"low": "system access setup", "medium": "security credential rotation", "high": "confidential system authentication"},
-    "api_key": {"low": "service integration", "medium": "production deployment coordination", "high": "confidential system authentication"},
-}
 
 
 def digits_to_words(value: Column, language: str = "english") -> Column:
@@ -119,7 +113,7 @@ def apply_technique(value: Column, data_type: Column, kind: Column, *keys) -> Co
 
 
 def business_reason(data_type: Column, level: Column) -> Column:
-    table = {f"{t}|{lv}": text for t, levels in REASONS.items() for lv, text in levels.items()}
+    table = {f"{t}|{lv}": text for t, levels in corpus.EUPHEMISM_REASONS.items() for lv, text in levels.items()}
     known = lookup(F.concat_ws("|", data_type, level), table, None)
     return F.coalesce(known, F.concat(data_type, F.lit(" handling for business purposes")))
 

@@ -16,18 +16,25 @@ from riskweave.operators.splits import _with_position
 MODES = ["personal_risk", "external_business", "mixed_recipients", "additional_cc"]
 
 
+def _kept(recipients: Column, most: int | None) -> Column:
+    return recipients if most is None else F.slice(recipients, 1, most)
+
+
 def _moved(recipients: Column, domains, fallback: str, *keys) -> Column:
-    """Same mailboxes (the first two) at drawn domains."""
+    """Same mailboxes at drawn domains."""
 
     def one(r: Column, i: Column) -> Column:
         box = F.when(r.contains("@"), F.substring_index(r, "@", 1)).otherwise(F.lit(fallback))
         return F.concat(box, F.lit("@"), pick(domains, *keys, i))
 
-    return F.transform(F.slice(recipients, 1, 2), one)
+    return F.transform(recipients, one)
+
 
+def varied_recipients(recipients: Column, *keys, most_moved: int | None = None, most_mixed: int | None = None) -> Column:
+    """One of four modes: personal domains, business domains, all kept plus a personal one, or one or two more.
 
-def varied_recipients(recipients: Column, *keys) -> Column:
-    """One of four modes: personal domains, business domains, one kept plus a personal one, or one or two more."""
+    ``most_moved`` and ``most_mixed`` keep only the first recipients in the first three modes.
+    """
     mode = pick(MODES, *keys, "mode")
     stranger = lambda i, domains: F.concat(
         pick(corpus.VARIANT_MAILBOXES, *keys, "box", i), F.lit("@"), pick(domains, *keys, "at", i)
@@ -38,11 +45,11 @@ def varied_recipients(recipients: Column, *keys) -> Column:
     )
     changed = let(
         mode,
-        lambda m: F.when(m == "personal_risk", _moved(recipients, corpus.VARIANT_PERSONAL_DOMAINS, "user", *keys, "p"))
-        .when(m == "external_business", _moved(recipients, corpus.VARIANT_BUSINESS_DOMAINS, "contact", *keys, "b"))
+        lambda m: F.when(m == "personal_risk", _moved(_kept(recipients, most_moved), corpus.VARIANT_PERSONAL_DOMAINS, "user", *keys, "p"))
+        .when(m == "external_business", _moved(_kept(recipients, most_moved), corpus.VARIANT_BUSINESS_DOMAINS, "contact", *keys, "b"))
         .when(
             m == "mixed_recipients",
-            F.concat(F.slice(recipients, 1, 1), F.array(stranger(2, corpus.VARIANT_PERSONAL_DOMAINS))),
+            F.concat(_kept(recipients, most_mixed), F.array(stranger(2, corpus.VARIANT_PERSONAL_DOMAINS))),
         )
         .otherwise(F.concat(recipients, more)),
     )

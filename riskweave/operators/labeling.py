@@ -29,14 +29,16 @@ def label_pattern(df: DataFrame, noise: float = 0.0, seed: int = 42, out: str =
     )
 
 
-def label_contextual(df: DataFrame, noise: float = 0.0, seed: int = 42, out: str = "contextual_labels") -> DataFrame:
-    """Adds the contextual labels and, unless the table has labels, the same ones under that name."""
+def label_contextual(
+    df: DataFrame, noise: float = 0.0, seed: int = 42, out: str = "contextual_labels", overwrite: bool = True
+) -> DataFrame:
+    """Adds the contextual labels, and the same ones as ``labels``; ``overwrite=False`` leaves labels that are there."""
     scores = L.contextual_labels(
         F.col("user"), F.col("subject"), F.col("body"), F.col("recipients"), F.col("attachments"), noise, seed,
         F.col("msg_id"),
     )
     labelled = df.withColumn(out, scores)
-    return labelled if "labels" in df.columns else labelled.withColumn("labels", F.col(out))
+    return labelled if "labels" in df.columns and not overwrite else labelled.withColumn("labels", F.col(out))
 
 
 def label_spans(df: DataFrame, agent: str | None = None) -> DataFrame:

@@ -194,13 +194,13 @@ def _stranger_sql(i: int, domains) -> str:
 
 def _moved_sql(domains, fallback: str, tag: str) -> str:
     box = f"CASE WHEN contains(recipients[i], '@') THEN string_split(recipients[i], '@')[1] ELSE '{fallback}' END"
-    return f"list_transform(range(1, least(len(recipients), 2) + 1), lambda i: {box} || '@' || {sql_pick(domains, *_KEYS, sql_text(tag), 'i - 1')})"
+    return f"list_transform(range(1, len(recipients) + 1), lambda i: {box} || '@' || {sql_pick(domains, *_KEYS, sql_text(tag), 'i - 1')})"
 
 
 VARIED_RECIPIENTS_SQL = (
     f"CASE WHEN len(recipients) = 0 THEN recipients ELSE CASE {sql_pick(A.MODES, *_KEYS, sql_text('mode'))} "
     f"WHEN 'personal_risk' THEN {_moved_sql(corpus.VARIANT_PERSONAL_DOMAINS, 'user', 'p')} WHEN 'external_business' THEN {_moved_sql(corpus.VARIANT_BUSINESS_DOMAINS, 'contact', 'b')} "
-    f"WHEN 'mixed_recipients' THEN [recipients[1], {_stranger_sql(2, corpus.VARIANT_PERSONAL_DOMAINS)}] "
+    f"WHEN 'mixed_recipients' THEN recipients || [{_stranger_sql(2, corpus.VARIANT_PERSONAL_DOMAINS)}] "
     f"ELSE recipients || CASE WHEN {sql_uniform(*_KEYS, sql_text('cc'))} < 0.5 THEN [{_stranger_sql(0, corpus.VARIANT_BUSINESS_DOMAINS)}] "
     f"ELSE [{_stranger_sql(0, corpus.VARIANT_BUSINESS_DOMAINS)}, {_stranger_sql(1, corpus.VARIANT_BUSINESS_DOMAINS)}] END END END"
 )

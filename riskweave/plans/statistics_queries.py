@@ -200,7 +200,7 @@ def discrimination(spark, sf_dir):
 
 def _pairs(spark, sf_dir):
     """Both label sets come from one pass over the texts, so no join is needed to align them."""
-    both = B.label_contextual(B.label_pattern(messages(spark, sf_dir))).select(
+    both = B.label_contextual(B.label_pattern(messages(spark, sf_dir)), overwrite=False).select(
         F.explode(
             F.array(
                 *[
@@ -272,7 +272,7 @@ WHERE abs(p - c) > 0.2
     ),
 )
 def disagreements(spark, sf_dir):
-    both = B.label_contextual(B.label_pattern(messages(spark, sf_dir)), out="other_labels")
+    both = B.label_contextual(B.label_pattern(messages(spark, sf_dir)), out="other_labels", overwrite=False)
     found = S.disagreements(both)
     return found.select("msg_id", rounded(F.col("risk_difference")).alias("risk_difference"), F.array_join("factors", ";").alias("factors"))
 
@@ -287,7 +287,7 @@ def disagreements(spark, sf_dir):
     ),
 )
 def top_disagreements(spark, sf_dir):
-    both = B.label_contextual(B.label_pattern(messages(spark, sf_dir)), out="other_labels")
+    both = B.label_contextual(B.label_pattern(messages(spark, sf_dir)), out="other_labels", overwrite=False)
     return S.top_disagreements(S.disagreements(both)).select("msg_id", rounded(F.col("risk_difference")).alias("risk_difference"))
 
 
@@ -302,7 +302,7 @@ def top_disagreements(spark, sf_dir):
     ),
 )
 def paired_discrimination(spark, sf_dir):
-    both = B.label_contextual(B.label_pattern(messages(spark, sf_dir))).withColumns(
+    both = B.label_contextual(B.label_pattern(messages(spark, sf_dir)), overwrite=False).withColumns(
         {"pair_id": F.floor(F.col("msg_id") / 2), "appropriate": F.col("msg_id") % 2 == 0}
     )
     done = S.paired_discrimination(both, "pair_id", "appropriate", ["labels", "contextual_labels"])
