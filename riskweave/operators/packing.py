@@ -26,6 +26,16 @@ def pack_examples(df: DataFrame, labels: str = "labels", max_length: int = 1024,
     return marked.withColumn("packed", markup.pack(F.col("markup"), F.col(labels), max_length, vocabulary))
 
 
+def encode_windows(df: DataFrame, text: str, max_length: int) -> DataFrame:
+    """One row per window of ``max_length`` ids of the whole text (begin id first, end id last), the last one padded."""
+    encoded = df.withColumn("_ids", markup.encode_chars(F.col(text)))
+    last = F.floor((F.size("_ids") - 1) / max_length).cast("int")
+    windows = encoded.withColumn("window_no", F.explode_outer(F.sequence(F.lit(0), last)))
+    ids = F.slice("_ids", F.col("window_no") * max_length + 1, F.lit(max_length))
+    missing = F.lit(max_length) - F.size(ids)
+    return windows.withColumn("ids", F.concat(ids, F.array_repeat(F.lit(markup.PAD), missing))).drop("_ids")
+
+
 def mask_tokens(
     df: DataFrame, ids: str, mask_id: int, key: str = "msg_id", p: float = 0.15, seed: int = 42, first: int = 5
 ) -> DataFrame:

@@ -424,14 +424,15 @@ def dsl_corpus(spark, sf_dir):
 
 @query(
     "encode_chars",
-    "SELECT doc_id, len(ids) AS n, CAST(list_sum(ids) AS BIGINT) AS id_sum, CAST(list_sum(list_transform(range(1, len(ids) + 1), lambda i: ids[i] * (i % 97))) AS BIGINT) AS id_check FROM (SELECT doc_id, "
-    "CASE WHEN len(text) + 2 > 512 THEN list_slice(full_ids, 1, 511) || [3] ELSE full_ids || list_transform(range(512 - len(full_ids)), lambda i: 0) END AS ids FROM (SELECT doc_id, text, "
-    "[2] || list_transform(string_split(text[:512], ''), lambda c: CASE WHEN unicode(c) BETWEEN 32 AND 126 THEN unicode(c) - 28 ELSE 1 END) || [3] AS full_ids FROM documents))",
+    "SELECT doc_id, CAST(w AS INT) AS window_no, CAST(512 AS INT) AS n, CAST(list_sum(ids) AS BIGINT) AS id_sum, "
+    "CAST(list_sum(list_transform(range(1, len(ids) + 1), lambda i: ids[i] * (i % 97))) AS BIGINT) AS id_check FROM (SELECT doc_id, w, full_ids[w * 512 + 1:w * 512 + 512] AS ids FROM ("
+    "SELECT doc_id, full_ids, unnest(range(CAST(ceil(len(full_ids) / 512.0) AS BIGINT))) AS w FROM (SELECT doc_id, [2] || CASE WHEN text = '' THEN CAST([] AS INTEGER[]) ELSE "
+    "list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) BETWEEN 32 AND 126 THEN unicode(c) - 28 ELSE 1 END) END || [3] AS full_ids FROM documents)))",
 )
 def encode_chars(spark, sf_dir):
-    ids = scan(spark, sf_dir, "documents").select("doc_id", markup.encode_chars(F.col("text"), 512).alias("ids"))
+    ids = P.encode_windows(scan(spark, sf_dir, "documents"), "text", 512).select("doc_id", "window_no", "ids")
     return ids.select(
-        "doc_id", F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"),
+        "doc_id", "window_no", F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"),
         F.aggregate(F.transform("ids", lambda x, i: x * ((i + 1) % 97)), F.lit(0).cast("long"), lambda a, x: a + x).alias("id_check"),
     )
 
