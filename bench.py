@@ -17,6 +17,7 @@ HEADLINE = [
     "processing_stats", "spans_full", "spans_converter", "label_spans", "label_pattern", "label_contextual",
     "sharing_analysis", "convert_messages", "compare_labelers", "ranking_metrics", "decision_stability", "augment",
     "serialize_dsl", "split_by_ratio", "augment_grids", "vote_predictions", "batch_stats",
+    "overlap_pairs", "token_metrics", "pack_examples", "split_stratified",
 ]
 
 
