@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from riskweave.llm import token_files as T
@@ -34,7 +35,17 @@ def test_encoder_equals_library(tokenizer):
     texts = ["".join(random.choice(parts) for _ in range(random.randrange(14))) for _ in range(5000)]
     encoder = T.Encoder(tokenizer)
     expected = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert encoder.encode(texts) == expected
+    assert [x.tolist() for x in encoder.encode(pa.array(texts))] == expected
+    assert [x.tolist() for x in encoder.encode(pa.array([None, *texts[:50]]))] == [[], *expected[:50]]
+
+
+def test_store_of_words_is_bounded(tokenizer, monkeypatch):
+    monkeypatch.setattr(T, "CACHE", 20)
+    encoder = T.Encoder(tokenizer)
+    for i in range(6):
+        text = " ".join(f"word{chr(97 + i)}{chr(97 + j)}" for j in range(15))
+        assert encoder.encode(pa.array([text]))[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder.place) <= 20 + 15
 
 
 def test_round_trip(odd, none, tokenizer, monkeypatch):
