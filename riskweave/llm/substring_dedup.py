@@ -42,6 +42,7 @@ WINDOW = 50
 GRAM = 8
 EDGES = (10, 20, 20)  # words of the edges of a path to depth 50
 MEMORY_ROWS = 500_000
+_LOW = (1 << 32) - 1
 
 
 def _least_places(values: np.ndarray, width: int) -> np.ndarray:
@@ -104,7 +105,8 @@ def _profiles(batches):
 
 
 def _suffixes(batches):
-    """Symbols of the window starts whose minimiser is among ``places``."""
+    """Symbols of the window starts whose minimiser is among ``places``; spot: the start and 32 bits of the text's hash,
+    which tell texts of one id apart."""
     for piece in pieces(batches):
         words = split_words(piece.column("text"))
         starts, rows, place, _ = minimisers(words)
@@ -118,7 +120,7 @@ def _suffixes(batches):
         take = pa.array(row)
         yield pa.RecordBatch.from_pydict({
             "d1": pa.array(symbols[0]), "d2": pa.array(symbols[1]), "d3": pa.array(symbols[2]), "doc_id": piece.column("doc_id").take(take),
-            "th": piece.column("th").take(take), "at": pa.array((at - words.bounds[row]).astype(np.int32)),
+            "spot": pa.array(((at - words.bounds[row]) << 32) | (np.asarray(piece.column("th"))[row] & _LOW)),
         })
 
 
@@ -138,7 +140,7 @@ def walk_subtrees(batches):
         new[0] = node is None or (symbols[0] != node).any()
         head = np.maximum.accumulate(np.where(new, np.arange(batch.num_rows), -1))
         low = np.where(head >= 0, ids[head], lowest if lowest is not None else 0)
-        yield batch.filter(pa.array(ids > low)).select(["doc_id", "th", "at"])
+        yield batch.filter(pa.array(ids > low)).select(["doc_id", "spot"])
         node, lowest = symbols[-1], int(low[-1])
 
 
@@ -164,7 +166,7 @@ def _bucket(columns: list[str], n: int):
 
 
 def repeated_starts(suffixes: DataFrame, rows: int, memory_rows: int = MEMORY_ROWS) -> DataFrame:
-    """doc_id, th, at of the window starts that a smaller id has too. rows: about the number of suffixes."""
+    """doc_id and spot of the window starts that a smaller id has too. rows: about the number of suffixes."""
     n = max(64, -(-4 * rows // memory_rows))
     rest, found = suffixes, None
     for prefix in (["d1"], ["d1", "d2"]):
@@ -173,14 +175,14 @@ def repeated_starts(suffixes: DataFrame, rows: int, memory_rows: int = MEMORY_RO
         split = not large.isEmpty()
         small = rest.join(large, _bucket(prefix, n) == F.col("bucket"), "left_anti") if split else rest
         trees = small.repartition(_bucket(prefix, n)).sortWithinPartitions("d1", "d2", "d3", "doc_id")
-        walked = trees.mapInArrow(walk_subtrees, "doc_id long, th long, at int")
+        walked = trees.mapInArrow(walk_subtrees, "doc_id long, spot long")
         found = walked if found is None else found.unionByName(walked)
         if not split:
             return found
         rest = rest.join(large, _bucket(prefix, n) == F.col("bucket"), "left_semi")
     # nodes too large to gather: only the smallest id of each is needed
     nodes = reliable_checkpoint(rest.groupBy("d1", "d2", "d3").agg(F.min("doc_id").alias("lowest")))
-    return found.unionByName(rest.join(nodes, ["d1", "d2", "d3"]).filter("doc_id > lowest").select("doc_id", "th", "at"))
+    return found.unionByName(rest.join(nodes, ["d1", "d2", "d3"]).filter("doc_id > lowest").select("doc_id", "spot"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", memory_rows: int = MEMORY_ROWS) -> DataFrame:
@@ -196,17 +198,23 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     grams = known.select("content", F.explode("anchors.h").alias("h")).groupBy("h")
     shared = grams.agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low < high").select("h")
     shared = reliable_checkpoint(shared)
-    anchors = known.select("doc_id", "th", F.explode("anchors").alias("x")).select("doc_id", "th", "x.at", "x.h")
-    places = anchors.join(shared, "h", "left_semi").groupBy("doc_id", "th").agg(F.collect_list("at").alias("places"))
+    # One number stands for id and text here; should two documents share it, both just get more places to look at.
+    key = F.xxhash64("doc_id", "th").alias("key")
+    anchors = known.select(key, F.explode("anchors").alias("x")).select("key", "x.at", "x.h")
+    places = anchors.join(shared, "h", "left_semi").groupBy("key").agg(F.collect_list("at").alias("places"))
     # of each content only the document with the smallest id goes on
-    owners = known.select("doc_id", "th", "sha").distinct().join(firsts, "sha").filter("doc_id = first").select("doc_id", "th")
-    places = reliable_checkpoint(places.join(owners, ["doc_id", "th"]))
+    owners = known.select("doc_id", "th", "sha").distinct().join(firsts, "sha").filter("doc_id = first").select("doc_id", "th", key)
+    places = reliable_checkpoint(places.join(owners, "key").drop("key"))
     texts = reliable_checkpoint(source.join(places, ["doc_id", "th"]))
 
     rows = (places.agg(F.sum(F.size("places"))).first()[0] or 0) * (WINDOW - GRAM + 2) // 2
-    suffixes = texts.mapInArrow(_suffixes, "d1 long, d2 long, d3 long, doc_id long, th long, at int")
-    starts = repeated_starts(suffixes, rows, memory_rows).groupBy("doc_id", "th").agg(F.collect_list("at").alias("starts"))
-    left = texts.drop("places").join(starts, ["doc_id", "th"]).mapInArrow(
+    suffixes = texts.mapInArrow(_suffixes, "d1 long, d2 long, d3 long, doc_id long, spot long")
+    spots = repeated_starts(suffixes, rows, memory_rows)
+    starts = spots.groupBy("doc_id", F.col("spot").bitwiseAND(F.lit(_LOW)).alias("low")).agg(
+        F.collect_list(F.shiftright("spot", 32).cast("int")).alias("starts")
+    )
+    marked = texts.drop("places").withColumn("low", F.col("th").bitwiseAND(F.lit(_LOW)))
+    left = marked.join(starts, ["doc_id", "low"]).select("doc_id", "text", "th", "starts").mapInArrow(
         _removed, "doc_id long, th long, left long, left_sha string"
     )
     left = left.dropDuplicates(["doc_id", "th"])  # repeated rows are alike
