@@ -6,26 +6,36 @@ the lengths of the matches and of the gaps between them, in code points.
 ``random`` spans are added by tests on the other runs of 20 or more characters ``[A-Za-z0-9+/_-]`` (and up to two
 ``=``):
 
-1. The encoding is inferred from the characters: decimal, hex in either case, base 32, base 36, base 62 or base 64. A
-   run of letters of one case is a word and has none.
-2. Randomness under that encoding: chi-squared test of a uniform alphabet (Wilson-Hilferty), runs test about the
+1. The encoding is inferred from the characters: decimal, letters of one case, hex in either case, base 32, base 36,
+   base 62 or base 64.
+2. Evidence against ordinary text, the p-value that is controlled: probability of the run as text over its probability
+   under a uniform alphabet of its encoding, times the number of encodings. By Markov's inequality this is a p-value
+   under the text model for every length. The model is a chain over the characters of a run: changes between lower
+   case, upper case, digits and signs, letters by the letter before (either case), digits and signs by their shares,
+   all counted over all words of all documents; ``PLAIN`` of each rate is spread evenly, so that changes and pairs the
+   documents happen to lack stay possible.
+3. Randomness under the encoding, a gate: chi-squared test of a uniform alphabet (Wilson-Hilferty), runs test about the
    middle of the alphabet, and serial correlation of neighbours. The smallest p-value times three must reach
    ``ALPHA``; a truly random token is lost with that probability.
-3. Evidence against ordinary text: text changes between lower case, upper case, digits and signs at a rate of at most
-   ``TEXT_RATE``; Chernoff's bound exp(-(n-1) KL(rate, TEXT_RATE)) is a p-value for so many changes in n characters.
-4. Length-aware false-discovery control: Benjamini-Hochberg at ``FDR`` over all tested runs of the corpus, each octave
-   of lengths a family of its own, so that the many short runs don't decide about the long ones. The p-values of a
-   family are counted in bins of a tenth of a decade (rounded against discovery), so the corpus-wide step is one
-   partial aggregation to at most 40 x 400 counts; only a cut per octave returns to the driver.
+4. Length-aware false-discovery control: Benjamini-Hochberg at ``FDR`` over the p-values of 2 for all tested runs of the
+   corpus, each octave of lengths a family of its own, so that the many short runs don't decide about the long ones. The
+   p-values of a family are counted in bins of a tenth of a decade (rounded against discovery), so the corpus-wide step
+   is one partial aggregation to at most 40 x 400 counts; only a cut per octave returns to the driver. No cut accepts a
+   p-value above ``FDR``, so the gate is computed below it only.
 
-A random span that overlaps a pattern span is dropped. One scan of the texts; its narrow result is checkpointed, since
-the control needs all counts before the first decision.
+Decimal runs of 24 digits and more are ``hex`` spans; shorter ones are judged by how often digits follow digits in the
+documents, so where long numbers are common they can't be told from them.
+
+A random span that overlaps a pattern span is dropped. Two scans of the texts: one counts words (only distinct words are
+shuffled, at most 67 x 66 pair counts return), one finds and tests; its narrow result is checkpointed, since the control
+needs all counts before the first decision.
 
 Defined results: one row per input row; a null or empty text has no spans; a null id stays null.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,15 +51,21 @@ KINDS = ("assign", "access", "hex", "random")
 
 RUN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 ALPHA = 0.001
-TEXT_RATE = 0.15
+PLAIN = 0.25
 FDR = 0.01
 _BINS = 400
+_LEAST_BIN = 20  # p = FDR
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-# Inferred encoding: the first whose characters are all the run has. Runs of letters of one case are words.
+SIGNS = "+/_-"
+CHARACTERS = _LOWER + _UPPER + _DIGITS + SIGNS
+_KINDS = np.repeat(np.arange(4), [26, 26, 10, 4])  # lower case, upper case, digit, sign
+START = "^"
+# Inferred encoding: the first whose characters are all the run has.
 ENCODINGS = (
     ("decimal", r"^[0-9]+$", _DIGITS),
-    ("word", r"^([a-z_-]+|[A-Z_-]+)$", ""),
+    ("lower", r"^[a-z]+$", _LOWER),
+    ("UPPER", r"^[A-Z]+$", _UPPER),
     ("hex", r"^[0-9a-f]+$", _DIGITS + "abcdef"),
     ("HEX", r"^[0-9A-F]+$", _DIGITS + "ABCDEF"),
     ("base32", r"^[A-Z2-7]+=*$", _UPPER + "234567"),
@@ -122,7 +138,42 @@ def _battery(codes: Column, k: Column) -> Column:
     return 3 * F.least(p_chi, p_runs, p_serial)
 
 
-def _tested(span: Column) -> Column:
+def text_counts(texts: DataFrame, text: str) -> np.ndarray:
+    """How often each character of a run follows the start of a word (last row) or each other one, in all words."""
+    words = texts.select(F.explode_outer(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9+/_-]+"), F.lit(0))).alias("w"))
+    parts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("w is not null").select(
+        F.filter(F.split("w", ""), lambda c: c != "").alias("c"), "n"
+    )
+    before = F.concat(F.array(F.lit(START)), F.slice("c", 1, F.size("c") - 1))
+    pairs = parts.select(F.explode_outer(F.zip_with(before, "c", lambda a, b: F.concat(a, b))).alias("pair"), "n")
+    counts = np.zeros((len(CHARACTERS) + 1, len(CHARACTERS)))
+    for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most 67 x 66
+        counts[CHARACTERS.find(r.pair[0]), CHARACTERS.index(r.pair[1])] = r.n  # START isn't found: row -1
+    return counts
+
+
+def text_model(counts: np.ndarray) -> np.ndarray:
+    """log10 of the text probability of each character (columns) after each other one, or at the start (last row)."""
+    kinds = np.append(_KINDS, 4)
+    one = np.eye(5)[kinds]
+    change = one.T @ counts @ one[:-1, :4] + 1
+    change = (1 - PLAIN) * change / change.sum(axis=1, keepdims=True) + PLAIN / 4
+    fold = np.append(np.arange(len(CHARACTERS)), len(CHARACTERS))
+    fold[26:52] -= 26
+    total = np.bincount(fold[:-1], counts.sum(axis=0), len(CHARACTERS))
+    share = np.ones(len(CHARACTERS))
+    for kind in (0, 2, 3):
+        of = _KINDS == kind
+        share[of] = (total[of] + 1) / (total[of] + 1).sum()
+    letters = counts[:52, :52].reshape(2, 26, 2, 26).sum(axis=(0, 2)) + 26 * share[:26]
+    letters /= letters.sum(axis=1, keepdims=True)
+    inside = np.tile(share[fold[:-1]], (len(CHARACTERS) + 1, 1))
+    inside[:52, :52] = np.tile(letters, (2, 2))
+    size = np.array([26, 26, 10, 4])[_KINDS]
+    return np.log10(change[kinds][:, _KINDS] * ((1 - PLAIN) * inside + PLAIN / size))
+
+
+def _tested(span: Column, model: Column) -> Column:
     """Encoding, octave of the length, bin of the text p-value and whether the battery lets the run pass."""
     run = span["found"]
     alphabet, name = F.lit(""), F.lit("mixed")
@@ -130,24 +181,26 @@ def _tested(span: Column) -> Column:
         fits = run.rlike(pattern)
         alphabet, name = F.when(fits, F.lit(letters)).otherwise(alphabet), F.when(fits, F.lit(encoding)).otherwise(name)
     body = F.regexp_replace(run, "=+$", "")
-    codes = lambda a: F.transform(
-        F.filter(F.split(body, ""), lambda c: c != ""), lambda c: (F.position(c, a) - 1).cast("double")
+    codes = lambda a: F.transform(F.filter(F.split(body, ""), lambda c: c != ""), lambda c: F.position(c, a) - 1)
+    width = len(CHARACTERS)
+    as_text = F.aggregate(
+        codes(F.lit(CHARACTERS)),
+        F.struct(F.lit(width).alias("before"), F.lit(0.0).alias("log_p")),
+        lambda s, c: F.struct(c.alias("before"), (s["log_p"] + F.get(model, s["before"] * width + c)).alias("log_p")),
+        lambda s: s["log_p"],
     )
-    pairs = (F.length(body) - 1).cast("double")
-    changes = (F.size(F.regexp_extract_all(body, F.lit(r"[a-z]+|[A-Z]+|[0-9]+|[+/_-]+"), 0)) - 1).cast("double")
-    rate = F.least(changes / pairs, F.lit(1 - 1e-9))
-    kl = rate * F.log(rate / TEXT_RATE) + (1 - rate) * F.log((1 - rate) / (1 - TEXT_RATE))
-    log_p = F.when(rate > TEXT_RATE, -pairs * kl / F.log(F.lit(10.0))).otherwise(F.lit(0.0))
-    return let(
-        alphabet,
-        lambda a: F.struct(
-            span["start"].alias("start"), span["stop"].alias("stop"), name.alias("encoding"),
-            F.floor(F.log2(F.length(run).cast("double"))).cast("int").alias("octave"),
-            F.least(F.floor(-log_p * 10), F.lit(_BINS)).cast("int").alias("bin"),
-            F.when(a == "", F.lit(False))
-            .otherwise(let(codes(a), lambda c: _battery(c, F.length(a).cast("double"))) >= ALPHA).alias("random"),
-        ),
+    uniform = lambda a: -F.length(body) * F.log10(F.length(a).cast("double"))
+    log_p = lambda a: F.least(as_text - uniform(a) + F.log10(F.lit(float(len(ENCODINGS)))), F.lit(0.0))
+    found = lambda a, level: F.struct(
+        span["start"].alias("start"), span["stop"].alias("stop"), name.alias("encoding"),
+        F.floor(F.log2(F.length(run).cast("double"))).cast("int").alias("octave"), level.alias("bin"),
+        F.when(level < _LEAST_BIN, F.lit(False))
+        .otherwise(
+            let(F.transform(codes(a), lambda c: c.cast("double")), lambda c: _battery(c, F.length(a).cast("double"))) >= ALPHA
+        ).alias("random"),
     )
+    level = lambda a: F.when(a == "", F.lit(0)).otherwise(F.least(F.floor(-log_p(a) * 10), F.lit(_BINS))).cast("int")
+    return let(alphabet, lambda a: let(level(a), lambda b: found(a, b)))
 
 
 def _without_overlap(runs: Column, base: Column) -> Column:
@@ -187,20 +240,17 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         ).alias("assign"),
         match_spans(F.col("t"), F.col("access"), ACCESS).alias("access"),
         match_spans(F.col("t"), F.col("hex"), HEX).alias("hex"),
-        F.filter(
-            match_spans(F.col("t"), F.col("runs"), RUN), lambda s: ~s["found"].rlike(ENCODINGS[1][1])
-        ).alias("runs"),
+        match_spans(F.col("t"), F.col("runs"), RUN).alias("runs"),
     )
     other = spans.select(
         "doc_id", "assign", "access", "hex",
         _without_overlap(F.col("runs"), F.concat("assign", "access", "hex")).alias("runs"),
     )
     strip = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
-    scanned = reliable_checkpoint(
-        other.select(
-            "doc_id", *[strip(F.col(k)).alias(k) for k in KINDS[:3]], F.transform("runs", _tested).alias("runs")
-        )
-    )
+    rates = ",".join(f"{x:.6f}" for x in text_model(text_counts(rows, "t")).ravel())
+    model = F.split(F.lit(rates), ",").cast("array<double>")  # a literal once the plan is optimised
+    tested = F.transform("runs", lambda r: _tested(r, model)).alias("runs")
+    scanned = reliable_checkpoint(other.select("doc_id", *[strip(F.col(k)).alias(k) for k in KINDS[:3]], tested))
     cuts = discovery_cuts(scanned.select(F.explode("runs").alias("r")).select("r.octave", "r.bin", "r.random"))
     accepted = lambda r: F.coalesce(r["random"] & (r["bin"] >= _cut(r["octave"], cuts)), F.lit(False))
     return scanned.select(

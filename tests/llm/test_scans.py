@@ -39,6 +39,39 @@ def test_random_runs_are_added(spark):
     assert len([i for i in found if i % 10 == 0]) >= 18 and not [i for i in found if i % 10]
 
 
+TOKENS = {
+    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "abcdefghijklmnopqrstuvwxyz0123456789", "HEX": "0123456789ABCDEF",
+    "lower": "abcdefghijklmnopqrstuvwxyz", "UPPER": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "decimal": "0123456789",
+}
+
+
+def test_random_tokens_of_every_encoding(spark):
+    """Recall of planted tokens by encoding and length; decimal ones of 24 digits and more are hex spans."""
+    from tests.llm.conftest import PROSE
+
+    rng = random.Random(11)
+    long_words = "internationalization counterrevolutionaries well_known_configuration_names path/to/some/longer/file INTERNATIONALIZATION getElementByIdFromHashTable 20240131123000000000".split()
+    rows, kind = [], {}
+    for name, letters in TOKENS.items():
+        for n in (20, 26, 32, 40, 52):
+            for _ in range(20):
+                token = "".join(rng.choice(letters) for _ in range(n))
+                kind[len(rows)] = (name, n)
+                rows.append((len(rows), f"{PROSE} {PROSE.upper()} Room 12 of 345, {token} {rng.choice(long_words)}", token))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    found, wrong = {}, []
+    for r in S.scan_secrets(docs).collect():
+        text, token = rows[r.doc_id][1:]
+        for s in r.random + r.hex:
+            wrong += [text[s.start : s.stop]] * (text[s.start : s.stop] != token)
+            found[kind[r.doc_id]] = found.get(kind[r.doc_id], 0) + (text[s.start : s.stop] == token)
+    recall = {k: found.get(k, 0) / 20 for k in sorted(set(kind.values()))}
+    assert not wrong
+    for name in TOKENS:
+        every = [recall[name, n] for n in (20, 26, 32, 40, 52)]
+        assert min(every) >= 0.8 and sum(every) >= 4.5, (name, every)
+
+
 def test_secrets_in_odd_rows(odd, none):
     rows = scanned(odd).collect()
     assert len(rows) == odd.count() and all(r.base == "" for r in rows)
