@@ -146,25 +146,48 @@ def _fit(values: Column, length: int, filler: int) -> Column:
     return F.concat(cut, F.array_repeat(F.lit(filler), F.lit(length) - F.size(cut)))
 
 
-def char_tokens(length: Column) -> Column:
-    """One token per character as (start, end) ranges."""
+def char_tokens(length: Column, first: Column | None = None) -> Column:
+    """One token per character as (start, end) ranges, counted from ``first`` (0 if not given)."""
+    at = F.lit(0) if first is None else first
     return F.when(
         length > 0,
-        F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.struct(i.alias("start"), (i + 1).alias("end"))),
+        F.transform(F.sequence(at, at + length - 1), lambda i: F.struct(i.alias("start"), (i + 1).alias("end"))),
     ).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
 def pack(markup: Column, labels: Column, max_length: int = 1024, vocabulary: str = "training") -> Column:
-    """struct<input_ids, attention_mask, bio_labels, doc_labels> with one token per character of the markup.
+    """The first window only: characters behind ``max_length`` and their tags are cut (see ``windows``)."""
+    return pack_window(
+        F.left(markup["text"], F.lit(max_length)), F.lit(0), markup["spans"], labels, max_length, vocabulary
+    )
+
+
+def windows(markup: Column, max_length: int) -> Column:
+    """Array of (window_no, text, spans): consecutive windows of ``max_length`` characters of the whole markup, each
+    with the spans that reach into it, in offsets of the markup. An empty text has one empty window."""
+    parts = F.regexp_extract_all(markup["text"], F.lit(f"(?s).{{1,{max_length}}}"), F.lit(0))
+
+    def window(part: Column, no: Column) -> Column:
+        start = no * max_length
+        inside = F.filter(markup["spans"], lambda s: (s["start"] < start + max_length) & (s["end"] > start))
+        return F.struct(no.alias("window_no"), part.alias("text"), inside.alias("spans"))
+
+    return F.transform(F.when(markup["text"] == "", F.array(F.lit(""))).otherwise(parts), window)
+
+
+def pack_window(
+    text: Column, start: Column, spans: Column, labels: Column, max_length: int, vocabulary: str
+) -> Column:
+    """struct<input_ids, attention_mask, bio_labels, doc_labels> with one token per character of a window of the markup.
 
-    Only characters below ``max_length`` become tokens, so only they are tagged; padded tags are -100.
+    The window's text begins at ``start``; a span that began before it goes on with I-. Padded tags are -100.
     """
-    n = F.least(F.length(markup["text"]), F.lit(max_length)).cast("int")
+    n = F.length(text).cast("int")
     ids = F.transform(
-        characters(F.left(markup["text"], F.lit(max_length))),
+        characters(text),
         lambda c: F.when(F.ascii(c).between(FIRST_CHARACTER, LAST_CHARACTER), F.ascii(c) - FIRST_CHARACTER + FIRST_CHARACTER_ID).otherwise(UNKNOWN),
     )
-    tags = tag_ids(token_tags(char_tokens(n), markup["spans"]), vocabulary)
+    tags = tag_ids(token_tags(char_tokens(n, start), spans), vocabulary)
     return F.struct(
         _fit(ids, max_length, PAD).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_length) - n)).alias("attention_mask"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +23,26 @@ def serialize_dsl(df: DataFrame, out: str = "markup") -> DataFrame:
 
 
 def pack_examples(df: DataFrame, labels: str = "labels", max_length: int = 1024, vocabulary: str = "training") -> DataFrame:
-    """Adds ``packed`` from spans and labels."""
+    """Adds ``packed`` from spans and labels: one row a message, cut to its first ``max_length`` characters.
+
+    ``pack_windows`` keeps the whole markup.
+    """
     marked = df if "markup" in df.columns else serialize_dsl(df)
     return marked.withColumn("packed", markup.pack(F.col("markup"), F.col(labels), max_length, vocabulary))
 
 
+def pack_windows(
+    df: DataFrame, keep: Sequence[str] = ("msg_id",), labels: str = "labels", max_length: int = 1024,
+    vocabulary: str = "training",
+) -> DataFrame:
+    """The kept columns, window_no and ``packed``: one row per window of the whole markup, the last one padded."""
+    marked = df if "markup" in df.columns else serialize_dsl(df)
+    rows = marked.select(*keep, F.col(labels).alias("_l"), F.explode_outer(markup.windows(F.col("markup"), max_length)).alias("_w"))
+    start = F.col("_w.window_no") * max_length
+    packed = markup.pack_window(F.col("_w.text"), start, F.col("_w.spans"), F.col("_l"), max_length, vocabulary)
+    return rows.select(*keep, "_w.window_no", packed.alias("packed"))
+
+
 def encode_windows(df: DataFrame, text: str, max_length: int) -> DataFrame:
     """One row per window of ``max_length`` ids of the whole text (begin id first, end id last), the last one padded."""
     encoded = df.withColumn("_ids", markup.encode_chars(F.col(text)))

@@ -449,9 +449,9 @@ def encode_bytes(spark, sf_dir):
 @query("pack_examples")
 def pack_examples(spark, sf_dir):
     found = D.detect_spans(B.label_pattern(messages(spark, sf_dir)), "body", "full")
-    packed = P.pack_examples(found, max_length=512).select("msg_id", "packed.*")
+    packed = P.pack_windows(found, max_length=512).select("msg_id", "window_no", "packed.*")
     return packed.select(
-        "msg_id", F.size("input_ids").alias("n_ids"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"),
+        "msg_id", "window_no", F.size("input_ids").alias("n_ids"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"),
         F.size(F.filter("bio_labels", lambda t: t > 0)).alias("n_tagged"), F.size(F.filter("bio_labels", lambda t: t == -100)).alias("n_ignored"),
     )
 
@@ -499,6 +499,22 @@ def puzzles(spark, sf_dir):
     )
 
 
+def _whole_grid(digit: int) -> str:
+    """The 64 values of a vector as an 8 x 8 grid of their decimal digits at the named place."""
+    value = f"cast(floor(abs(cast(x as double)) * {10**digit}) % 10 as int)"
+    return f"transform(sequence(0, 7), r -> transform(slice(embedding, r * 8 + 1, 8), x -> {value}))"
+
+
+def whole_puzzles(spark, sf_dir):
+    """A puzzle per vector: two examples of 8 x 8 grids, each from all 64 values (their first to fourth digits)."""
+    e = scan(spark, sf_dir, "embeddings", spread=False)
+    one = lambda kind, d: f"named_struct('kind', '{kind}', 'input', {_whole_grid(d)}, 'output', {_whole_grid(d + 1)})"
+    return e.select(
+        F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("puzzle_id"), "vec_id", "label",
+        F.expr(f"array({one('train', 1)}, {one('test', 3)})").alias("examples"),
+    )
+
+
 _T = {0: "g[i][j]", 1: "g[j][4 - i]", 2: "g[4 - i][4 - j]", 3: "g[4 - j][i]", 4: "g[i][4 - j]", 5: "g[4 - i][j]", 6: "g[j][i]", 7: "g[4 - j][4 - i]"}
 
 
@@ -517,7 +533,7 @@ def dihedral(spark, sf_dir):
 
 @query("augment_grids")
 def augment_grids(spark, sf_dir):
-    return Gr.augment_grids(puzzles(spark, sf_dir), 4).select("group_id", "puzzle_id", "tid", "hash")
+    return Gr.augment_grids(whole_puzzles(spark, sf_dir), 4).select("group_id", "puzzle_id", "tid", "hash")
 
 
 def _text_sql(start: int) -> str:
@@ -600,17 +616,17 @@ def augment_maze(spark, sf_dir):
 )
 def pad_batches(spark, sf_dir):
     rows = scan(spark, sf_dir, "embeddings", spread=False).select(
-        F.floor(F.col("vec_id") / 16).alias("batch"), F.flatten(F.expr(_grid(0))).alias("inputs"), F.flatten(F.expr(_grid(9))).alias("labels"), (F.col("vec_id") + 1).alias("identifier")
+        F.floor(F.col("vec_id") / 16).alias("batch"), F.flatten(F.expr(_whole_grid(1))).alias("inputs"), F.flatten(F.expr(_whole_grid(2))).alias("labels"), (F.col("vec_id") + 1).alias("identifier")
     )
-    padded = Gr.pad_batches(rows, "batch", 16, 9)
+    padded = Gr.pad_batches(rows, "batch", 16, 64)
     return padded.groupBy("batch").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("identifier") > 0).alias("n_real"))
 
 
 @query("inverse_augment", "SELECT 'p' || vec_id AS group_id, true AS restored FROM embeddings")
 def inverse_augment(spark, sf_dir):
-    images = Gr.augment_grids(puzzles(spark, sf_dir), 3).select("group_id", "puzzle_id", F.expr("examples[0].input").alias("grid"))
+    images = Gr.augment_grids(whole_puzzles(spark, sf_dir), 3).select("group_id", "puzzle_id", F.expr("examples[0].input").alias("grid"))
     back = Gr.inverse_augment(images, "puzzle_id", "grid", "back")
-    originals = puzzles(spark, sf_dir).select(F.col("puzzle_id").alias("group_id"), F.expr("examples[0].input").alias("original"))
+    originals = whole_puzzles(spark, sf_dir).select(F.col("puzzle_id").alias("group_id"), F.expr("examples[0].input").alias("original"))
     checked = back.join(originals, "group_id").groupBy("group_id").agg(F.bool_and(F.col("back") == F.col("original")).alias("restored"))
     return checked
 

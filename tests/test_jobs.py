@@ -334,8 +334,42 @@ def test_packing_lengths(spark, sf_dir):
         assert r["input_ids"][:8] == [ord(c) - 28 for c in r["text"][:8]]
 
 
+def test_packing_windows_keep_every_character_and_tag(spark, sf_dir):
+    m = P.serialize_dsl(D.detect_spans(B.label_pattern(messages(spark, sf_dir).limit(40)), "body", "full")).cache()
+    whole = {r["msg_id"]: r for r in m.select("msg_id", "markup.text", "markup.spans").collect()}
+    longest = max(len(r["text"]) for r in whole.values())
+    once = {r["msg_id"]: r for r in P.pack_examples(m, max_length=longest).select("msg_id", "packed.*").collect()}
+    parts = {}
+    for r in P.pack_windows(m, max_length=64).select("msg_id", "window_no", "packed.*").orderBy("msg_id", "window_no").collect():
+        parts.setdefault(r["msg_id"], []).append(r)
+    assert set(parts) == set(whole) and any(r["spans"] for r in whole.values())
+    for i, rows in parts.items():
+        n = len(whole[i]["text"])
+        assert [r["window_no"] for r in rows] == list(range(-(-n // 64))) and all(len(r["input_ids"]) == len(r["bio_labels"]) == 64 for r in rows)
+        assert sum((r["input_ids"] for r in rows), [])[:n] == once[i]["input_ids"][:n]
+        tags = sum((r["bio_labels"] for r in rows), [])
+        assert tags[:n] == once[i]["bio_labels"][:n] and set(tags[n:]) <= {-100}
+        assert sum(sum(r["attention_mask"]) for r in rows) == n and all(r["doc_labels"] == once[i]["doc_labels"] for r in rows)
+
+
+def test_registered_packing_covers_whole_markup(spark, sf_dir):
+    from riskweave.plans.catalog import QUERIES
+
+    real = {r["msg_id"]: r["n"] for r in QUERIES["pack_examples"](spark, sf_dir).groupBy("msg_id").agg(F.sum("n_real").alias("n")).collect()}
+    assert real == {r["msg_id"]: r["text_length"] for r in QUERIES["serialize_dsl"](spark, sf_dir).collect()}
+
+
 # -- grids ------------------------------------------------------------------------------------------------------
 
+def test_puzzles_use_all_values(spark, sf_dir):
+    from riskweave.plans.generation_queries import whole_puzzles
+
+    vectors = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").limit(20).collect()}
+    for r in whole_puzzles(spark, sf_dir).filter(F.col("vec_id").isin(list(vectors))).collect():
+        got = [g for e in r["examples"] for g in (e["input"], e["output"])]
+        assert got == [[[int(abs(float(x)) * 10**d // 1 % 10) for x in vectors[r["vec_id"]][k : k + 8]] for k in range(0, 64, 8)] for d in (1, 2, 3, 4)]
+
+
 NUMPY = [
     lambda a: a, lambda a: np.rot90(a, 1), lambda a: np.rot90(a, 2), lambda a: np.rot90(a, 3),
     np.fliplr, np.flipud, lambda a: a.T, lambda a: np.fliplr(np.rot90(a, 1)),
