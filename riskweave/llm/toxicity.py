@@ -12,8 +12,8 @@ can be trusted. When scoring, they come from the models fitted on all folds.
   Words beyond that would only add noise to long texts.
 * The cut of each category is the one with the best F1 of the out-of-fold probabilities.
 * Training takes a bounded sample of the labelled rows: the ``SAMPLE`` with the smallest hash of (seed, doc_id); ties
-  and repeats don't matter. Only word hashes of these rows come to the driver, at most ``WORDS`` distinct ones each.
-  A longer training text lends those with the smallest hashes; scoring always reads whole texts.
+  and repeats don't matter. Spark counts the words of these whole texts by category and chooses the features; the
+  driver gets only the chosen features of each text. Training and scoring read whole texts.
 
 Scoring is one scan without a shuffle. Defined results: a null or empty text gets the probabilities of a text without
 known words; without labels of both values, a category has its base rate as probability (0 without any label) and
@@ -22,6 +22,7 @@ rejects nothing; repeated rows are scored one by one; labels with a null id or v
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -33,9 +34,9 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.tables import pieces
 from riskweave.llm.words import MARKS, split_words
+from riskweave.session import reliable_checkpoint
 
 SAMPLE = 8_000
-WORDS = 2_000
 MIN_DOCS = 5
 FEATURES = 1_000
 LEAST_G = 25.0
@@ -156,8 +157,7 @@ def fit_chain(hashes: list[np.ndarray], labels: np.ndarray, categories: Sequence
     """Chain from the distinct word hashes and the 0/1 labels (rows x categories) of the training documents."""
     n = len(hashes)
     if not n:
-        never = [np.array([0.0] * c + [-14.0]) for c in range(len(categories))]
-        return Chain(np.zeros(0, np.uint64), list(categories), never, [2.0] * len(categories))
+        return fit_known(np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int), labels, categories)
     rows = np.repeat(np.arange(n), [len(h) for h in hashes])
     vocabulary, column = np.unique(np.concatenate(hashes), return_inverse=True)
     present = np.bincount(column, minlength=len(vocabulary))
@@ -171,8 +171,17 @@ def fit_chain(hashes: list[np.ndarray], labels: np.ndarray, categories: Sequence
     place = np.full(len(vocabulary), -1)
     place[chosen] = np.arange(len(chosen))
     keep = place[column] >= 0
-    rows, features, k = rows[keep], place[column[keep]], len(chosen)
+    return fit_known(vocabulary[chosen], rows[keep], place[column[keep]], labels, categories)
+
 
+def fit_known(
+    words: np.ndarray, rows: np.ndarray, features: np.ndarray, labels: np.ndarray, categories: Sequence[str]
+) -> Chain:
+    """Chain from the chosen words (sorted hashes) and the (row, feature) pairs of the training documents."""
+    n, k = len(labels), len(words)
+    if not n:
+        never = [np.array([0.0] * c + [-14.0]) for c in range(len(categories))]
+        return Chain(words, list(categories), never, [2.0] * len(categories))
     fold = np.random.default_rng(SEED).permutation(n) % FOLDS
     outside = np.zeros((n, len(categories)))  # out-of-fold probabilities
     weights, cuts = [], []
@@ -190,7 +199,7 @@ def fit_chain(hashes: list[np.ndarray], labels: np.ndarray, categories: Sequence
             outside[test, c] = 1 / (1 + np.exp(-s[test]))
         weights.append(_fit(rows, features, outside[:, :c], y, k))
         cuts.append(best_cut(outside[:, c], y > 0))
-    return Chain(vocabulary[chosen], list(categories), weights, cuts)
+    return Chain(words, list(categories), weights, cuts)
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], doc_id: str = "doc_id", text: str = "text") -> Chain:
@@ -204,24 +213,73 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], doc_id
     ids = docs.select(F.col(doc_id).cast("long").alias("_id")).dropna().distinct()
     sample = wanted.join(ids, "_id", "left_semi").orderBy(F.xxhash64(F.lit(SEED), "_id"), "_id").limit(SAMPLE).collect()
     y = {r["_id"]: [r[f"_y{i}"] for i in range(len(categories))] for r in sample}
-    chosen = np.array(sorted(y), dtype=np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(chosen)  # at most SAMPLE ids
+    ids, truth = np.array(sorted(y), dtype=np.int64), np.array([y[i] for i in sorted(y)], dtype=np.int32)
+    shared = docs.sparkSession.sparkContext.broadcast((ids, truth))  # at most SAMPLE rows
 
-    def features(batches):
+    def words(batches):
+        ids, truth = shared.value
         for batch in batches:
-            ids = np.asarray(pc.fill_null(batch.column(0), -1))
-            mine = np.isin(ids, shared.value) & np.asarray(pc.is_valid(batch.column(0)))
+            mine = np.isin(np.asarray(pc.fill_null(batch.column(0), -1)), ids) & np.asarray(pc.is_valid(batch.column(0)))
             for piece in pieces(iter([batch.filter(pa.array(mine))])):
                 row, hashes = distinct_words(piece.column("text"))
-                words = np.split(hashes, np.searchsorted(row, np.arange(1, piece.num_rows)))
-                packed = [w[:WORDS].tobytes() for w in words]
-                yield pa.RecordBatch.from_pydict({"_id": piece.column("_id"), "words": pa.array(packed, pa.binary())})
+                bounds = np.searchsorted(row, np.arange(piece.num_rows + 1)).astype(np.int32)
+                keys = [hashlib.blake2b(hashes[i:j].tobytes(), digest_size=16).digest() for i, j in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "_id": piece.column("_id"),
+                        "key": pa.array(keys, pa.binary()),
+                        "y": pa.array(list(truth[np.searchsorted(ids, np.asarray(piece.column("_id")))]), pa.list_(pa.int32())),
+                        "words": pa.ListArray.from_arrays(pa.array(bounds), pa.array(hashes.view(np.int64))),
+                    }
+                )
 
     source = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text"))
-    got = source.mapInArrow(features, "_id long, words binary").dropDuplicates(["_id"]).toPandas()
-    got = got.sort_values("_id").drop_duplicates("words")  # copies of one text would make its words look telling
-    hashes = [np.frombuffer(w, np.uint64) for w in got["words"]]
-    return fit_chain(hashes, np.array([y[i] for i in got["_id"]]).reshape(len(got), len(categories)), list(categories))
+    read = reliable_checkpoint(source.mapInArrow(words, "_id long, key binary, y array<int>, words array<long>"))
+    # One row an id, and one of all texts with the same words: copies of a text would make its words look telling.
+    one = read.groupBy("_id").agg(F.min("key").alias("key")).groupBy("key").agg(F.min("_id").alias("_id"))
+    texts = read.join(one, ["_id", "key"], "left_semi").dropDuplicates(["_id"])
+    picked = sorted(r["_id"] for r in one.select("_id").collect())  # at most SAMPLE
+    labels = np.array([y[i] for i in picked], dtype=int).reshape(len(picked), len(categories))
+    known = _telling(texts, labels)
+    told = docs.sparkSession.sparkContext.broadcast(known)
+
+    def chosen(batches):
+        for batch in batches:
+            for i, found in zip(batch.column(0).to_pylist(), batch.column(1)):
+                have = np.isin(told.value, np.asarray(found.values).view(np.uint64))
+                packed = pa.array([np.flatnonzero(have).astype(np.int32).tobytes()], pa.binary())
+                yield pa.RecordBatch.from_pydict({"_id": pa.array([i], pa.int64()), "features": packed})
+
+    got = texts.select("_id", "words").mapInArrow(chosen, "_id long, features binary").toPandas().sort_values("_id")
+    features = [np.frombuffer(f, np.int32) for f in got["features"]]
+    rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    return fit_known(known, rows, np.concatenate([*features, np.zeros(0, np.int32)]), labels, list(categories))
+
+
+def _telling(texts: DataFrame, labels: np.ndarray) -> np.ndarray:
+    """Sorted hashes of the chosen words; ``texts``: y (0/1 per category) and the distinct words of each whole text."""
+    n, categories = labels.shape
+    if not n:
+        return np.zeros(0, np.uint64)
+    counts = texts.select("y", F.explode_outer("words").alias("w")).groupBy("w").agg(
+        F.count(F.lit(1)).alias("present"), *[F.sum(F.col("y")[c]).alias(f"p{c}") for c in range(categories)]
+    ).filter(f"w is not null and present >= {MIN_DOCS}")
+
+    def part(observed, expected):
+        return F.when(observed > 0, observed * F.log(observed / F.greatest(expected, F.lit(1e-9)))).otherwise(0.0)
+
+    def tell(c: int):
+        rate, present, positive = float(labels[:, c].sum() / n), F.col("present"), F.col(f"p{c}")
+        rest, rest_positive = n - present, int(labels[:, c].sum()) - positive
+        return 2 * (
+            part(positive, present * rate) + part(present - positive, present * (1 - rate))
+            + part(rest_positive, rest * rate) + part(rest - rest_positive, rest * (1 - rate))
+        )
+
+    score = F.greatest(F.lit(0.0), *[tell(c) for c in range(categories)])
+    best = counts.select("w", score.alias("g")).filter(F.col("g") >= LEAST_G)
+    rows = best.orderBy(F.col("g").desc(), F.col("w") < 0, "w").limit(FEATURES).collect()
+    return np.sort(np.array([r["w"] for r in rows], dtype=np.int64).view(np.uint64))
 
 
 def score(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -50,3 +50,21 @@ def test_held_out(spark):
     n = {(r.toxic, r.y): r["count"] for r in held.groupBy("toxic", "y").count().collect()}
     assert n.get((True, 1), 0) / (n.get((True, 1), 0) + n.get((False, 1), 0)) > 0.75  # some labels are wrong on purpose
     assert n.get((True, 0), 0) / (n.get((True, 0), 0) + n[False, 0]) < 0.02
+
+
+def test_training_reads_whole_texts(spark):
+    """An abusive word of a text with thousands of distinct words, most with smaller hashes, is a feature, as it is of the whole texts at once."""
+    from riskweave.llm.tables import share_package
+
+    share_package(spark)
+    rng = np.random.default_rng(2)
+    texts = [" ".join([*(f"w{x}" for x in rng.integers(0, 9_000, 6_000)), *["bad18"] * (i % 3 == 0)]) for i in range(90)]
+    docs = spark.createDataFrame([*enumerate(texts), (200, texts[0])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in [*range(90), 200]], "doc_id long, quality int, toxic int")
+    chain = T.train(docs, labels, CATEGORIES)
+    row, hashes = T.distinct_words(pa.array(texts))
+    y = np.array([[0, i % 3 == 0] for i in range(90)], int)
+    whole = T.fit_chain(np.split(hashes, np.searchsorted(row, np.arange(1, 90))), y, list(CATEGORIES))
+    assert T.distinct_words(pa.array(["bad18"]))[1][0] in chain.words and chain.words.tolist() == whole.words.tolist()
+    assert all(np.allclose(a, b) for a, b in zip(chain.weights, whole.weights))
+    assert [r.doc_id % 3 == 0 for r in T.score(docs.limit(90), chain).orderBy("doc_id").collect()] == [r.toxic for r in T.score(docs.limit(90), chain).orderBy("doc_id").collect()]
