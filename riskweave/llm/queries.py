@@ -15,7 +15,8 @@ from riskweave.llm.secret_scan import KINDS, joined_spans, scan_secrets
 from riskweave.llm.simhash_dedup import near_duplicate_groups
 from riskweave.llm.substring_dedup import remove_repeats
 from riskweave.llm.tables import read_table
-from riskweave.llm.token_files import round_trip
+from riskweave.llm.token_counts import token_counts
+from riskweave.llm.token_files import round_trip, scratch_folder
 from riskweave.llm.toxicity import score, train
 from riskweave.llm.vector_search import top_k
 
@@ -124,3 +125,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+TOKEN_LIMIT = 4096
+
+
+@query("op13_token_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache is a new folder of this run; a job that runs daily gives its own."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    counts = token_counts(docs, tokenizer_path("piece_bpe_32k.model"), scratch_folder(spark, "token-counts"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
