@@ -11,6 +11,7 @@ from riskweave.plans import (  # noqa: F401
     label_queries,
     results_queries,
     statistics_queries,
+    stream_queries,
 )
 from riskweave.plans.registry import ORACLES, QUERIES
 

@@ -379,7 +379,7 @@ def indicator_set(spark, sf_dir):
 
 # -- batch logs -------------------------------------------------------------------------------------------------
 
-_STATUS = {"signup": "created", "view": "in_progress", "click": "validating", "purchase": "completed", "error": "failed"}
+BATCH_STATUS = {"signup": "created", "view": "in_progress", "click": "validating", "purchase": "completed", "error": "failed"}
 _SESSION_STATUS = {"signup": "active", "view": "active", "click": "interrupted", "purchase": "completed", "error": "failed"}
 NOW = "2024-02-01 00:00:00"
 
@@ -390,14 +390,14 @@ def batch_log(spark, sf_dir):
         "event_id", "ts", F.col("user_id").alias("batch_id"), (F.col("user_id") % 10).alias("session_id"),
         F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (F.col("user_id") % 3 + 1).cast("int")).alias("split"),
         F.concat(F.lit("model-"), (F.col("user_id") % 6).cast("string")).alias("model"),
-        F.element_at(F.create_map(*[F.lit(x) for kv in _STATUS.items() for x in kv]), F.col("event_type")).alias("status"),
+        F.element_at(F.create_map(*[F.lit(x) for kv in BATCH_STATUS.items() for x in kv]), F.col("event_type")).alias("status"),
         F.get_json_object("props", "$.k").cast("int").alias("request_count"),
     )
 
 
 LOG_SQL = f"""
 log AS (SELECT event_id, ts, user_id AS batch_id, user_id % 10 AS session_id, (['train', 'val', 'test'])[user_id % 3 + 1] AS split, 'model-' || (user_id % 6) AS model,
-  {sql_lookup('event_type', _STATUS, 'NULL')} AS status, CAST(json_extract(props, '$.k') AS INT) AS request_count FROM events),
+  {sql_lookup('event_type', BATCH_STATUS, 'NULL')} AS status, CAST(json_extract(props, '$.k') AS INT) AS request_count FROM events),
 batch AS (SELECT batch_id, any_value(session_id) AS session_id, any_value(split) AS split, any_value(model) AS model, arg_max(status, (ts, event_id)) AS status,
   arg_max(request_count, (ts, event_id)) AS request_count, min(ts) AS created_at, max(ts) AS updated_at FROM log GROUP BY batch_id)
 """

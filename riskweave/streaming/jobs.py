@@ -3,19 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskweave.operators import labeling
-from riskweave.schema import FINAL_BATCH_STATES
 from riskweave.sources.files import parse_messages
 
-HOUR_MS = 3600 * 1000
-DAY_MS = 24 * HOUR_MS
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB: it may outgrow the heap, and timers need it."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+
+
+def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Runs a stream over what has arrived, appends its rows to Parquet files in ``out`` and stops. Called again with the
+    same checkpoint it goes on where it stopped; nothing is taken twice or written twice."""
+    with keyed_state(stream.sparkSession):
+        started = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+    started.awaitTermination()  # raises what the stream raised
 
 
 def stream_messages(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -47,49 +64,3 @@ def stream_throughput(events: DataFrame, ts: str = "ts", delay: str = "1 hour",
         )
         .select(F.col("w.start").alias("window_start"), "n", "active", "completed")
     )
-
-
-_OUT = "batch_id string, status string, updated_at timestamp"
-_STATE = "status string, updated_ms bigint, created_ms bigint"
-
-
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Latest status of one batch; a final status takes no more records. Without one, a batch is stuck an hour and
-    expired a day after it began.
-
-    State is one status and two times, and goes away a day after the batch began.
-    """
-    if state.hasTimedOut:
-        status, updated, created = state.get
-        if state.getCurrentWatermarkMs() < created + DAY_MS:
-            state.setTimeoutTimestamp(created + DAY_MS)
-            if status not in FINAL_BATCH_STATES:
-                yield pd.DataFrame({"batch_id": [key[0]], "status": ["stuck"], "updated_at": [pd.Timestamp(updated, unit="ms")]})
-            return
-        state.remove()
-        if status not in FINAL_BATCH_STATES:
-            yield pd.DataFrame({"batch_id": [key[0]], "status": ["expired"], "updated_at": [pd.Timestamp(updated, unit="ms")]})
-        return
-    status, updated, created = state.get if state.exists else ("", -1, -1)
-    before = (status, updated)
-    for frame in frames:
-        if status in FINAL_BATCH_STATES:
-            continue
-        ms = frame["ts"].astype("datetime64[ms]").astype("int64")
-        created = int(ms.min()) if created < 0 else min(created, int(ms.min()))
-        final = frame[frame["status"].isin(FINAL_BATCH_STATES)]
-        latest = (final if len(final) else frame).assign(ms=ms).sort_values("ms").iloc[-1]
-        if latest["status"] in FINAL_BATCH_STATES or int(latest["ms"]) >= updated:
-            status, updated = latest["status"], int(latest["ms"])
-    state.update((status, updated, created))
-    reached = state.getCurrentWatermarkMs()
-    due = next((created + ms for ms in (HOUR_MS, DAY_MS) if created + ms > reached), reached + 1)
-    state.setTimeoutTimestamp(due)  # each call clears the old one
-    if (status, updated) != before:
-        yield pd.DataFrame({"batch_id": [key[0]], "status": [status], "updated_at": [pd.Timestamp(updated, unit="ms")]})
-
-
-def stream_batch_state(log: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Changes of each batch's status (batch_id, status, ts). State per batch is one status and two times."""
-    timed = log.select(F.col("batch_id").cast("string").alias("batch_id"), "status", F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", delay)
-    return timed.groupBy("batch_id").applyInPandasWithState(_advance, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

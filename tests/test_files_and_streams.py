@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskweave.operators import labeling as B
 from riskweave.plans.message_view import messages
 from riskweave.sources import files, sinks
-from riskweave.streaming import jobs
+from riskweave.streaming import batch_states, jobs
 
 
 def _write(path, lines):
@@ -114,19 +114,74 @@ def test_stream_dedup_and_throughput(spark, tmp_path):
     assert max(r["n"] for r in spark.sql("select * from hours").collect()) == 3
 
 
+def _pieces(folder, pieces):
+    """One file per micro-batch, oldest first."""
+    for i, lines in enumerate(pieces):
+        _write(f"{folder}/{i}.json", lines)
+        os.utime(f"{folder}/{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+
+
+LOG = "batch_id string, status string, ts timestamp"
+
+
+def _states(spark, folder, *more, **options):
+    """Runs the stream over one file after another, with a restart before each of ``more``; the current states."""
+    run = lambda: jobs.run_available(batch_states.stream_batch_state(_stream(spark, f"{folder}/in", LOG), **options), f"{folder}/out", f"{folder}/ck")
+    run()
+    for i, lines in enumerate(more):
+        _write(f"{folder}/in/more{i}.json", lines)
+        run()
+    changes = spark.read.parquet(f"{folder}/out")
+    return changes, {r["batch_id"]: (r["status"], r["at_ms"]) for r in batch_states.current_states(changes).collect()}
+
+
+def _line(b, s, day, clock):
+    return json.dumps({"batch_id": b, "status": s, "ts": f"2024-01-0{day}T{clock}:00Z"})
+
+
+T0 = 1_704_067_200_000  # 2024-01-01
+
+
 def test_stream_batch_state(spark, tmp_path):
-    line = lambda b, s, t: json.dumps({"batch_id": b, "status": s, "ts": t})
-    _write(f"{tmp_path}/s/1.json", [line("x", "created", "2024-01-01T00:00:00Z"), line("y", "created", "2024-01-01T00:00:00Z")])
-    _write(f"{tmp_path}/s/2.json", [line("x", "completed", "2024-01-01T01:00:00Z"), line("y", "in_progress", "2024-01-01T00:30:00Z")])
-    _write(f"{tmp_path}/s/3.json", [line("x", "in_progress", "2024-01-01T01:30:00Z"), line("z", "created", "2024-01-03T00:00:00Z")])
-    _write(f"{tmp_path}/s/4.json", [line("z", "in_progress", "2024-01-03T00:10:00Z")])
-    for i in range(1, 5):
-        os.utime(f"{tmp_path}/s/{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
-    _drain(jobs.stream_batch_state(_stream(spark, f"{tmp_path}/s", "batch_id string, status string, ts timestamp")), "states")
-    rows = spark.sql("select * from states").collect()
-    seen = {}
-    for r in rows:
-        seen.setdefault(r["batch_id"], []).append(r["status"])
-    assert seen["x"] == ["created", "completed"]  # final: the later record is ignored
-    assert seen["y"][-1] == "expired" and set(seen["y"][1:-1]) <= {"in_progress", "stuck"}
-    assert seen["z"] == ["created", "in_progress"]
+    _pieces(f"{tmp_path}/in", [
+        [_line("x", "created", 1, "00:00"), _line("y", "created", 1, "00:00"), _line("w", "created", 1, "00:30")],
+        [_line("x", "completed", 1, "01:00"), _line("y", "in_progress", 1, "00:30"), _line("w", "failed", 1, "03:00"), _line("w", "completed", 1, "03:00")],
+        [_line("x", "in_progress", 1, "01:30"), _line("y", "completed", 2, "00:01"), _line("z", "created", 3, "00:00")],
+        [_line("z", "in_progress", 3, "00:10"), _line("v", "created", 3, "00:20"), _line("x", "failed", 1, "00:05")],
+    ])
+    changes, states = _states(spark, tmp_path, [_line("clock", "created", 3, "03:00")], [_line("clock", "in_progress", 3, "03:30")])
+    hour = 3600 * 1000
+    assert states["x"] == ("completed", T0 + hour)  # final: what comes later, or too late, changes nothing
+    assert states["w"] == ("completed", T0 + 3 * hour)  # two finals at one time: by name
+    assert states["y"] == ("expired", T0 + 24 * hour)  # its end came after a day
+    assert states["z"] == ("stuck", T0 + 49 * hour)
+    assert states["v"] == ("stuck", T0 + 49 * hour + 20 * 60 * 1000)
+    assert "clock" not in states  # its windows haven't closed
+    assert changes.filter("batch_id = 'x' and status = 'completed'").count() == 1
+
+
+def test_batch_state_does_not_depend_on_micro_batches(spark, tmp_path):
+    lines = [_line(f"b{i % 7}", ["created", "in_progress", "validating", "completed", "failed"][(i * i + i // 7) % 5 if i > 20 else i % 3], 1 + i // 40, f"{i * 7 % 24:02d}:{i % 60:02d}") for i in range(160)]
+    lines.sort(key=lambda x: json.loads(x)["ts"])
+    _pieces(f"{tmp_path}/a/in", [lines])
+    _pieces(f"{tmp_path}/b/in", [lines[i : i + 40] for i in range(0, 160, 40)])
+    assert _states(spark, f"{tmp_path}/a")[1] == _states(spark, f"{tmp_path}/b")[1]
+
+
+def test_one_batch_with_most_records_is_reduced_first(spark):
+    log = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("batch_id"),
+        F.element_at(F.array(F.lit("created"), F.lit("in_progress")), (F.col("id") % 2 + 1).cast("int")).alias("status"),
+        F.timestamp_seconds(F.col("id") / 100).alias("ts"),
+    )
+    reduced = batch_states.status_windows(log).filter("batch_id = 'hot'").collect()
+    assert len(reduced) == 2 and sum(r["n"] for r in reduced) == 10_000  # one window, two statuses
+
+
+def test_forgotten_batches_begin_anew(spark, tmp_path):
+    _pieces(f"{tmp_path}/in", [
+        [_line("x", "completed", 1, "00:00")], [_line("c", "created", 4, "00:00")], [_line("c", "created", 4, "04:00")],
+        [_line("x", "created", 5, "00:00")], [_line("c", "created", 5, "02:00")], [_line("c", "created", 5, "02:30")],
+    ])
+    changes, _ = _states(spark, tmp_path, keep_ms=2 * batch_states.DAY_MS)
+    assert {r["status"] for r in changes.filter("batch_id = 'x'").collect()} == {"completed", "created", "stuck"}
