@@ -13,6 +13,7 @@ from riskweave.operators import grids as Gr
 from riskweave.operators import labeling as B
 from riskweave.operators import packing as P
 from riskweave.operators import splits as Sp
+from riskweave.operators import stratification as St
 from riskweave.operators import synthesis as Sy
 from riskweave.plans.context_queries import RISK_LEVEL_SQL
 from riskweave.plans.label_queries import MEAN_SQL, PATTERN_SQL, rounded, scored
@@ -27,6 +28,7 @@ from riskweave.plans.message_view import (
     with_messages,
 )
 from riskweave.plans.registry import query
+from riskweave.session import reliable_checkpoint
 
 _PLACED = "placed AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS idx, count(*) OVER () AS n FROM documents)"
 
@@ -70,6 +72,29 @@ def split_stratified(spark, sf_dir):
     return done.select("msg_id", "source", "split", "stratum_rank")
 
 
+@query(
+    "split_by_strata",
+    with_messages(
+        """SELECT value, count(*) AS n, true AS even, 0 AS leaking FROM (
+SELECT 'all=' AS value FROM msg UNION ALL SELECT 'role=' || role FROM msg UNION ALL SELECT 'channel=' || channel FROM msg
+UNION ALL SELECT 'kinds=' || k FROM (SELECT unnest(list_distinct(list_transform(list_filter(recipients, lambda r: contains(r, '@')), lambda r: split_part(r, '@', 2)))) AS k FROM msg)
+) GROUP BY value"""
+    ),
+)
+def split_by_strata(spark, sf_dir):
+    """Whole threads by role, channel and recipients' domains: each value's rows within two points, or within a thread, of
+    70, 15 and 15 %, and no thread in two splits."""
+    kinds = F.array_distinct(F.transform(F.filter("recipients", lambda r: r.contains("@")), lambda r: F.split_part(r, F.lit("@"), F.lit(2))))
+    m = messages(spark, sf_dir).select("msg_id", F.col("thread.id_hash").alias("thread"), "user.role", "channel", kinds.alias("kinds"))
+    strata = ["role", "channel", "kinds"]
+    done = reliable_checkpoint(St.split_by_strata(m, "thread", strata))
+    leaking = Sp.domain_leakage(done, "thread").count()
+    shares = St.stratum_shares(done, strata).groupBy("value").pivot("split", ["train", "val", "test"]).agg(F.first("n")).na.fill(0)
+    n = F.col("train") + F.col("val") + F.col("test")
+    near = lambda split, share: F.abs(F.col(split) - n * share) <= F.greatest(n * 0.02, F.lit(3))
+    return shares.select("value", n.alias("n"), (near("train", 0.7) & near("val", 0.15) & near("test", 0.15)).alias("even"), F.lit(leaking).alias("leaking"))
+
+
 @query(
     "domain_leakage",
     with_messages(
