@@ -82,8 +82,8 @@ UNION ALL SELECT 'kinds=' || k FROM (SELECT unnest(list_distinct(list_transform(
     ),
 )
 def split_by_strata(spark, sf_dir):
-    """Whole threads by role, channel and recipients' domains: each value's rows within two points, or within a thread, of
-    70, 15 and 15 %, and no thread in two splits."""
+    """Whole threads by role, channel and recipients' domains: each value's rows within two points and a thread of 70, 15
+    and 15 %, and no thread in two splits."""
     kinds = F.array_distinct(F.transform(F.filter("recipients", lambda r: r.contains("@")), lambda r: F.split_part(r, F.lit("@"), F.lit(2))))
     m = messages(spark, sf_dir).select("msg_id", F.col("thread.id_hash").alias("thread"), "user.role", "channel", kinds.alias("kinds"))
     strata = ["role", "channel", "kinds"]
@@ -91,7 +91,7 @@ def split_by_strata(spark, sf_dir):
     leaking = Sp.domain_leakage(done, "thread").count()
     shares = St.stratum_shares(done, strata).groupBy("value").pivot("split", ["train", "val", "test"]).agg(F.first("n")).na.fill(0)
     n = F.col("train") + F.col("val") + F.col("test")
-    near = lambda split, share: F.abs(F.col(split) - n * share) <= F.greatest(n * 0.02, F.lit(3))
+    near = lambda split, share: F.abs(F.col(split) - n * share) <= n * 0.02 + 3
     return shares.select("value", n.alias("n"), (near("train", 0.7) & near("val", 0.15) & near("test", 0.15)).alias("even"), F.lit(leaking).alias("leaking"))
 
 
