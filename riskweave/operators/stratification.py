@@ -5,8 +5,8 @@
 2. Domains that hold a noticeable part (1 / ``LARGE``) of any value are few: each value has fewer than ``LARGE`` of them.
    They stay units of their own. All other domains are summed into ``BUCKETS`` units by hash. So the table of units and
    values is bounded by the number of values, whatever the number of rows and domains, and fits the driver.
-3. Units are placed one after another, the largest first, where the shares that they would fill are emptiest (summed
-   squared distance from the targets over all values); then units move, or change places with one of ``SWAPS`` others, as
+3. Units are placed one after another, the largest first, where the shares that they would fill are emptiest (squared
+   distance from the targets in units of two points, summed over all values); then units move, or change places with one of ``SWAPS`` others, as
    long as that brings the table nearer.
 4. The placed units go back to the rows as a lookup of the large domains and of the buckets: no row is shuffled.
 
@@ -29,6 +29,7 @@ from riskweave.fixed import corpus
 LARGE = 200
 BUCKETS = 2_048
 SWAPS = 1_000
+POINTS = 0.02
 MOST_VALUES = 1_000
 _ALL = "all"  # the stratum of every row, so that the splits themselves have their sizes
 
@@ -53,9 +54,10 @@ def _ratios(splits: dict[str, float] | None) -> dict[str, float]:
 
 def place_units(counts: np.ndarray, ratios: Sequence[float], passes: int = 20) -> np.ndarray:
     """Split number of every unit (rows of ``counts``: units x values)."""
-    total = np.maximum(counts.sum(axis=0), 1)
-    share = counts / total  # each value weighs the same, however rare
-    target = np.outer(np.asarray(ratios), np.where(counts.sum(axis=0) > 0, 1.0, 0.0))
+    total = counts.sum(axis=0)
+    unit = POINTS * total + 1  # two points and a row are as bad for every value, however rare
+    share = counts / unit
+    target = np.outer(np.asarray(ratios), total / unit)
     filled = np.zeros_like(target)
     split = np.zeros(len(counts), np.int64)
     for u in np.lexsort((np.arange(len(counts)), -share.max(axis=1, initial=0))):
