@@ -20,8 +20,10 @@ FULL_PAN = (
 )
 FULL_SSN = r"\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b|\b\d{9}\b"
 FULL_NAME = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]*\.?)?\s+[A-Z][a-z]+\b"
+FULL_ADDR_CLASS = r"[A-Za-z0-9\s,.-]"
+FULL_ADDR_END = r"(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Place|Pl)\b"
 FULL_ADDR = (
-    r"\b\d+\s+[A-Za-z0-9\s,.-]+(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Place|Pl)\b"
+    rf"\b\d+\s+{FULL_ADDR_CLASS}+{FULL_ADDR_END}"
     r"|\b[A-Z][a-z]+,?\s+[A-Z]{2}\s+\d{5}(?:-\d{4})?\b"
 )
 FULL_DBURI = (

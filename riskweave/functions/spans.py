@@ -21,6 +21,7 @@ from riskweave.functions.text import flagged, is_in
 
 _MARK = "\u0001"
 _MARK_STAND_IN = "\u0002"  # a control character of the same regex classes
+_STOP = "\u0005"  # put into a text where a match can't go on; takes no room
 _BLOCK = 64  # items folded at a time by scan()
 
 _WORK_TYPE = "struct<start:int,rule:int,end:int,type:string,text:string,confidence:double>"
@@ -77,7 +78,8 @@ class SpanRule:
     """One pattern of a rule set.
 
     ``keep`` (SQL over the matched text ``{t}``) filters matches; ``type_of`` (the same) derives the type; ``guard``
-    is a plain pattern that every match must hold, tried first because it is cheap.
+    is a plain pattern that every match must hold, tried first because it is cheap; ``prepare`` (SQL over ``{t}``) may put
+    ``_STOP`` where no match can go on, so that attempts that must fail end early.
     """
 
     type: str
@@ -87,6 +89,7 @@ class SpanRule:
     keep: str | None = None
     type_of: str | None = None
     guard: str | None = None
+    prepare: str | None = None
 
 
 def digits_of(text: Column) -> Column:
@@ -112,6 +115,23 @@ def _contains_none(text: str, phrases: Sequence[str]) -> str:
     return "not (" + " or ".join(f"contains(lower({text}), {quoted(p.lower())})" for p in phrases) + ")"
 
 
+def _stop_numbers() -> str:
+    """A number starts an address only if a street word ends one later in the same run of address characters. Trying
+    each number of a long list is quadratic, so numbers that can't be starts get a stop behind them, in one pass: a run is
+    cut behind its last street word, and only numbers of its rest, or of runs without one, are stopped."""
+    open_run, close_run = "\u0003", "\u0004"
+    number = quoted(flagged(r"(?<=\p{Nd})(?=\s)"))
+    runs = quoted(flagged(f"({fixed.FULL_ADDR_CLASS}*{fixed.FULL_ADDR_END})|({fixed.FULL_ADDR_CLASS}++)", True))
+    stopped = lambda t: f"regexp_replace({t}, {number}, '{_STOP}')"
+    piece = (
+        f"case when i % 2 = 0 then x when startswith(x, '{close_run}') then {stopped('substring(x, 2)')} "
+        f"else replace(x, '{close_run}', '') end"
+    )
+    cut = f"split(regexp_replace(t, {runs}, '{open_run}$1{close_run}$2{open_run}'), '{open_run}', -1)"
+    either = f"if(t rlike {quoted(flagged(fixed.FULL_ADDR_END, True))}, array_join(transform({cut}, (x, i) -> {piece}), ''), {stopped('t')})"
+    return _let("t", f"translate({{t}}, '{open_run}{close_run}{_STOP}', '{_MARK_STAND_IN * 3}')", either)
+
+
 def _rules_full() -> list[SpanRule]:
     names = ", ".join(quoted(n) for n in fixed.FULL_NAME_STOP_LIST)
     legal = (
@@ -131,7 +151,7 @@ def _rules_full() -> list[SpanRule]:
             "NAME", fixed.FULL_NAME, confidence=fixed.FULL_NAME_CONFIDENCE,
             keep="{t} not in (" + names + ") and size(split({t}, " + quoted(r"(?U)\s+") + ")) <= 3",
         ),
-        SpanRule("ADDR", fixed.FULL_ADDR, True, fixed.FULL_ADDR_CONFIDENCE, guard=r"\p{Nd}"),
+        SpanRule("ADDR", fixed.FULL_ADDR, True, fixed.FULL_ADDR_CONFIDENCE, guard=r"\p{Nd}", prepare=_stop_numbers()),
         SpanRule("DBURI", fixed.FULL_DBURI, True, guard=r"(?iu)://|jdbc:|server="),
         SpanRule(
             "SECRET", fixed.FULL_SECRET, True, fixed.FULL_SECRET_CONFIDENCE,
@@ -183,13 +203,15 @@ def ruleset(name: str) -> list[SpanRule]:
 def rule_matches(text: str, rule: SpanRule, number: int) -> str:
     """SQL of all kept matches of one rule, as work spans (empty array if none)."""
     pattern = quoted(flagged(rule.pattern, rule.ignore_case))
-    marked = f"regexp_replace(translate({text}, '{_MARK}', '{_MARK_STAND_IN}'), {pattern}, '{_MARK}$0{_MARK}')"
+    plain = f"translate({text}, '{_MARK}', '{_MARK_STAND_IN}')"
+    marked = f"regexp_replace({rule.prepare.replace('{t}', plain) if rule.prepare else plain}, {pattern}, '{_MARK}$0{_MARK}')"
+    size = f"length(translate(x, '{_STOP}', ''))" if rule.prepare else "length(x)"
     pieces = f"split({marked}, '{_MARK}', -1)"  # gap, match, gap, match, ..., gap
     found_type = "struct<start:int,end:int,text:string>"
     found = _scan(
         pieces,
         "named_struct('at', 0, 'inside', false)",
-        "named_struct('at', {c}.at + length(x), 'inside', not {c}.inside)",
+        f"named_struct('at', {{c}}.at + {size}, 'inside', not {{c}}.inside)",
         "if({c}.inside, array(named_struct('start', {c}.at, 'end', {c}.at + length(x), 'text', x)), " + _empty(found_type) + ")",
         found_type,
     )

@@ -113,6 +113,42 @@ def test_rule_sets_match_python(spark, sf_dir, name):
         assert all(text[s["start"] : s["end"]].replace("\u0001", "\u0002") == s["text"] for s in row["spans"])
 
 
+def test_addresses_in_number_lists_match_python(spark):
+    import random
+
+    rng = random.Random(11)
+    parts = [
+        "12 ", "7", "345 ", " Main Street", "St", " st ", "Elm Rd.", "Place", " Pl,", "\n", " ", "  ", "é", "_", ", ", "-", ".", "x", "٣ ", "\u00a0",
+        "Springfield, IL 62704 ", "9 Oak Drive", "Ct", "99999-1234", "STREETS", "\u0003", "\u0005 4 ", "ſt", "1 Ave 2 Ave", ";",
+    ]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(2000)]
+    texts += ["12 345 6, " * 300, "12 345 6, " * 300 + "Main Street", "1 Main Street " + "12 345 6, " * 300, "Street " * 50 + "5 " * 200]
+    df = spark.createDataFrame(list(enumerate(texts)), "msg_id int, body string").repartition(8)
+    rule = next(r for r in S.ruleset("full") if r.type == "ADDR")
+    for row in D.detect_spans(df, "body", [rule], "none").collect():
+        text = texts[row["msg_id"]]
+        expected = [(m.start(), m.end(), m.group()) for m in re.finditer(rule.pattern, text, re.IGNORECASE)]
+        assert [(s["start"], s["end"], s["text"]) for s in row["spans"]] == expected, repr(text)
+
+
+@pytest.mark.parametrize("text", ["12 345 6, ", "7 ", "1 a "])
+def test_number_lists_take_linear_time(spark, text):
+    import time
+
+    rule = [r for r in S.ruleset("full") if r.type == "ADDR"]
+
+    def seconds(n):
+        bodies = [(text * (n // len(text)),), ("Main Street " + text * (n // len(text)),)]
+        df = spark.createDataFrame(bodies, "body string").coalesce(1).cache()
+        df.count()
+        started = time.perf_counter()
+        D.detect_spans(df, "body", rule, "none").selectExpr("sum(size(spans))").collect()
+        return time.perf_counter() - started
+
+    seconds(1000)
+    assert seconds(320_000) < 8 * seconds(80_000) + 1
+
+
 def test_many_matches_in_one_text(spark):
     text = "Ab Cd. " * 5000
     df = spark.createDataFrame([(text,)], "body string")
