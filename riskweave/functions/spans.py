@@ -380,6 +380,42 @@ def overlap_pairs(spans: str) -> Column:
     )
 
 
+def rivals(spans: str) -> Column:
+    """Per span, by start: how many others overlap it, and the first of them (by start, then array order).
+
+    Counted, not paired, so the result is as long as the spans: of n spans, the rivals of one are the starts before its
+    end less the ends up to its start. Both are ranks in the sorted starts and ends. The first rival is the first span whose
+    end, or an earlier span's, lies behind the start: a rank of the start in the running maximum of the ends. If that
+    is the span itself, only the next span can be one. A span without length takes no part.
+    """
+    count_type = "struct<i:int,kind:int,n:int>"
+    points = lambda a, b: f"array_sort(concat(transform({a}), transform({b})))"
+    edges = points(
+        "w, (s, i) -> named_struct('at', s.end, 'kind', 0, 'i', i)", "w, (s, i) -> named_struct('at', s.start, 'kind', 1, 'i', i)"
+    )  # at one place ends come before starts
+    counted = _scan(
+        edges,
+        "named_struct('starts', 0, 'ends', 0)",
+        "named_struct('starts', {c}.starts + x.kind, 'ends', {c}.ends + 1 - x.kind)",
+        "array(named_struct('i', x.i, 'kind', x.kind, 'n', if(x.kind = 1, {c}.ends, {c}.starts)))",
+        count_type,
+    )
+    reach = _scan("w", "named_struct('to', 0)", "named_struct('to', greatest({c}.to, x.end))", "array(greatest({c}.to, x.end))", "int")
+    placed = points(
+        f"{reach}, (p, i) -> named_struct('at', p, 'kind', 0, 'i', i)", "w, (s, i) -> named_struct('at', s.start, 'kind', 1, 'i', i)"
+    )
+    before = _scan(
+        placed, "named_struct('n', 0)", "named_struct('n', {c}.n + 1 - x.kind)", "if(x.kind = 1, array({c}.n), cast(array() as array<int>))", "int"
+    )
+    first = "case when get(b, i) < i then get(w, get(b, i)) when get(w, i + 1).start < s.end then get(w, i + 1) end"
+    row = (
+        "named_struct('type', s.type, 'start', s.start, 'end', s.end, 'rivals', get(n, 2 * i).n - get(n, 2 * i + 1).n - 1, "
+        "'first_type', f.type, 'first_start', f.start, 'first_end', f.end)"
+    )
+    rows = f"transform(w, (s, i) -> {_let('f', first, row)})"
+    return F.expr(_let("w", f"filter({_work(spans)}, s -> s.start < s.end)", _let("n", f"array_sort({counted})", _let("b", before, rows))))
+
+
 def valid_bounds(spans: Column, text: Column, offset: Column | int = 0) -> Column:
     """Spans inside the text, moved by an offset (where the text starts in a larger one)."""
     shift = offset if isinstance(offset, Column) else F.lit(offset)

@@ -41,6 +41,12 @@ def overlap_pairs(df: DataFrame, keys: Sequence[str] = ("msg_id",), spans: str =
     return df.select(*keys, F.inline_outer(S.overlap_pairs(spans))).filter("first_type is not null")
 
 
+def overlap_counts(df: DataFrame, keys: Sequence[str] = ("msg_id",), spans: str = "spans") -> DataFrame:
+    """One row per span: how many spans of its message overlap it, and the first of them. Linear in the spans, so use it
+    in place of ``overlap_pairs`` where many spans may lie over each other."""
+    return df.select(*keys, F.inline_outer(S.rivals(spans))).filter("type is not null")
+
+
 def validate_span_bounds(
     df: DataFrame, text: Column | str = "body", offset: Column | int = 0, spans: str = "spans", out: str = "valid_spans"
 ) -> DataFrame:

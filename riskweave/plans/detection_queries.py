@@ -114,6 +114,24 @@ def overlap_pairs(spark, sf_dir):
     return D.overlap_pairs(raw)
 
 
+@query(
+    "overlap_counts",
+    with_messages(
+        """
+SELECT a.msg_id, any_value(a.s.type) AS type, a.s.start AS start, any_value(a.s.end) AS end, CAST(count(b.s) AS INT) AS rivals,
+  arg_min(b.s.type, (b.s.start, b.s.rule)) AS first_type, arg_min(b.s.start, (b.s.start, b.s.rule)) AS first_start,
+  arg_min(b.s.end, (b.s.start, b.s.rule)) AS first_end
+FROM raw a LEFT JOIN raw b ON a.msg_id = b.msg_id AND a.s.start < b.s.end AND a.s.end > b.s.start AND (a.s.start <> b.s.start OR a.s.rule <> b.s.rule)
+GROUP BY a.msg_id, a.s.start, a.s.rule
+""",
+        raw_spans_cte("full").replace("raw AS (", "raw AS MATERIALIZED ("),
+    ),
+)
+def overlap_counts(spark, sf_dir):
+    raw = D.detect_spans(messages(spark, sf_dir).select("msg_id", "body"), "body", "full", "none")
+    return D.overlap_counts(raw)
+
+
 _COMBINED_SQL = (
     "subject || chr(10) || chr(10) || body || CASE WHEN len(attachments) > 0 THEN chr(10) || chr(10) || 'Attachments: ' || "
     "array_to_string(list_transform(attachments, lambda a: a.name), ', ') ELSE '' END"

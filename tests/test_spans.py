@@ -113,6 +113,31 @@ def test_rule_sets_match_python(spark, sf_dir, name):
         assert all(text[s["start"] : s["end"]].replace("\u0001", "\u0002") == s["text"] for s in row["spans"])
 
 
+def test_overlap_counts_on_random_spans(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        spans = [(f"T{j}", a := rng.randint(0, 30), a + rng.choice([0, 1, 2, 5, 20]), "x", 1.0) for j in range(rng.randint(0, 14))]
+        rows.append((i, spans))
+    df = spark.createDataFrame(rows, "msg_id int, spans array<struct<type:string,start:int,end:int,text:string,confidence:double>>")
+    expected = []
+    for i, spans in rows:
+        ordered = sorted((s for s in enumerate(spans) if s[1][1] < s[1][2]), key=lambda p: (p[1][1], p[0]))
+        for j, s in ordered:
+            others = [o for k, o in ordered if k != j and s[1] < o[2] and s[2] > o[1]]
+            expected.append((i, *s[:3], len(others), *(others[0][:3] if others else (None,) * 3)))
+    assert sorted(map(tuple, D.overlap_counts(df).collect()), key=str) == sorted(expected, key=str)
+
+
+def test_overlap_counts_of_many_spans_in_one_place(spark):
+    spans = "transform(sequence(1, 20000), i -> named_struct('type', 'T', 'start', i, 'end', 30000, 'text', '', 'confidence', 1.0D))"
+    df = spark.range(1).selectExpr("id as msg_id", f"{spans} as spans")
+    row = D.overlap_counts(df).selectExpr("count(*)", "min(rivals)", "max(rivals)", "count_if(first_start = 1)").first()
+    assert tuple(row) == (20000, 19999, 19999, 19999)
+
+
 def test_addresses_in_number_lists_match_python(spark):
     import random
 
