@@ -6,8 +6,10 @@ algorithm; a text's is the product over its words, and Bayes' rule with equal pr
 
 * Training: expectation-maximisation (forward-backward over all segmentations) on the words of a bounded sample, the
   ``SAMPLE`` distinct texts per language with the smallest hash. Spark counts the words of the sample; the
-  ``WORDS`` most frequent ones per language come to the driver. Added to every piece: ``PRIOR`` of a count, so that
-  no word is impossible; a character outside the vocabulary counts as an unknown piece of fixed probability.
+  ``WORDS`` most frequent ones per language come to the driver. Each language keeps ``SHARED`` of its probability for
+  what all languages have in common (the mean of their pieces, plus ``PRIOR`` of a count for every piece), so no word is
+  impossible, and a word that a language has never met is as likely in a scarce language as in a rich one. A character
+  outside the vocabulary counts as an unknown piece of fixed probability.
 * Scoring: one scan, no shuffle. Words repeat, so a task finds the distinct words of a piece of texts first and runs
   the forward algorithm on all of them at once, one character position after another. Words are cut into stretches of
   ``LONGEST`` characters, which only concerns text without blanks.
@@ -35,6 +37,7 @@ SAMPLE = 1_500
 WORDS = 60_000
 ROUNDS = 4
 PRIOR = 0.1
+SHARED = 0.05
 UNKNOWN = 1e-7
 LONGEST = 32
 _MARK = "▁"
@@ -174,14 +177,18 @@ def fit(words: dict[str, dict[str, int]], vocabulary: list[str]) -> LanguageMode
     languages = sorted(words)
     lattice, _ = Lattice.of(vocabulary)
     p = np.zeros((len(languages), len(vocabulary)))
+    common = np.full(len(vocabulary), PRIOR)
     for i, language in enumerate(languages):
         own, counts = list(words[language]), np.array(list(words[language].values()), float)
         q = np.full(len(vocabulary), 1 / len(vocabulary))
-        for _ in range(ROUNDS):
-            q = _expected(lattice, own, counts, q) + PRIOR if own else q
+        for _ in range(ROUNDS if own else 0):
+            met = _expected(lattice, own, counts, q)
+            q = met + PRIOR
             q /= q.sum()
-        p[i] = q
-    return LanguageModel(languages, lattice, p)
+            p[i] = met / max(met.sum(), 1e-300)
+        common += p[i] * counts.sum() / len(languages)
+    common /= max(common.sum(), 1e-300)
+    return LanguageModel(languages, lattice, np.where(p.sum(axis=1, keepdims=True) > 0, (1 - SHARED) * p + SHARED * common, common))
 
 
 def words_in(text: str) -> list[str]:

@@ -8,16 +8,17 @@ can be trusted. When scoring, they come from the models fitted on all folds.
 * Words are lower-cased runs of letters, digits and non-ASCII characters; a feature is a word's presence, so a long
   text isn't thinned out and repeats don't count.
 * Feature choice: of the words in ``MIN_DOCS`` or more training documents, the ``FEATURES`` words that tell most about
-  any category by the G statistic, if it is ``LEAST_G`` or more (chance alone gives that to one word in two million).
-  Words beyond that would only add noise to long texts.
-* The cut of each category is the one with the best F1 of the out-of-fold probabilities.
+  any category by the G statistic, if it is ``least_g`` or more: with as many words as were counted, chance alone passes
+  one in twenty times, and never more than one word in two million. Words beyond that would only add noise to long texts.
+* The cut of each category is the one with the best F1 of the out-of-fold probabilities among those where at least
+  ``LEAST_PRECISION`` of the rejected documents are right. If there is none, the category rejects nothing.
 * Training takes a bounded sample of the labelled rows: the ``SAMPLE`` with the smallest hash of (seed, doc_id); ties
   and repeats don't matter. Spark counts the words of these whole texts by category and chooses the features; the
   driver gets only the chosen features of each text. Training and scoring read whole texts.
 
 Scoring is one scan without a shuffle. Defined results: a null or empty text gets the probabilities of a text without
-known words; without labels of both values, a category has its base rate as probability (0 without any label) and
-rejects nothing; repeated rows are scored one by one; labels with a null id or value aren't used.
+known words; without labels of both values, or without telling words, a category has its base rate as probability (0
+without any label) and rejects nothing; repeated rows are scored one by one; labels with a null id or value aren't used.
 """
 
 from __future__ import annotations
@@ -39,7 +40,9 @@ from riskweave.session import reliable_checkpoint
 SAMPLE = 8_000
 MIN_DOCS = 5
 FEATURES = 1_000
-LEAST_G = 25.0
+MOST_G = 25.0
+BY_CHANCE = 0.05
+LEAST_PRECISION = 0.5
 FOLDS = 4
 L2 = 3.0
 STEPS = 30
@@ -140,15 +143,24 @@ def _tell(present: np.ndarray, positive: np.ndarray, n: int, n_positive: int) ->
     )
 
 
+def least_g(words: int) -> float:
+    """The G statistic that one of so many words reaches by chance with probability ``BY_CHANCE``, ``MOST_G`` at most
+    (tail of the chi-squared distribution with one degree of freedom)."""
+    log = np.log(max(1, words) / BY_CHANCE)
+    return float(min(MOST_G, 2 * log - np.log(np.pi * log)))
+
+
 def best_cut(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the best F1 (the highest of equals); above 1 if there is nothing to find."""
-    if not y.any():
+    """The cut with the best F1 (the highest of equals) that rejects rightly often enough; above 1 if there is none."""
+    if not y.any() or p.min() == p.max():
         return 2.0
     order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    hits, taken = np.cumsum(y[order]), np.arange(1, len(y) + 1)
+    f1 = np.where(hits >= LEAST_PRECISION * taken, 2 * hits / (taken + y.sum()), 0)
     last = np.append(p[order][1:] != p[order][:-1], True)  # equal probabilities are cut together
     best = np.flatnonzero(last)[np.argmax(f1[last])]
+    if f1[best] == 0:
+        return 2.0
     below = p[order][best + 1] if best + 1 < len(p) else 0.0
     return float((p[order][best] + below) / 2)
 
@@ -167,7 +179,7 @@ def fit_chain(hashes: list[np.ndarray], labels: np.ndarray, categories: Sequence
         score = np.maximum(score, _tell(present, positive, n, int(labels[:, c].sum())))
     score[present < MIN_DOCS] = 0
     chosen = np.sort(np.argsort(-score, kind="stable")[:FEATURES])
-    chosen = chosen[score[chosen] >= LEAST_G]
+    chosen = chosen[score[chosen] >= least_g(int((present >= MIN_DOCS).sum()))]
     place = np.full(len(vocabulary), -1)
     place[chosen] = np.arange(len(chosen))
     keep = place[column] >= 0
@@ -198,7 +210,7 @@ def fit_known(
             s = np.bincount(rows[other], w[features[other]], minlength=n) + outside[:, :c] @ w[k : k + c] + w[-1]
             outside[test, c] = 1 / (1 + np.exp(-s[test]))
         weights.append(_fit(rows, features, outside[:, :c], y, k))
-        cuts.append(best_cut(outside[:, c], y > 0))
+        cuts.append(best_cut(outside[:, c], y > 0) if k else 2.0)
     return Chain(words, list(categories), weights, cuts)
 
 
@@ -276,8 +288,9 @@ def _telling(texts: DataFrame, labels: np.ndarray) -> np.ndarray:
             + part(rest_positive, rest * rate) + part(rest - rest_positive, rest * (1 - rate))
         )
 
+    counts = reliable_checkpoint(counts)
     score = F.greatest(F.lit(0.0), *[tell(c) for c in range(categories)])
-    best = counts.select("w", score.alias("g")).filter(F.col("g") >= LEAST_G)
+    best = counts.select("w", score.alias("g")).filter(F.col("g") >= least_g(counts.count()))
     rows = best.orderBy(F.col("g").desc(), F.col("w") < 0, "w").limit(FEATURES).collect()
     return np.sort(np.array([r["w"] for r in rows], dtype=np.int64).view(np.uint64))
 

@@ -68,3 +68,34 @@ def test_training_reads_whole_texts(spark):
     assert T.distinct_words(pa.array(["bad18"]))[1][0] in chain.words and chain.words.tolist() == whole.words.tolist()
     assert all(np.allclose(a, b) for a, b in zip(chain.weights, whole.weights))
     assert [r.doc_id % 3 == 0 for r in T.score(docs.limit(90), chain).orderBy("doc_id").collect()] == [r.toxic for r in T.score(docs.limit(90), chain).orderBy("doc_id").collect()]
+
+
+def test_cut_is_the_best_of_all():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(rng.integers(2, 30))
+        p, y = rng.integers(0, 6, n) / 7, rng.random(n) < rng.random()
+
+        def value(cut, p=p, y=y):
+            taken = p >= cut
+            right = (taken & y).sum()
+            return 2 * right / (taken.sum() + y.sum()) if taken.any() and right >= T.LEAST_PRECISION * taken.sum() else 0
+
+        best = max([value(c) for c in p]) if p.min() < p.max() else 0
+        cut = T.best_cut(p, y)
+        assert (value(cut) == best) if best else cut > 1
+
+
+def test_least_g_follows_the_number_of_words():
+    import math
+
+    for words in (10, 1000, 30_000):
+        g = T.least_g(words)
+        assert 0.6 < math.erfc(math.sqrt(g / 2)) * words / T.BY_CHANCE < 1.7 or g == T.MOST_G
+
+
+def test_few_labels_reject_nothing(spark):
+    docs = spark.createDataFrame([(i, f"word{i} plain text of a clean kind {i % 3}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i == 7)) for i in range(40)], "doc_id long, quality int, toxic int")
+    chain = T.train(docs, labels, {"low_quality": "quality = 0", "toxic": "toxic = 1"})
+    assert T.drop_category(docs, chain, "toxic").count() == 60
