@@ -1,11 +1,13 @@
 """Labels, positions, metrics, generation and grids on hand-made rows or against brute force."""
 
+import json
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riskweave.fixed import corpus
 from riskweave.functions import grids as G
 from riskweave.functions import labels as L
 from riskweave.functions.hashing import uniform
@@ -136,15 +138,18 @@ def test_parse_generated_json(spark):
     texts = ['x ```json\n{"body": "b", "user": {"role": "HR"}}\n``` y', 'see {"body": "c", "user": {"role": "X"}} end', "plain " * 200, "{bad: [}"]
     rows = Rs.parse_generated_json(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
     assert [r["body"][:5] for r in rows] == ["b", "c", "plain"] and [r["parsing_failed"] for r in rows] == [False, False, True]
-    assert len(rows[2]["body"]) == 503 and rows[2]["user"] == {"role": "batch_recovered_fallback"}
+    assert rows[2]["body"] == "plain " * 200 and rows[2]["user"] == {"role": "batch_recovered_fallback"}
     many = Rs.parse_many_json(spark.createDataFrame([('{"a":1}\nnoise\n{"a":2}',), ('x {"a":3} y {"a":{"b":4}}',), ('[{"a":5},{"a":6}]',), ("none",)], "text string"))
     assert many.count() == 6
 
 
 def test_label_prompt_limits(spark, sf_dir):
     m = messages(spark, sf_dir)
-    rows = Rs.build_label_prompts(m).select("body", "prompt", F.size("attachments").alias("n")).collect()
-    for r in rows:
+    shown = lambda df: df.select("body", "prompt", F.size("attachments").alias("n")).collect()
+    for r in shown(Rs.build_label_prompts(m)):
+        assert json.dumps(r["body"], ensure_ascii=False)[1:40].split("\\")[0] in r["prompt"] and len(r["prompt"]) > len(r["body"])
+        assert r["prompt"].count('"type":') == r["n"]
+    for r in shown(Rs.build_label_prompts(m, most_body=1000, most_files=3)):
         assert ("..." in r["prompt"]) or len(r["body"]) <= 1000
         assert r["prompt"].count('"type":') == min(r["n"], 3)
         assert len(r["prompt"]) < 6000
