@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskweave.fixed import labels as labels_fixed
 from riskweave.fixed import span_patterns as spans_fixed
-from riskweave.functions.spans import tag_ids, token_tags, valid_bounds
+from riskweave.functions.spans import char_tag_ids, valid_bounds
 
 # Ids of the character tokenizer.
 PAD, UNKNOWN, BEGIN, END = 0, 1, 2, 3
@@ -146,15 +146,6 @@ def _fit(values: Column, length: int, filler: int) -> Column:
     return F.concat(cut, F.array_repeat(F.lit(filler), F.lit(length) - F.size(cut)))
 
 
-def char_tokens(length: Column, first: Column | None = None) -> Column:
-    """One token per character as (start, end) ranges, counted from ``first`` (0 if not given)."""
-    at = F.lit(0) if first is None else first
-    return F.when(
-        length > 0,
-        F.transform(F.sequence(at, at + length - 1), lambda i: F.struct(i.alias("start"), (i + 1).alias("end"))),
-    ).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-
-
 def pack(markup: Column, labels: Column, max_length: int = 1024, vocabulary: str = "training") -> Column:
     """The first window only: characters behind ``max_length`` and their tags are cut (see ``windows``)."""
     return pack_window(
@@ -187,7 +178,7 @@ def pack_window(
         characters(text),
         lambda c: F.when(F.ascii(c).between(FIRST_CHARACTER, LAST_CHARACTER), F.ascii(c) - FIRST_CHARACTER + FIRST_CHARACTER_ID).otherwise(UNKNOWN),
     )
-    tags = tag_ids(token_tags(char_tokens(n, start), spans), vocabulary)
+    tags = char_tag_ids(n, start.cast("int"), spans, vocabulary)
     return F.struct(
         _fit(ids, max_length, PAD).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_length) - n)).alias("attention_mask"),

@@ -466,28 +466,97 @@ def char_tags(spans: str, text: str) -> Column:
     return F.expr(f"if(size({spans}) = 0, array_repeat('O', length({text})), {tagged})")
 
 
-def token_tags(tokens: Column, spans: Column) -> Column:
-    """Tags of tokens with (start, end) character ranges: B- on the token holding the first character of a span,
-    I- on the rest up to the token holding its last character; a later span overwrites."""
+def _in_order(spans: Column) -> Column:
+    """Whether spans are sorted and apart, as overlap rules leave them."""
+    return F.forall(
+        F.transform(spans, lambda s, i: (s["start"] < s["end"]) & ((i == 0) | (s["start"] >= F.get(spans, i - 1)["end"]))), lambda ok: ok
+    )
+
+
+def _end_before(spans: Column, i: Column, first: Column) -> Column:
+    return F.when(i == 0, first).otherwise(F.get(spans, i - 1)["end"])
+
+
+def _id_of(kind: Column, mark: str, vocabulary: str) -> Column:
+    ids = bio_vocabulary(vocabulary)
+    cases = None
+    for k in fixed.BIO_TYPES[vocabulary]:
+        cases = (F if cases is None else cases).when(kind == k, F.lit(ids[f"{mark}-{k}"]))
+    return cases.otherwise(0)
+
+
+def token_tag_ids(tokens: Column, spans: Column, vocabulary: str) -> Column:
+    """Tag ids of tokens with (start, end) character ranges: B- on the token holding the first character of a span,
+    I- on the rest up to the token holding its last character; a later span overwrites.
+
+    Spans that are sorted and apart are laid out once, as the number of the span at each character; a token looks only at its
+    own characters. Other spans are searched for each token.
+    """
+    known = F.transform(
+        spans,
+        lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), _id_of(s["type"], "B", vocabulary).alias("b"), _id_of(s["type"], "I", vocabulary).alias("i")
+        ),
+    )
 
     def tag(last: Column, token: Column) -> Column:
         begins = (last["start"] >= token["start"]) & (last["start"] < token["end"])
-        return (
-            F.when(last.isNull(), F.lit("O"))
-            .when(begins, F.concat(F.lit("B-"), last["type"]))
-            .otherwise(F.concat(F.lit("I-"), last["type"]))
+        return F.when(last.isNull(), 0).when(begins, last["b"]).otherwise(last["i"])
+
+    def laid_out(own: Column) -> Column:
+        runs = F.transform(
+            own,
+            lambda s, i: F.concat(
+                F.array_repeat(F.lit(0), s["start"] - _end_before(own, i, F.lit(0))), F.array_repeat(i + 1, s["end"] - s["start"])
+            ),
         )
 
-    def of_token(token: Column) -> Column:
-        hit = F.filter(spans, lambda s: (s["start"] < token["end"]) & (s["end"] > token["start"]))
-        return let(F.try_element_at(hit, F.lit(-1)), lambda last: tag(last, token))
+        def over(owner: Column) -> Column:
+            def of_token(token: Column) -> Column:
+                last = F.array_max(F.slice(owner, token["start"] + 1, token["end"] - token["start"]))
+                return let(F.get(own, last - 1), lambda s: tag(s, token))
+
+            return F.transform(tokens, of_token)
+
+        return let(F.flatten(runs), over)
+
+    def searched(own: Column) -> Column:
+        def of_token(token: Column) -> Column:
+            hit = F.filter(own, lambda s: (s["start"] < token["end"]) & (s["end"] > token["start"]))
+            return let(F.try_element_at(hit, F.lit(-1)), lambda last: tag(last, token))
 
-    return F.when(F.size(spans) == 0, F.transform(tokens, lambda t: F.lit("O"))).otherwise(
-        F.transform(tokens, of_token)
+        return F.transform(tokens, of_token)
+
+    fine = F.forall(tokens, lambda t: (t["start"] >= 0) & (t["end"] > t["start"]))
+    first = F.forall(spans, lambda s: s["start"] >= 0)
+    return F.when(F.coalesce(F.size(spans), F.lit(0)) <= 0, F.transform(tokens, lambda t: F.lit(0))).otherwise(
+        let(known, lambda own: F.when(_in_order(own) & first & fine, laid_out(own)).otherwise(searched(own)))
     )
 
 
-def tag_ids(tags: Column, vocabulary: str) -> Column:
-    """Ids of tags; a tag the vocabulary lacks becomes 0."""
-    table = F.create_map(*[F.lit(x) for kv in bio_vocabulary(vocabulary).items() for x in kv])
-    return F.transform(tags, lambda t: F.coalesce(F.element_at(table, t), F.lit(0)))
+def char_tag_ids(n: Column, start: Column, spans: Column, vocabulary: str) -> Column:
+    """Tag ids of the n characters from ``start`` on; a span that began before goes on with I-, a later one overwrites.
+
+    Sorted spans that are apart are written run by run; others fall back to one token per character.
+    """
+    stop = start + n
+    inside = F.filter(spans, lambda s: (s["start"] < stop) & (s["end"] > start))
+
+    def runs(own: Column) -> Column:
+        def run(s: Column, i: Column) -> Column:
+            first, last = F.greatest(s["start"], start), F.least(s["end"], stop)
+            gap = F.array_repeat(F.lit(0), first - _end_before(own, i, start))
+            b = _id_of(s["type"], "B", vocabulary)
+            rest = _id_of(s["type"], "I", vocabulary)
+            head = F.array_repeat(F.when(s["start"] >= start, b).otherwise(rest), F.lit(1))
+            return F.concat(gap, head, F.array_repeat(rest, last - first - 1))
+
+        end = F.least(F.coalesce(F.try_element_at(own, F.lit(-1))["end"], start), stop)
+        return F.concat(F.flatten(F.transform(own, run)), F.array_repeat(F.lit(0), stop - end))
+
+    each = F.when(n > 0, F.transform(F.sequence(start, stop - 1), lambda i: F.struct(i.alias("start"), (i + 1).alias("end")))).otherwise(
+        F.array().cast("array<struct<start:int,end:int>>")
+    )
+    return F.when((n <= 0) | (F.coalesce(F.size(spans), F.lit(0)) <= 0), F.array_repeat(F.lit(0), n)).otherwise(
+        let(inside, lambda own: F.when(_in_order(own), runs(own)).otherwise(token_tag_ids(each, own, vocabulary)))
+    )

@@ -73,7 +73,7 @@ def bio_token_tags(
     df: DataFrame, tokens: str = "tokens", spans: str = "spans", vocabulary: str = "training", out: str = "tag_ids"
 ) -> DataFrame:
     """Tag ids of tokens given as struct<start, end> character ranges."""
-    return df.withColumn(out, S.tag_ids(S.token_tags(F.col(tokens), F.col(spans)), vocabulary))
+    return df.withColumn(out, S.token_tag_ids(F.col(tokens), F.col(spans), vocabulary))
 
 
 def detect_obfuscation(df: DataFrame, text: Column | str = "body") -> DataFrame:

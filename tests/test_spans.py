@@ -113,6 +113,46 @@ def test_rule_sets_match_python(spark, sf_dir, name):
         assert all(text[s["start"] : s["end"]].replace("\u0001", "\u0002") == s["text"] for s in row["spans"])
 
 
+def python_tags(tokens, spans, vocabulary):
+    ids = S.bio_vocabulary(vocabulary)
+    out = []
+    for a, b in tokens:
+        last = next((s for s in reversed(spans) if s[1] < b and s[2] > a), None)
+        out.append(0 if last is None else ids.get(("B-" if a <= last[1] < b else "I-") + last[0], 0))
+    return out
+
+
+def test_tag_ids_of_tokens_and_characters(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    kinds = [*fixed.BIO_TYPES["training"][:4], "OTHER"]
+    rows = []
+    for i in range(400):
+        spans, at = [], 0
+        for _ in range(rng.randrange(6)):
+            at += rng.randrange(6)
+            spans.append((rng.choice(kinds), at, at + rng.randint(1, 8), "x", 1.0))
+            at = spans[-1][2] if i % 2 else max(0, at - 3)  # every second row: spans over each other, in any order
+        if i % 4 == 0:
+            rng.shuffle(spans)
+        tokens, at = [], 0
+        while at < 40:
+            at += rng.randrange(3)
+            tokens.append((at, at + (rng.randrange(7) if i % 8 == 3 else rng.randint(1, 7))))
+            at = tokens[-1][1]
+        rows.append((i, spans, tokens, rng.randrange(0, 30), rng.randrange(0, 12)))
+    ddl = "msg_id int, spans array<struct<type:string,start:int,end:int,text:string,confidence:double>>, tokens array<struct<start:int,end:int>>, n int, first int"
+    df = D.bio_token_tags(spark.createDataFrame(rows, ddl))
+    df = df.withColumn("chars", S.char_tag_ids(F.col("n"), F.col("first"), F.col("spans"), "training"))
+    for r in df.collect():
+        spans = [tuple(s) for s in r["spans"]]
+        assert r["tag_ids"] == python_tags([tuple(t) for t in r["tokens"]], spans, "training"), r
+        assert r["chars"] == python_tags([(c, c + 1) for c in range(r["first"], r["first"] + r["n"])], spans, "training"), r
+
+
 def test_overlap_counts_on_random_spans(spark):
     import random
 
