@@ -10,6 +10,7 @@ from riskweave.plans import (  # noqa: F401
     generation_queries,
     label_queries,
     results_queries,
+    source_queries,
     statistics_queries,
     stream_queries,
 )

@@ -32,17 +32,39 @@ def test_read_messages_and_split_dir(spark, tmp_path):
     assert splits == {("train", 1), ("train", 2), ("val", 3)}
 
 
+def _result(i, content):
+    return json.dumps({"custom_id": f"request-{i}", "response": {"body": {"choices": [{"message": {"content": content}}]}}})
+
+
 def test_read_batch_results_with_line_numbers(spark, tmp_path):
-    line = lambda i, c: json.dumps({"custom_id": f"request-{i}", "response": {"body": {"choices": [{"message": {"content": c}}]}}})
-    _write(f"{tmp_path}/r/a.jsonl", [line(0, "zero"), "oops", line(1, "one")])
-    _write(f"{tmp_path}/r/b.jsonl", [line(2, "two")])
-    rows = files.read_batch_results(spark, f"{tmp_path}/r", "train").collect()
-    assert {(r["batch_file"], r["line_number"], r["content"]) for r in rows} == {("a.jsonl", 1, "zero"), ("a.jsonl", 3, "one"), ("b.jsonl", 1, "two")}
+    _write(f"{tmp_path}/r/a_val.jsonl", [_result(0, '{"body": "zero"}'), "oops", "", _result(1, ' {"body": "one"}'), _result(5, "no JSON"), _result(6, "[1]")])
+    _write(f"{tmp_path}/r/b.jsonl", [_result(2, '{"body": "two"}')])
+    rows = files.read_batch_results(spark, f"{tmp_path}/r").select("*", F.try_variant_get("example", "$.body", "string").alias("body")).collect()
+    assert {(r["batch_file"], r["split"], r["line_number"], r["body"]) for r in rows} == {("a_val.jsonl", "val", 1, "zero"), ("a_val.jsonl", "val", 4, "one"), ("b.jsonl", "b.jsonl", 1, "two")}
+    assert {r["split"] for r in files.read_batch_results(spark, f"{tmp_path}/r", "train").collect()} == {"train"}
     alt = [json.dumps({"custom_id": "x", "result": {"type": t, "message": {"content": [{"type": "text", "text": "hi"}]}}}) for t in ("succeeded", "errored")]
     _write(f"{tmp_path}/s/a.jsonl", alt)
     assert [r["content"] for r in files.read_batch_results_alt(spark, f"{tmp_path}/s").collect()] == ["hi"]
 
 
+def test_line_numbers_over_many_blocks(spark, tmp_path, monkeypatch):
+    lines = ["" if i % 11 == 0 else _result(i, json.dumps({"n": i, "pad": "x" * (i * 37 % 500)})) for i in range(3000)]
+    _write(f"{tmp_path}/r/train.jsonl", lines)
+    _write(f"{tmp_path}/r/sub.jsonl", lines[:5])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40k")
+    try:
+        for most in (1_000_000, 0):
+            monkeypatch.setattr(files, "MOST_BLOCKS", most)
+            numbered = files.numbered_lines(files.read_lines(spark, f"{tmp_path}/r"))
+            rows = files.read_batch_results(spark, f"{tmp_path}/r").select("batch_file", "line_number", F.try_variant_get("example", "$.n", "int").alias("n")).collect()
+            assert numbered.rdd.getNumPartitions() > 10 or not most
+            assert {(r["batch_file"], r["line_number"] - 1) for r in rows if r["line_number"] - 1 == r["n"]} == {
+                (f, i) for f, n in (("train.jsonl", 3000), ("sub.jsonl", 5)) for i in range(n) if i % 11
+            }
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_sessions_logs_and_puzzles(spark, tmp_path):
     for i in (1, 2):
         _write(f"{tmp_path}/runs/run_{i}/session.json", [json.dumps({"session_id": f"s{i}", "start_time": float(i), "status": "active"})])
@@ -71,9 +93,21 @@ def test_writers_round_trip(spark, sf_dir, tmp_path):
     assert again.join(m.select(F.md5("body").alias("h")), F.md5(again["body"]) == F.col("h"), "left_anti").count() == 0
     sinks.write_dsl_corpus(m, f"{tmp_path}/dsl")
     assert spark.read.text(f"{tmp_path}/dsl").count() >= m.count()
-    grid = spark.createDataFrame([("train", "all", 1, "p", 1, [0], [1])], "split string, set string, group_id int, puzzle_id string, identifier int, inputs array<int>, labels array<int>")
-    sinks.write_grid_dataset(grid, f"{tmp_path}/grid")
-    assert spark.read.parquet(f"{tmp_path}/grid/examples").count() == 1
+    grid = spark.createDataFrame(
+        [("train", x, g, f"p{p}", p, e, [p, e], [e]) for x in ("a", "b") for g in range(3) for p in range(g * 4 + 1, g * 4 + 1 + g) for e in range(p % 3 + 1)],
+        "split string, set string, group_id int, puzzle_id string, identifier int, example_no int, inputs array<int>, labels array<int>",
+    )
+    sinks.write_grid_dataset(grid.repartition(5), f"{tmp_path}/grid")
+    flat = sorted(((r["group_id"], r["puzzle_id"], r["example_no"], r["inputs"]) for r in spark.read.parquet(f"{tmp_path}/grid/examples").filter("set = 'b'").collect()))
+    puzzles = sorted(spark.read.parquet(f"{tmp_path}/grid/puzzles").filter("set = 'b'").collect(), key=lambda r: r["puzzle_no"])
+    assert [r["puzzle_no"] for r in puzzles] == list(range(3)) and puzzles[-1]["example_end"] == len(flat)
+    for r in puzzles:
+        assert {x[1] for x in flat[r["example_start"] : r["example_end"]]} == {r["puzzle_id"]}
+    groups = sorted(spark.read.parquet(f"{tmp_path}/grid/groups").filter("set = 'b'").collect(), key=lambda r: r["group_no"])
+    assert [(r["group_id"], r["puzzle_start"], r["puzzle_end"]) for r in groups] == [(1, 0, 1), (2, 1, 3)]
+    meta = spark.read.json(f"{tmp_path}/grid/metadata").first()
+    assert (meta["total_groups"], meta["total_puzzles"], meta["total_examples"], meta["sets"]) == (4, 6, 2 * len(flat), ["a", "b"])
+    assert {r["puzzle_id"] for r in spark.read.parquet(f"{tmp_path}/grid/identifiers").filter("identifier = 0").collect()} == {"<blank>"}
 
 
 def test_stream_label_equals_batch_and_resumes(spark, sf_dir, tmp_path):
