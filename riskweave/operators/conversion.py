@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,18 +66,33 @@ def normalize_records(df: DataFrame, line: str = "line") -> DataFrame:
     )
 
 
+MOST_KEYS = 5_000
+
+
+def key_rows(df: DataFrame, column: str) -> DataFrame:
+    """key and the number of rows that have it, one row per key found anywhere in a map column."""
+    return df.select(F.explode(F.map_keys(column)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
 def unify_keys(df: DataFrame, column: str) -> DataFrame:
     """Every map gets all keys found anywhere, missing ones as ''.
 
-    The key set (as large as the schema, not the data) is a scalar subquery.
+    Keys are found as rows. That every row then carries all of them is the operator's meaning, so it is for schemas: with
+    over ``MOST_KEYS`` keys (ids as keys, say) it raises an error, and ``long_keys`` is the form to use.
     """
-    keys = df.select(F.explode(F.map_keys(column)).alias("k")).agg(F.array_sort(F.collect_set("k")))
-    full = lambda ks: F.map_from_entries(
-        F.transform(
-            ks, lambda k: F.struct(k.alias("key"), F.coalesce(F.element_at(F.col(column), k), F.lit("")).alias("value"))
-        )
-    )
-    return df.withColumn("_keys", keys.scalar()).withColumn(column, full(F.col("_keys"))).drop("_keys")
+    keys = sorted(r["key"] for r in key_rows(df, column).select("key").limit(MOST_KEYS + 1).collect())
+    if len(keys) > MOST_KEYS:
+        raise ValueError(f"over {MOST_KEYS} different keys in {column}: use long_keys")
+    all_keys = F.array(*[F.lit(k) for k in keys]) if keys else F.array().cast("array<string>")
+    pair = lambda k: F.struct(k.alias("key"), F.coalesce(F.element_at(F.col(column), k), F.lit("")).alias("value"))
+    return df.withColumn(column, F.map_from_entries(F.transform(all_keys, pair)))
+
+
+def long_keys(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
+    """The same as rows: ``keys``, key, value, and in how many rows the key is found. Any number of keys; a row has only
+    its own, and a key that it lacks reads as ''."""
+    pairs = df.select(*keys, F.explode(column).alias("key", "value"))
+    return pairs.join(key_rows(df, column), "key")
 
 
 def _attachment(name: Column, size: Column, mime: Column, summary: Column, indicators: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,28 +80,41 @@ def label_quality_flags(stats: DataFrame) -> DataFrame:
     )
 
 
+MOST_HEADS = 1_000  # names of unexpected heads that the one row lists
+
+
+def head_counts(df: DataFrame, label_map: str) -> DataFrame:
+    """head, n and whether it is expected, of every head that a label map names."""
+    heads = df.select(F.explode(F.map_keys(label_map)).alias("head")).groupBy("head").agg(F.count(F.lit(1)).alias("n"))
+    return heads.withColumn("expected", F.col("head").isin(*HEADS))
+
+
 def label_coverage(df: DataFrame, label_map: str) -> DataFrame:
     """One row: labelled and unlabelled counts, unlabelled percent, missing and extra heads, non-numeric values.
 
-    ``label_map`` is a map head -> text.
+    ``label_map`` is a map head -> text. Heads are counted as rows; ``extra_heads`` lists the first ``MOST_HEADS`` by name
+    (a limit of the report; ``n_extra_heads`` counts all, ``head_counts`` gives them).
     """
     numbers = F.map_values(label_map)
-    expected = F.array(*[F.lit(h) for h in HEADS])
     counts = df.agg(
         F.count(F.lit(1)).alias("total"),
         F.count(label_map).alias("labelled"),
-        F.array_distinct(F.flatten(F.collect_set(F.array_sort(F.map_keys(label_map))))).alias("found"),
         F.coalesce(
             F.sum(F.size(F.filter(numbers, lambda x: x.isNotNull() & x.try_cast("double").isNull()))), F.lit(0)
         ).alias("non_numeric"),
     )
-    return counts.select(
+    heads = head_counts(df, label_map)
+    known = heads.filter("expected").agg(F.collect_list("head")).scalar()  # at most the four
+    first = heads.filter("not expected").orderBy("head").limit(MOST_HEADS).agg(F.array_sort(F.collect_list("head"))).scalar()
+    extra = heads.filter("not expected").agg(F.count(F.lit(1))).scalar()
+    return counts.select("*", known.alias("_known"), first.alias("extra_heads"), extra.alias("n_extra_heads")).select(
         "total",
         "labelled",
         (F.col("total") - F.col("labelled")).alias("unlabelled"),
         ((F.col("total") - F.col("labelled")) / F.col("total") * 100).alias("unlabelled_percent"),
-        F.array_sort(F.array_except(expected, "found")).alias("missing_heads"),
-        F.array_sort(F.array_except("found", expected)).alias("extra_heads"),
+        F.array_sort(F.array_except(F.array(*[F.lit(h) for h in HEADS]), "_known")).alias("missing_heads"),
+        "extra_heads",
+        "n_extra_heads",
         "non_numeric",
     )
 
@@ -281,19 +295,28 @@ def pipeline_funnel(stages: DataFrame, split: str = "split") -> DataFrame:
     return rates.unionByName(rates.agg(*[F.avg(n).alias(n) for n in names]).withColumn(split, F.lit("mean")))
 
 
-def profile_structure(df: DataFrame, column: str) -> DataFrame:
-    """Per top-level field of a JSON text column: presence, kinds of value, a sample, and whether its name speaks of
-    a label, score or risk."""
-    entries = df.select(F.try_variant_get(F.try_parse_json(column), "$", "map<string,variant>").alias("m"))
-    flat = entries.select(F.explode("m").alias("key", "v"))
+def profile_structure(df: DataFrame, column: str, depth: int = 1) -> DataFrame:
+    """Per field of a JSON text column: presence, kinds of value, a sample, and whether its name speaks of a label, score
+    or risk. With ``depth`` above 1, fields of nested objects too, as 'outer.inner'.
+
+    Fields are rows, counted by (field, kind) before anything is put together: a kind is the name of a type without what
+    it holds, so there are few per field, and however many fields there are, they are spread over the tasks.
+    """
+    entries = lambda v: F.explode(F.try_variant_get(v, "$", "map<string,variant>")).alias("name", "v")
+    level = df.select(entries(F.try_parse_json(column))).select(F.col("name").alias("key"), "v")
+    levels = [level]
+    for _ in range(depth - 1):
+        inner = levels[-1].filter(F.schema_of_variant("v").startswith("OBJECT")).select("key", entries(F.col("v")))
+        levels.append(inner.select(F.concat_ws(".", "key", "name").alias("key"), "v"))
+    flat = reduce(DataFrame.unionByName, levels)
+    kind = F.substring_index(F.schema_of_variant("v"), "<", 1)
+    counted = flat.groupBy("key", kind.alias("kind")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.try_variant_get("v", "$", "string")).alias("least")
+    )
     named = F.lower("key")
     return (
-        flat.groupBy("key")
-        .agg(
-            F.count(F.lit(1)).alias("present"),
-            F.array_sort(F.collect_set(F.schema_of_variant("v"))).alias("kinds"),
-            F.min(F.try_variant_get("v", "$", "string")).alias("sample"),
-        )
+        counted.groupBy("key")
+        .agg(F.sum("n").alias("present"), F.array_sort(F.collect_list("kind")).alias("kinds"), F.min("least").alias("sample"))
         .withColumn("label_candidate", contains_any(named, ["label", "score", "risk"]))
     )
 

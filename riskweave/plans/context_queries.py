@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskweave.fixed import recipients as fixed
 from riskweave.operators import context as C
 from riskweave.operators import detection as D
+from riskweave.operators.rules import match_rules, rule_table
 from riskweave.plans.message_view import (
     messages,
     scan,
@@ -136,6 +137,27 @@ def _type_sql(domain: str) -> str:
 _BUSINESS_SQL = " OR ".join(sql_matches("domain", "^(?:" + p + ")") for p in fixed.BUSINESS_DOMAIN_PATTERNS)
 
 
+@query(
+    "match_domain_rules",
+    with_messages(
+        f"""
+SELECT {_type_sql('domain')} AS kind, count(*) AS n, count(DISTINCT domain) AS n_domains FROM (
+  SELECT lower(list_extract(string_split(r, '@'), -1)) AS domain FROM (SELECT unnest(recipients) AS r FROM msg) WHERE contains(r, '@')
+  UNION ALL SELECT lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) FROM pages) GROUP BY 1
+"""
+    ),
+)
+def match_domain_rules(spark, sf_dir):
+    """The domain types as a table of rules, joined to every recipient and page."""
+    from riskweave.functions.text import address_domains
+
+    sent = messages(spark, sf_dir, spread=False).select(F.explode(address_domains(F.col("recipients"))).alias("domain"))
+    seen = scan(spark, sf_dir, "pages", spread=False).select(F.lower(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)).alias("domain"))
+    rules = rule_table(spark, fixed.DOMAIN_TYPE_PATTERNS)
+    found = match_rules(sent.unionByName(seen), "domain", rules, default="unknown")
+    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("domain").alias("n_domains"))
+
+
 @query(
     "classify_domains",
     with_messages(

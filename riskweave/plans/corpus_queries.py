@@ -310,3 +310,20 @@ def profile_structure(spark, sf_dir):
 
     done = profile(scan(spark, sf_dir, "events", spread=False), "props")
     return done.select("key", "present", F.array_join("kinds", ",").alias("kinds"), "sample")
+
+
+@query(
+    "profile_nested_structure",
+    """WITH r AS (SELECT event_id, props, event_type, user_id FROM events), f AS (
+SELECT 'props' AS key, 'OBJECT' AS kind, props AS sample FROM r UNION ALL SELECT 'props.k', 'BIGINT', CAST(json_extract(props, '$.k') AS VARCHAR) FROM r
+UNION ALL SELECT 'risk_' || event_type, CASE WHEN user_id % 2 = 0 THEN 'STRING' ELSE 'BOOLEAN' END, CASE WHEN user_id % 2 = 0 THEN 'u' || user_id ELSE 'true' END FROM r)
+SELECT key, count(*) AS present, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, CASE WHEN key <> 'props' THEN min(sample) END AS sample, contains(key, 'risk') AS label_candidate FROM f GROUP BY key""",
+)
+def profile_nested_structure(spark, sf_dir):
+    from riskweave.operators.statistics import profile_structure as profile
+
+    e = scan(spark, sf_dir, "events", spread=False)
+    own = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit('"u'), "user_id", F.lit('"'))).otherwise("true")
+    text = F.concat(F.lit('{"props": '), "props", F.lit(', "risk_'), "event_type", F.lit('": '), own, F.lit("}"))
+    done = profile(e.select(text.alias("j")), "j", depth=2)
+    return done.select("key", "present", F.array_join("kinds", ",").alias("kinds"), F.when(F.col("key") != "props", F.col("sample")).alias("sample"), "label_candidate")

@@ -213,6 +213,18 @@ def unify_keys(spark, sf_dir):
     return done.select("event_id", F.array_join(F.transform(F.map_entries("m"), lambda p: F.concat_ws("=", p["key"], p["value"])), ";").alias("pairs"))
 
 
+@query(
+    "long_keys",
+    "SELECT event_id, 'k' AS key, CAST(json_extract(props, '$.k') AS VARCHAR) AS value, (SELECT count(*) FROM events) AS n FROM events "
+    "UNION ALL SELECT event_id, 'user_' || user_id, event_type, count(*) OVER (PARTITION BY user_id) FROM events",
+)
+def long_keys(spark, sf_dir):
+    """Ids as keys: as many keys as users."""
+    e = scan(spark, sf_dir, "events", spread=False)
+    maps = e.select("event_id", F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.concat(F.lit("user_"), "user_id"), F.col("event_type")).alias("m"))
+    return C.long_keys(maps, "m", ["event_id"])
+
+
 @query(
     "write_jsonl",
     with_messages("SELECT msg_id, true AS same FROM msg"),

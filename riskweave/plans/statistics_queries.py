@@ -154,7 +154,7 @@ def label_coverage(spark, sf_dir):
         ),
     )
     done = round_all(S.label_coverage(labelled, "label_map"), ["unlabelled_percent"])
-    return done.withColumns({c: F.array_join(c, ",") for c in ("missing_heads", "extra_heads")})
+    return done.withColumns({c: F.array_join(c, ",") for c in ("missing_heads", "extra_heads")}).drop("n_extra_heads")
 
 
 @query(

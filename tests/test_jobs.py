@@ -438,3 +438,45 @@ def test_votes_with_ties(spark):
     v = spark.createDataFrame(votes, "puzzle_id string, input_hash string, pred_hash string, q double")
     a = spark.createDataFrame(answers, "puzzle_id string, input_hash string, label_hash string")
     assert {r["k"]: r["percent"] for r in Gr.vote_predictions(v, a, (1, 2)).collect()} == {1: 0.0, 2: 50.0}
+
+
+# -- tables of keys and rules -------------------------------------------------------------------------------------
+
+
+def test_many_keys_stay_rows(spark, monkeypatch):
+    df = spark.range(3000).select("id", F.create_map(F.lit("all"), F.lit("x"), F.concat(F.lit("id_"), "id"), F.lit("own")).alias("m"))
+    with pytest.raises(ValueError, match="long_keys"):
+        monkeypatch.setattr(C, "MOST_KEYS", 1000)
+        C.unify_keys(df, "m")
+    rows = C.long_keys(df, "m", ["id"])
+    assert rows.count() == 6000 and {r["n"] for r in rows.filter("key = 'all'").collect()} == {3000}
+    monkeypatch.setattr(C, "MOST_KEYS", 5000)
+    few = spark.createDataFrame([(1, {"a": "1"}), (2, {"b": "2"}), (3, None), (4, {})], "id int, m map<string,string>")
+    assert {r["id"]: r["m"] for r in C.unify_keys(few, "m").collect()} == {1: {"a": "1", "b": ""}, 2: {"a": "", "b": "2"}, 3: {"a": "", "b": ""}, 4: {"a": "", "b": ""}}
+
+
+def test_coverage_and_profile_of_many_names(spark, monkeypatch):
+    monkeypatch.setattr(St, "MOST_HEADS", 10)
+    maps = spark.range(100).select(F.when(F.col("id") > 0, F.create_map(F.lit("context"), F.lit("1"), F.concat(F.lit("h"), F.lpad("id", 3, "0")), F.lit("no"))).alias("m"))
+    row = St.label_coverage(maps, "m").first()
+    assert (row["total"], row["labelled"], row["non_numeric"], row["n_extra_heads"]) == (100, 99, 99, 99)
+    assert row["extra_heads"] == [f"h{i:03d}" for i in range(1, 11)] and row["missing_heads"] == ["exposure", "obfuscation", "sensitivity"]
+    texts = spark.range(200).select(F.concat(F.lit('{"k'), "id", F.lit('": {"n": ['), "id", F.lit("]}}")).alias("j"))
+    rows = {r["key"]: (r["present"], r["kinds"]) for r in St.profile_structure(texts, "j", depth=2).collect()}
+    assert len(rows) == 400 and rows["k7"] == (1, ["OBJECT"]) and rows["k7.n"] == (1, ["ARRAY"])
+
+
+def test_own_rules_equal_the_literal_form(spark):
+    from riskweave.fixed import recipients as fixed
+    from riskweave.functions.recipients import domain_type
+    from riskweave.operators import rules
+
+    names = ["harborlaw.com", "x.gov", "gmail.com", "nowhere.io", None, "NORTHBANK.com", "cityoffice.gov", "gmail.com"]
+    df = spark.createDataFrame([(d, "clash") for d in names], "domain string, pattern string")
+    table = rules.rule_table(spark, fixed.DOMAIN_TYPE_PATTERNS)
+    done = rules.match_rules(df, "domain", table, out="t", default="unknown").withColumn("literal", F.coalesce(domain_type(F.col("domain")), F.lit("unknown")))
+    assert done.count() == len(names) and done.filter("t <> literal").count() == 0 and done.columns[:2] == ["domain", "pattern"]
+    own = rules.rule_table(spark, {"first": ["g[a-z]+"], "second": ["gmail", "x\\."]})
+    got = {(r["domain"], r["t"]) for r in rules.match_rules(df, "domain", own, out="t").collect()}
+    assert {("gmail.com", "first"), ("x.gov", "second"), (None, None), ("nowhere.io", None)} <= got
+    assert rules.match_rules(df, "domain", table.limit(0), default="d").filter("kind = 'd'").count() == len(names)
