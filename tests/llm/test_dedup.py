@@ -96,6 +96,25 @@ def test_near_copies_of_a_large_group(spark):
     assert {r.doc_id for r in kept.collect()} == set(expected.values())
 
 
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(260):  # from no to thirty changed words: a few percent, or far too many
+        words = base.copy()
+        for at in rng.choice(100, int(rng.choice([0, 1, 2, 3, 12, 30])), replace=False):
+            words[at] = f"own{i}x{at}" if i % 5 else f"shared{i % 15}x{at // 20}"  # some changes are common to a few
+        rows.append((i, " ".join(words[: 100 - i % 7])))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    expected = set(grouped(sets, links).values())
+    for crowd, rare in ((32, 32), (0, 32), (0, 2), (10_000, 32)):
+        monkeypatch.setattr(N, "CROWD", crowd)
+        monkeypatch.setattr(N, "RARE", rare)
+        kept = N.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {r.doc_id for r in kept.collect()} == expected
+
+
 def brute_removed(rows):
     import hashlib
 
