@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskweave.fixed import labels as fixed
+from riskweave.fixed import span_patterns
 from riskweave.functions import labels as L
 from riskweave.functions.spans import bio_vocabulary
 from riskweave.operators import calibration as Cal
@@ -34,6 +35,7 @@ from riskweave.plans.message_view import (
     with_messages,
 )
 from riskweave.plans.registry import query
+from riskweave.plans.sql_spans import raw_spans_cte, resolved_cte
 from riskweave.plans.statistics_queries import round_all
 
 HEADS = fixed.HEADS
@@ -148,13 +150,81 @@ def _tag_table(spark, sf_dir):
     return tagged.select("msg_id", "pred", F.transform("t", lambda x, i: F.when(i % 50 == 49, -100).otherwise(x)).alias("truth"))
 
 
-@query("token_metrics")
+_TYPES_SQL = "['" + "', '".join(span_patterns.BIO_TYPES["training"]) + "']"
+
+
+def _token_tag_sql(spans: str) -> str:
+    """The tag of a token from the last span that reaches into it."""
+    place = f"list_position({_TYPES_SQL}, arg_max(s.type, s.start))"
+    return (
+        f"coalesce((SELECT 2 * {place} - CASE WHEN max(s.start) >= t.tok_start THEN 1 ELSE 0 END FROM (SELECT unnest(t.{spans}) AS s) "
+        "WHERE s.start < t.tok_end AND s.end > t.tok_start), 0)"
+    )
+
+
+# tags(msg_id, k, pred, truth): every token that isn't ignored.
+TAG_CTES = [
+    raw_spans_cte("full", "raw_a"), resolved_cte("confidence", "flat_a", "raw_a"),
+    raw_spans_cte("traditional", "raw_b"), resolved_cte("confidence", "flat_b", "raw_b"),
+    """both_spans AS (SELECT msg_id, body, a.spans AS a, b.spans AS b FROM msg
+  LEFT JOIN (SELECT msg_id, list(s) AS spans FROM flat_a GROUP BY msg_id) a USING (msg_id) LEFT JOIN (SELECT msg_id, list(s) AS spans FROM flat_b GROUP BY msg_id) b USING (msg_id))""",
+    r"""pieces AS (SELECT msg_id, a, b, regexp_extract_all(body, '[^ \n]+') AS words, string_split_regex(body, '[^ \n]+') AS gaps FROM both_spans)""",
+    "numbered AS (SELECT msg_id, a, b, unnest(words) AS word, unnest(list_slice(gaps, 1, len(words))) AS gap, unnest(range(1, len(words) + 1)) AS k FROM pieces)",
+    """tokens AS (SELECT msg_id, k, a, b, tok_end - len(word) AS tok_start, tok_end FROM (SELECT *, CAST(sum(len(gap) + len(word))
+  OVER (PARTITION BY msg_id ORDER BY k) AS BIGINT) AS tok_end FROM numbered))""",
+    f"tags AS MATERIALIZED (SELECT msg_id, k, {_token_tag_sql('b')} AS pred, {_token_tag_sql('a')} AS truth FROM tokens t WHERE k % 50 <> 0)",
+]
+_RATIO = lambda a, b: f"CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0 END"
+
+
+@query(
+    "token_metrics",
+    with_messages(
+        f"""
+SELECT round(sum(tp) / sum(support), 6) AS span_accuracy, round(sum(f) FILTER (tag > 0) / 20, 6) AS span_f1_macro,
+  round(sum(p * support) / sum(support), 6) AS token_precision, round(sum(r * support) / sum(support), 6) AS token_recall, round(sum(f * support) / sum(support), 6) AS token_f1,
+  round(sum(pp * support) FILTER (tag > 0) / sum(support) FILTER (tag > 0), 6) AS pii_precision, round(sum(r * support) FILTER (tag > 0) / sum(support) FILTER (tag > 0), 6) AS pii_recall,
+  round(sum(pf * support) FILTER (tag > 0) / sum(support) FILTER (tag > 0), 6) AS pii_f1
+FROM (SELECT *, {_RATIO('2 * p * r', '(p + r)')} AS f, {_RATIO('2 * pp * r', '(pp + r)')} AS pf FROM (
+  SELECT tag, tp, support, {_RATIO('tp', 'predicted')} AS p, {_RATIO('tp', 'support')} AS r, {_RATIO('tp', 'predicted_pii')} AS pp FROM (
+    SELECT tag, count(*) FILTER (pred = tag AND truth = tag) AS tp, count(*) FILTER (pred = tag) AS predicted, count(*) FILTER (truth = tag) AS support, count(*) FILTER (pred = tag AND truth > 0) AS predicted_pii
+    FROM tags, (SELECT pred AS tag FROM tags UNION SELECT truth FROM tags) GROUP BY tag)))
+""",
+        *TAG_CTES,
+    ),
+)
 def token_metrics(spark, sf_dir):
     done = M.token_metrics(_tag_table(spark, sf_dir), len(bio_vocabulary("training")))
     return round_all(done, done.columns)
 
 
-@query("entity_f1")
+def _entities_sql(tag: str) -> str:
+    """(msg_id, type, first, last): a B- opens, an I- goes on or, with another type, opens; without an open one it is
+    outside."""
+    return f"""SELECT msg_id, any_value(kind) AS kind, min(i) AS first, max(i) AS last FROM (
+  SELECT *, count(*) FILTER (starts) OVER (PARTITION BY msg_id ORDER BY i) AS number FROM (
+    SELECT *, tag % 2 = 1 OR kind <> before AS starts FROM (
+      SELECT *, lag(kind) OVER (PARTITION BY msg_id ORDER BY i) AS before FROM (
+        SELECT *, count(*) FILTER (tag % 2 = 1) OVER (PARTITION BY msg_id, gap ORDER BY i) > 0 AS open FROM (
+          SELECT msg_id, i, {tag} AS tag, ({tag} + 1) // 2 AS kind, count(*) FILTER ({tag} = 0) OVER (PARTITION BY msg_id ORDER BY i) AS gap
+          FROM (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY k) AS i FROM tags)))
+      WHERE tag > 0 AND open)))
+GROUP BY msg_id, number"""
+
+
+@query(
+    "entity_f1",
+    with_messages(
+        f"""
+SELECT tp, predicted, actual, round({_RATIO('tp', 'predicted')}, 6) AS precision, round({_RATIO('tp', 'actual')}, 6) AS recall,
+  round({_RATIO('2 * tp', '(predicted + actual)')}, 6) AS entity_f1
+FROM (SELECT (SELECT count(*) FROM p JOIN t USING (msg_id, kind, first, last)) AS tp, (SELECT count(*) FROM p) AS predicted, (SELECT count(*) FROM t) AS actual)
+""",
+        *TAG_CTES,
+        f"p AS ({_entities_sql('pred')})",
+        f"t AS ({_entities_sql('truth')})",
+    ),
+)
 def entity_f1(spark, sf_dir):
     return round_all(M.entity_f1(_tag_table(spark, sf_dir)), ["precision", "recall", "entity_f1"])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskweave.fixed import corpus
+from riskweave.fixed import corpus, span_patterns
 from riskweave.functions import grids as G
 from riskweave.functions import markup, rewrite
 from riskweave.operators import augmentation as A
@@ -21,6 +21,7 @@ from riskweave.plans.message_view import (
     messages,
     scan,
     sql_digest,
+    sql_in,
     sql_lookup,
     sql_pick,
     sql_text,
@@ -28,6 +29,7 @@ from riskweave.plans.message_view import (
     with_messages,
 )
 from riskweave.plans.registry import query
+from riskweave.plans.sql_spans import spans_ctes
 from riskweave.session import reliable_checkpoint
 
 _PLACED = "placed AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS idx, count(*) OVER () AS n FROM documents)"
@@ -471,7 +473,19 @@ def encode_bytes(spark, sf_dir):
     return ids.select("doc_id", F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
 
 
-@query("pack_examples")
+@query(
+    "pack_examples",
+    with_messages(
+        f"""
+SELECT msg_id, CAST(w AS INT) AS window_no, 512 AS n_ids, CAST(least(512, n - w * 512) AS INT) AS n_real,
+  CAST(coalesce(list_sum(list_transform(spans, lambda s: CASE WHEN {sql_in('s.type', span_patterns.BIO_TYPES['training'])} THEN greatest(0, least(s.end + shift, w * 512 + 512) - greatest(s.start + shift, w * 512)) ELSE 0 END)), 0) AS INT) AS n_tagged,
+  CAST(512 - least(512, n - w * 512) AS INT) AS n_ignored
+FROM (SELECT msg_id, spans, n, shift, unnest(range((n + 511) // 512)) AS w FROM (SELECT msg_id, spans, len(text) AS n, body_start AS shift FROM dsl JOIN spans USING (msg_id)))
+""",
+        _DSL_CTE,
+        *spans_ctes("full", "confidence"),
+    ),
+)
 def pack_examples(spark, sf_dir):
     found = D.detect_spans(B.label_pattern(messages(spark, sf_dir)), "body", "full")
     packed = P.pack_windows(found, max_length=512).select("msg_id", "window_no", "packed.*")
@@ -627,7 +641,17 @@ def shuffle_board(spark, sf_dir):
     return done.select("board_id", "variant", F.array_join("inputs", "-").alias("inputs"), F.array_join("labels", "-").alias("labels"))
 
 
-@query("augment_maze")
+_MAZE_PLACES = ["i * 4 + j", "j * 4 + 3 - i", "(3 - i) * 4 + 3 - j", "(3 - j) * 4 + i", "i * 4 + 3 - j", "(3 - i) * 4 + j", "j * 4 + i", "(3 - j) * 4 + 3 - i"]
+_MAZE_SQL = " UNION ALL ".join(
+    f"SELECT vec_id, {t} AS tid, list_transform(range(16), lambda p: ((({place.replace('i', '(p // 4)').replace('j', '(p % 4)')}) * 7 + vec_id) % 4 + 1)) AS ids FROM embeddings"
+    for t, place in enumerate(_MAZE_PLACES)
+)
+
+
+@query(
+    "augment_maze",
+    f"SELECT vec_id, tid, array_to_string(ids, '') AS inputs, replace(array_to_string(ids, ''), '2', '5') AS labels FROM ({_MAZE_SQL})",
+)
 def augment_maze(spark, sf_dir):
     cell = "transform(sequence(0, 15), p -> element_at(array('#', ' ', 'S', 'G'), cast((p * 7 + vec_id) % 4 + 1 as int)))"
     mazes = scan(spark, sf_dir, "embeddings", spread=False).select("vec_id", F.expr(f"array_join({cell}, '')").alias("q"), F.expr(f"replace(array_join({cell}, ''), ' ', 'o')").alias("a"))
