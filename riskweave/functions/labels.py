@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,6 +62,62 @@ def pattern_score(text: Column, head: str) -> Column:
     return F.least(total(parts), F.lit(1.0))
 
 
+# -- the same on texts with a few characters cut off ----------------------------------------------------------------
+
+EDGE = 512  # characters at an end in which a cut can change what matches
+_LONGEST = 40  # a match of the patterns counted by edges is shorter: EDGE holds twelve of them, one behind another
+
+
+def _short(pattern: str) -> bool:
+    """Whether matches have a bounded length and depend on nothing behind them."""
+    return not re.search(r"[*+]|,\}|\(\?", pattern)
+
+
+def pattern_scores_after_cuts(text: Column, cuts: Sequence[int]) -> Column:
+    """array<struct> of the four heads' pattern scores: of the text, then of each cut (-k: without its first k characters,
+    k: without its last k), all from one pass over the text and its two edges.
+
+    A pattern whose matches are short is counted in the whole text once; a cut changes its count as it changes the count in
+    the edge, for both scans meet again at the first gap between matches. If there is none in the whole edge, it holds more
+    matches than count either way (a pattern counts at most ``1 / MATCH_STEP``). Patterns of unbounded length, or that look
+    ahead, are counted in each text.
+    """
+    groups = [(h, w, p) for h in fixed.HEADS for w, patterns in fixed.PATTERN_GROUPS[h].values() for p in patterns]
+    short, long = [g for g in groups if _short(g[2])], [g for g in groups if not _short(g[2])]
+    assert EDGE >= 2 * _LONGEST * (1 / fixed.MATCH_STEP + 2)
+    counts = lambda t, patterns: F.array(*[count_matches(t, p, True) for _, _, p in patterns])
+    cut = lambda t, k: F.substring(t, -k + 1, 2**31 - 1) if k < 0 else F.left(t, F.greatest(F.length(t) - k, F.lit(0)))
+
+    def scored(low: Column) -> Column:
+        edges = F.struct(F.left(low, F.lit(EDGE)).alias("first"), F.right(low, F.lit(EDGE)).alias("last"))
+
+        def from_edges(e: Column) -> Column:
+            windows = F.array(low, e["first"], e["last"], *[cut(e["first"] if k < 0 else e["last"], k) for k in cuts])
+            texts = F.array(low, *[cut(low, k) for k in cuts])
+            both = F.struct(
+                F.transform(windows, lambda t: counts(t, short)).alias("s"), F.transform(texts, lambda t: counts(t, long)).alias("l")
+            )
+            return let(both, assembled)
+
+        return let(edges, from_edges)
+
+    def assembled(c: Column) -> Column:
+        def heads_of(i: int) -> Column:
+            parts: dict[str, list[Column]] = {h: [] for h in fixed.HEADS}
+            for n, (head, weight, _) in enumerate(short):
+                count = c["s"][0][n]
+                if i:
+                    count = count - c["s"][1 if cuts[i - 1] < 0 else 2][n] + c["s"][2 + i][n]
+                parts[head].append(F.lit(weight) * F.least(count * F.lit(fixed.MATCH_STEP), F.lit(1.0)))
+            for n, (head, weight, _) in enumerate(long):
+                parts[head].append(F.lit(weight) * F.least(c["l"][i][n] * F.lit(fixed.MATCH_STEP), F.lit(1.0)))
+            return heads(*[F.least(total(parts[h]), F.lit(1.0)) for h in fixed.HEADS])
+
+        return F.array(*[heads_of(i) for i in range(len(cuts) + 1)])
+
+    return let(F.lower(text), scored)
+
+
 def attachment_scores(attachments: Column) -> tuple[Column, Column]:
     """(sensitivity, context) of all attachments, each capped at 1."""
     weight = lambda i: lookup(i, fixed.INDICATOR_WEIGHTS, 0.0)

@@ -262,6 +262,20 @@ def decision_stability(df: DataFrame, score, shifts=SHIFTS) -> DataFrame:
     )
 
 
+def pattern_stability(df: DataFrame, shifts=SHIFTS, body: str = "body") -> DataFrame:
+    """``decision_stability`` of the pattern scores, all four heads from the text, in one pass over each text."""
+    scores = L.pattern_scores_after_cuts(F.col(body), shifts)
+    decided = lambda s: F.array(*[s[h] > 0.5 for h in HEADS])
+    kept = F.array(*[F.length(body) - abs(k) > MIN_SHIFTED_LENGTH for k in shifts])
+    rows = df.select(F.transform(scores, decided).alias("d"), kept.alias("kept"))
+    same = F.transform("kept", lambda k, i: F.when(k, F.get("d", i + 1) == F.get("d", F.lit(0))))
+    counted = rows.select(same.alias("same")).select(F.explode_outer("same").alias("same")).filter("same is not null")
+    return counted.agg(
+        F.count(F.lit(1)).alias("comparisons"),
+        F.coalesce(F.avg(F.col("same").cast("double")), F.lit(0.0)).alias("decision_stability"),
+    )
+
+
 def decision_distribution(df: DataFrame, scores: str = "scores") -> DataFrame:
     """Per decision: count, percent and mean scores."""
     decided = df.select(L.decide(F.col(scores))["decision"].alias("decision"), F.col(scores))

@@ -282,6 +282,23 @@ def decision_stability(spark, sf_dir):
     return round_all(M.decision_stability(messages(spark, sf_dir), text_scores), ["decision_stability"])
 
 
+def _all_decisions_sql(text: str) -> str:
+    return "[" + ", ".join(f"{_pattern_score_sql(text, h)} > 0.5" for h in HEADS) + "]"
+
+
+@query(
+    "pattern_stability",
+    with_messages(
+        "SELECT count(*) AS comparisons, round(avg(CAST(same AS DOUBLE)), 6) AS decision_stability FROM (SELECT "
+        + "unnest([CASE WHEN len(low) - 5 > 10 THEN first_5 = base END, CASE WHEN len(low) - 3 > 10 THEN first_3 = base END, CASE WHEN len(low) - 3 > 10 THEN last_3 = base END, CASE WHEN len(low) - 5 > 10 THEN last_5 = base END]) AS same "
+        + f"FROM (SELECT low, {_all_decisions_sql('low')} AS base, {_all_decisions_sql('substr(low, 6)')} AS first_5, {_all_decisions_sql('substr(low, 4)')} AS first_3, "
+        + f"{_all_decisions_sql('substr(low, 1, len(low) - 3)')} AS last_3, {_all_decisions_sql('substr(low, 1, len(low) - 5)')} AS last_5 FROM (SELECT {sql_folded('lower(body)')} AS low FROM msg))) WHERE same IS NOT NULL"
+    ),
+)
+def pattern_stability(spark, sf_dir):
+    return round_all(M.pattern_stability(messages(spark, sf_dir)), ["decision_stability"])
+
+
 @query(
     "decision_distribution",
     with_messages(
