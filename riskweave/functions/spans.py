@@ -560,3 +560,29 @@ def char_tag_ids(n: Column, start: Column, spans: Column, vocabulary: str) -> Co
     return F.when((n <= 0) | (F.coalesce(F.size(spans), F.lit(0)) <= 0), F.array_repeat(F.lit(0), n)).otherwise(
         let(inside, lambda own: F.when(_in_order(own), runs(own)).otherwise(token_tag_ids(each, own, vocabulary)))
     )
+
+
+def tag_entities(tags: str, vocabulary: str) -> Column:
+    """(type, first, last) of a tag-id array, given by name. B- opens; I- of the same type extends; I- of another type closes
+    and opens; I- with nothing open and everything else is outside."""
+    entity = "struct<type:string,first:int,last:int>"
+    nothing = f"cast(named_struct('type', null, 'first', -1, 'last', -1) as {entity})"
+    kinds = "array(" + ", ".join(quoted(k) for k in fixed.BIO_TYPES[vocabulary]) + ")"
+    marked = (  # O only separates: a gap in places shows it
+        f"filter(transform({tags}, (t, i) -> named_struct('i', i, 'inside', t % 2 = 0, 'type', if(t > 0, try_element_at({kinds}, cast((t + 1) div 2 as int)), null))), "
+        "x -> x.type is not null)"
+    )
+    touching = "({c}.type is not null and {c}.last = x.i - 1)"
+    extends = f"(x.inside and {touching} and {{c}}.type = x.type)"
+    grown = "named_struct('type', {c}.type, 'first', {c}.first, 'last', x.i)"
+    fresh = "named_struct('type', x.type, 'first', x.i, 'last', x.i)"
+    return F.expr(
+        _scan(
+            marked,
+            nothing,
+            f"cast(case when {extends} then {grown} when not x.inside or {touching} then {fresh} else {nothing} end as {entity})",
+            f"if({{c}}.type is not null and not {extends}, array({{c}}), {_empty(entity)})",
+            entity,
+            f"if({{c}}.type is not null, array({{c}}), {_empty(entity)})",
+        )
+    )

@@ -83,6 +83,7 @@ class TemperatureFit:
     biases: dict[str, float]
     loss: float
     steps: int
+    converged: bool = True  # False: the last step still brought something
 
 
 def _bounded(params: np.ndarray) -> np.ndarray:
@@ -115,7 +116,7 @@ def fit_temperature(df: DataFrame, target: str = "expected", scores: str = "scor
 
     params = np.array([fixed.TEMPERATURE_START] * n + [0.0] * n)
     loss = table.agg(F.avg(residual(params) ** 2)).first()[0]
-    steps = 0
+    steps, converged = 0, False
     for steps in range(1, max_steps + 1):
         columns = table.select(residual(params).alias("r"), *[g.alias(f"g{i}") for i, g in enumerate(gradient(params))])
         pairs = [(i, j) for i in range(2 * n) for j in range(i, 2 * n)]
@@ -133,8 +134,9 @@ def fit_temperature(df: DataFrame, target: str = "expected", scores: str = "scor
         losses = table.agg(*[F.avg(residual(c) ** 2) for c in candidates]).first()
         best = int(np.argmin(losses))
         if losses[best] >= loss * (1 - 1e-6):
+            converged = True
             break
         params, loss = candidates[best], losses[best]
     return TemperatureFit(
-        {h: float(params[i]) for i, h in enumerate(heads)}, {h: float(params[n + i]) for i, h in enumerate(heads)}, float(loss), steps
+        {h: float(params[i]) for i, h in enumerate(heads)}, {h: float(params[n + i]) for i, h in enumerate(heads)}, float(loss), steps, converged
     )

@@ -7,14 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.fixed.span_patterns import IGNORE_ID
 from riskweave.functions import grids as G
-from riskweave.functions.hashing import digest, shuffled, uniform, uniform_int
+from riskweave.functions.hashing import shuffled, uniform, uniform_int
 from riskweave.operators.positions import grouped_running, ordered_index
 
 RETRY_FACTOR = 5
@@ -25,32 +23,26 @@ def augment_grids(puzzles: DataFrame, n: int, seed: int = 42, retries: int = RET
 
     n x retries candidates per puzzle are tried in order; the first n with a new hash stay, named id_t<k>_<colours>.
     """
-    trial = puzzles.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n * retries))))
-    keys = (seed, F.col("puzzle_id"), F.col("trial"))
     nine = F.array(*[F.lit(i) for i in range(1, G.COLOURS)])
-    drawn = trial.withColumns(
-        {
-            "tid": F.when(F.col("trial") == 0, 0).otherwise(uniform_int(0, 7, *keys, "t")),
-            "colours": F.when(F.col("trial") == 0, F.sequence(F.lit(0), F.lit(9))).otherwise(F.concat(F.array(F.lit(0)), shuffled(nine, *keys, "c"))),
-        }
-    )
-    image = lambda part: G.dihedral_sql(f"one.{part}", "tid")
-    mapped = drawn.withColumn(
-        "examples",
-        F.expr(
-            f"transform(transform(examples, e -> named_struct('kind', e.kind, 'input', {G.recolour_sql('e.input', 'colours')}, 'output', {G.recolour_sql('e.output', 'colours')})), "
-            f"one -> named_struct('kind', one.kind, 'input', {image('input')}, 'output', {image('output')}))"
-        ),
-    ).withColumn("hash", F.expr(G.puzzle_hash_sql("examples")))
-    # At most n x retries + 1 candidates per puzzle: both steps below work on groups of that bounded size.
-    first = mapped.groupBy("puzzle_id", "hash").agg(
-        F.min_by(F.struct("trial", "tid", "colours", "examples"), "trial").alias("v")
-    )
-    ranked = first.select("puzzle_id", "hash", "v.*").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("puzzle_id").orderBy("trial"))
-    )
+
+    def draw(trial: Column) -> Column:
+        keys, plain = (seed, F.col("puzzle_id"), trial), trial == 0
+        return F.struct(
+            trial.alias("trial"), F.when(plain, 0).otherwise(uniform_int(0, 7, *keys, "t")).alias("tid"),
+            F.when(plain, F.sequence(F.lit(0), F.lit(9))).otherwise(F.concat(F.array(F.lit(0)), shuffled(nine, *keys, "c"))).alias("colours"),
+        )
+
+    drawn = puzzles.withColumn("_drawn", F.transform(F.sequence(F.lit(0), F.lit(n * retries)), draw))
+    image = lambda part: G.dihedral_sql(f"one.{part}", "d.tid")
+    recoloured = f"transform(examples, e -> named_struct('kind', e.kind, 'input', {G.recolour_sql('e.input', 'd.colours')}, 'output', {G.recolour_sql('e.output', 'd.colours')}))"
+    turned = f"transform({recoloured}, one -> named_struct('kind', one.kind, 'input', {image('input')}, 'output', {image('output')}))"
+    images = drawn.withColumn("_images", F.expr(f"transform(_drawn, d -> named_struct('trial', d.trial, 'tid', d.tid, 'colours', d.colours, 'examples', {turned}))"))
+    hashed = images.withColumn("_hashes", F.expr(f"transform(_images, m -> {G.puzzle_hash_sql('m.examples')})"))
+    # n x retries + 1 candidates in one row: the first with a hash is where the hash is found first; nothing is shuffled
+    new = F.expr("filter(transform(_images, (m, i) -> named_struct('m', m, 'hash', _hashes[i], 'i', i)), x -> array_position(_hashes, x.hash) = x.i + 1)")
+    ranked = hashed.select("puzzle_id", F.explode(F.slice(new, 1, n + 1)).alias("_x")).select("puzzle_id", "_x.m.*", "_x.hash")
     name = F.concat(F.col("puzzle_id"), F.lit("_t"), F.col("tid"), F.lit("_"), F.array_join(F.col("colours").cast("array<string>"), ""))
-    return ranked.filter(F.col("rank") <= n + 1).select(
+    return ranked.select(
         F.col("puzzle_id").alias("group_id"),
         F.when(F.col("trial") == 0, F.col("puzzle_id")).otherwise(name).alias("puzzle_id"),
         "tid", "colours", "examples", "hash",

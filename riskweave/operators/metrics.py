@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from riskweave.fixed.labels import HEADS
 from riskweave.fixed.span_patterns import IGNORE_ID
 from riskweave.functions import labels as L
-from riskweave.functions.spans import bio_vocabulary
+from riskweave.functions.spans import tag_entities
 from riskweave.functions.text import safe_corr
 from riskweave.operators.positions import grouped_running
 
@@ -162,41 +162,13 @@ def token_metrics(tags: DataFrame, n_classes: int = 21) -> DataFrame:
     )
 
 
-def entities(tags: str, vocabulary: str = "training") -> Column:
-    """(type, first, last) of a tag-id array. B- opens; I- of the same type extends; I- of another type closes and
-    opens; I- with nothing open and everything else is outside."""
-    types = F.create_map(
-        *[F.lit(x) for tag, i in bio_vocabulary(vocabulary).items() for x in (i, tag)]
-    )
-    entity = "struct<type:string,first:int,last:int>"
-    named = F.transform(tags, lambda t, i: F.struct(F.coalesce(F.element_at(types, t), F.lit("O")).alias("tag"), i.alias("i")))
-    marked = F.filter(named, lambda x: x["tag"] != "O")  # O only separates: a gap in positions shows it
-    none = F.lit(None).cast(entity)
-    start = F.struct(F.array().cast(f"array<{entity}>").alias("done"), none.alias("open"))
-
-    def step(state: Column, x: Column) -> Column:
-        kind, inside = F.substring(x["tag"], 3, 100), x["tag"].startswith("I-")
-        touching = state["open"].isNotNull() & (state["open"]["last"] == x["i"] - 1)
-        extends = inside & touching & (state["open"]["type"] == kind)
-        opens = ~inside | touching
-        fresh = F.struct(kind.alias("type"), x["i"].alias("first"), x["i"].alias("last"))
-        grown = F.struct(state["open"]["type"].alias("type"), state["open"]["first"].alias("first"), x["i"].alias("last"))
-        closing = state["open"].isNotNull() & ~extends
-        return F.struct(
-            F.when(closing, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"]).alias("done"),
-            F.when(extends, grown).when(opens, fresh).otherwise(none).alias("open"),
-        )
-
-    return F.aggregate(marked, start, step, lambda s: F.concat(s["done"], F.array_compact(F.array(s["open"]))))
-
-
 def entity_f1(tags: DataFrame, vocabulary: str = "training") -> DataFrame:
     """One row: entity counts, precision, recall and F1, entities compared within their message (no shuffle)."""
     kept = tags.select(
         F.transform(F.filter(F.arrays_zip("pred", "truth"), lambda z: z["truth"] != IGNORE_ID), lambda z: z["pred"]).alias("pred"),
         F.filter("truth", lambda t: t != IGNORE_ID).alias("truth"),
     )
-    found = kept.select(entities("pred", vocabulary).alias("p"), entities("truth", vocabulary).alias("t"))
+    found = kept.select(tag_entities("pred", vocabulary).alias("p"), tag_entities("truth", vocabulary).alias("t"))
     counts = found.agg(
         F.coalesce(F.sum(F.size(F.array_intersect("p", "t"))), F.lit(0)).alias("tp"),
         F.coalesce(F.sum(F.size("p")), F.lit(0)).alias("predicted"),

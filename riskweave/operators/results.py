@@ -188,11 +188,13 @@ def unwrap_second(lines: DataFrame, line: str = "line") -> DataFrame:
     return parsed.select(*rest, F.col("_e.custom_id").alias("custom_id"), content.alias("content")).filter("content is not null")
 
 
-def map_results_to_requests(requests: DataFrame, results: DataFrame, index: str = "request_index") -> DataFrame:
-    """Every request with the content of 'request-<index>', null if missing; of repeated ids the greatest content."""
+def map_results_to_requests(requests: DataFrame, results: DataFrame, index: str = "request_index", ordered: bool = True) -> DataFrame:
+    """Every request with the content of 'request-<index>', null if missing; of repeated ids the greatest content. Rows come
+    in the order of the requests (a sort by range, left out with ``ordered=False``)."""
     number = F.regexp_extract("custom_id", r"^request-(\d+)", 1)
     by_index = results.filter(number != "").groupBy(number.cast("bigint").alias(index)).agg(F.max("content").alias("content"))
-    return requests.join(by_index, index, "left")
+    mapped = requests.join(by_index, index, "left")
+    return mapped.orderBy(index) if ordered else mapped
 
 
 def join_requests(results: DataFrame, requests: DataFrame) -> DataFrame:

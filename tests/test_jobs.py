@@ -497,3 +497,16 @@ def test_scores_after_cuts_equal_direct_scores(spark):
     for r in df.select("t", L.pattern_scores_after_cuts(F.col("t"), cuts).alias("fast"), direct.alias("direct")).collect():
         for n, (a, b) in enumerate(zip(r["fast"], r["direct"], strict=True)):
             assert all(abs(x - y) < 1e-9 for x, y in zip(a, b, strict=True)), (n, r["t"][:200])
+
+
+def test_request_order_is_restored(spark):
+    requests = spark.range(300).select((F.col("id") * 7 % 300).alias("request_index")).repartition(5)
+    results = spark.range(300).select(F.concat(F.lit("request-"), "id").alias("custom_id"), F.col("id").cast("string").alias("content")).filter("id % 3 > 0")
+    rows = Rs.map_results_to_requests(requests, results).collect()
+    assert [(r["request_index"], r["content"]) for r in rows] == [(i, str(i) if i % 3 else None) for i in range(300)]
+
+
+def test_temperature_fit_tells_whether_it_converged(spark):
+    rows = [((0.1 + i % 9 / 10, 0.2, 0.5, 0.3), (i % 9) / 9) for i in range(90)]
+    df = spark.createDataFrame(rows, "scores struct<sensitivity:double,exposure:double,context:double,obfuscation:double>, expected double")
+    assert not Cal.fit_temperature(df, max_steps=1).converged and Cal.fit_temperature(df, max_steps=40).converged
