@@ -151,6 +151,19 @@ def topk_spans(spark, sf_dir):
     return Sp.topk_spans(all_of_them).select("vec_id", F.size("every").alias("wanted"), F.size("top_spans").alias("kept"))
 
 
+@query(
+    "topk_span_places",
+    "SELECT vec_id, array_to_string(list_transform(list_slice(list_filter(range(1, len(embedding) + 1), lambda i: floor(abs(CAST(embedding[i] AS DOUBLE)) * 20) % 3 > 0 OR abs(CAST(embedding[i] AS DOUBLE)) * 5 > 0.8), 1, 20), lambda i: i - 1), ',') AS places FROM embeddings",
+)
+def topk_span_places(spark, sf_dir):
+    magnitude = lambda v: F.abs(v.cast("double"))
+    df = scan(spark, sf_dir, "embeddings", spread=False).select(
+        "vec_id", F.transform("embedding", lambda v: F.when(F.floor(magnitude(v) * 20) % 3 > 0, "B-NAME").otherwise("O")).alias("tags"),
+        F.transform("embedding", lambda v: magnitude(v) * 5).alias("confidences"),
+    )
+    return Sp.topk_spans(df).select("vec_id", F.array_join(F.transform("top_spans", lambda s: s["position"].cast("string")), ",").alias("places"))
+
+
 # -- plans ------------------------------------------------------------------------------------------------------
 
 
@@ -515,6 +528,21 @@ def shuffle_sections(spark, sf_dir):
     return done.select("doc_id", "shuffle_label", F.size("shuffled_ids").alias("n"))
 
 
+_SECTION = f"{{'k': {sql_digest('42', sql_text('order'), 'doc_id', 'i')}, 's': substr(text, i * 64 + 1, 64)}}"
+
+
+@query(
+    "shuffled_order",
+    f"""SELECT doc_id, md5(CASE WHEN {sql_uniform('42', sql_text('section'), 'doc_id')} < 0.1 AND len(text) // 64 > 1
+  THEN array_to_string(list_transform(list_sort(list_transform(range(len(text) // 64), lambda i: {_SECTION})), lambda x: x.s), '') || substr(text, len(text) // 64 * 64 + 1) ELSE text END) AS text_md5
+FROM documents""",
+)
+def shuffled_order(spark, sf_dir):
+    """The characters themselves in their new order."""
+    ids = scan(spark, sf_dir, "documents").select("doc_id", markup.characters(F.col("text")).alias("ids"))
+    return P.shuffle_sections(ids, "ids", key="doc_id").select("doc_id", F.md5(F.array_join("shuffled_ids", "")).alias("text_md5"))
+
+
 # -- grids ------------------------------------------------------------------------------------------------------
 
 
@@ -671,6 +699,24 @@ def pad_batches(spark, sf_dir):
     return padded.groupBy("batch").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("identifier") > 0).alias("n_real"))
 
 
+@query(
+    "pad_masks",
+    """SELECT vec_id // 16 AS batch, CAST(sum(len(list_filter(embedding, lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 100) AS BIGINT) % 10 = 0))) + (16 - count(*)) * 64 AS BIGINT) AS n_ignored,
+  CAST(sum(list_sum(list_transform(embedding, lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 10) AS BIGINT) % 10))) AS BIGINT) AS input_sum, CAST(16 - count(*) AS BIGINT) AS n_blank
+FROM embeddings GROUP BY 1""",
+)
+def pad_masks(spark, sf_dir):
+    """What the labels of a batch ignore: zeros, and all of the rows that fill it up."""
+    rows = scan(spark, sf_dir, "embeddings", spread=False).select(
+        F.floor(F.col("vec_id") / 16).alias("batch"), F.flatten(F.expr(_whole_grid(1))).alias("inputs"), F.flatten(F.expr(_whole_grid(2))).alias("labels"), (F.col("vec_id") + 1).alias("identifier")
+    )
+    padded = Gr.pad_batches(rows, "batch", 16, 64)
+    return padded.groupBy("batch").agg(
+        F.sum(F.size(F.filter("labels", lambda v: v == -100)).cast("long")).alias("n_ignored"),
+        F.sum(F.aggregate("inputs", F.lit(0).cast("long"), lambda a, v: a + v)).alias("input_sum"), F.count_if(F.col("identifier") == 0).alias("n_blank"),
+    )
+
+
 @query("inverse_augment", "SELECT 'p' || vec_id AS group_id, true AS restored FROM embeddings")
 def inverse_augment(spark, sf_dir):
     images = Gr.augment_grids(whole_puzzles(spark, sf_dir), 3).select("group_id", "puzzle_id", F.expr("examples[0].input").alias("grid"))
