@@ -5,13 +5,13 @@ A score table is (msg_id, head, score, truth); a tag table is (msg_id, pred, tru
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.fixed.labels import HEADS
 from riskweave.fixed.span_patterns import IGNORE_ID
 from riskweave.functions import labels as L
-from riskweave.functions.spans import tag_entities
+from riskweave.functions.spans import let, tag_entities
 from riskweave.functions.text import safe_corr
 from riskweave.operators.positions import grouped_running
 
@@ -93,20 +93,17 @@ def calibration_curve(scores: DataFrame, bins: int = 10) -> DataFrame:
     """Per head and non-empty uniform bin [low, high) (the last one closed): share of positives and mean score."""
     edges = F.array(*[F.lit(i / bins) for i in range(1, bins)])
     number = F.size(F.filter(edges, lambda e: e <= F.col("score"))).alias("bin")
-    both = _heads_with_both_classes(scores)
-    return (
-        scores.join(both, "head", "left_semi")
-        .groupBy("head", number)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.avg("truth").alias("fraction_of_positives"),
-            F.avg("score").alias("mean_predicted_value"),
-        )
+    per_bin = scores.filter("head is not null").groupBy("head", number).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("truth").alias("fraction_of_positives"),
+        F.avg("score").alias("mean_predicted_value"),
+        F.min("truth").alias("_low"),
+        F.max("truth").alias("_high"),
     )
-
-
-def _heads_with_both_classes(scores: DataFrame) -> DataFrame:
-    return scores.groupBy("head").agg(F.count_distinct("truth").alias("k")).filter("k > 1").select("head")
+    # Both classes are looked for among the few bins of a head, so the scores are computed once.
+    head = Window.partitionBy("head")
+    both = F.min("_low").over(head) != F.max("_high").over(head)
+    return per_bin.withColumn("_both", both).filter("_both").drop("_low", "_high", "_both")
 
 
 def expected_calibration_error(scores: DataFrame, bins: int = 10) -> DataFrame:
@@ -220,8 +217,7 @@ def decision_stability(df: DataFrame, score, shifts=SHIFTS) -> DataFrame:
     texts = F.array(F.col("body"), *[F.when(F.length("body") - abs(k) > MIN_SHIFTED_LENGTH, cut(k)) for k in shifts])
 
     def decided(text: Column) -> Column:
-        scores = score(text)
-        return F.when(text.isNotNull(), F.array(*[scores[h] > 0.5 for h in HEADS]))
+        return F.when(text.isNotNull(), let(score(text), lambda scores: F.array(*[scores[h] > 0.5 for h in HEADS])))
 
     # One lambda over the five texts keeps the generated code small.
     every = df.select(F.transform(texts, decided).alias("d"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskweave.fixed import labels as fixed
 from riskweave.fixed import span_patterns
 from riskweave.functions import labels as L
-from riskweave.functions.spans import bio_vocabulary
+from riskweave.functions.spans import bio_vocabulary, let
 from riskweave.operators import calibration as Cal
 from riskweave.operators import detection as D
 from riskweave.operators import labeling as B
@@ -37,6 +37,7 @@ from riskweave.plans.message_view import (
 from riskweave.plans.registry import query
 from riskweave.plans.sql_spans import raw_spans_cte, resolved_cte
 from riskweave.plans.statistics_queries import round_all
+from riskweave.session import reliable_checkpoint
 
 HEADS = fixed.HEADS
 
@@ -277,7 +278,8 @@ def _text_decisions_sql(text: str) -> str:
 )
 def decision_stability(spark, sf_dir):
     def text_scores(text):
-        return F.struct(*[(F.lit(0.0) if h == "exposure" else L.pattern_score(text, h)).alias(h) for h in HEADS])
+        scores = L.pattern_scores(text, [h for h in HEADS if h != "exposure"])
+        return let(scores, lambda s: F.struct(*[(F.lit(0.0) if h == "exposure" else s[h]).alias(h) for h in HEADS]))
 
     return round_all(M.decision_stability(messages(spark, sf_dir), text_scores), ["decision_stability"])
 
@@ -446,6 +448,6 @@ def risk_ranking(spark, sf_dir):
 def fit_temperature(spark, sf_dir):
     """Fits against the given labels and returns the calibrated scores of every message."""
     truth = scan(spark, sf_dir, "labels", spread=False).select(F.col("doc_id").alias("msg_id"), ((1 - F.col("quality")) * 0.5 + F.col("toxic") * 0.5).alias("expected"))
-    scores = scored(spark, sf_dir)
+    scores = reliable_checkpoint(scored(spark, sf_dir))  # the fit and its use read the same copy
     fit = Cal.fit_temperature(scores.join(truth, "msg_id"))
     return Cal.apply_temperature(scores, fit.temperatures, fit.biases).select("msg_id", *head_columns("calibrated"))
