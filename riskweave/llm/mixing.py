@@ -1,7 +1,8 @@
 """Mixing sources to target weights (operator 7).
 
-1. A topic for every text: spherical k-means on hashed words, fitted on a bounded sample (the ``SAMPLE`` distinct texts
-   with the smallest hash), then the nearest of ``TOPICS`` centres for all documents.
+1. A topic for every text: spherical k-means on hashed words over all documents, then the nearest of ``TOPICS`` centres.
+   Texts are read once; their word counts are written, and each of at most ``STEPS`` steps is one partial aggregation of
+   them to topics x ``WIDTH`` sums. Sums are of whole numbers, so centres are the same however rows are dealt.
 2. Tokens (words) per cell of source x language x topic, by one partial aggregation.
 3. Iterative proportional fitting: the cells' weights are raked to the source, then the language, then the topic
    targets, until no marginal is off by more than ``TOLERANCE`` or ``ROUNDS`` is reached (targets that contradict each
@@ -26,18 +27,20 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, ShortType, StructField, StructType
 
-from riskweave.llm.tables import pieces, text_sample
+from riskweave.llm.tables import pieces
 from riskweave.llm.words import split_words
 from riskweave.session import reliable_checkpoint
 
 TOPICS = 8
 WIDTH = 4_096
-SAMPLE = 4_000
 STEPS = 12
+ROWS = 1_000  # texts whose vectors are held at a time
+UNIT = 2.0**20  # vectors are summed in whole numbers of 1 / UNIT
 ROUNDS = 30
 INNER = 50
 MOST_PAIRS = 100_000
@@ -49,40 +52,105 @@ SEED = 5
 AXES = ("source", "lang", "topic")
 
 
-def word_vectors(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows (row, column, value) of unit length from log word counts, and the words of each row."""
+def word_counts(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse rows (row, column, count) of hashed words, and the words of each row."""
     words = split_words(text, lower=True)
-    n = len(words.bounds) - 1
     column = (words.hash % np.uint64(WIDTH)).astype(np.int64)
     code, count = np.unique(words.row_of_word() * WIDTH + column, return_counts=True)
-    row, column, value = code // WIDTH, code % WIDTH, np.log1p(count)
+    return code // WIDTH, code % WIDTH, count, np.diff(words.bounds)
+
+
+def unit_vectors(row: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """Values of sparse rows of unit length from log word counts."""
+    value = np.log1p(count)
     length = np.sqrt(np.bincount(row, value**2, minlength=n))
-    return row, column, value / length[row] if len(row) else value, np.diff(words.bounds)
-
-
-def fit_topics(texts: list[str], k: int = TOPICS) -> np.ndarray:
-    """Centres (k x ``WIDTH``) of the given texts; words that all share are weighed down."""
-    centres, n, parts = np.zeros((k, WIDTH)), 0, []
-    for piece in pieces(iter([pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})])):
-        row, column, value, _ = word_vectors(piece.column("text"))
-        parts.append((row + n, column, value))
-        n += piece.num_rows
-    row, column, value = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else ([], [], [])
-    if not len(row):
+    return value / length[row] if len(row) else value
+
+
+def word_vectors(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse rows (row, column, value) of unit length from log word counts, and the words of each row."""
+    row, column, count, tokens = word_counts(text)
+    return row, column, unit_vectors(row, count, len(tokens)), tokens
+
+
+def counted_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with ``_columns`` and ``_counts`` (hashed words) and ``_tokens`` in place of the text; written once."""
+
+    def counted(batches):
+        for piece in pieces(batches, text):
+            row, column, count, tokens = word_counts(piece.column(text))
+            bounds = pa.array(np.searchsorted(row, np.arange(len(tokens) + 1)).astype(np.int32))
+            rest = piece.drop_columns([text])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *rest.columns, pa.ListArray.from_arrays(bounds, pa.array(column.astype(np.int16))),
+                    pa.ListArray.from_arrays(bounds, pa.array(count.astype(np.int32))), pa.array(tokens, pa.int64()),
+                ],
+                names=[*rest.schema.names, "_columns", "_counts", "_tokens"],
+            )
+
+    more = [StructField("_columns", ArrayType(ShortType())), StructField("_counts", ArrayType(IntegerType())), StructField("_tokens", LongType())]
+    return reliable_checkpoint(docs.mapInArrow(counted, StructType([*[f for f in docs.schema.fields if f.name != text], *more])))
+
+
+def _vectors(batches):
+    """(part, row, column, value) of counted texts, some at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            part = batch.slice(start, ROWS)
+            row = np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(part.column("_columns"))))
+            column = np.asarray(part.column("_columns").flatten()).astype(np.int64)
+            yield part, row, column, unit_vectors(row, np.asarray(part.column("_counts").flatten()), part.num_rows)
+
+
+def _nearest(row: np.ndarray, column: np.ndarray, value: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(row, value * c[column], minlength=n) for c in centres], axis=1).argmax(axis=1)
+
+
+def _summed(rows: DataFrame, size: int, numbers) -> np.ndarray:
+    """Sums of whole numbers by place: ``numbers`` gives places and numbers of one part; partial sums per task."""
+
+    def sums(batches):
+        total = np.zeros(size, np.int64)
+        for part, row, column, value in _vectors(batches):
+            place, number = numbers(part, row, column, value)
+            total += np.bincount(place, number, minlength=size).astype(np.int64)  # exact: below 2**53
+        place = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"place": pa.array(place, pa.int32()), "v": pa.array(total[place])})
+
+    found = rows.mapInArrow(sums, "place int, v long").groupBy("place").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(size)
+    out[np.asarray(found.column("place"))] = np.asarray(found.column("v"))
+    return out
+
+
+def fit_topics(counted: DataFrame, k: int = TOPICS) -> np.ndarray:
+    """Centres (k x ``WIDTH``) over all counted texts that have words; words that all share are weighed down."""
+    start = F.pmod(F.xxhash64(F.lit(SEED), "_columns", "_counts"), F.lit(k)).cast("int").alias("start")
+    rows = counted.filter(F.size("_columns") > 0).select("_columns", "_counts", start)
+    centres, n = np.zeros((k, WIDTH)), rows.count()
+    if not n:
         return centres
-    rarity = np.log1p(n / np.maximum(1, np.bincount(column, minlength=WIDTH)))
-    value = value * rarity[column]
-    pick = np.random.default_rng(SEED).permutation(n)
-    label = np.empty(n, np.int64)
-    label[pick] = np.arange(n) % k
-    for _ in range(STEPS):
-        centres = np.bincount(label[row] * WIDTH + column, value, minlength=k * WIDTH).reshape(k, WIDTH)
-        centres /= np.maximum(np.sqrt((centres**2).sum(axis=1, keepdims=True)), 1e-12)
-        near = np.stack([np.bincount(row, value * c[column], minlength=n) for c in centres], axis=1)
-        new = near.argmax(axis=1)
-        if (new == label).all():
+    rarity = np.log1p(n / np.maximum(1, _summed(rows, WIDTH, lambda part, row, column, value: (column, np.ones(len(column))))))
+
+    def step(near: np.ndarray | None) -> np.ndarray:
+        shared = rows.sparkSession.sparkContext.broadcast((rarity, near))
+
+        def numbers(part, row, column, value):
+            rarity, near = shared.value
+            value = value * rarity[column]
+            label = np.asarray(part.column("start")) if near is None else _nearest(row, column, value, near, part.num_rows)
+            return label[row] * WIDTH + column, np.rint(value * UNIT)
+
+        sums = _summed(rows, k * WIDTH, numbers).reshape(k, WIDTH)
+        return sums / np.maximum(np.sqrt((sums**2).sum(axis=1, keepdims=True)), 1e-12)
+
+    centres = step(None)
+    for _ in range(STEPS - 1):
+        new = step(centres)
+        if (new == centres).all():
             break
-        label = new
+        centres = new
     return centres * rarity[None, :]
 
 
@@ -93,8 +161,7 @@ def with_topics(docs: DataFrame, centres: np.ndarray, text: str = "text") -> Dat
     def assigned(batches):
         for piece in pieces(batches, text):
             row, column, value, tokens = word_vectors(piece.column(text))
-            near = [np.bincount(row, value * c[column], minlength=piece.num_rows) for c in shared.value]
-            topic = np.stack(near, axis=1).argmax(axis=1)
+            topic = _nearest(row, column, value, shared.value, piece.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [*piece.columns, pa.array(topic, pa.int32()), pa.array(tokens, pa.int64())],
                 names=[*piece.schema.names, "_topic", "_tokens"],
@@ -104,11 +171,6 @@ def with_topics(docs: DataFrame, centres: np.ndarray, text: str = "text") -> Dat
     return docs.mapInArrow(assigned, schema)
 
 
-def sample_texts(docs: DataFrame, text: str = "text") -> list[str]:
-    """The bounded sample that topics are fitted on, in one order everywhere."""
-    return sorted(r.text for r in text_sample(docs, SAMPLE, SEED, text).collect())
-
-
 def cells_of(rows: DataFrame) -> DataFrame:
     """source, lang, topic, tokens, n: one row per cell that has tokens."""
     return rows.groupBy(*AXES).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).filter("tokens > 0")
@@ -264,18 +326,28 @@ def _joined(rows: DataFrame, cells: DataFrame, topic: str) -> DataFrame:
     return rows.join(cells, same, "left")
 
 
-def _narrow(docs: DataFrame, centres: np.ndarray) -> DataFrame:
-    """One narrow row per document, written once; texts are read in one scan and don't travel."""
-    rows = docs.select("doc_id", "source", "lang", draw("doc_id", "text").alias("u"), "text")
-    topics = with_topics(rows, centres)
-    return reliable_checkpoint(
-        topics.select("doc_id", "source", "lang", "u", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"))
-    )
+def _narrow(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """One narrow row per document, written once, and the centres; texts are read in one scan and don't travel."""
+    counted = counted_words(docs.select("doc_id", "source", "lang", draw("doc_id", "text").alias("u"), "text"))
+    centres = fit_topics(counted)
+    shared = docs.sparkSession.sparkContext.broadcast(centres)
+
+    def assigned(batches):
+        for part, row, column, value in _vectors(batches):
+            topic = _nearest(row, column, value, shared.value, part.num_rows)
+            rest = [part.column(c) for c in ("doc_id", "source", "lang", "u")]
+            yield pa.RecordBatch.from_arrays(
+                [*rest, pa.array(topic, pa.int32()), part.column("_tokens")], names=["doc_id", "source", "lang", "u", "topic", "tokens"]
+            )
+
+    kept = [f for f in counted.schema.fields if not f.name.startswith("_")]
+    schema = StructType([*kept, StructField("topic", IntegerType()), StructField("tokens", LongType())])
+    return reliable_checkpoint(counted.mapInArrow(assigned, schema)), centres
 
 
 def calibrate(docs: DataFrame, budget: float = BUDGET, **targets) -> DataFrame:
     """One row per document: source, lang, topic, tokens, weight of its cell, p and whether it is ``kept``."""
-    narrow = _narrow(docs, fit_topics(sample_texts(docs)))
+    narrow, _ = _narrow(docs)
     p = F.coalesce("_p", F.lit(0.0))
     return _joined(narrow, _calibrated(narrow, budget, targets), "topic").select(
         "doc_id", "source", "lang", "topic", "tokens", F.coalesce("_weight", F.lit(0.0)).alias("weight"), p.alias("p"),
@@ -285,7 +357,7 @@ def calibrate(docs: DataFrame, budget: float = BUDGET, **targets) -> DataFrame:
 
 def mix(docs: DataFrame, budget: float = BUDGET, **targets) -> DataFrame:
     """The rows of docs, unchanged, that the calibrated draw keeps."""
-    centres = fit_topics(sample_texts(docs))
-    cells = _calibrated(_narrow(docs, centres), budget, targets)
+    narrow, centres = _narrow(docs)
+    cells = _calibrated(narrow, budget, targets)
     kept = _joined(with_topics(docs, centres), cells, "_topic").filter(draw("doc_id", "text") < F.col("_p"))
     return kept.select(docs.columns)
