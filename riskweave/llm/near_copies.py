@@ -1,23 +1,27 @@
 """Near copies of texts: SimHash and exact similarity of five-word shingles (the pipeline's form of operator 4).
 
 Texts whose sets of word shingles have a Jaccard similarity of ``SIMILARITY`` (.8) or more are linked; groups are the
-connected components. Such texts lie 3 to 16 bits apart in a 64-bit SimHash. A pivot distance table has no selective
-key at such distances (with 20 of 64 bits free, every block of bits may differ), so here the candidates come from
-MinHash bands, and the SimHash distance discards before the exact comparison:
+connected components. Such texts mostly lie 3 to 16 bits apart in a 64-bit SimHash. A pivot distance table has no selective
+key at such distances (with 20 of 64 bits free, every block of bits may differ), so the candidates come from operator 4's
+pivot distance tables (all within its radius of 2 bits) and, for larger distances, from MinHash bands. The SimHash distance
+discards before the exact comparison:
 
 1. Texts with equal shingle sets are one node.
 2. ``BANDS`` bands of ``ROWS`` MinHash values: texts at similarity .8 share a band with probability
    1 - (1 - .8**4)**16 = .9998.
-3. Round one compares every member of a band's bucket with one leader of the bucket (another leader in every band).
+3. Round one compares what the pivot distance tables link (nodes of one fingerprint with their smallest) and every member
+   of a band's bucket with one leader of the bucket (another leader in every band).
    Links at more than ``BITS`` differing SimHash bits are discarded (3.6 standard deviations above the mean at .8), the
    others verified by the exact similarity of the two shingle sets.
 4. Round two compares members of a bucket that are still in different components, leaving out pairs inside one
    component and pairs whose distances to the bucket's leader, a pivot, differ by more than .2.
-5. A bucket with over ``CROWD`` members outside its main component would still give very many pairs. There, shingles are
+5. A bucket with over ``CROWD`` pairs of a member and one outside its main component is crowded. There, shingles are
    counted over all members of such buckets. A pair that shares a rare shingle (in at most ``RARE`` sets) is found by
    that shingle. Any other pair shares frequent shingles only, and sets of sizes m and n with similarity s share at
    least s / (1 + s) (m + n): members with too few frequent shingles drop out. So a text with a share of words of its own
-   is compared with nobody, and no link between groups is lost.
+   is compared with nobody, and no link between groups is lost. The rest is first compared with the plainest member of
+   the bucket (the largest share of frequent shingles), which ties nearly all of it into one component, and only then
+   across the components that are left.
 
 Words are lower-cased (A-Z) runs of non-blanks. Defined results: a text of under five words has one shingle, the whole
 sequence; null and empty texts have none and are one group. Of each group the row with the smallest id stays (of equal
@@ -32,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.components import components
+from riskweave.llm.simhash_dedup import close_fingerprints
 from riskweave.llm.tables import pieces
 from riskweave.llm.words import mix, shingle_hashes, shingle_starts, split_words
 from riskweave.session import reliable_checkpoint
@@ -41,7 +46,7 @@ SIMILARITY = 0.8
 BANDS = 16
 ROWS = 4
 BITS = 20
-CROWD = 128
+CROWD = 1024
 RARE = 32
 FEW_SHINGLES = 500_000  # that are broadcast
 MOST_NAMED = 300_000  # nodes, of 24 bytes, that are broadcast
@@ -177,6 +182,49 @@ def _far(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) > BITS
 
 
+def _ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _pivot_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes (a, b) that connect what operator 4 links: nodes of equal fingerprints, and by its pivot distance
+    tables those within its radius."""
+    owners = reliable_checkpoint(nodes.groupBy("fp").agg(F.min("node").alias("owner")))
+    same = nodes.join(owners, "fp").filter("node <> owner").select(*_ordered("node", "owner"))
+    names = owners.select(F.col("fp").alias("a"), F.col("owner").alias("x")), owners.select(F.col("fp").alias("b"), F.col("owner").alias("y"))
+    near = close_fingerprints(owners.select("fp")).join(names[0], "a").join(names[1], "b")
+    return same.unionByName(near.select(*_ordered("x", "y")))
+
+
+def _with_main(named: DataFrame) -> DataFrame:
+    """Members of buckets with several components; main is the largest; see the module text for ``crowded``."""
+    sizes = named.groupBy("band", "value", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("band", "value").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("k"), ((F.sum("n") - F.max("n")) * F.sum("n") > CROWD).alias("crowded")
+    )
+    return named.join(main.filter("k > 1").drop("k"), ["band", "value"])
+
+
+def _shares(size, other):
+    """The least number of common shingles of similar sets."""
+    return (size + other) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of a bucket in different components that may be similar."""
+    others = members.filter("root <> main").select(
+        "band", "value", F.col("node").alias("a"), F.col("fp").alias("a_fp"), F.col("root").alias("a_root"),
+        F.col("to_lead").alias("a_to_lead"), F.col("size").alias("a_size"), F.col("frequent").alias("a_frequent"),
+    )
+    enough = F.col("size").isNull() | (F.least("frequent", "a_frequent") >= _shares(F.col("size"), F.col("a_size")))
+    apart = F.coalesce(F.abs(F.col("to_lead") - F.col("a_to_lead")) > 1 - SIMILARITY + 1e-9, F.lit(False))
+    pairs = others.join(members, ["band", "value"]).filter(
+        (F.col("root") != F.col("a_root")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("node")))
+        & ~_far("fp", "a_fp") & ~apart & enough
+    )
+    return pairs.select(*_ordered("a", "node"))
+
+
 def near_copy_nodes(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(profile, groups): doc_id, th and node of every row; node, root of the nodes that have a link."""
     profile = reliable_checkpoint(source.mapInArrow(_sketches, _PROFILE))
@@ -193,8 +241,8 @@ def near_copy_nodes(source: DataFrame) -> tuple[DataFrame, DataFrame]:
         "band", "value", "node", "fp", F.col("leader.node").alias("lead"), F.col("leader.fp").alias("lead_fp")
     )
     shared = reliable_checkpoint(shared)
-    first = shared.filter((F.col("node") != F.col("lead")) & ~_far("fp", "lead_fp"))
-    first = first.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    first = shared.filter((F.col("node") != F.col("lead")) & ~_far("fp", "lead_fp")).select(*_ordered("node", "lead"))
+    first = reliable_checkpoint(first.unionByName(_pivot_pairs(nodes.select("node", "fp"))).distinct())
     compared = _compared(first, source, nodes)
     links = compared.filter(F.col("similarity") >= SIMILARITY).select("a", "b")
     groups = components(links)
@@ -204,37 +252,31 @@ def near_copy_nodes(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     # differ by more than 1 - SIMILARITY can't be similar.
     named = shared.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = reliable_checkpoint(named.select("band", "value", "node", "fp", "lead", "root"))
-    sizes = named.groupBy("band", "value", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("band", "value").agg(
-        F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("k"), (F.sum("n") - F.max("n") > CROWD).alias("crowded")
-    )
-    members = named.join(main.filter("k > 1"), ["band", "value"]).withColumns(
-        {"a": F.least("node", "lead"), "b": F.greatest("node", "lead")}
-    )
+    members = _with_main(named).withColumns({"a": F.least("node", "lead"), "b": F.greatest("node", "lead")})
     to_lead = F.when(F.col("node") == F.col("lead"), F.lit(1.0)).otherwise(F.col("similarity"))
     members = members.join(compared, ["a", "b"], "left").withColumn("to_lead", to_lead)
     members = reliable_checkpoint(members.select("band", "value", "node", "fp", "root", "main", "to_lead", "crowded"))
-    shares = lambda size, other: (size + other) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
-    counts, rare = _crowded_pairs(members.filter("crowded").select("node", "fp", "root"), source, nodes)
-    crowd = members.filter("crowded").join(counts, "node")
-    # a partner has SIMILARITY of a set's size at least, and at least the smallest size of the bucket
-    least = crowd.groupBy("band", "value").agg(F.min("size").alias("least"))
-    partner = F.greatest("least", F.col("size") * SIMILARITY)
-    crowd = crowd.join(least, ["band", "value"]).filter(F.col("frequent") >= shares(F.col("size"), partner)).drop("least")
     nothing = F.lit(None).cast("long")
-    members = members.filter("not crowded").withColumns({"size": nothing, "frequent": nothing}).unionByName(crowd)
-    others = members.filter("root <> main").select(
-        "band", "value", F.col("node").alias("a"), F.col("fp").alias("a_fp"), F.col("root").alias("a_root"),
-        F.col("to_lead").alias("a_to_lead"), F.col("size").alias("a_size"), F.col("frequent").alias("a_frequent"),
-    )
-    enough = ~F.col("crowded") | (F.least("frequent", "a_frequent") >= shares(F.col("size"), F.col("a_size")))
-    apart = F.coalesce(F.abs(F.col("to_lead") - F.col("a_to_lead")) > 1 - SIMILARITY + 1e-9, F.lit(False))
-    second = others.join(members, ["band", "value"]).filter(
-        (F.col("root") != F.col("a_root")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("node")))
-        & ~_far("fp", "a_fp") & ~apart & enough
-    )
-    second = second.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).unionByName(rare).distinct()
-    more = _compared(second.join(first, ["a", "b"], "left_anti"), source, nodes)
+    second = _across(members.filter("not crowded").withColumns({"size": nothing, "frequent": nothing}))
+    crowd, seen = members.filter("crowded"), first
+    if not crowd.isEmpty():
+        counts, rare = _crowded_pairs(crowd.select("node", "fp", "root"), source, nodes)
+        crowd = crowd.join(counts, "node")
+        # a partner has SIMILARITY of a set's size at least, and at least the smallest size of the bucket
+        least = crowd.groupBy("band", "value").agg(F.min("size").alias("least"))
+        partner = F.greatest("least", F.col("size") * SIMILARITY)
+        crowd = crowd.join(least, ["band", "value"]).filter(F.col("frequent") >= _shares(F.col("size"), partner))
+        crowd = reliable_checkpoint(crowd.drop("least", "main", "crowded"))
+        plain = F.struct(F.col("frequent") / F.col("size"), "node")
+        hubs = crowd.groupBy("band", "value").agg(F.max_by("node", plain).alias("hub"))
+        to_hub = crowd.join(hubs, ["band", "value"]).filter("node <> hub").select(*_ordered("node", "hub")).distinct()
+        to_hub = reliable_checkpoint(to_hub.join(first, ["a", "b"], "left_anti"))
+        hub_links = _compared(to_hub, source, nodes).filter(F.col("similarity") >= SIMILARITY).select("a", "b")
+        links, seen = links.unionByName(hub_links), first.unionByName(to_hub)
+        groups = components(links)
+        crowd = crowd.drop("root").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        second = second.unionByName(_across(_with_main(crowd))).unionByName(rare)
+    more = _compared(second.distinct().join(seen, ["a", "b"], "left_anti"), source, nodes)
     more = more.filter(F.col("similarity") >= SIMILARITY).select("a", "b")
     if not more.isEmpty():
         groups = components(links.unionByName(more))

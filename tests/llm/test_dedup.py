@@ -115,6 +115,37 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch):
         assert {r.doc_id for r in kept.collect()} == expected
 
 
+def test_pairs_of_a_large_group_stay_few(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(800):  # one in eight texts is plain; others are hardly similar to one another
+        words = [f"w{j}" for j in range(200)]
+        for at in rng.choice(200, int(rng.integers(0, 3) if i % 8 == 0 else rng.integers(3, 9)), replace=False):
+            words[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(words)))
+    pairs, compared = [], N._compared
+
+    def counted(p, *more):
+        pairs.append(p.count())
+        return compared(p, *more)
+
+    monkeypatch.setattr(N, "_compared", counted)
+    assert N.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() < len(rows)
+    assert sum(pairs) < 30 * len(rows)
+
+
+def test_pivot_tables_give_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    prints = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 60)]
+    prints += [prints[0] ^ 1, prints[1] ^ 6, prints[2], prints[3] ^ 7]  # 1, 2, 0 and 3 bits apart
+    nodes = spark.createDataFrame(list(enumerate(prints)), "node long, fp long")
+    assert sorted(tuple(r) for r in N._pivot_pairs(nodes).collect()) == [(0, 60), (1, 61), (2, 62)]
+    asked, pivot_pairs = [], N._pivot_pairs
+    monkeypatch.setattr(N, "_pivot_pairs", lambda n: asked.append(n.columns) or pivot_pairs(n))
+    N.one_of_each(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")).count()
+    assert asked == [["node", "fp"]]
+
+
 def brute_removed(rows):
     import hashlib
 
