@@ -510,3 +510,13 @@ def test_temperature_fit_tells_whether_it_converged(spark):
     rows = [((0.1 + i % 9 / 10, 0.2, 0.5, 0.3), (i % 9) / 9) for i in range(90)]
     df = spark.createDataFrame(rows, "scores struct<sensitivity:double,exposure:double,context:double,obfuscation:double>, expected double")
     assert not Cal.fit_temperature(df, max_steps=1).converged and Cal.fit_temperature(df, max_steps=40).converged
+
+
+def test_masked_tokens_are_those_of_the_draws(spark):
+    df = spark.createDataFrame([(k, list(range(200))) for k in (1, 2, None)] + [(4, None), (5, []), (6, [1, None, 3, 4, 5, None, 7])], "k long, ids array<int>")
+    for p in (0.0, 0.15, 0.5, 1.0, 1.5):
+        drawn = F.transform("ids", lambda t, i: (i >= 5) & (uniform(42, "mask", F.col("k"), i) < p))
+        rows = P.mask_tokens(df, "ids", -1, key="k", p=p).withColumn("expected", drawn).collect()
+        assert [r.mask_flags for r in rows] == [r.expected for r in rows]
+        plan = P.mask_tokens(df, "ids", -1, key="k", p=p)._jdf.queryExecution().optimizedPlan().toString()
+        assert "conv(" not in plan  # a digest is compared as it is, no number is made of it
