@@ -48,6 +48,8 @@ ROWS = 4
 BITS = 20
 CROWD = 1024
 RARE = 32
+TOGETHER = 512  # pairs whose sets are held as Python values at once
+UNPACKED = 1 << 16  # shingles, of 64 bytes, unpacked at once, and those of one more text
 FEW_SHINGLES = 500_000  # that are broadcast
 MOST_NAMED = 300_000  # nodes, of 24 bytes, that are broadcast
 
@@ -89,8 +91,8 @@ def _sketches(batches):
         if len(full):
             first = bounds[full]
             node[full] = mix(np.add.reduceat(mix(hashes ^ np.uint64(0x5DEECE66D)), first) ^ np.diff(bounds)[full].astype(np.uint64))
-            for s in range(0, len(full), 256):
-                rows = full[s : s + 256]
+            before = bounds[full] // UNPACKED
+            for rows in np.split(full, np.flatnonzero(before[1:] != before[:-1]) + 1):
                 a, b = bounds[rows[0]], bounds[rows[-1] + 1]
                 bits = np.unpackbits(hashes[a:b].byteswap().view(np.uint8)).reshape(-1, 64)
                 ones = np.add.reduceat(bits, bounds[rows] - a, axis=0, dtype=np.int32)
@@ -120,7 +122,7 @@ def _packed_sets(batches):
 
 
 def _similar(batches):
-    for batch in batches:
+    for batch in (b.slice(s, TOGETHER) for b in batches for s in range(0, b.num_rows, TOGETHER)):
         found = []
         for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
             x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
