@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.fixed import recipients as fixed
 from riskweave.functions import labels as L
 from riskweave.functions import recipients as R
 
@@ -56,11 +57,10 @@ def sharing_labels(df: DataFrame, sender_domain: str = "sender_domain", out: str
 
 def content_indicators(df: DataFrame, text: str = "body") -> DataFrame:
     """Adds one count per legitimate category, their names and the suspicious count."""
-    counts = R.legitimate_counts(F.col(text))
-    counted = df.withColumns({f"legit_{k}": c for k, c in counts.items()}).withColumn(
-        "suspicious", R.suspicious_count(F.col(text))
-    )
-    names = F.array_compact(F.array(*[F.when(F.col(f"legit_{k}") > 0, F.lit(k)) for k in counts]))
+    categories = list(fixed.LEGITIMATE_PATTERNS)
+    columns = {**{f"legit_{k}": F.col("_counts")[k] for k in categories}, "suspicious": F.col("_counts.suspicious")}
+    counted = df.withColumn("_counts", R.content_counts(F.col(text))).withColumns(columns).drop("_counts")
+    names = F.array_compact(F.array(*[F.when(F.col(f"legit_{k}") > 0, F.lit(k)) for k in categories]))
     return counted.withColumn("legit_categories", names)
 
 

@@ -6,7 +6,11 @@ from pyspark.sql.types import DoubleType
 
 from riskweave.fixed import labels as fixed
 from riskweave.functions import labels as L
-from riskweave.functions.text import count_matches, total, word_starts
+from riskweave.fixed import recipients as recipients_fixed
+from riskweave.fixed import span_patterns
+from riskweave.functions import recipients as R
+from riskweave.functions import spans as S
+from riskweave.functions.text import count_matches, literal_starts, total, word_starts
 from riskweave.operators import metrics as M
 
 TEXTS = [
@@ -59,3 +63,42 @@ def test_decision_stability_equals_pattern_stability(spark):
     df = spark.createDataFrame([(t or "",) for t in TEXTS], "body string")
     score = lambda text: L.pattern_scores(text, fixed.HEADS)
     assert M.decision_stability(df, score).collect() == M.pattern_stability(df).collect()
+
+
+CONTENT = [
+    None, "", "NDA, \u0130nvoice \u0131nvoice invo\u0131ce", "hr HR chr _hr hr-2", "10-K and 10-q, 110-k, sec filing", "Urgent! please SEND, ur\u017fgent share",
+    "don't tell anyone, keep quiet between us", "ta\u017ft \u017fecret data; per\u017fonal information", "delete it\nafter; delete it after", "policy procedure caf\u00e9policy",
+    "remove and erase once, wire transfer \u212aeep quiet", "review" * 3 + " review" * 5,
+]
+
+
+def test_content_counts_equal_a_count_of_every_pattern(spark):
+    groups = {**recipients_fixed.LEGITIMATE_PATTERNS, "suspicious": recipients_fixed.SUSPICIOUS_PATTERNS}
+    plain = F.struct(*[total([count_matches(F.col("t"), p, True) for p in g]).alias(k) for k, g in groups.items()])
+    df = spark.createDataFrame([(t,) for t in CONTENT + TEXTS], "t string")
+    rows = df.select("t", R.content_counts(F.col("t")).alias("a"), plain.alias("b")).collect()
+    assert [(r.t, r.a) for r in rows] == [(r.t, r.b) for r in rows]
+
+
+def test_content_is_counted_only_where_words_are_found(spark):
+    plan = spark.createDataFrame([("a",)], "t string").select(R.content_counts(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_overlap" in plan
+
+
+def test_literal_starts():
+    assert literal_starts("postgresql://|mysql://") == ["postgresql://", "mysql://"] and literal_starts("AKIA[0-9A-Z]{16}") == ["akia"]
+    assert literal_starts(r"\$[0-9]+k\b.*\b(cash|money)\b") == ["$"] and literal_starts("ab?c") == ["a"] and literal_starts("a?b|c") == []
+
+
+def test_first_letters_leave_no_match_out(spark):
+    texts = [
+        "nda 5 NDA#7 Matter 12 \u017f Ca\u017fe 9 contract #3",
+        "12 Main \u017ftreet, 7 Elm St and 9 Oak Pl; 5 dr", "1 2 3 Berlin, BE 12345",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = {"LEGAL": span_patterns.FULL_LEGAL, "ADDR": span_patterns.FULL_ADDR}
+    for i, rule in enumerate(S.ruleset("full")):
+        if rule.type in plain:
+            other = S.SpanRule(**{**rule.__dict__, "pattern": plain[rule.type]})
+            rows = df.select(F.expr(S.rule_matches("t", rule, i)).alias("a"), F.expr(S.rule_matches("t", other, i)).alias("b")).collect()
+            assert [r.a for r in rows] == [r.b for r in rows]
