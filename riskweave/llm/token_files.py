@@ -33,7 +33,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain, islice, pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +46,8 @@ from riskweave.session import ensure_checkpoint_dir
 
 SHARD = 1 << 20
 END = 2
-CACHE = 500_000  # words a worker keeps, some 150 MB
-_TOGETHER = 2_000
+CACHE = 2_000_000  # words a worker keeps, some 70 MB
+_TOGETHER = 200
 _BLOCK = 512
 
 FILE_SCHEMA = (
@@ -177,16 +177,17 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """ids of texts, as the library's ``encode`` gives them; a bounded store keeps those of words met before.
 
-    New words go to the tokenizer's model together, with a byte letter between them that no merge of the vocabulary
-    holds, so no token can reach over it.
+    The store is arrays, sorted by the 64-bit hash of a word and its blank, so words met before are looked up together
+    and never become Python values. New words go to the tokenizer's model together, with a byte letter between them
+    that no merge of the vocabulary holds, so no token can reach over it.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.place: dict[str, int] = {}  # unit: its number; unit k has flat[starts[k] : starts[k + 1]]
-        self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.place, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes, sorted, and the unit of each
+        self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)  # unit k has flat[starts[k] : starts[k + 1]]
         self.letters = _byte_letters()
         model = json.loads(self.tokenizer.to_str())["model"]
         merged = set("".join(chain.from_iterable(model["merges"])))
@@ -196,43 +197,63 @@ class Encoder:
         )
         self.gap = model["vocab"][self.gap_letter]
 
-    def _together(self, written: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """ids of all written pre-tokens behind one another, and how many each has."""
-        ids = np.array([t.id for t in self.tokenizer.model.tokenize(self.gap_letter.join(written))], np.uint32)
+    def _together(self, written: str) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all written pre-tokens, which have the gap letter between them, and how many each has."""
+        ids = np.array([t.id for t in self.tokenizer.model.tokenize(written)], np.uint32)
         gap = ids == self.gap
         return ids[~gap], np.diff(np.concatenate([[-1], np.flatnonzero(gap), [len(ids)]])) - 1
 
-    def _learn(self, units: list[str]) -> None:
-        """Adds the ids of new units. A word, then signs, is two pre-tokens at most; others are split by the library."""
-        parts, counts, order, odd = [], [], [], []
+    def _split(self, units: list[str]) -> tuple[list[str], list[int]]:
+        """Written pre-tokens of the units, and how many each has: a word, then signs, is two at most; others are split
+        by the library."""
+        written, counts = [], []
         for u in units:
             word = u.rstrip(".,;:!?")
             if (word[1:] if word[:1] == " " else word).isalpha():
-                parts.append(word)
-                if len(word) < len(u):
-                    parts.append(u[len(word) :])
-                    counts.append(2)
-                else:
-                    counts.append(1)
-                order.append(u)
+                parts = [word, u[len(word) :]] if len(word) < len(u) else [word]
+                written += [p.encode().decode("latin-1").translate(self.letters) for p in parts]
+                counts.append(len(parts))
             else:
-                odd.append(u)
-        written = "\0".join(parts).encode().decode("latin-1").translate(self.letters).split(self.letters[0]) if parts else []
-        for u in odd:
-            split = self.tokenizer.pre_tokenizer.pre_tokenize_str(u)
-            written += [part for part, _ in split]
-            counts.append(len(split))
+                parts = self.tokenizer.pre_tokenizer.pre_tokenize_str(u)
+                written += [part for part, _ in parts]
+                counts.append(len(parts))
+        return written, counts
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Adds the ids of new units data[begin:end], under their keys, which are sorted."""
+        written, simple, signed = _simple_units(data, begin, end)
         ids, sizes = [self.flat], []
-        for s in range(0, len(written), _TOGETHER):
-            some, n = self._together(written[s : s + _TOGETHER])
+        letters = written.tobytes().decode("latin-1").replace(" ", self.letters[0x20]).replace("\0", self.gap_letter)
+        stops = np.flatnonzero(written == 0)  # behind each pre-token
+        start = 0
+        for stop in [*stops[_TOGETHER - 1 :: _TOGETHER].tolist(), *stops[-1:].tolist()]:
+            if start < stop:
+                some, n = self._together(letters[start:stop])
+                ids.append(some)
+                sizes.append(n)
+            start = stop + 1
+        raw = data.tobytes() if not simple.all() else b""
+        others = [raw[b:e].decode() for b, e in zip(begin[~simple].tolist(), end[~simple].tolist(), strict=True)]
+        parts, counts = self._split(others)
+        for s in range(0, len(parts), _TOGETHER):
+            some, n = self._together(self.gap_letter.join(parts[s : s + _TOGETHER]))
             ids.append(some)
             sizes.append(n)
-        if counts:
-            first = np.cumsum(counts) - counts
-            own = np.add.reduceat(np.concatenate(sizes), first)
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(own)])
-            self.flat = np.concatenate(ids)
-            self.place.update(zip(order + odd, range(len(self.place), len(self.starts) - 1), strict=True))
+        counts = np.concatenate([1 + signed[simple], np.array(counts, np.int64)])
+        own = np.add.reduceat(np.concatenate(sizes), np.cumsum(counts) - counts)
+        number = np.empty(len(keys), np.int32)
+        number[np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)])] = np.arange(len(keys)) + len(self.starts) - 1
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(own)])
+        self.flat = np.concatenate(ids)
+        at = np.searchsorted(self.place, keys)
+        self.place, self.number = np.insert(self.place, at, keys), np.insert(self.number, at, number)
+
+    def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each key is, or would be, and whether it is there."""
+        at = np.searchsorted(self.place, keys)
+        known = at < len(self.place)
+        known[known] = self.place[at[known]] == keys[known]
+        return at, known
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """ids of each text. Plain texts are cut before each blank, and each distinct word with its blank is met once."""
@@ -242,19 +263,20 @@ class Encoder:
         row = words.row_of_word()
         start = words.start
         blank = np.where(start > offsets[:-1][row], data[np.maximum(start - 1, 0)], 0).astype(np.uint64)
-        _, first, unit = np.unique(mix(words.hash + blank), return_index=True, return_inverse=True)
+        keys, first, unit = np.unique(mix(words.hash + blank), return_index=True, return_inverse=True)
         if plain.all():
             used = np.ones(len(first), bool)
         else:
             used = np.zeros(len(first), bool)
             used[unit[plain[row]]] = True
-        text, begins, ends = data.tobytes(), (start - (blank > 0))[first][used].tolist(), words.end[first][used].tolist()
-        needed = [text[b:e].decode() for b, e in zip(begins, ends, strict=True)]
         if len(self.place) > CACHE:  # later words are rarer: keep the first
             self._shrink()
-        self._learn([u for u in needed if u not in self.place])
+        new = used & ~self._known(keys)[1]
+        if new.any():
+            met = first[new]
+            self._learn(keys[new], data, start[met] - (blank[met] > 0), words.end[met])
         at = np.zeros(len(first), np.int64)
-        at[used] = np.fromiter(map(self.place.__getitem__, needed), np.int64, len(needed))
+        at[used] = self.number[np.searchsorted(self.place, keys[used])]
         own = np.where(used, self.starts[at + 1] - self.starts[at], 0) if len(self.starts) > 1 else np.zeros(len(first), np.int64)
         counts = own[unit] if plain.all() else np.where(plain[row], own[unit], 0)
         stops = np.cumsum(counts)
@@ -267,16 +289,48 @@ class Encoder:
             if plain[i]:
                 out.append(ids[a:b])
             else:
-                whole = text[offsets[i] : offsets[i + 1]].decode()
+                whole = data[offsets[i] : offsets[i + 1]].tobytes().decode()
                 out.append(np.array(self.tokenizer.encode(whole, add_special_tokens=False).ids, np.uint32))
         return out
 
     def _shrink(self) -> None:
-        kept = dict(islice(self.place.items(), CACHE // 2))
-        self.place, self.starts = kept, self.starts[: len(kept) + 1]
+        kept = CACHE // 2
+        first = self.number < kept
+        self.place, self.number, self.starts = self.place[first], self.number[first], self.starts[: kept + 1]
         self.flat = self.flat[: self.starts[-1]]
 
 
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(65, 91), *range(97, 123)]] = True
+_SIGNS = np.zeros(256, bool)
+_SIGNS[[*b".,;:!?"]] = True
+
+
+def _simple_units(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, simple, signed) of the units data[begin:end]. Simple ones are ASCII letters, with a space before and signs
+    behind them or not; bytes has their pre-tokens (space and letters; signs), each with a zero byte behind it; signed
+    says which units end in signs."""
+    spaced = data[begin] == 0x20
+    size = end - begin - spaced
+    before = np.cumsum(size) - size
+    unit = np.repeat(np.arange(len(size)), size)
+    inside = data[np.arange(len(unit)) + np.repeat(begin + spaced - before, size)]
+    letter, sign = _LETTERS[inside], _SIGNS[inside]
+    wrong = ~letter & ~sign
+    wrong[1:] |= letter[1:] & sign[:-1] & (unit[1:] == unit[:-1])
+    letters = np.add.reduceat(letter, before, dtype=np.int64)
+    simple = (np.add.reduceat(wrong, before, dtype=np.int64) == 0) & (letters > 0)
+    signed = simple & (letters < size)
+    room = np.where(simple, spaced + size + 1 + signed, 0)
+    to = np.cumsum(room) - room
+    written = np.zeros(int(room.sum()), np.uint8)
+    written[to[simple & spaced]] = 0x20
+    kept = simple[unit]
+    places = np.arange(len(unit)) + np.repeat(to + spaced - before, size) + sign  # signs are behind a zero byte
+    written[places[kept]] = inside[kept]
+    return written, simple, signed
+
+
 _OTHER_BLANKS = np.zeros(256, bool)
 _OTHER_BLANKS[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = True
 

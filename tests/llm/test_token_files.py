@@ -57,6 +57,28 @@ def test_store_of_words_is_bounded(tokenizer, monkeypatch):
         assert len(encoder.place) <= 20 + 15
 
 
+def test_words_met_before_are_looked_up_in_arrays(tokenizer, monkeypatch):
+    random.seed(5)
+    letters = ["a", "Zq", ".", ",", "!?", "-", "7", "é", "the", ":"]
+    texts = [" ".join("".join(random.choice(letters) for _ in range(random.randrange(1, 6))) for _ in range(40)) for _ in range(60)]
+    encoder = T.Encoder(tokenizer)
+    expected = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for some in (texts[:1], texts[:20], texts):  # new words join the sorted store
+        assert [x.tolist() for x in encoder.encode(pa.array(some))] == expected[: len(some)]
+    assert isinstance(encoder.place, np.ndarray) and (np.diff(encoder.place.view(np.int64) ^ np.int64(-(1 << 63))) > 0).all()
+    monkeypatch.setattr(encoder, "_learn", None)  # nothing is new any more
+    assert [x.tolist() for x in encoder.encode(pa.array(texts[::-1]))] == expected[::-1]
+
+
+def test_simple_units():
+    units = [b" word", b"word", b" word.", b"w!?", b" a.b", b".", b" ,", b" x7", b"\nword", b" \xc3\xa9", b" end;:"]
+    end = np.cumsum([len(u) for u in units])
+    written, simple, signed = T._simple_units(np.frombuffer(b"".join(units), np.uint8), np.append(0, end[:-1]), end)
+    assert simple.tolist() == [True, True, True, True, False, False, False, False, False, False, True]
+    assert np.flatnonzero(signed).tolist() == [2, 3, 10]
+    assert written.tobytes() == b" word\0word\0 word\0.\0w\0!?\0 end\0;:\0"
+
+
 def test_round_trip(odd, none, tokenizer, monkeypatch):
     library = T.Encoder(tokenizer).tokenizer
     rows = sorted(((r.doc_id, r.text) for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
