@@ -15,8 +15,9 @@ discards before the exact comparison:
    others verified by the exact similarity of the two shingle sets.
 4. Round two compares members of a bucket that are still in different components, leaving out pairs inside one
    component and pairs whose distances to the bucket's leader, a pivot, differ by more than .2.
-5. A bucket with over ``CROWD`` pairs of a member and one outside its main component is crowded. There, shingles are
-   counted over all members of such buckets. A pair that shares a rare shingle (in at most ``RARE`` sets) is found by
+5. A bucket with over ``CROWD`` pairs of a member and one outside its main component is crowded (from some ten members
+   on, so nearly all members of larger buckets are, at any size of the table). There, shingles are counted over all
+   members of such buckets: one row for each shingle of a node, so no more rows than shingles. A pair that shares a rare shingle (in at most ``RARE`` sets) is found by
    that shingle. Any other pair shares frequent shingles only, and sets of sizes m and n with similarity s share at
    least s / (1 + s) (m + n): members with too few frequent shingles drop out. So a text with a share of words of its own
    is compared with nobody, and no link between groups is lost. The rest is first compared with the plainest member of
@@ -46,10 +47,11 @@ SIMILARITY = 0.8
 BANDS = 16
 ROWS = 4
 BITS = 20
-CROWD = 1024
+CROWD = 64
 RARE = 32
 TOGETHER = 512  # pairs whose sets are held as Python values at once
 UNPACKED = 1 << 16  # shingles, of 64 bytes, unpacked at once, and those of one more text
+TEXT_BYTES = 1 << 18  # text whose shingles are held at once, and that of one more text
 FEW_SHINGLES = 500_000  # that are broadcast
 MOST_NAMED = 300_000  # nodes, of 24 bytes, that are broadcast
 
@@ -81,7 +83,7 @@ def _multipliers() -> np.ndarray:
 
 
 def _sketches(batches):
-    for piece in pieces(batches):
+    for piece in pieces(batches, size=TEXT_BYTES):
         hashes, bounds = shingle_sets(piece.column("text"))
         n = piece.num_rows
         node = np.zeros(n, np.uint64)
@@ -114,7 +116,7 @@ def _sketches(batches):
 
 def _packed_sets(batches):
     """node and its shingle set as sorted 32-bit numbers."""
-    for piece in pieces(batches):
+    for piece in pieces(batches, size=TEXT_BYTES):
         hashes, bounds = shingle_sets(piece.column("text"))
         small = (hashes >> np.uint64(32)).astype("<u4")  # sorted as the hashes are
         sets = [small[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
@@ -144,11 +146,11 @@ def _sets_of(needed: DataFrame, source: DataFrame, nodes: DataFrame) -> DataFram
 
 
 def _unpacked(batches):
-    """One row per node and shingle."""
-    for batch in batches:
-        packed = [np.frombuffer(x, "<u4") for x in batch.column("shingles").to_pylist()]
-        node = np.repeat(np.asarray(batch.column("node")), [len(x) for x in packed])
-        shingle = np.concatenate([*packed, np.zeros(0, "<u4")]).view(np.int32)
+    """One row per node and shingle, in batches of ``UNPACKED`` rows and those of one more node."""
+    for piece in pieces(batches, "shingles", 4 * UNPACKED):
+        packed = [np.frombuffer(x, "<u4") for x in piece.column("shingles").to_pylist()]
+        node = np.repeat(np.asarray(piece.column("node")), [len(x) for x in packed])
+        shingle = np.concatenate(packed).view(np.int32)
         yield pa.RecordBatch.from_pydict({"node": pa.array(node), "shingle": pa.array(shingle)})
 
 

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from riskweave.llm import near_copies as N
@@ -134,6 +135,22 @@ def test_pairs_of_a_large_group_stay_few(spark, monkeypatch):
     assert sum(pairs) < 30 * len(rows)
 
 
+def test_sets_are_unpacked_in_small_batches():
+    sets = [np.arange(i, i + 5000, dtype="<u4").tobytes() for i in range(60)] + [b"", np.arange(3, dtype="<u4").tobytes()]
+    batch = pa.RecordBatch.from_pydict({"node": pa.array(range(len(sets)), pa.int64()), "shingles": pa.array(sets, pa.binary())})
+    made = list(N._unpacked(iter([batch, batch.slice(0, 0)])))
+    assert max(b.num_rows for b in made) <= N.UNPACKED + 5000
+    got = [(r["node"], r["shingle"]) for b in made for r in b.to_pylist()]
+    assert got == [(i, int(x)) for i, packed in enumerate(sets) for x in np.frombuffer(packed, "<i4")]
+
+
+def test_small_and_large_buckets_are_crowded_alike(spark):
+    sizes = {0: 20, 1: 100, 2: 4}
+    named = [(0, b, 1000 * b + i, 1000 * b + i) for b, n in sizes.items() for i in range(n)]
+    rows = N._with_main(spark.createDataFrame(named, "band int, value long, node long, root long")).collect()
+    assert {(r.value, r.crowded) for r in rows} == {(0, True), (1, True), (2, False)}
+
+
 def test_pivot_tables_give_candidates(spark, monkeypatch):
     rng = np.random.default_rng(6)
     prints = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 60)]
