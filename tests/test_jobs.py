@@ -499,6 +499,17 @@ def test_scores_after_cuts_equal_direct_scores(spark):
             assert all(abs(x - y) < 1e-9 for x, y in zip(a, b, strict=True)), (n, r["t"][:200])
 
 
+def test_scores_after_cuts_count_where_words_are_found(spark):
+    texts = ["plain words of a text, and more of them", "xxnssn here", "abcnda and", "xxxxxkey: five cut", "a meeting to revie", "end with cc1", "123-45-67890", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    fast = df.select("t", L.pattern_scores_after_cuts(F.col("t"), (-5, -3, 3, 5)).alias("fast"))
+    assert "arrays_overlap" in fast._jdf.queryExecution().optimizedPlan().toString()  # not every pattern on every text
+    for r in fast.filter("t is not null").collect():
+        cuts = [r.t, r.t[5:], r.t[3:], r.t[:-3], r.t[:-5]]
+        wanted = spark.createDataFrame([(i, c) for i, c in enumerate(cuts)], "i int, c string").orderBy("i").select(L.pattern_scores(F.col("c"), L.fixed.HEADS).alias("s"))
+        assert [tuple(x) for x in r.fast] == [tuple(w.s) for w in wanted.collect()], r.t
+
+
 def test_request_order_is_restored(spark):
     requests = spark.range(300).select((F.col("id") * 7 % 300).alias("request_index")).repartition(5)
     results = spark.range(300).select(F.concat(F.lit("request-"), "id").alias("custom_id"), F.col("id").cast("string").alias("content")).filter("id % 3 > 0")
