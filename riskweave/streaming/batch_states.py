@@ -17,10 +17,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import BooleanType, LongType, StringType, StructType
 
 from riskweave.schema import FINAL_BATCH_STATES
 
@@ -30,7 +30,8 @@ WINDOW_MS = 10 * 60 * 1000
 KEEP_MS = 30 * DAY_MS
 
 CHANGES = "batch_id string, status string, at_ms bigint"
-_STATE = "status string, at_ms bigint, created_ms bigint, ended boolean"
+# a type and not its text: text would be parsed again, by a round trip, with every update
+_STATE = StructType().add("status", StringType()).add("at_ms", LongType()).add("created_ms", LongType()).add("ended", BooleanType())
 
 
 def status_windows(log: DataFrame, ts: str = "ts", delay: str = "1 hour", window_ms: int = WINDOW_MS) -> DataFrame:
@@ -45,7 +46,11 @@ def status_windows(log: DataFrame, ts: str = "ts", delay: str = "1 hour", window
 
 
 class BatchStates(StatefulProcessor):
-    """One row of state per batch; see the module text for the rules."""
+    """One row of state per batch; see the module text for the rules.
+
+    Each call of the state costs a round trip between two processes, so a batch makes few: a batch that ends with its first
+    windows sets no timers to delete, and what is due by then is said at once instead of by timers.
+    """
 
     def __init__(self, window_ms: int = WINDOW_MS, keep_ms: int = KEEP_MS):
         self.window_ms, self.keep_ms = window_ms, keep_ms
@@ -60,46 +65,52 @@ class BatchStates(StatefulProcessor):
     def _expired_at(self, created: int) -> int:
         return created + DAY_MS + self.window_ms
 
-    def _end(self, status: str, at: int, created: int) -> pd.DataFrame:
+    def _end(self, status: str, at: int, created: int) -> Row:
         self.state.update((status, at, created, True))
         self.handle.registerTimer(created + self.keep_ms)
         return self._change(status, at)
 
-    def _change(self, status: str, at: int) -> pd.DataFrame:
-        return pd.DataFrame({"batch_id": [self.key], "status": [status], "at_ms": [at]})
+    def _change(self, status: str, at: int) -> Row:
+        return Row(batch_id=self.key, status=status, at_ms=at)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         self.key = key[0]
-        seen = pd.concat(list(rows), ignore_index=True)  # a few rows a window
-        known = self.state.exists()
-        status, at, created, ended = self.state.get() if known else (None, -1, int(seen["first_ms"].min()), False)
+        seen = [(r["first_ms"], r["last_ms"], r["status"]) for r in rows]  # a few rows a window
+        known = self.state.get()
+        status, at, created, ended = known or (None, -1, min(seen)[0], False)
         if ended:
             return
+        seen = [x for x in seen if x[0] <= created + DAY_MS]
+        final = [(first, s) for first, _, s in seen if s in FINAL_BATCH_STATES]
+        if final:
+            first, s = min(final)
+            if known:
+                self.handle.deleteTimer(self._stuck_at(created))
+                self.handle.deleteTimer(self._expired_at(created))
+            yield self._end(s, first, created)
+            return
+        latest = max([(at, status), *((last, s) for _, last, s in seen)] if status is not None else [(last, s) for _, last, s in seen])
+        if latest != (at, status):
+            yield self._change(latest[1], latest[0])
         if not known:
-            self.handle.registerTimer(self._stuck_at(created))
+            now = timerValues.getCurrentWatermarkInMs()
+            if self._stuck_at(created) <= now:
+                yield self._change("stuck", created + HOUR_MS)
+            else:
+                self.handle.registerTimer(self._stuck_at(created))
+            if self._expired_at(created) <= now:
+                yield self._end("expired", created + DAY_MS, created)
+                return
             self.handle.registerTimer(self._expired_at(created))
-        seen = seen[seen["first_ms"] <= created + DAY_MS]
-        final = seen[seen["status"].isin(FINAL_BATCH_STATES)]
-        if len(final):
-            first = final.sort_values(["first_ms", "status"]).iloc[0]
-            self.handle.deleteTimer(self._stuck_at(created))
-            self.handle.deleteTimer(self._expired_at(created))
-            yield self._end(str(first["status"]), int(first["first_ms"]), created)
-            return
-        before = (status, at)
-        for s, last in zip(seen["status"].tolist(), seen["last_ms"].tolist(), strict=True):
-            if status is None or (last, s) > (at, status):
-                status, at = s, int(last)
-        self.state.update((status, at, created, False))
-        if (status, at) != before:
-            yield self._change(status, at)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.update((latest[1], latest[0], created, False))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.key = key[0]
-        if not self.state.exists():
+        state = self.state.get()
+        if not state:
             return
         due = expiredTimerInfo.getExpiryTimeInMs()
-        _, _, created, ended = self.state.get()
+        _, _, created, ended = state
         if ended:
             if due == created + self.keep_ms:
                 self.state.clear()
@@ -117,8 +128,8 @@ def stream_batch_state(
 ) -> DataFrame:
     """Changes of each batch's status (batch_id, status, at_ms), append mode. Start it with ``jobs.run_available`` or under
     ``jobs.keyed_state``: its state needs the RocksDB store."""
-    windows = status_windows(log, ts, delay, window_ms)
-    return windows.groupBy("batch_id").transformWithStateInPandas(BatchStates(window_ms, keep_ms), CHANGES, "Append", "EventTime")
+    windows = status_windows(log, ts, delay, window_ms).select("batch_id", "status", "first_ms", "last_ms")
+    return windows.groupBy("batch_id").transformWithState(BatchStates(window_ms, keep_ms), CHANGES, "Append", "EventTime")
 
 
 def current_states(changes: DataFrame) -> DataFrame:

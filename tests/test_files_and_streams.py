@@ -3,7 +3,9 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from riskweave.operators import labeling as B
 from riskweave.plans.message_view import messages
@@ -219,3 +221,33 @@ def test_forgotten_batches_begin_anew(spark, tmp_path):
     ])
     changes, _ = _states(spark, tmp_path, keep_ms=2 * batch_states.DAY_MS)
     assert {r["status"] for r in changes.filter("batch_id = 'x'").collect()} == {"completed", "created", "stuck"}
+
+
+class _Handle:
+    """Stands for the state of one key and notes every call, each a round trip on a cluster."""
+
+    def __init__(self):
+        self.calls, self.value = [], None
+
+    def getValueState(self, name, schema):
+        assert not isinstance(schema, str)  # text is parsed again, by a call, with every update
+        return self
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append((name, *args))
+            self.value = args[0] if name == "update" else None if name == "clear" else self.value
+            return self.value if name == "get" else None
+
+        return call
+
+
+@pytest.mark.parametrize(("status", "now_h", "says", "n_calls"), [
+    ("completed", 2, ["completed"], 3), ("created", 1, ["created"], 4), ("created", 2, ["created", "stuck"], 3), ("created", 30, ["created", "stuck", "expired"], 3),
+])
+def test_a_batch_makes_few_calls_of_its_state(status, now_h, says, n_calls):
+    handle, states = _Handle(), batch_states.BatchStates()
+    states.init(handle)
+    rows = iter([{"status": status, "first_ms": T0, "last_ms": T0 + 1}])
+    changes = states.handleInputRows(("b",), rows, TimerValues(0, T0 + now_h * batch_states.HOUR_MS))
+    assert [c["status"] for c in changes] == says and len(handle.calls) == n_calls, handle.calls
