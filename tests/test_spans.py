@@ -1,5 +1,6 @@
 """Span detection against a plain Python reading of the rules."""
 
+import random
 import re
 import time
 
@@ -319,3 +320,33 @@ def test_normal_forms_cost_little_on_plain_texts(spark):
     d, c, n = lengths.agg(F.sum("d"), F.sum("c"), F.sum("l")).first()
     assert (d - n, c) == (40 * 2_500 * 2, n)
     assert time.perf_counter() - started < 5  # 4.4 million characters in one task; ranges took twice that and more
+
+
+def test_tokens_and_long_texts_take_linear_time(spark):
+    """Tokens are placed by their marks; pieces gathered one by one took several times as long."""
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("a bc  def\n\ng \U0001f600x ",), ("",), (" \n ",), (None,), ("\u0001 x\u0001y z",)], "t string")
+    for r in rows.select("t", S.token_ranges("t", r"[^ \n]+").alias("k")).collect():
+        assert [tuple(x) for x in r.k] == [m.span() for m in re.finditer(r"[^ \n]+", r.t or "")], r.t
+    many = spark.range(0, 40, 1, 1).select(F.concat(F.repeat(F.lit("ab cde f, "), 6_000), F.col("id").cast("string")).alias("t"))
+    started = time.perf_counter()
+    assert many.select(F.size(S.token_ranges("t", r"[^ \n]+")).alias("n")).agg(F.sum("n")).first()[0] == 40 * 18_001
+    assert time.perf_counter() - started < 3  # 720,000 tokens in one task
+
+
+@pytest.mark.parametrize("name", ["full", "traditional"])
+def test_signs_before_a_rule_change_no_match(spark, name):
+    """A guard or a look-ahead only skips texts and places where the plain pattern can't match."""
+    plain = {"full": {"PHONE": fixed.FULL_PHONE, "PAN": fixed.FULL_PAN, "SSN": fixed.FULL_SSN, "NAME": fixed.FULL_NAME, "SECRET": fixed.FULL_SECRET}, "traditional": dict(fixed.TRADITIONAL[:4] + fixed.TRADITIONAL[7:])}[name]
+    rng = random.Random(5)
+    parts = [
+        "+1 ", "(415) 555-2671", "555-2671", "4111 1111 1111 1111", "123-45-6789", "١٢٣-٤٥-٦٧٨٩", "Ann Lee ", "ANN ", "O", "sk-" + "aB3" * 14, "ſK-" + "a1" * 21,
+        "akia" + "A1B2" * 4, "AKIA" + "Z9" * 8, "ghp_" + "a1B" * 12, "xoxb-1-2-abcdefghij", "x" * 20 + "ı" * 20 + "7", "12345678-abcd-ef01-2345-0123456789ab", "AIza" + "k_-4567" * 5, "ab" * 30, "/", "=", " ", "\n", ".", "a@b.org", "redis://x", "NDA", "Matter A-12",
+    ]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", ""]) for _ in range(rng.choice([1, 2, 4, 9, 25]))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    rules = [r for r in S.ruleset(name) if r.type in plain and (name == "full" or r.type != "SECRET")]
+    direct = [S.SpanRule(r.type, plain[r.type], r.ignore_case, r.confidence, r.keep) for r in rules]
+    for r in df.select("t", S.detect("t", rules, "none").alias("fast"), S.detect("t", direct, "none").alias("direct")).collect():
+        assert r.fast == r.direct, r.t
