@@ -125,10 +125,19 @@ def expected_calibration_error(scores: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def tag_pairs(tags: DataFrame) -> DataFrame:
-    """(pred, truth) counts over all positions that are not ignored."""
+    """(pred, truth) counts over all positions that are not ignored. Positions without a tag on either side, nearly all, are
+    counted in their row; only the others become rows."""
     zipped = F.arrays_zip(F.col("pred").alias("pred"), F.col("truth").alias("truth"))
-    flat = tags.select(F.explode(zipped).alias("z")).select("z.pred", "z.truth").filter(F.col("truth") != IGNORE_ID)
-    return flat.groupBy("pred", "truth").agg(F.count(F.lit(1)).alias("n"))
+    kept = F.filter(zipped, lambda z: z["truth"] != IGNORE_ID)
+
+    def counted(z: Column) -> Column:
+        telling = F.filter(z, lambda x: F.coalesce((x["pred"] != 0) | (x["truth"] != 0), F.lit(True)))
+        outside = F.struct(F.lit(0).alias("pred"), F.lit(0).alias("truth"), (F.size(z) - F.size(telling)).cast("long").alias("n"))
+        others = F.transform(telling, lambda x: F.struct(x["pred"].cast("int").alias("pred"), x["truth"].cast("int").alias("truth"), F.lit(1).cast("long").alias("n")))
+        return F.concat(F.array(outside), others)
+
+    flat = tags.select(F.inline_outer(let(kept, counted))).filter("n > 0")
+    return flat.groupBy("pred", "truth").agg(F.sum("n").alias("n"))
 
 
 def token_metrics(tags: DataFrame, n_classes: int = 21) -> DataFrame:
