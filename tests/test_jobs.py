@@ -510,6 +510,35 @@ def test_scores_after_cuts_count_where_words_are_found(spark):
         assert [tuple(x) for x in r.fast] == [tuple(w.s) for w in wanted.collect()], r.t
 
 
+def test_split_statistics_in_one_pass(spark):
+    span = lambda *types: [(t,) for t in types]
+    rows = [
+        ("train", "a", "mail", "1234", 2, span("EMAIL", "EMAIL", "PAN"), (1, 0, 0, 1)), ("train", None, "chat", "12", 0, span(), (0, 0, 1, None)),
+        ("val", "b", "mail", None, None, None, (1, 1, 1, 1)), ("train", "a", "mail", "1", 1, span(None, "PAN"), (1, 0, 0, 0)), (None, "a", "mail", "123", 1, span("SSN"), (1, 0, 0, 0)),
+    ]
+    heads = ", ".join(f"{h}: int" for h in L.fixed.HEADS)
+    df = spark.createDataFrame([(s, a, c, b, (p,), x, h) for s, a, c, b, p, x, h in rows], f"split string, agent string, channel string, body string, thread struct<prior_msgs: int>, spans array<struct<type: string>>, labels struct<{heads}>")
+    done = St.split_statistics(df)
+    got = {r["split"]: r[1:] for r in done.collect()}
+    assert got["train"] == (3, 7 / 3, 2, 1, 2, 0, 1, 1, {"EMAIL": 2, "PAN": 2}, {"a": 2, "unknown": 1}, {"chat": 1, "mail": 2})
+    assert got["val"] == (1, None, 0, 0, 1, 1, 1, 1, None, {"b": 1}, {"mail": 1})
+    assert got[None] == (1, 3.0, 1, 0, 1, 0, 0, 0, None, None, None)
+    assert "Join" not in done._jdf.queryExecution().optimizedPlan().toString()  # spans are found once
+
+
+def test_tag_pairs_of_plain_positions_are_counted_in_their_row(spark):
+    rng = random.Random(6)
+    rows = [([rng.choice([0, 0, 0, 1, 2]) for _ in range(n)], [rng.choice([0, 0, 0, 2, -100]) for _ in range(n)]) for n in (0, 1, 7, 60, 300)] + [([0] * 5_000, [0] * 5_000), (None, None), ([0, 1], [0])]
+    df = spark.createDataFrame(rows, "pred array<int>, truth array<int>")
+    wanted = {}
+    for p, t in rows[:6] + [([0], [0])]:
+        for pair in zip(p, t, strict=True):
+            wanted[pair] = wanted.get(pair, 0) + (pair[1] != -100)
+    done = M.tag_pairs(df)
+    assert {(r["pred"], r["truth"]): r["n"] for r in done.collect()} == {k: n for k, n in wanted.items() if n}
+    assert "explode" not in done._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_request_order_is_restored(spark):
     requests = spark.range(300).select((F.col("id") * 7 % 300).alias("request_index")).repartition(5)
     results = spark.range(300).select(F.concat(F.lit("request-"), "id").alias("custom_id"), F.col("id").cast("string").alias("content")).filter("id % 3 > 0")
